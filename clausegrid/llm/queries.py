@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clausegrid.llm import simhash
+from clausegrid.llm import bpe, mixing, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The slot of every document in a mixture of the sources by tempered weights."""
+    return mixing.mixture(_table(spark, sf_dir, "documents"))
+
+
+def op8_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of all documents, encoded and decoded."""
+    return bpe.token_digests(_table(spark, sf_dir, "documents"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents."""
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -22,9 +32,9 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """One query for each operator."""
-    return {f.__name__: f for f in (op10_simhash_near_dedup,)}
+    return {f.__name__: f for f in (op5_mixing_sources, op8_byte_level_bpe, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return {}
+    return {"op5_mixing_sources": mixing.MIXTURE_SQL}
