@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clausegrid.llm import bpe, mixing, simhash
+from clausegrid.llm import bpe, mixing, simhash, suffixes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What remains of all documents without their long repeated strings."""
+    return suffixes.removal_digests(_table(spark, sf_dir, "documents"))
+
+
 def op5_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The slot of every document in a mixture of the sources by tempered weights."""
     return mixing.mixture(_table(spark, sf_dir, "documents"))
@@ -32,7 +37,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """One query for each operator."""
-    return {f.__name__: f for f in (op5_mixing_sources, op8_byte_level_bpe, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_suffix_array_dedup, op5_mixing_sources, op8_byte_level_bpe, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
