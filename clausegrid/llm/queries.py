@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clausegrid.llm import bpe, mixing, simhash, suffixes
+from clausegrid.llm import bpe, language, licenses, mixing, quality, simhash, suffixes, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,16 +20,36 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.removal_digests(_table(spark, sf_dir, "documents"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The importance weight of all documents, and which are drawn."""
+    return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License places and labels of all documents."""
+    return licenses.license_labels(_table(spark, sf_dir, "documents"))
+
+
 def op5_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The slot of every document in a mixture of the sources by tempered weights."""
     return mixing.mixture(_table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of all documents."""
+    return language.predicted(_table(spark, sf_dir, "documents"))
+
+
 def op8_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of all documents, encoded and decoded."""
     return bpe.token_digests(_table(spark, sf_dir, "documents"))
 
 
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best neighbours of every hundredth vector."""
+    return topk.top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents."""
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -37,9 +57,19 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """One query for each operator."""
-    return {f.__name__: f for f in (op1_suffix_array_dedup, op5_mixing_sources, op8_byte_level_bpe, op10_simhash_near_dedup)}
+    found = (
+        op1_suffix_array_dedup,
+        op2_quality_classifier,
+        op4_license_scan,
+        op5_mixing_sources,
+        op7_language_id,
+        op8_byte_level_bpe,
+        op9_exact_top_k,
+        op10_simhash_near_dedup,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return {"op5_mixing_sources": mixing.MIXTURE_SQL}
+    return {"op5_mixing_sources": mixing.MIXTURE_SQL, "op9_exact_top_k": topk.TOP_K_SQL}
