@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clausegrid.llm import bpe, language, licenses, mixing, quality, simhash, suffixes, topk
+from clausegrid.llm import backoff, bpe, language, licenses, mixing, quality, simhash, sketches, suffixes, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,11 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The backoff score of all documents under the counts of all documents."""
+    return backoff.rounded_scores(_table(spark, sf_dir, "documents"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License places and labels of all documents."""
     return licenses.license_labels(_table(spark, sf_dir, "documents"))
@@ -35,6 +40,11 @@ def op5_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(_table(spark, sf_dir, "documents"))
 
 
+def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and their edited texts, and how alike they are."""
+    return sketches.fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The predicted language of all documents."""
     return language.predicted(_table(spark, sf_dir, "documents"))
@@ -60,8 +70,10 @@ def queries() -> dict[str, Query]:
     found = (
         op1_suffix_array_dedup,
         op2_quality_classifier,
+        op3_lm_scoring,
         op4_license_scan,
         op5_mixing_sources,
+        op6_document_fingerprints,
         op7_language_id,
         op8_byte_level_bpe,
         op9_exact_top_k,
@@ -72,4 +84,4 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return {"op5_mixing_sources": mixing.MIXTURE_SQL, "op9_exact_top_k": topk.TOP_K_SQL}
+    return {"op3_lm_scoring": backoff.SCORES_SQL, "op5_mixing_sources": mixing.MIXTURE_SQL, "op9_exact_top_k": topk.TOP_K_SQL}
