@@ -14,7 +14,7 @@ the groups that still share a prefix, all groups of a chunk in step, in numpy.
 A window repeats if it shares MATCH bytes with a neighbour in that order.
 
 An anchor with very many different contexts would outgrow a task. Its windows
-are counted by digest instead, in a grouped aggregation.
+are counted by digest instead, in grouped aggregations.
 """
 
 from __future__ import annotations
@@ -37,9 +37,11 @@ ANCHOR = 64
 #: Bytes to which the quicksort orders before the tries take over.
 SHALLOW = 24
 #: Different contexts of one anchor that are still sorted in one task.
-HOT_CONTEXTS = 4000
-#: Suffixes that are sorted at once, about.
-SORT_AT_ONCE = 1_500_000
+HOT_CONTEXTS = 16_000
+#: Contexts that are sorted at once, about.
+SORT_AT_ONCE = 8000
+#: Windows of a context that are first taken together.
+RANGE = 17
 _CHUNK = 1 << 20
 _LEFT = MATCH - ANCHOR
 
@@ -97,16 +99,16 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _words(text: np.ndarray) -> np.ndarray:
     """The eight bytes from every place of the text, zeros past its end, as big-endian integers."""
-    out = np.concatenate((text, np.zeros(MATCH + 8, np.uint8))).astype(np.uint64)
+    out = np.concatenate((text, np.zeros(MATCH + RANGE + 8, np.uint8))).astype(np.uint64)
     for have in (1, 2, 4):
         out = (out[:-have] << np.uint64(8 * have)) | out[have:]
     return out
 
 
-def common_prefix(words: np.ndarray, a: np.ndarray, b: np.ndarray, known: np.ndarray | int = 0) -> np.ndarray:
-    """Length of the common prefix of the suffixes at a and b, MATCH at most; ``known`` bytes are known to agree."""
+def common_prefix(words: np.ndarray, a: np.ndarray, b: np.ndarray, limit: np.ndarray, known: np.ndarray | int = 0) -> np.ndarray:
+    """Length of the common prefix of the suffixes at a and b, ``limit`` at most; ``known`` bytes are known to agree."""
     out = np.zeros(len(a), np.int64) + known
-    active = np.flatnonzero(out < MATCH)
+    active = np.flatnonzero(out < limit)
     while len(active):
         x = words[a[active] + out[active]] ^ words[b[active] + out[active]]
         same = x == 0
@@ -120,8 +122,8 @@ def common_prefix(words: np.ndarray, a: np.ndarray, b: np.ndarray, known: np.nda
         out[differ] += first
         active = active[same]
         out[active] += 8
-        active = active[out[active] < MATCH]
-    return np.minimum(out, MATCH)
+        active = active[out[active] < limit[active]]
+    return np.minimum(out, limit)
 
 
 def _regroup(order: np.ndarray, group: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -137,14 +139,13 @@ def _regroup(order: np.ndarray, group: np.ndarray, *keys: np.ndarray) -> tuple[n
     return by, begin, np.diff(np.append(begin, len(by)))
 
 
-def deep_shallow_sort(text: np.ndarray, starts: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Orders the suffixes at ``starts`` within each group by their first MATCH bytes.
+def deep_shallow_sort(words: np.ndarray, starts: np.ndarray, groups: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Orders the suffixes at ``starts`` within each group by their first ``limit`` bytes, as many for all of a group.
 
     Returns the order, groups one after another, and for each place in it the
     prefix shared with the place before: zero at a group's start.
     """
     n = len(starts)
-    words = _words(text)
     order = np.lexsort((starts, groups))
     slot_group = groups[order]
     head = np.ones(n, bool)
@@ -183,9 +184,10 @@ def deep_shallow_sort(text: np.ndarray, starts: np.ndarray, groups: np.ndarray)
         item = order[slot]
         spine = starts[order[begin]][of]
         own = starts[item]
-        shared = common_prefix(words, own, spine, depth[of])
+        most = limit[item]
+        shared = common_prefix(words, own, spine, most, depth[of])
         branch = (words[own + shared] >> np.uint64(56)).astype(np.int64)
-        side = np.where(shared >= MATCH, 0, np.sign(branch - (words[spine + shared] >> np.uint64(56)).astype(np.int64)))
+        side = np.where(shared >= most, 0, np.sign(branch - (words[spine + shared] >> np.uint64(56)).astype(np.int64)))
         branch[side == 0] = 0
         by, first, sizes = _regroup(order, of, side, np.where(side < 0, shared, -shared), branch)
         order[slot] = item[by]
@@ -193,17 +195,19 @@ def deep_shallow_sort(text: np.ndarray, starts: np.ndarray, groups: np.ndarray)
         begin, size, depth = slot[first][more], sizes[more], shared[by][first][more] + 1
     lcp = np.zeros(n, np.int64)
     inner = np.flatnonzero(~outer)
-    lcp[inner] = common_prefix(words, starts[order[inner - 1]], starts[order[inner]])
+    lcp[inner] = common_prefix(words, starts[order[inner - 1]], starts[order[inner]], limit[order[inner]])
     return order, lcp
 
 
-def repeated(text: np.ndarray, starts: np.ndarray, groups: np.ndarray) -> np.ndarray:
-    """Whether the MATCH bytes from each start occur at another start of its group."""
-    order, lcp = deep_shallow_sort(text, starts, groups)
-    full = lcp >= MATCH
-    out = np.zeros(len(starts), bool)
-    out[order] = full | np.append(full[1:], False)
-    return out
+def classes(words: np.ndarray, starts: np.ndarray, groups: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each suffix: whether another of its group has the same first ``limit`` bytes, and whether it comes first of those that do."""
+    order, lcp = deep_shallow_sort(words, starts, groups, limit)
+    same = lcp >= limit[order]
+    same[:1] = False
+    often, first = np.zeros(len(starts), bool), np.zeros(len(starts), bool)
+    often[order] = same | np.append(same[1:], False)
+    first[order] = ~same
+    return often, first
 
 
 def _windows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -227,33 +231,65 @@ def utf8_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def _spans(batch: pa.RecordBatch, of: np.ndarray, distance: np.ndarray, found: np.ndarray) -> pa.RecordBatch:
-    """The stretches of text that the windows found cover, for the contexts that are not settled."""
+def _covered_in(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Covered stretches of the contexts of whole anchors.
+
+    The windows of a context are taken in ranges of RANGE distances from the
+    anchor. Sorted by all bytes of a range, those that occur twice repeat as a
+    whole and one of each kind goes on. Sorted by the bytes that the windows of
+    a range share, those without a peer cannot repeat. The windows of the
+    others are sorted one by one.
+    """
+    data, at = utf8_bytes(batch.column("bytes"))
+    words = _words(data)
+    left = batch.column("left").to_numpy(zero_copy_only=False).astype(np.int64)
+    least = np.maximum(0, MATCH - (np.diff(at) - left))
+    _, anchor = np.unique(batch.column("anchor").to_numpy(zero_copy_only=False), return_inverse=True)
+    count = np.maximum(0, left // RANGE - least // RANGE + 1)
+    of = np.repeat(np.arange(len(left)), count)
+    r = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + (least // RANGE)[of]
+    d1, d2 = np.maximum(r * RANGE, least[of]), np.minimum(r * RANGE + RANGE - 1, left[of])
+    real = d1 <= d2
+    of, r, d1, d2 = of[real], r[real], d1[real], d2[real]
+    place, ranges = at[of] + left[of], _LEFT // RANGE + 1
+    group = anchor[of] * ranges + r
+    often, first = classes(words, place - d2, (group * RANGE + d1 - r * RANGE) * RANGE + d2 - r * RANGE, MATCH + d2 - d1)
+    kept = np.flatnonzero(first)
+    peers, _ = classes(words, (place - r * RANGE)[kept], group[kept], np.full(len(kept), MATCH - RANGE + 1))
+    kept = kept[peers]
+    length = (d2 - d1 + 1)[kept]
+    item = np.repeat(kept, length)
+    d = np.arange(len(item)) - np.repeat(np.cumsum(length) - length, length) + d1[item]
+    again, _ = classes(words, place[item] - d, anchor[of[item]] * (_LEFT + 1) + d, np.full(len(item), MATCH))
     settled = batch.column("settled").to_numpy(zero_copy_only=False).astype(bool)
-    take = found & ~settled[of]
-    of, distance = of[take], distance[take]
-    # Windows of a context lie by falling start; consecutive ones make one stretch.
-    last = np.ones(len(of), bool)
-    last[:-1] = (of[1:] != of[:-1]) | (distance[1:] != distance[:-1] + 1)
-    first = np.ones(len(of), bool)
-    first[1:] = last[:-1]
-    pos = batch.column("pos").to_numpy(zero_copy_only=False).astype(np.int64)
-    row = of[last]
-    a, b = pos[row] - distance[last], pos[row] - distance[first] + MATCH
+    single = again & ~often[item] & ~settled[of[item]]
+    whole = often & ~settled[of]
+    row = np.concatenate((of[whole], of[item[single]]))
+    pos = batch.column("pos").to_numpy(zero_copy_only=False).astype(np.int64)[row]
+    a = pos - np.concatenate((d2[whole], d[single]))
+    b = pos - np.concatenate((d1[whole], d[single])) + MATCH
+    return _joined(batch, row, a, b)
+
+
+def _joined(batch: pa.RecordBatch, row: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """Stretches [a, b) of the batch's rows, those of a row that touch as one."""
+    by = np.lexsort((a, row))
+    row, a, b = row[by], a[by], b[by]
+    if len(row):
+        reach = np.maximum.accumulate(b + row * (1 << 32)) - row * (1 << 32)
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (a[1:] > reach[:-1])
+        begin = np.flatnonzero(new)
+        row, a, b = row[begin], a[begin], np.maximum.reduceat(b, begin)
     own = [pa.array(batch.column(c).to_numpy(zero_copy_only=False)[row]) for c in ("k", "rk")]
     return pa.RecordBatch.from_arrays([*own, pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["k", "rk", "a", "b"])
 
 
 def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorts the windows of whole anchors, which come one after another, a bounded number at a time."""
+    """Sorts whole anchors, which come one after another, a bounded number of contexts at a time."""
     held: list[pa.RecordBatch] = []
     rows = 0
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        data, of, start, distance = _windows(batch)
-        _, group = np.unique(batch.column("anchor").to_numpy(zero_copy_only=False), return_inverse=True)
-        return _spans(batch, of, distance, repeated(data, start, group[of] * (_LEFT + 1) + distance))
-
     def join(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
@@ -261,26 +297,82 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for at in range(0, batch.num_rows, 2000):
             held.append(batch.slice(at, 2000))
             rows += held[-1].num_rows
-            if rows * (_LEFT + 1) < SORT_AT_ONCE:
+            if rows < SORT_AT_ONCE:
                 continue
             whole = join(held)
             anchor = whole.column("anchor").to_numpy(zero_copy_only=False)
             end = int(np.flatnonzero(anchor != anchor[-1])[-1]) + 1 if (anchor != anchor[-1]).any() else 0
             if end:
-                yield work(whole.slice(0, end))
+                yield _covered_in(whole.slice(0, end))
             held, rows = [whole.slice(end)], whole.num_rows - end
     if rows:
-        yield work(join(held))
+        yield _covered_in(join(held))
+
+
+def _range_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of each context in ranges of RANGE distances: digests of all their bytes and of those they share."""
+    schema = pa.schema([*((c, pa.int32()) for c in ("r", "d1", "d2")), *((c, pa.int64()) for c in ("x", "y", "core"))])
+    for batch in (b.slice(k, 1000) for b in batches for k in range(0, b.num_rows, 1000)):
+        data, at = utf8_bytes(batch.column("bytes"))
+        raw, rows, parts = data.tobytes(), [], []
+        lefts = batch.column("left").to_pylist()
+        for n, (low, high, left) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), lefts, strict=True)):
+            anchor = low + left
+            for r in range(max(0, MATCH - (high - anchor)) // RANGE, left // RANGE + 1):
+                d1, d2 = max(r * RANGE, MATCH - (high - anchor)), min(r * RANGE + RANGE - 1, left)
+                if d1 > d2:
+                    continue
+                whole = xxhash.xxh3_128_digest(raw[anchor - d2 : anchor - d1 + MATCH])
+                core = xxhash.xxh3_64_digest(raw[anchor - r * RANGE : anchor - r * RANGE - RANGE + 1 + MATCH])
+                rows.append(n)
+                parts.append((r, d1, d2, *np.frombuffer(whole + core, np.int64).tolist()))
+        own = pa.Table.from_batches([batch.select(["k", "rk", "pos", "settled", "anchor"])]).take(pa.array(rows, pa.int64()))
+        made = pa.table(dict(zip(schema.names, map(list, zip(*parts, strict=True)), strict=True)), schema) if parts else schema.empty_table()
+        for name in schema.names:
+            own = own.append_column(name, made.column(name))
+        yield from own.combine_chunks().to_batches()
 
 
 def _window_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A digest of each window in the ranges that are asked for."""
     for batch in (b.slice(k, 1000) for b in batches for k in range(0, b.num_rows, 1000)):
         data, of, start, distance = _windows(batch)
+        asked = np.zeros((batch.num_rows, _LEFT // RANGE + 1), np.int8)
+        for n, ranges in enumerate(batch.column("ranges").to_pylist()):
+            for x in ranges:
+                asked[n, x["r"]] = 1 + x["often"]
+        how = asked[of, distance // RANGE]
+        of, start, distance, how = of[how > 0], start[how > 0], distance[how > 0], how[how > 0]
         raw = data.tobytes()
         digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[s : s + MATCH]) for s in start.tolist()), np.int64).reshape(-1, 2)
         own = [pa.array(batch.column(c).to_numpy(zero_copy_only=False)[of]) for c in ("k", "rk", "settled", "anchor")]
+        settled = pa.array(batch.column("settled").to_numpy(zero_copy_only=False).astype(bool)[of] | (how > 1))
         begin = batch.column("pos").to_numpy(zero_copy_only=False).astype(np.int64)[of] - distance
-        yield pa.RecordBatch.from_arrays([*own, pa.array(begin.astype(np.int32)), pa.array(distance.astype(np.int32)), pa.array(digest[:, 0]), pa.array(digest[:, 1])], ["k", "rk", "settled", "anchor", "a", "d", "x", "y"])
+        yield pa.RecordBatch.from_arrays(
+            [own[0], own[1], settled, own[3], *(pa.array(x.astype(np.int32)) for x in (begin, distance)), pa.array(digest[:, 0]), pa.array(digest[:, 1])],
+            ["k", "rk", "settled", "anchor", "a", "d", "x", "y"],
+        )
+
+
+def _counted_windows(around: DataFrame) -> DataFrame:
+    """Covered stretches of the contexts of hot anchors, without sorting.
+
+    Windows are taken in ranges. A range whose bytes occur twice repeats as a
+    whole; one whose shared bytes occur in no other kind of range does not
+    repeat at all. Only windows of the ranges between are counted one by one.
+    """
+    schema = "k long, rk int, pos int, settled boolean, anchor long, r int, d1 int, d2 int, x long, y long, core long"
+    ranges = stored(around.mapInArrow(_range_digests, schema), "ranges")
+    same = ["anchor", "r", "d1", "d2", "x", "y"]
+    kinds = cut(ranges.groupBy(*same, "core").agg((F.count(F.lit(1)) >= 2).alias("often"), F.min(F.struct("k", "rk", "pos")).alias("one")))
+    whole = ranges.where("not settled").join(kinds.where("often").select(*same), same).select("k", "rk", (F.col("pos") - F.col("d2")).alias("a"), (F.col("pos") - F.col("d1") + MATCH).alias("b"))
+    between = kinds.groupBy("anchor", "r", "core").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").drop("n")
+    asked = kinds.join(between, ["anchor", "r", "core"]).groupBy("one.k", "one.rk", "one.pos", "anchor").agg(F.collect_list(F.struct("r", "often")).alias("ranges"))
+    windows = around.join(asked, ["k", "rk", "pos", "anchor"]).mapInArrow(_window_digests, "k long, rk int, settled boolean, anchor long, a int, d int, x long, y long")
+    windows = stored(windows, "windows")
+    often = windows.groupBy("anchor", "d", "x", "y").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").drop("n")
+    single = windows.where("not settled").join(often, ["anchor", "d", "x", "y"]).select("k", "rk", "a", (F.col("a") + MATCH).alias("b"))
+    return whole.unionByName(single)
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,9 +434,7 @@ def repeated_spans(docs: DataFrame, hot_contexts: int = HOT_CONTEXTS) -> DataFra
     twice = kinds.where("n >= 2").select("anchor", "context")
     marks = marks.unionByName(various.join(twice, ["anchor", "context"]).select("k", "rk", F.col("pos").alias("a"), F.lit(-1).alias("b"))).unionByName(cool)
     if kinds.groupBy("anchor").count().where(F.col("count") > hot_contexts).take(1):
-        windows = around.where("hot").mapInArrow(_window_digests, "k long, rk int, settled boolean, anchor long, a int, d int, x long, y long")
-        often = windows.groupBy("anchor", "d", "x", "y").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").drop("n")
-        marks = marks.unionByName(windows.where("not settled").join(often, ["anchor", "d", "x", "y"]).select("k", "rk", "a", (F.col("a") + MATCH).alias("b")))
+        marks = marks.unionByName(_counted_windows(around.where("hot")))
     return marks.groupBy("k", "rk").agg(F.collect_list(F.struct("a", "b")).alias("marks"))
 
 
