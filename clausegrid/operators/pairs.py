@@ -18,10 +18,10 @@ def cross_type_pairs(clauses: DataFrame, type_pairs: list[tuple[str, str]]) -> D
     """For each given pair of types the pair of the first clauses of those types in each lease."""
     spark = clauses.sparkSession
     first = clauses.groupBy("lease_id", "clause_type").agg(F.min("seq").alias("seq"))
-    wanted = F.broadcast(spark.createDataFrame(type_pairs, "left_type string, right_type string"))
+    wanted = F.broadcast(spark.createDataFrame(list({frozenset(p): p for p in type_pairs}.values()), "left_type string, right_type string"))
     a = first.select("lease_id", F.col("clause_type").alias("left_type"), F.col("seq").alias("a")).join(wanted, "left_type")
     b = first.select("lease_id", F.col("clause_type").alias("right_type"), F.col("seq").alias("b"))
-    return a.join(b, ["lease_id", "right_type"]).select("lease_id", "left_type", "right_type", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).dropDuplicates(["lease_id", "a", "b"])
+    return a.join(b, ["lease_id", "right_type"]).select("lease_id", "left_type", "right_type", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def contradictions(pairs: DataFrame, grant: str, restrict: str) -> DataFrame:

@@ -398,7 +398,7 @@ c AS (SELECT event_id, user_id,
   count(*) OVER (PARTITION BY user_id ORDER BY us RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW) - count(*) OVER (PARTITION BY user_id, us ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS in_day FROM e)
 SELECT event_id, user_id, in_hour, in_day, in_day < 10 AND in_hour < 5 AS allowed, greatest(0, least(5 - in_hour - 1, 10 - in_day - 1)) AS remaining FROM c""")
 def quota_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events.sliding_quota(tables.table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), 5, 10)
+    return events.sliding_quota(tables.table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), 5, 10).drop("ts")
 
 
 @query()
