@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
+PIECE = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
@@ -55,10 +56,17 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 
 def hashed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hash and the row of each lower-cased word of the texts."""
-    data = lower(data)
-    starts, ends, row = word_spans(data, offsets)
-    return (span_hashes(data, starts, ends) if len(starts) else np.zeros(0, np.uint64)), row
+    """The hash and the row of each lower-cased word of the texts, which are read PIECE bytes or one row at a time."""
+    hashes, rows, start = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while start < len(offsets) - 1:
+        stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + PIECE, side="right")) - 1)
+        part = lower(data[offsets[start] : offsets[stop]])
+        begin, end, row = word_spans(part, offsets[start : stop + 1] - offsets[start])
+        if len(begin):
+            hashes.append(span_hashes(part, begin, end))
+            rows.append(row + start)
+        start = stop
+    return np.concatenate(hashes), np.concatenate(rows)
 
 
 def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
