@@ -1,0 +1,366 @@
+"""The training-data operators against brute force, on small fixtures and the small tables."""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+import random
+import re
+import string
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from clausegrid.llm import bpe, language, licenses, mixing, quality, simhash, sketches, suffixes, topk
+
+SF_DIR = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, component_id string, kept string, fp int"
+LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+
+
+def passage(seed: int, n: int) -> str:
+    r = random.Random(seed)
+    return " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9))) for _ in range(n))
+
+
+def fixture_rows() -> list[tuple]:
+    shared = passage(1, 60)
+    texts = {
+        1: "Start " + shared + " end",
+        2: passage(2, 30) + " " + shared + passage(3, 10),
+        3: None,
+        4: "",
+        5: "a" * 1000,
+        6: "The MIT License\nreleased under the mit license\n" + passage(4, 40),
+        7: passage(5, 80),
+        8: passage(5, 80),
+        9: passage(5, 79) + " other",
+        10: "é" * 300 + " " + "日本語" * 100,
+        11: " \n\t ",
+        12: passage(6, 4000),
+        13: "ab" * 300 + "Z",
+        14: "\n".join(["same line"] * 50),
+    }
+    rows = [(i, t, "en", "s%d" % (i % 3) if i != 7 else None, len(t or ""), "x", "y", 0) for i, t in texts.items()]
+    return [*rows, rows[6], (None, "no id " + shared, None, "s0", 10, None, None, None), (7, "another text under a used id", "fr", "s1", 5, None, None, None)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(fixture_rows(), SCHEMA).cache()
+
+
+@pytest.fixture(scope="module")
+def small(spark: SparkSession) -> DataFrame:
+    return spark.read.parquet(f"{SF_DIR}/documents.parquet")
+
+
+def pairs_of(df: DataFrame) -> list[tuple]:
+    return [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
+
+
+# 1
+
+
+def brute_removal(rows: list[tuple]) -> list[tuple]:
+    seen: Counter = Counter()
+    data = [(i, (t or "").encode()) for i, t in rows]
+    for _, b in data:
+        seen.update(b[s : s + 200] for s in range(len(b) - 199))
+    out = []
+    for i, b in data:
+        step = np.zeros(len(b) + 1, int)
+        for s in range(len(b) - 199):
+            if seen[b[s : s + 200]] > 1:
+                step[s] += 1
+                step[s + 200] -= 1
+        gone = np.cumsum(step[:-1]) > 0
+        kept = bytes(np.frombuffer(b, np.uint8)[~gone])
+        out.append((i, len(b), int(gone.sum()), int((gone[1:] & ~gone[:-1]).sum() + gone[:1].sum()), hashlib.sha256(kept).hexdigest()))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("hot", [suffixes.HOT_CONTEXTS, 1])
+@pytest.mark.parametrize("which", ["docs", "small"])
+def test_removal(request: pytest.FixtureRequest, which: str, hot: int) -> None:
+    df = request.getfixturevalue(which)
+    found = suffixes.without_repeats(df.select("doc_id", "text"), hot_contexts=hot)
+    got = found.select(F.col("doc.doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute_removal(pairs_of(df))
+
+
+def test_suffixes_are_sorted() -> None:
+    text = np.frombuffer((passage(9, 50) * 3 + "a" * 400).encode(), np.uint8)
+    starts = np.arange(len(text) - 200)
+    order, lcp = suffixes.deep_shallow_sort(suffixes._words(text), starts, np.zeros(len(starts), np.int64), np.full(len(starts), 200))
+    raw = text.tobytes()
+    cut = [raw[s : s + 200] for s in starts[order]]
+    assert cut == sorted(cut)
+    for a, b, n in zip(cut, cut[1:], lcp[1:], strict=False):
+        assert a[:n] == b[:n] and (n == 200 or a[n] != b[n])
+
+
+def test_texts_without_repeats_keeps_the_columns(docs: DataFrame) -> None:
+    out = suffixes.texts_without_repeats(docs)
+    assert out.dtypes == docs.dtypes
+    assert out.count() == docs.count()
+
+
+# 2
+
+
+def test_quality_keeps_good_and_drops_bad(spark: SparkSession) -> None:
+    base = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    found = quality.quality_scores(base, labels)
+    assert found.count() == base.count()
+    share = {r["quality"]: r["kept"] for r in found.join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("double")).alias("kept")).collect()}
+    assert share[1] > 0.99
+    assert share[0] < 0.1
+    again = {r["doc_id"] for r in found.where("kept").collect()}
+    assert {r["doc_id"] for r in quality.good_documents(base, labels).select("doc_id").collect()} == again
+
+
+def test_quality_scores_are_the_mean_ratios(spark: SparkSession, docs: DataFrame) -> None:
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (6, 1, None), (None, 1, 0), (9, None, 0)], "doc_id long, quality int, toxic int")
+    found = quality.quality_scores(docs, labels).collect()
+    assert len(found) == docs.count()
+    ratio = quality.ratios(docs, quality.labelled_sample(labels))
+    texts = pairs_of(docs)
+    for doc_id, text in texts:
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        bucket, _ = quality.ngrams(data, np.array([0, len(data)]))
+        want = ratio[bucket].mean() if len(bucket) else 0.0
+        assert any(r["doc_id"] == doc_id and abs(r["log_weight"] - want) < 1e-9 for r in found)
+
+
+def test_quality_without_labels_keeps_everything(spark: SparkSession, docs: DataFrame) -> None:
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert quality.good_documents(docs, none).count() == docs.count()
+    assert quality.good_documents(docs.limit(0), none).count() == 0
+
+
+def test_kth_largest(spark: SparkSession) -> None:
+    keys = [random.Random(3).randrange(1 << 48) for _ in range(50)] + [5, 5, 5]
+    df = spark.createDataFrame([(k,) for k in keys], "key long")
+    for k in (1, 7, 50, 51, 53):
+        assert quality.kth_largest(df, k) == sorted(keys, reverse=True)[k - 1]
+
+
+# 4
+
+
+def test_license_places(docs: DataFrame) -> None:
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    found = licenses.license_labels(docs).collect()
+    want = []
+    for i, text in pairs_of(docs):
+        words = word.findall((text or "").translate(LOWER))
+        at = [(k, label) for k in range(len(words)) for p, label in licenses.PHRASES if words[k : k + len(p.split())] == p.split()]
+        want.append((i, len(words), len(at), min((k for k, _ in at), default=None), max((k for k, _ in at), default=None), ",".join(sorted({x for _, x in at}))))
+    assert sorted(((r["doc_id"], r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) for r in found), key=str) == sorted(want, key=str)
+
+
+def test_license_blocks_against_all_pairs(spark: SparkSession) -> None:
+    lines = [t for t, _ in licenses.TEMPLATES] + [passage(8, 30), "licensed under cc by nc 4", " ".join(licenses.TEMPLATES[0][0].split()[2:]), passage(10, 70) + " " + licenses.TEMPLATES[5][0] + " " + passage(11, 60)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    for r in licenses.scan(df).collect():
+        words = lines[r["doc_id"]].split()
+        blocks = [words[k : k + licenses.BLOCK_WORDS] for k in range(0, max(1, len(words)), licenses.BLOCK_WORDS // 2)]
+        want = set()
+        for text, label in licenses.TEMPLATES:
+            t = set(text.split())
+            if any(len(t & set(b)) >= licenses.THRESHOLD * len(t) - 1e-9 for b in blocks):
+                want.add(label)
+        assert {b["label"] for b in r["blocks"]} == want
+
+
+# 5
+
+
+def test_mixture_is_less_than_a_block_off(spark: SparkSession) -> None:
+    quotas = spark.createDataFrame([("a", 270), ("b", 100), ("c", 1), (None, 13), ("d", 128)], "source string, quota int")
+    plan = mixing.frame(quotas).collect()
+    total = 512
+    assert sorted(r["slot"] for r in plan) == list(range(total))
+    assert all(r["release"] <= r["slot"] < r["deadline"] for r in plan)
+    slots = {r["slot"]: r["source"] for r in plan}
+    had: Counter = Counter()
+    for t in range(total):
+        had[slots[t]] += 1
+        for r in quotas.collect():
+            assert abs(had[r["source"]] - (t + 1) * r["quota"] / total) < 1
+
+
+def test_mixture_keeps_all_rows(docs: DataFrame) -> None:
+    found = mixing.mixture(docs).collect()
+    assert len(found) == docs.count()
+    assert len({(r["slot"], r["place"]) for r in found}) == len(found)
+    out = mixing.mixed(docs)
+    assert out.dtypes == docs.dtypes
+    assert sorted(map(str, out.collect())) == sorted(map(str, docs.collect()))
+    assert mixing.mixed(docs.limit(0)).count() == 0
+
+
+# 6
+
+
+def likeness(a: str, b: str) -> float:
+    sets = []
+    for text in (a, b):
+        seen: Counter = Counter()
+        own = set()
+        for line in text.split("\n"):
+            if line.strip():
+                own.add((line, seen[line]))
+                seen[line] += 1
+        sets.append(own)
+    either = sets[0] | sets[1]
+    return len(sets[0] & sets[1]) / len(either) if either else 1.0
+
+
+def test_fingerprints(small: DataFrame) -> None:
+    rows = sorted(pairs_of(small), key=lambda r: -r[0])
+    found = {r["doc_id"]: r for r in sketches.fingerprints(small).collect()}
+    assert len(found) == len(rows)
+    for k, (i, text) in enumerate(rows):
+        after = rows[(k + 1) % len(rows)][1]
+        changed = text[: len(text) - len(text) // 3] + after[: len(text) // 3]
+        r = found[i]
+        assert r["n_chars"] == len(text)
+        assert r["edited_sha256"] == hashlib.sha256(changed.encode()).hexdigest()
+        assert r["near_edited"] == pytest.approx(likeness(text, changed))
+        assert r["near_next"] == pytest.approx(likeness(text, after))
+    by_text: dict[str, set] = {}
+    for i, text in rows:
+        by_text.setdefault(text, set()).add(found[i]["fingerprint"])
+    assert all(len(x) == 1 for x in by_text.values())
+
+
+def test_fingerprints_of_odd_rows(docs: DataFrame) -> None:
+    assert sketches.fingerprints(docs).count() == docs.count()
+    assert sketches.fingerprints(docs.limit(0)).count() == 0
+
+
+def test_sketches_recover_the_difference() -> None:
+    r = random.Random(4)
+    common, a, b = ([r.getrandbits(64) for _ in range(n)] for n in (40, 3, 2))
+    apart = sketches.Sketches(1, 24).add(*sketches._flat([common + a])).minus(sketches.Sketches(1, 24).add(*sketches._flat([common + b])))
+    done, _, keys, side = apart.peel()
+    assert done[0]
+    assert {(int(k), int(s)) for k, s in zip(keys, side, strict=True)} == {(k, 1) for k in a} | {(k, -1) for k in b}
+
+
+# 7
+
+
+def test_language_on_held_out_rows(spark: SparkSession) -> None:
+    base = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = language.predicted(base)
+    joined = found.join(base.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null")
+    assert joined.select(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.97
+
+
+def test_language_of_odd_rows(spark: SparkSession) -> None:
+    rows = [(i, "the cat sat on the mat", "en") for i in range(8)] + [(20, None, "en"), (21, "123 -- 45", "en"), (22, "", None), (None, "the mat", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r["doc_id"]: r for r in language.predicted(df).collect()}
+    assert [found[i]["lang_pred"] for i in (0, 20, 21, 22, None)] == ["en", "und", "und", "und", "en"]
+    assert all(0 <= r["score"] <= 1 for r in found.values())
+    nothing = df.withColumn("lang", F.lit(None).cast("string"))
+    assert {r["lang_pred"] for r in language.predicted(nothing).collect()} == {"und"}
+    assert language.predicted(df.limit(0)).count() == 0
+
+
+def test_forward_sums_all_segmentations() -> None:
+    pieces = language.Pieces(["▁", "a", "b", "ab", "▁a", "▁ab"])
+    chance = np.array([[0.1], [0.2], [0.3], [0.05], [0.25], [0.1], [1e-7]])
+    lattice, size = pieces.lattice(["▁ab"])
+    want = 0.1 * 0.2 * 0.3 + 0.1 * 0.05 + 0.25 * 0.3 + 0.1
+    assert language.forward(lattice, size, chance)[0, 3, 0] == pytest.approx(want)
+
+
+# 8
+
+
+def test_bpe_as_the_library(docs: DataFrame, small: DataFrame) -> None:
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path(bpe.RANK_FILE), "rb"))}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for df in (docs, small):
+        found = sorted(((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.token_digests(df).collect()), key=str)
+        want = []
+        for i, text in pairs_of(df):
+            ids = library.encode_ordinary(text or "")
+            want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()))
+        assert found == sorted(want, key=str)
+        encoded = bpe.round_trip(df).select("doc_id", "ids")
+        assert sorted(map(str, ((r["doc_id"], r["text"]) for r in bpe.decode(encoded).collect()))) == sorted(map(str, ((i, t or "") for i, t in pairs_of(df))))
+
+
+# 9
+
+
+def test_top_k_with_ties_and_odd_vectors(spark: SparkSession) -> None:
+    r = random.Random(5)
+    rows = [(i, [r.randint(-3, 3) / 4 for _ in range(8)]) for i in range(-50, 350)]
+    rows += [(1000, None), (1001, [1.0, None]), (1002, [float("nan")] * 8), (1003, [float("inf")] * 8), (400, rows[3][1]), (None, rows[3][1]), (7, rows[3][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    sound = [(i, [int(np.floor(1024 * float(np.float32(x)))) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    want = []
+    for q, v in sound:
+        if q % 100 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), i) for i, w in sound if i != q)
+            want += [(q, k, i, -s) for k, (s, i) in enumerate(scored[:10], 1)]
+    assert sorted(tuple(x) for x in topk.top_k(df).collect()) == sorted(want)
+    assert topk.top_k(df.limit(0)).count() == 0
+
+
+# 10
+
+
+def brute_components(rows: list[tuple]) -> list[tuple]:
+    prints = []
+    for _, text in rows:
+        words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").translate(LOWER).encode())
+        grams = [b" ".join(words[k : k + 4]) for k in range(max(1, len(words) - 3))] if words else []
+        counts = [sum(xxhash.xxh64_intdigest(g, 42) >> b & 1 for g in grams) for b in range(64)]
+        prints.append(sum(1 << b for b in range(64) if counts[b] * 2 > len(grams)))
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if (prints[a] ^ prints[b]).bit_count() <= 4:
+                old, new = group[a], group[b]
+                group = [new if g == old else g for g in group]
+    least: dict[int, int | None] = {}
+    for g, (i, _) in zip(group, rows, strict=True):
+        least[g] = i if least.get(g) is None else (least[g] if i is None else min(i, least[g]))
+    return sorted(((i, f"{p:016x}", least[g]) for (i, _), p, g in zip(rows, prints, group, strict=True)), key=str)
+
+
+@pytest.mark.parametrize("which", ["docs", "small"])
+def test_near_duplicates(request: pytest.FixtureRequest, which: str) -> None:
+    df = request.getfixturevalue(which)
+    assert sorted((tuple(r) for r in simhash.near_duplicates(df).collect()), key=str) == brute_components(pairs_of(df))
+
+
+def test_links_of_close_fingerprints(spark: SparkSession) -> None:
+    r = random.Random(6)
+    base = [r.getrandbits(64) for _ in range(6)]
+    values = {b ^ sum(1 << k for k in r.sample(range(64), n)) for b in base for n in range(7) for _ in range(6)}
+    signed = {v - (1 << 64) if v >> 63 else v for v in values}
+    nodes = spark.createDataFrame([(v,) for v in signed], "fp long")
+    alone = nodes.select("fp", F.col("fp").alias("root"))
+    got = {tuple(x) for x in simhash.links(nodes, alone).select("a", "b").collect()}
+    assert got == {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 4}
+    assert simhash.links(nodes, alone).count() == len(got)
+
+
+def test_near_duplicates_of_nothing(docs: DataFrame) -> None:
+    assert simhash.near_duplicates(docs.limit(0)).count() == 0
+    assert simhash.one_of_each_group(docs).dtypes == docs.dtypes

@@ -1,0 +1,53 @@
+"""The training-data queries against their SQL, and the pipeline against its stages by hand."""
+
+from __future__ import annotations
+
+import duckdb
+import pytest
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from clausegrid.llm import backoff
+from clausegrid.llm.queries import oracle_sql, queries
+
+SF_DIR = "/root/testdata/sf0.001"
+
+
+def rows(columns: list[str], found: list[tuple]) -> list[tuple[str, ...]]:
+    by = sorted(range(len(columns)), key=lambda i: columns[i])
+    return sorted(tuple(str(r[i]) for i in by) for r in found)
+
+
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
+def test_same_rows_as_sql(spark: SparkSession, name: str) -> None:
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.sql(f"CREATE VIEW {t} AS FROM '{SF_DIR}/{t}.parquet'")
+    df, want = queries()[name](spark, SF_DIR), con.sql(oracle_sql()[name])
+    assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(want.columns, want.fetchall())
+
+
+def test_scores_of_odd_rows(spark: SparkSession) -> None:
+    df = spark.createDataFrame([(1, "a b a b"), (1, "a b a b"), (2, None), (3, " \n"), (None, "A c"), (4, "x" * 5000)], "doc_id long, text string")
+    found = backoff.lm_scores(df).collect()
+    assert sorted((str(r["doc_id"]), r["n_words"]) for r in found) == [("1", 4), ("1", 4), ("2", 0), ("3", 0), ("4", 1), ("None", 2)]
+    assert {r["score"] for r in found if r["n_words"] == 0} == {None}
+    assert backoff.lm_scores(df.limit(0)).count() == 0
+
+
+def test_pipeline(spark: SparkSession, tmp_path) -> None:
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    kept = docs
+    counts = [docs.count()]
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        before = kept
+        stage(spark, before, SF_DIR).write.parquet(str(tmp_path / str(k)))
+        kept = spark.read.parquet(str(tmp_path / str(k)))
+        counts.append(kept.count())
+        if k < len(corpus_pipeline.STAGES) - 1:
+            assert kept.dtypes == docs.dtypes
+            assert kept.join(before, "doc_id", "left_anti").count() == 0
+    assert counts[0] > counts[1] > counts[2] == counts[3] == counts[4] == counts[5] > 0
+    whole = corpus_pipeline.run(spark, SF_DIR)
+    assert sorted(map(str, whole.select("doc_id", "n_tokens", F.hash("ids")).collect())) == sorted(map(str, kept.select("doc_id", "n_tokens", F.hash("ids")).collect()))
