@@ -116,18 +116,12 @@ POSTAL = r"\b([A-Z])[0-9][A-Z]\s*[0-9][A-Z][0-9]\b"
 POSTAL_LETTERS = {"B": "CA-NS", "T": "CA-AB", "V": "CA-BC", "R": "CA-MB", "S": "CA-SK", "G": "CA-QC", "H": "CA-QC", "J": "CA-QC"}
 LONGEST_CHUNK = 2000
 
-_BEFORE, _AFTER = r"(?<![A-Za-z0-9_])(?=[A-Za-z0-9_+(])", r"(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])"
+_BOUNDARY = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 
 
 def java(pattern: str) -> str:
-    """The pattern with its first \\b as a word's start and each later one, or one at the end, as its end."""
-    parts = pattern.split(r"\b")
-    if len(parts) == 1:
-        return pattern
-    flags = re.match(r"\(\?i\)$", parts[0])
-    if flags or not parts[0]:
-        return parts[0] + _BEFORE + _AFTER.join(parts[1:])
-    return _AFTER.join(parts)
+    """The pattern with \\b as a boundary of ASCII words, at a word's start or end."""
+    return pattern.replace(r"\b", _BOUNDARY)
 
 
 def _any(text: Column, patterns: tuple[str, ...]) -> Column:

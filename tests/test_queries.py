@@ -8,7 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import SparkSession
 
-from clausegrid.plans.queries import QUERIES, SQL
+from clausegrid.plans.catalogue import QUERIES, SQL
 
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
