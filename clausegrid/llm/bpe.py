@@ -230,8 +230,8 @@ def _column(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(sizes), buffers).cast(pa.binary())
 
 
-def round_trip(docs: DataFrame, rank_path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """doc_id, ids (little-endian unsigned 32-bit integers) and decoded, the bytes that the ids stand for.
+def round_trip(docs: DataFrame, rank_path: str | None = None, pattern: str = public_tokenizers.PATTERN, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, ids (little-endian unsigned 32-bit integers), decoded, the bytes that the ids stand for, and the columns named in ``keep``.
 
     Each match of ``pattern`` is encoded separately, without special tokens. A
     null or empty text has no ids. Rows may repeat and keep their own result;
@@ -250,9 +250,11 @@ def round_trip(docs: DataFrame, rank_path: str | None = None, pattern: str = pub
             decoded = vocabulary.decode(ids)
             spans = np.concatenate(([0], np.cumsum(vocabulary.length[ids])))
             sizes = np.diff(spans[np.concatenate(([0], np.cumsum(counts)))])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _column(ids.astype("<u4").view(np.uint8), counts * 4), _column(decoded, sizes)], ["doc_id", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _column(ids.astype("<u4").view(np.uint8), counts * 4), _column(decoded, sizes), *(batch.column(c) for c in keep)], ["doc_id", "ids", "decoded", *keep])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary, decoded binary")
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"), *keep)
+    kept = "".join(f", {c} {texts.schema[c].dataType.simpleString()}" for c in keep)
+    return texts.mapInArrow(run, f"doc_id long, ids binary, decoded binary{kept}")
 
 
 def decode(encoded: DataFrame, rank_path: str | None = None) -> DataFrame:

@@ -1,8 +1,10 @@
 """A training corpus in five stages: good texts, one of each near-duplicate group, without long repeats, mixed, and encoded.
 
 Every stage takes all rows that the one before it kept. All but the last return
-the columns of ``documents``; the mixture's decision is the order of the rows,
-which the written files keep, and the last stage returns the encoded texts.
+the columns of ``documents``. The mixture's decision is the order of the rows.
+A scan does not keep the order of files, so the last stage takes each row's place
+from its file's number and its row in the file, and returns it with the encoded
+texts as ``position``.
 """
 
 from __future__ import annotations
@@ -37,9 +39,15 @@ def in_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian 32-bit integers) and the digest of the bytes that they decode to."""
-    tokens = bpe.round_trip(docs)
-    return tokens.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    """position, doc_id, n_tokens, ids (little-endian 32-bit integers) and the digest of the bytes that they decode to.
+
+    Positions rise in the order in which the rows were written, with gaps between
+    files. ``docs`` must be Parquet files as they are read, with nothing between.
+    """
+    number = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long")
+    placed = docs.withColumn("position", F.shiftleft(number, 33) + F.col("_metadata.row_index"))
+    tokens = bpe.round_trip(placed, keep=("position",))
+    return tokens.select("position", "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]

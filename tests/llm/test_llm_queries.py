@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from clausegrid.llm import backoff
+from clausegrid.llm import backoff, mixing
 from clausegrid.llm.queries import oracle_sql, queries
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -51,3 +51,17 @@ def test_pipeline(spark: SparkSession, tmp_path) -> None:
     assert counts[0] > counts[1] > counts[2] == counts[3] == counts[4] == counts[5] > 0
     whole = corpus_pipeline.run(spark, SF_DIR)
     assert sorted(map(str, whole.select("doc_id", "n_tokens", F.hash("ids")).collect())) == sorted(map(str, kept.select("doc_id", "n_tokens", F.hash("ids")).collect()))
+
+
+def test_pipeline_positions_follow_the_mixture(spark: SparkSession, tmp_path) -> None:
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").dropDuplicates(["doc_id"])
+    stages = dict(corpus_pipeline.STAGES)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        stages["mixing sources"](spark, docs, SF_DIR).write.parquet(str(tmp_path / "mixed"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "mixed").glob("part-*"))) > 1
+    out = stages["byte-level BPE"](spark, spark.read.parquet(str(tmp_path / "mixed")), SF_DIR)
+    got = [r["doc_id"] for r in out.select("doc_id", "position").orderBy("position").collect()]
+    assert got == [r["doc_id"] for r in mixing.mixture(docs).orderBy("slot", "place").collect()]
