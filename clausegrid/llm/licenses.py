@@ -1,7 +1,8 @@
 """License scans by an exact set-similarity join of text blocks with notice templates.
 
-A block is a line of text; a longer one is cut into overlapping blocks. A
-template is found in a block if the block holds at least THRESHOLD of its
+A block is a line of text; a longer one is cut into overlapping blocks. As
+notices are wrapped over several lines, the words of a text of more than one
+line are cut into overlapping blocks as well, across its lines. A template is found in a block if the block holds at least THRESHOLD of its
 distinct words. The words of all templates are ordered by how many blocks of
 the whole corpus hold them, rarest first. A block that meets the threshold must
 hold one of a template's first few words in that order (prefix filter), have
@@ -104,6 +105,17 @@ class Scanner:
         h = span_hashes(data, starts, ends) if len(starts) else np.zeros(0, np.uint64)
         return {"data": data, "start": starts, "end": ends, "row": row, "hash": h, "in_row": n - first[row] if len(n) else n, "in_line": n - begin[number] if len(n) else n, "line": number, "line_size": sizes}
 
+    def views(self, w: dict[str, np.ndarray]) -> Iterator[dict[str, np.ndarray]]:
+        """The words by lines, and those of texts of more than one line once more, each text as a single line."""
+        yield w
+        first_line = np.concatenate(([True], w["row"][1:] != w["row"][:-1]))[: len(w["row"])]
+        lines = np.bincount(w["row"][w["in_line"] == 0], minlength=int(w["row"][-1]) + 1) if len(w["row"]) else np.zeros(0, np.int64)
+        more = lines[w["row"]] > 1
+        if more.any():
+            number = np.cumsum(first_line[more]) - 1
+            whole = {c: w[c][more] for c in ("start", "end", "row", "hash", "in_row")}
+            yield {"data": w["data"], **whole, "in_line": whole["in_row"], "line": number, "line_size": np.bincount(number)}
+
     def blocks(self, w: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct pairs of block and template word: block numbers, words, and a word of the text that stands for the block."""
         at = np.minimum(np.searchsorted(self.hashes, w["hash"]), len(self.hashes) - 1)
@@ -175,8 +187,9 @@ def _block_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     scanner = Scanner()
     counts = np.zeros(len(scanner.words), np.int64)
     for batch in slices(batches, "text"):
-        _, word, _ = scanner.blocks(scanner.read(*utf8(batch.column("text"))))
-        counts += np.bincount(word, minlength=len(counts))
+        for w in scanner.views(scanner.read(*utf8(batch.column("text")))):
+            _, word, _ = scanner.blocks(w)
+            counts += np.bincount(word, minlength=len(counts))
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(counts), dtype=np.int32)), pa.array(counts)], ["word", "n"])
 
 
@@ -206,7 +219,7 @@ def scan(docs: DataFrame) -> DataFrame:
             blocks: list[list[dict]] = [[] for _ in range(batch.num_rows)]
             for row, word, label in scanner.places(w):
                 base[row].append({"label": label, "word": word})
-            for row, t, word, words, share in scanner.found(w, rank):
+            for row, t, word, words, share in dict.fromkeys(x for v in scanner.views(w) for x in scanner.found(v, rank)):
                 blocks[row].append({"label": scanner.labels[t], "word": word, "words": words, "containment": share})
             n_words = np.bincount(w["row"], minlength=batch.num_rows).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words), pa.array(base, kinds[0]), pa.array(blocks, kinds[1])], ["doc_id", "n_words", "base", "blocks"])

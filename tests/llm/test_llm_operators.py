@@ -181,6 +181,29 @@ def test_license_blocks_against_all_pairs(spark: SparkSession) -> None:
         assert {b["label"] for b in r["blocks"]} == want
 
 
+def test_license_notices_wrapped_over_lines(spark: SparkSession) -> None:
+    rows = []
+    for i, (text, label) in enumerate(licenses.TEMPLATES):
+        words = text.split()
+        for width in (3, 5, 8):
+            for ahead in (0, 23, 24, 47):
+                lines = [" ".join(words[k : k + width]) for k in range(0, len(words), width)]
+                rows.append((len(rows), f"{passage(i, ahead)}\n# " + "\n# ".join(lines) + f"\n\n{passage(i + 50, 30)}", label))
+    found = licenses.license_labels(spark.createDataFrame(rows, "doc_id long, text string, label string").repartition(2)).collect()
+    labels = {r["doc_id"]: r for r in found}
+    assert len(found) == len(rows)
+    for doc_id, _, label in rows:
+        assert label in labels[doc_id]["labels"].split(",")
+        assert labels[doc_id]["score"] >= licenses.THRESHOLD
+
+
+def test_license_lines_still_count_by_themselves(spark: SparkSession) -> None:
+    words = licenses.TEMPLATES[11][0].split()
+    line = " ".join([*words[:9], passage(20, 48 - len(words)), *words[9:]])
+    df = spark.createDataFrame([(k, passage(21, k) + "\n" + line) for k in range(1, 40)], "doc_id long, text string")
+    assert {r["labels"] for r in licenses.license_labels(df).collect()} == {"bsd"}
+
+
 # 5
 
 
