@@ -67,12 +67,13 @@ def risk_distribution(clauses: DataFrame) -> DataFrame:
     return out.withColumns({f"{x}_share": half_up(F.col(x) * 100.0 / F.col("n"), 2) for x in levels})
 
 
-def ranked(clauses: DataFrame, k: int, least: float | None = None) -> DataFrame:
-    """The k clauses of each lease with the highest scores, nulls last, ties in clause order."""
+def ranked(clauses: DataFrame, k: int | None, least: float | None = None) -> DataFrame:
+    """The k clauses of each lease with the highest scores, all without a k, nulls last, ties in clause order."""
     if least is not None:
         clauses = clauses.where(F.col("risk_score") >= least)
     place = F.row_number().over(Window.partitionBy("lease_id").orderBy(F.desc_nulls_last("risk_score"), "seq"))
-    return clauses.withColumn("place", place).where(F.col("place") <= k)
+    placed = clauses.withColumn("place", place)
+    return placed if k is None else placed.where(F.col("place") <= k)
 
 
 def percentile_among_peers(target: DataFrame, pool: DataFrame, least: int = 10) -> DataFrame:

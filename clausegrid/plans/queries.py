@@ -114,7 +114,7 @@ def top12_negotiation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_ranked_sql(1000, 6))
 def red_flags_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return portfolio.ranked(_clauses(spark, sf_dir), 1000, 6).select("lease_id", "seq", "risk_score", "place")
+    return portfolio.ranked(_clauses(spark, sf_dir), None, 6).select("lease_id", "seq", "risk_score", "place")
 
 
 @query("""

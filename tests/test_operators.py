@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from clausegrid.operators import documents, events, rules
+from clausegrid.plans.catalogue import QUERIES
 from clausegrid.sources import tables
 from clausegrid.streaming import quotas
 
@@ -109,3 +110,14 @@ def test_upsert_keeps_the_new_row(spark: SparkSession) -> None:
     new = spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string")
     assert sorted(tuple(r) for r in tables.upsert(old, new, ["k"], ["v"]).collect()) == [(1, "a"), (2, "c"), (3, "d")]
     assert [tuple(r) for r in tables.changed(new, old, ["k"], "v").orderBy("k").collect()] == [(2, "c"), (3, "d")]
+
+
+def test_red_flags_of_a_long_lease_are_all_there(spark: SparkSession, tmp_path) -> None:
+    line = "l_orderkey long, l_linenumber int, l_discount double, l_returnflag string, l_partkey long, l_suppkey long"
+    rows = [(1, i, 0.06 + i % 5 / 100, "R", 1, 1) for i in range(1500)] + [(2, 1, 0.05, "N", 1, 1), (2, 2, 0.1, "N", 1, 1)]
+    spark.createDataFrame(rows, line).write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = QUERIES["red_flags_sorted"](spark, str(tmp_path)).collect()
+    want = sorted((-round(x * 100), seq) for _, seq, x, *_ in rows[:1500])
+    assert [(-r["risk_score"], r["seq"]) for r in sorted(found, key=lambda r: r["place"]) if r["lease_id"] == 1] == want
+    assert sorted(r["place"] for r in found if r["lease_id"] == 1) == list(range(1, 1501))
+    assert [r["seq"] for r in found if r["lease_id"] == 2] == [2]
