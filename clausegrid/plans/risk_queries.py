@@ -95,7 +95,7 @@ def risk_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     clauses = tables.table(spark, sf_dir, "documents").select(
         "doc_id",
         pick(TYPES).alias("clause_type"),
-        F.concat(F.substring(F.coalesce("text", F.lit("")), 1, 200), F.lit(" "), pick(WORDINGS)).alias("text"),
+        F.concat(F.coalesce("text", F.lit("")), F.lit(" "), pick(WORDINGS)).alias("text"),
         law.alias("statutes"),
     )
     return risk.scored(clauses).select("doc_id", "clause_type", F.array_join("violations", ",").alias("violations"), "risk_score", "risk_level", "unenforceable")

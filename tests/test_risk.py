@@ -7,6 +7,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from clausegrid.operators import risk, screening
+from clausegrid.plans.catalogue import QUERIES
 
 CLAUSE = "clause_type string, text string, statutes array<struct<section:string,text:string,relevance:double>>"
 
@@ -38,6 +39,14 @@ def test_blank_and_unsupported_clauses(spark: SparkSession) -> None:
     assert (weak["violations"], weak["confidence"]) == ([], 0.4)
 
 
+def test_risk_score_reads_the_whole_text(spark: SparkSession, tmp_path) -> None:
+    ahead = "plain words " * 500
+    rows = [(35, ahead + "The landlord may enter at any time without notice."), (95, ahead), (155, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r["doc_id"]: r["violations"] for r in QUERIES["risk_score"](spark, str(tmp_path)).collect()}
+    assert found == {35: "entry_without_notice", 95: "", 155: ""}
+
+
 def test_scrubbing_puts_names_first(spark: SparkSession) -> None:
     text = "John Smith, a.b@c.org, M5V 2T6, 416-555-1234, $1,200.00, Apt 4B, 123 Main Street"
     got = spark.createDataFrame([(text,)], "t string").select(screening.scrubbed(F.col("t"))).first()[0]
