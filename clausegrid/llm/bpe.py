@@ -4,20 +4,25 @@ The words of a slice of texts are made distinct, sorted into buckets of similar
 length and laid out as padded matrices of ids. In each round every row merges
 its leftmost pair of minimum rank; pairs are looked up in a hash table of numpy
 arrays, finished rows leave the matrix and the others move one column to the
-left. Words too wide for a matrix are merged with a heap, to the same result.
+left. Rounds grow with a word's length and each costs as much again, so words
+beyond WIDEST bytes (no blank in two thousand) are merged with a heap instead,
+to the same result.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
+from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,10 +30,11 @@ from clausegrid.llm.common import slices
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
 #: Words of more bytes are merged one by one.
-WIDEST = 256
-#: Distinct words that a task remembers from slice to slice.
-REMEMBERED = 400_000
-_SLICE_BYTES = 6 << 20
+WIDEST = 2048
+#: Distinct words that a worker remembers from slice to slice, and their bytes, at most.
+REMEMBERED, REMEMBERED_BYTES = 60_000, 2 << 20
+#: Bytes of text, matches of a text and ids that are worked on at once.
+_SLICE_BYTES, _MATCHES, _IDS = 1 << 20, 100_000, 100_000
 _NONE = np.int32(2**31 - 1)
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -87,9 +93,13 @@ class Vocabulary:
         self.data = np.frombuffer(b"".join(token), np.uint8)
         self.of_byte = np.array([self.rank[bytes([b])] for b in range(256)], np.int32)
         get = self.rank.get
-        made = [(a, b, r) for t, r in self.rank.items() for k in range(1, len(t)) if (a := get(t[:k])) is not None and (b := get(t[k:])) is not None]
-        a, b, r = np.array(made, np.int64).reshape(-1, 3).T
-        self.pairs = PairTable((a << 32) | b, r.astype(np.int32))
+        pairs, ranks = array("q"), array("i")
+        for t, r in self.rank.items():
+            for k in range(1, len(t)):
+                if (a := get(t[:k])) is not None and (b := get(t[k:])) is not None:
+                    pairs.append(a << 32 | b)
+                    ranks.append(r)
+        self.pairs = PairTable(np.array(pairs, np.int64), np.array(ranks, np.int32))
 
     def merge_wide(self, word: bytes) -> np.ndarray:
         """One long word: a heap of ranks and places over a linked list."""
@@ -154,9 +164,9 @@ class Vocabulary:
         todo = np.flatnonzero(whole < 0)
         found: dict[int, np.ndarray] = {}
         parts: list[tuple[np.ndarray, np.ndarray]] = []
-        for width in (4, 6, 8, 10, 12, 16, 24, 32, 64, 128, WIDEST):
+        for width in (4, 6, 8, 10, 12, 16, 24, 32, 64, 128, 256, 512, 1024, WIDEST):
             here, todo = todo[size[todo] <= width], todo[size[todo] > width]
-            for chunk in (here[k : k + (1 << 20) // width] for k in range(0, len(here), (1 << 20) // width)):
+            for chunk in (here[k : k + (1 << 18) // width] for k in range(0, len(here), (1 << 18) // width)):
                 flat = np.frombuffer(b"".join(words[i] for i in chunk), np.uint8)
                 mask = np.arange(width) < size[chunk][:, None]
                 ids = np.full((len(chunk), width), -1, np.int32)
@@ -189,38 +199,66 @@ def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Encodes slices of texts and remembers the words it has seen, up to REMEMBERED."""
+    """Encodes texts and remembers words it has seen, up to REMEMBERED of REMEMBERED_BYTES together."""
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
-        self.vocabulary, self.find = vocabulary, regex.compile(pattern).findall
+        self.vocabulary, self.find = vocabulary, regex.compile(pattern)
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.bytes = 0
         self.ids, self.start, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after another, and how many each has."""
-        words = [self.find(t) for t in texts]
+        if sum(map(len, texts)) > _SLICE_BYTES:
+            parts = [self._long(t) for t in texts]
+            return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+        words = [self.find.findall(t) for t in texts]
         per_text = np.fromiter(map(len, words), np.int64, len(words))
-        coded = pa.array(chain.from_iterable(words), pa.string()).dictionary_encode()
-        del words
+        ids, count = self._words(list(chain.from_iterable(words)))
+        ends = np.concatenate(([0], np.cumsum(count)))
+        return ids, np.diff(ends[np.concatenate(([0], np.cumsum(per_text)))])
+
+    def _long(self, text: str) -> np.ndarray:
+        """The ids of one text, some matches at a time."""
+        matches = self.find.finditer(text)
+        parts = [np.zeros(0, np.int32)]
+        while some := [m.group() for m in islice(matches, _MATCHES)]:
+            parts.append(self._words(some)[0])
+        return np.concatenate(parts)
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, one after another, and how many each has."""
+        coded = pa.array(words, pa.large_string()).dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > REMEMBERED or self.bytes > REMEMBERED_BYTES:
             self.forget()
         if new := [w for w in distinct if w not in self.known]:
-            ids, count = self.vocabulary.encode_words([w.encode() for w in new])
+            raw = [w.encode() for w in new]
+            ids, count = self.vocabulary.encode_words(raw)
             for k, w in enumerate(new, len(self.known)):
                 self.known[w] = k
+            self.bytes += sum(map(len, raw))
             self.start = np.concatenate((self.start, len(self.ids) + np.cumsum(count) - count))
             self.ids, self.count = np.concatenate((self.ids, ids)), np.concatenate((self.count, count))
         place = np.fromiter((self.known[w] for w in distinct), np.int64, len(distinct))
         place = place[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else place
         count = self.count[place]
-        ids = self.ids[ragged(self.start[place], count)]
-        ends = np.concatenate(([0], np.cumsum(count)))
-        edge = ends[np.concatenate(([0], np.cumsum(per_text)))]
-        return ids, np.diff(edge)
+        return self.ids[ragged(self.start[place], count)], count
+
+
+_encoders: dict[tuple[bytes, str], Encoder] = {}
+
+
+def _encoder(content: bytes, pattern: str) -> Encoder:
+    """One encoder a worker: the next task of the same rank file and pattern uses it again."""
+    key = (hashlib.sha256(content).digest(), pattern)
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(Vocabulary(content), pattern)
+    return _encoders[key]
 
 
 def _column(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
@@ -230,42 +268,61 @@ def _column(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(sizes), buffers).cast(pa.binary())
 
 
-def round_trip(docs: DataFrame, rank_path: str | None = None, pattern: str = public_tokenizers.PATTERN, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, ids (little-endian unsigned 32-bit integers), decoded, the bytes that the ids stand for, and the columns named in ``keep``.
+def _shared(docs: DataFrame, rank_path: str | None) -> Broadcast[bytes]:
+    """The rank file, of fixed size, read on the driver and broadcast."""
+    with open(rank_path or public_tokenizers.path(RANK_FILE), "rb") as f:
+        return docs.sparkSession.sparkContext.broadcast(f.read())
 
-    Each match of ``pattern`` is encoded separately, without special tokens. A
-    null or empty text has no ids. Rows may repeat and keep their own result;
-    other columns are ignored; an empty table gives an empty result. The rank
-    file, of fixed size, is read on the driver and broadcast.
+
+def _hex(parts: Iterator[bytes]) -> str:
+    digest = hashlib.sha256()
+    for part in parts:
+        digest.update(part)
+    return digest.hexdigest()
+
+
+def encoded(docs: DataFrame, rank_path: str | None = None, pattern: str = public_tokenizers.PATTERN, keep: tuple[str, ...] = (), with_ids: bool = True) -> DataFrame:
+    """doc_id, n_tokens, ids, the digests ids_sha256 and decoded_sha256, and the columns named in ``keep``.
+
+    ids are little-endian unsigned 32-bit integers, left out without
+    ``with_ids``; decoded_sha256 is that of the bytes that they decode to. Each
+    match of ``pattern`` is encoded separately, without special tokens. A null
+    or empty text has no ids. Rows may repeat and keep their own result; other
+    columns are ignored; an empty table gives an empty result. A task holds a
+    slice of texts at a time, and of a long text one part.
     """
-    with open(rank_path or public_tokenizers.path(RANK_FILE), "rb") as f:
-        content = docs.sparkSession.sparkContext.broadcast(f.read())
+    content = _shared(docs, rank_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(content.value)
-        encoder = Encoder(vocabulary, pattern)
+        encoder = _encoder(content.value, pattern)
+        decode = encoder.vocabulary.decode
         for batch in slices(batches, "text", _SLICE_BYTES):
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            ids, counts = encoder(texts)
-            decoded = vocabulary.decode(ids)
-            spans = np.concatenate(([0], np.cumsum(vocabulary.length[ids])))
-            sizes = np.diff(spans[np.concatenate(([0], np.cumsum(counts)))])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _column(ids.astype("<u4").view(np.uint8), counts * 4), _column(decoded, sizes), *(batch.column(c) for c in keep)], ["doc_id", "ids", "decoded", *keep])
+            ids, counts = encoder([t or "" for t in batch.column("text").to_pylist()])
+            ends = np.cumsum(counts)
+            rows = list(zip((ends - counts).tolist(), ends.tolist(), strict=True))
+            wide = ids.astype("<u4")
+            hashed = [hashlib.sha256(wide[a:b]).hexdigest() for a, b in rows]
+            decoded = [_hex(decode(ids[k : min(k + _IDS, b)]).tobytes() for k in range(a, b, _IDS)) for a, b in rows]
+            columns = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(counts), "ids_sha256": pa.array(hashed), "decoded_sha256": pa.array(decoded)}
+            if with_ids:
+                columns["ids"] = _column(wide.view(np.uint8), counts * 4)
+            yield pa.RecordBatch.from_pydict(columns | {c: batch.column(c) for c in keep})
 
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"), *keep)
     kept = "".join(f", {c} {texts.schema[c].dataType.simpleString()}" for c in keep)
-    return texts.mapInArrow(run, f"doc_id long, ids binary, decoded binary{kept}")
+    own = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary" if with_ids else "")
+    return texts.mapInArrow(run, own + kept)
 
 
 def decode(encoded: DataFrame, rank_path: str | None = None) -> DataFrame:
     """doc_id and text from doc_id and ids; null or empty ids give an empty text, broken UTF-8 is replaced."""
-    with open(rank_path or public_tokenizers.path(RANK_FILE), "rb") as f:
-        content = encoded.sparkSession.sparkContext.broadcast(f.read())
+    content = _shared(encoded, rank_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(content.value)
-        for batch in slices(batches, "ids", _SLICE_BYTES):
-            texts = [vocabulary.decode(np.frombuffer(x or b"", "<u4")).tobytes().decode(errors="replace") for x in batch.column("ids").to_pylist()]
+        vocabulary = _encoder(content.value, public_tokenizers.PATTERN).vocabulary
+        for batch in slices(batches, "ids", _SLICE_BYTES // 4):
+            rows = [np.frombuffer(x or b"", "<u4") for x in batch.column("ids").to_pylist()]
+            texts = [b"".join(vocabulary.decode(x[k : k + _IDS]).tobytes() for k in range(0, len(x), _IDS)).decode(errors="replace") for x in rows]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
@@ -273,10 +330,4 @@ def decode(encoded: DataFrame, rank_path: str | None = None) -> DataFrame:
 
 def token_digests(docs: DataFrame, rank_path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, and the digests of the ids and of the decoded bytes."""
-    return round_trip(docs, rank_path).select(
-        "doc_id",
-        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
-
+    return encoded(docs, rank_path, with_ids=False)

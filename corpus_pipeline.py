@@ -46,8 +46,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     number = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long")
     placed = docs.withColumn("position", F.shiftleft(number, 33) + F.col("_metadata.row_index"))
-    tokens = bpe.round_trip(placed, keep=("position",))
-    return tokens.select("position", "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.encoded(placed, keep=("position",)).select("position", "doc_id", "n_tokens", "ids", "decoded_sha256")
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]

@@ -322,10 +322,24 @@ def test_bpe_as_the_library(docs: DataFrame, small: DataFrame) -> None:
             ids = library.encode_ordinary(text or "")
             want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()))
         assert found == sorted(want, key=str)
-        encoded = bpe.round_trip(df).select("doc_id", "ids")
+        encoded = bpe.encoded(df).select("doc_id", "ids")
         assert sorted(map(str, ((r["doc_id"], r["text"]) for r in bpe.decode(encoded).collect()))) == sorted(map(str, ((i, t or "") for i, t in pairs_of(df))))
 
 
+def test_bpe_of_wide_words_and_an_empty_table(spark: SparkSession) -> None:
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path(bpe.RANK_FILE), "rb"))}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    r = random.Random(12)
+    texts = ["".join(r.choices("abcdefgh", k=n)) for n in (257, 600, 2048, 2049, 12_000)] + [passage(13, 300_000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {x["doc_id"]: x for x in bpe.encoded(df).collect()}
+    for i, text in enumerate(texts):
+        ids = library.encode_ordinary(text)
+        assert np.frombuffer(found[i]["ids"], "<u4").tolist() == ids
+        assert found[i]["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+    assert bpe.token_digests(df.limit(0)).count() == 0
+
+
 # 9
 
 
