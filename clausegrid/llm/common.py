@@ -27,11 +27,15 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cuts batches so that each holds one row or at most ``limit`` bytes of ``column``; this bounds a task's memory."""
+    """Cuts batches so that each holds one row or at most ``limit`` bytes of ``column``; this bounds a task's memory.
+
+    A column of integers is taken as the rows' sizes.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        own = batch.column(column)
+        sizes = pc.fill_null(own if pa.types.is_integer(own.type) else pc.binary_length(own), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         ends = np.cumsum(sizes)
         start = 0
         while start < batch.num_rows:

@@ -1,8 +1,10 @@
 """Removal of long repeated byte strings by suffix sorting.
 
 A byte goes if a string of MATCH bytes that covers it also starts elsewhere in
-the collection. Sorting every suffix of a large collection in one place is out
-of the question, so equal strings are first brought together: of the ANCHOR-byte
+the collection. Equal texts are brought together first: of texts that occur
+more than once every byte goes, and one of them stands for all in what follows.
+Sorting every suffix of a large collection in one place is out of the question,
+so equal strings are brought together: of the ANCHOR-byte
 substrings inside each MATCH-byte window those with the least hash are its
 anchors. Equal windows have equal anchors at equal places, so only the
 contexts of anchors whose hash occurs more than once go on, about one for each
@@ -82,19 +84,23 @@ def anchors_in(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return place, np.concatenate(hashes)[first]
 
 
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of the batches, the bytes of their packed texts, and the offsets of the rows in them."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in slices(batches, "n_bytes"):
+        texts = [unpack(x) for x in batch.column("packed").to_pylist()]
+        yield batch, np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+
+
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text"):
-        data, at = utf8(batch.column("text"))
+    for batch, data, at in _unpacked(batches):
         place, h = anchors_in(data, at)
         row = np.searchsorted(at, place, side="right") - 1
         low, high = np.maximum(at[row], place - _LEFT), np.minimum(at[row + 1], place + MATCH)
         raw, digest = data.tobytes(), xxhash.xxh3_64_intdigest
         context = np.fromiter((digest(raw[a:b], s) for a, b, s in zip(low.tolist(), high.tolist(), (place - low).tolist(), strict=True)), np.uint64, len(place))
-        own = [pa.array(batch.column(c).to_numpy(zero_copy_only=False)[row]) for c in ("k", "rk")]
-        yield pa.RecordBatch.from_arrays(
-            [*own, pa.array((place - at[row]).astype(np.int32)), pa.array(h.view(np.int64)), pa.array(context.view(np.int64))],
-            ["k", "rk", "pos", "anchor", "context"],
-        )
+        k = batch.column("k").to_numpy()[row]
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array((place - at[row]).astype(np.int32)), pa.array(h.view(np.int64)), pa.array(context.view(np.int64))], ["k", "pos", "anchor", "context"])
 
 
 def _words(text: np.ndarray) -> np.ndarray:
@@ -281,8 +287,8 @@ def _joined(batch: pa.RecordBatch, row: np.ndarray, a: np.ndarray, b: np.ndarray
         new[1:] = (row[1:] != row[:-1]) | (a[1:] > reach[:-1])
         begin = np.flatnonzero(new)
         row, a, b = row[begin], a[begin], np.maximum.reduceat(b, begin)
-    own = [pa.array(batch.column(c).to_numpy(zero_copy_only=False)[row]) for c in ("k", "rk")]
-    return pa.RecordBatch.from_arrays([*own, pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["k", "rk", "a", "b"])
+    k = batch.column("k").to_numpy()[row]
+    return pa.RecordBatch.from_arrays([pa.array(k), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["k", "a", "b"])
 
 
 def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,7 +332,7 @@ def _range_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 core = xxhash.xxh3_64_digest(raw[anchor - r * RANGE : anchor - r * RANGE - RANGE + 1 + MATCH])
                 rows.append(n)
                 parts.append((r, d1, d2, *np.frombuffer(whole + core, np.int64).tolist()))
-        own = pa.Table.from_batches([batch.select(["k", "rk", "pos", "settled", "anchor"])]).take(pa.array(rows, pa.int64()))
+        own = pa.Table.from_batches([batch.select(["k", "pos", "settled", "anchor"])]).take(pa.array(rows, pa.int64()))
         made = pa.table(dict(zip(schema.names, map(list, zip(*parts, strict=True)), strict=True)), schema) if parts else schema.empty_table()
         for name in schema.names:
             own = own.append_column(name, made.column(name))
@@ -345,12 +351,12 @@ def _window_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         of, start, distance, how = of[how > 0], start[how > 0], distance[how > 0], how[how > 0]
         raw = data.tobytes()
         digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[s : s + MATCH]) for s in start.tolist()), np.int64).reshape(-1, 2)
-        own = [pa.array(batch.column(c).to_numpy(zero_copy_only=False)[of]) for c in ("k", "rk", "settled", "anchor")]
+        own = [pa.array(batch.column(c).to_numpy(zero_copy_only=False)[of]) for c in ("k", "anchor")]
         settled = pa.array(batch.column("settled").to_numpy(zero_copy_only=False).astype(bool)[of] | (how > 1))
         begin = batch.column("pos").to_numpy(zero_copy_only=False).astype(np.int64)[of] - distance
         yield pa.RecordBatch.from_arrays(
-            [own[0], own[1], settled, own[3], *(pa.array(x.astype(np.int32)) for x in (begin, distance)), pa.array(digest[:, 0]), pa.array(digest[:, 1])],
-            ["k", "rk", "settled", "anchor", "a", "d", "x", "y"],
+            [own[0], settled, own[1], *(pa.array(x.astype(np.int32)) for x in (begin, distance)), pa.array(digest[:, 0]), pa.array(digest[:, 1])],
+            ["k", "settled", "anchor", "a", "d", "x", "y"],
         )
 
 
@@ -361,81 +367,100 @@ def _counted_windows(around: DataFrame) -> DataFrame:
     whole; one whose shared bytes occur in no other kind of range does not
     repeat at all. Only windows of the ranges between are counted one by one.
     """
-    schema = "k long, rk int, pos int, settled boolean, anchor long, r int, d1 int, d2 int, x long, y long, core long"
+    schema = "k long, pos int, settled boolean, anchor long, r int, d1 int, d2 int, x long, y long, core long"
     ranges = stored(around.mapInArrow(_range_digests, schema), "ranges")
     same = ["anchor", "r", "d1", "d2", "x", "y"]
-    kinds = cut(ranges.groupBy(*same, "core").agg((F.count(F.lit(1)) >= 2).alias("often"), F.min(F.struct("k", "rk", "pos")).alias("one")))
-    whole = ranges.where("not settled").join(kinds.where("often").select(*same), same).select("k", "rk", (F.col("pos") - F.col("d2")).alias("a"), (F.col("pos") - F.col("d1") + MATCH).alias("b"))
+    kinds = cut(ranges.groupBy(*same, "core").agg((F.count(F.lit(1)) >= 2).alias("often"), F.min(F.struct("k", "pos")).alias("one")))
+    whole = ranges.where("not settled").join(kinds.where("often").select(*same), same).select("k", (F.col("pos") - F.col("d2")).alias("a"), (F.col("pos") - F.col("d1") + MATCH).alias("b"))
     between = kinds.groupBy("anchor", "r", "core").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").drop("n")
-    asked = kinds.join(between, ["anchor", "r", "core"]).groupBy("one.k", "one.rk", "one.pos", "anchor").agg(F.collect_list(F.struct("r", "often")).alias("ranges"))
-    windows = around.join(asked, ["k", "rk", "pos", "anchor"]).mapInArrow(_window_digests, "k long, rk int, settled boolean, anchor long, a int, d int, x long, y long")
+    asked = kinds.join(between, ["anchor", "r", "core"]).groupBy("one.k", "one.pos", "anchor").agg(F.collect_list(F.struct("r", "often")).alias("ranges"))
+    windows = around.join(asked, ["k", "pos", "anchor"]).mapInArrow(_window_digests, "k long, settled boolean, anchor long, a int, d int, x long, y long")
     windows = stored(windows, "windows")
     often = windows.groupBy("anchor", "d", "x", "y").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").drop("n")
-    single = windows.where("not settled").join(often, ["anchor", "d", "x", "y"]).select("k", "rk", "a", (F.col("a") + MATCH).alias("b"))
+    single = windows.where("not settled").join(often, ["anchor", "d", "x", "y"]).select("k", "a", (F.col("a") + MATCH).alias("b"))
     return whole.unionByName(single)
 
 
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The 128-bit digest and the size of each text in place of it."""
+    for batch in slices(batches, "text"):
+        data, at = utf8(batch.column("text"))
+        raw = memoryview(data.tobytes())
+        found = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)), np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), *map(pa.array, (found[:, 0], found[:, 1], np.diff(at)))], ["doc", "x", "y", "n_bytes"])
+
+
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Compressed texts, so that moving them costs less; the other columns as they are."""
+    """As _hashed, with the compressed texts, so that moving them costs less."""
     press = zstandard.ZstdCompressor(level=1).compress
     for batch in slices(batches, "text"):
         data, at = utf8(batch.column("text"))
         raw = data.tobytes()
         texts = pa.array([press(raw[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
-        others = [c for c in batch.schema.names if c != "text"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), texts], [*others, "packed"])
+        for own in _hashed(iter([batch])):
+            yield own.append_column("packed", texts)
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes around the anchors that each text is asked for."""
-    schema = pa.schema([("k", pa.int64()), ("rk", pa.int32()), ("pos", pa.int32()), ("anchor", pa.int64()), ("settled", pa.bool_()), ("hot", pa.bool_()), ("left", pa.int32()), ("bytes", pa.binary())])
+    schema = pa.schema([("k", pa.int64()), ("pos", pa.int32()), ("anchor", pa.int64()), ("settled", pa.bool_()), ("hot", pa.bool_()), ("left", pa.int32()), ("bytes", pa.binary())])
     unpack = zstandard.ZstdDecompressor().decompress
-    for batch in batches:
-        for row in range(0, batch.num_rows, 64):
-            rows = []
-            for r in batch.slice(row, 64).to_pylist():
-                text = unpack(r["packed"]) if r["packed"] else b""
-                for x in r["asked"]:
-                    low = max(0, x["pos"] - _LEFT)
-                    rows.append({"k": r["k"], "rk": r["rk"], **x, "left": x["pos"] - low, "bytes": text[low : x["pos"] + MATCH]})
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema)
-
-
-def _keyed(docs: DataFrame, others: list[str] | None = None) -> DataFrame:
-    """k and rk, which tell rows apart even where a doc_id repeats or is null, text, and a struct of other columns."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    doc = [F.struct(*others).alias("doc")] if others else []
-    return docs.select(_k(F.col("doc_id")), F.hash(F.col("doc_id").isNull(), text).alias("rk"), text.alias("text"), *doc)
-
+    for batch in slices(batches, "n_bytes"):
+        rows = []
+        for r in batch.to_pylist():
+            text = unpack(r["packed"])
+            for x in r["asked"]:
+                low = max(0, x["pos"] - _LEFT)
+                rows.append({"k": r["k"], **x, "left": x["pos"] - low, "bytes": text[low : x["pos"] + MATCH]})
+                if len(rows) == 2000:
+                    yield pa.RecordBatch.from_pylist(rows, schema)
+                    rows = []
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+
+def _long_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All rows as text and doc, a struct of the other columns, and the table of different texts of MATCH bytes or more.
+
+    That table has k, a number of its own for each text, n, how many rows have
+    the text, its digest x, y, its size, the packed text and one row's doc.
+    """
+    others = [c for c in docs.columns if c != "text"]
+    doc = F.struct(*others) if others else F.struct(F.lit(None).cast("int").alias("none"))
+    rows = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), doc.alias("doc"))
+    digests = T.StructType([rows.schema["doc"], T.StructField("x", T.LongType()), T.StructField("y", T.LongType()), T.StructField("n_bytes", T.LongType())])
+    packed = T.StructType([*digests, T.StructField("packed", T.BinaryType())])
+    long = rows.where(F.octet_length("text") >= MATCH)
+    one = long.mapInArrow(_packed, packed).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"), F.first(F.struct("doc", "n_bytes", "packed")).alias("one"))
+    texts = stored(one.select(F.monotonically_increasing_id().alias("k"), "n", "x", "y", "one.*"), "texts")
+    return rows, texts
 
-def _k(doc_id: Column) -> Column:
-    return F.coalesce(doc_id.cast("long"), F.lit(-1)).alias("k")
 
+def repeated_spans(texts: DataFrame, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
+    """k and marks: of each text with repeats, places of anchors whose windows all repeat (b is -1), and covered stretches [a, b).
 
-def repeated_spans(docs: DataFrame, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
-    """k, rk and marks: of each row with repeats, places of anchors whose windows all repeat (b is -1), and covered stretches [a, b)."""
-    keyed = _keyed(docs)
-    kinds = keyed.where(F.octet_length("text") >= MATCH).mapInArrow(_anchors, "k long, rk int, pos int, anchor long, context long")
+    ``texts`` is a stored table of different texts: k, n_bytes, packed.
+    """
+    kinds = stored(texts.select("k", "n_bytes", "packed").mapInArrow(_anchors, "k long, pos int, anchor long, context long"), "all-anchors")
     live = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("low"), F.max("context").alias("high")).where("n >= 2")
-    live = live.select("anchor", (F.col("low") != F.col("high")).alias("various"))
+    live = cut(live.select("anchor", (F.col("low") != F.col("high")).alias("various")))
     met = stored(kinds.join(live, "anchor"), "anchors")
     various = met.where("various")
-    kinds = cut(various.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "rk", "pos")).alias("one")))
-    sizes = kinds.groupBy("anchor").agg((F.count(F.lit(1)) > hot_contexts).alias("hot"))
-    asked = kinds.join(sizes, "anchor").select("one.*", F.struct("one.pos", "anchor", (F.col("n") >= 2).alias("settled"), "hot").alias("asked"))
-    asked = asked.groupBy("k", "rk").agg(F.collect_list("asked").alias("asked"))
-    packed = keyed.mapInArrow(_packed, "k long, rk int, packed binary")
-    around = asked.join(packed, ["k", "rk"])
-    around = around.mapInArrow(_contexts, "k long, rk int, pos int, anchor long, settled boolean, hot boolean, left int, bytes binary")
+    kinds = cut(various.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "pos")).alias("one")))
+    hot = cut(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_contexts).select("anchor", F.lit(True).alias("hot")))
+    asked = kinds.join(hot, "anchor", "left").select("one.k", F.struct("one.pos", "anchor", (F.col("n") >= 2).alias("settled"), F.coalesce("hot", F.lit(False)).alias("hot")).alias("asked"))
+    asked = asked.groupBy("k").agg(F.collect_list("asked").alias("asked"))
+    around = asked.join(texts.select("k", "n_bytes", "packed"), "k")
+    around = around.mapInArrow(_contexts, "k long, pos int, anchor long, settled boolean, hot boolean, left int, bytes binary")
     around = stored(around, "contexts")
-    cool = around.where("not hot").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_groups, "k long, rk int, a int, b int")
-    marks = met.where("not various").select("k", "rk", F.col("pos").alias("a"), F.lit(-1).alias("b"))
-    twice = kinds.where("n >= 2").select("anchor", "context")
-    marks = marks.unionByName(various.join(twice, ["anchor", "context"]).select("k", "rk", F.col("pos").alias("a"), F.lit(-1).alias("b"))).unionByName(cool)
-    if kinds.groupBy("anchor").count().where(F.col("count") > hot_contexts).take(1):
+    cool = around.where("not hot").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_groups, "k long, a int, b int")
+    marks = met.where("not various").select("k", F.col("pos").alias("a"), F.lit(-1).alias("b"))
+    times = kinds.select("anchor", "context", "n")
+    twice = various.join(times, ["anchor", "context"], "left").where("n >= 2").select("k", F.col("pos").alias("a"), F.lit(-1).alias("b"))
+    marks = marks.unionByName(twice).unionByName(cool)
+    if hot.take(1):
         marks = marks.unionByName(_counted_windows(around.where("hot")))
-    return marks.groupBy("k", "rk").agg(F.collect_list(F.struct("a", "b")).alias("marks"))
+    return marks.groupBy("k").agg(F.collect_list(F.struct("a", "b")).alias("marks"))
 
 
 def _covered(size: int, marks: list[dict]) -> np.ndarray:
@@ -457,31 +482,38 @@ def without_repeats(docs: DataFrame, as_text: bool = False, hot_contexts: int =
     Texts count as UTF-8 bytes, null as empty; matches never cross documents.
     ``kept`` holds bytes, or with ``as_text`` a string in which the halves of
     characters that were cut in two are left out. Rows may repeat, doc_ids too
-    or be null: every row is judged by itself, and two equal rows of MATCH
-    bytes or more remove each other. An empty table gives an empty result.
+    or be null: every row is judged by itself, and equal rows of MATCH bytes or
+    more remove each other, however many they are. An empty table gives an
+    empty result.
     """
-    marks = repeated_spans(docs, hot_contexts)
-    keyed = _keyed(docs, [c for c in docs.columns if c != "text"])
-    row = keyed.schema["doc"].dataType
-    packed = keyed.mapInArrow(_packed, T.StructType([*(f for f in keyed.schema if f.name != "text"), T.StructField("packed", T.BinaryType())]))
+    rows, texts = _long_texts(docs)
+    marks = repeated_spans(texts, hot_contexts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
-        for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
-            sizes, removed, spans, kept = [], [], [], []
+        for batch in slices(batches, "n_bytes"):
+            removed, spans, kept = [], [], []
             for packed_text, own in zip(batch.column("packed").to_pylist(), batch.column("marks").to_pylist(), strict=True):
                 text = unpack(packed_text)
                 gone = _covered(len(text), own or [])
                 rest = np.frombuffer(text, np.uint8)[~gone].tobytes()
-                sizes.append(len(text))
                 removed.append(len(text) - len(rest))
                 spans.append(int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(gone[:1].sum()))
                 kept.append(rest.decode(errors="ignore") if as_text else rest)
-            columns = [pa.array(x, pa.int64()) for x in (sizes, removed, spans)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), *columns, pa.array(kept, pa.string() if as_text else pa.binary())], ["doc", "n_bytes", "n_removed", "n_spans", "kept"])
-
-    schema = T.StructType([T.StructField("doc", row), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.StringType() if as_text else T.BinaryType())])
-    return packed.join(marks, ["k", "rk"], "left").select("doc", "packed", "marks").mapInArrow(run, schema)
+            columns = [pa.array(x, pa.int64()) for x in (removed, spans)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("n_bytes"), *columns, pa.array(kept, pa.string() if as_text else pa.binary())], ["doc", "n_bytes", "n_removed", "n_spans", "kept"])
+
+    fields = [rows.schema["doc"], T.StructField("n_bytes", T.LongType())]
+    schema = T.StructType([*fields, *(T.StructField(c, T.LongType()) for c in ("n_removed", "n_spans")), T.StructField("kept", T.StringType() if as_text else T.BinaryType())])
+    once = texts.where("n = 1").select("k", "doc", "n_bytes", "packed").join(marks, "k", "left").mapInArrow(run, schema)
+    kind = "string" if as_text else "binary"
+    whole = F.col("text") if as_text else F.encode("text", "UTF-8")
+    zero = F.lit(0).cast("long")
+    short = rows.where(F.octet_length("text") < MATCH).select("doc", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), whole.alias("kept"))
+    digests = T.StructType([fields[0], T.StructField("x", T.LongType()), T.StructField("y", T.LongType()), fields[1]])
+    again = rows.where(F.octet_length("text") >= MATCH).mapInArrow(_hashed, digests).join(texts.where("n > 1").select("x", "y"), ["x", "y"])
+    again = again.select("doc", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit("").cast(kind).alias("kept"))
+    return once.unionByName(again).unionByName(short)
 
 
 def removal_digests(docs: DataFrame) -> DataFrame:

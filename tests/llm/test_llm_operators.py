@@ -95,6 +95,25 @@ def test_removal(request: pytest.FixtureRequest, which: str, hot: int) -> None:
     assert sorted((tuple(r) for r in got), key=str) == brute_removal(pairs_of(df))
 
 
+def test_removal_of_many_equal_rows_and_null_ids(spark: SparkSession) -> None:
+    shared, own = passage(31, 80), passage(32, 80)
+    many = spark.range(20_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit(shared).alias("text"))
+    none = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("row "), F.col("id").cast("string"), F.lit(" "), F.sha2(F.col("id").cast("string"), 512), F.sha2((-F.col("id")).cast("string"), 512)).alias("text"))
+    few = spark.createDataFrame([(1, own + shared + "!"), (None, own + "?"), (None, None), (2, "")], "doc_id long, text string")
+    found = suffixes.removal_digests(many.unionByName(none).unionByName(few))
+    sums = {r["doc_id"]: r for r in found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("n_bytes").alias("b"), F.sum("n_removed").alias("r")).collect()}
+    assert (sums[7]["n"], sums[7]["b"], sums[7]["r"]) == (20_000, 20_000 * len(shared), 20_000 * len(shared))
+    assert (sums[1]["b"] - sums[1]["r"], sums[2]["n"]) == (1, 1)
+    assert (sums[None]["n"], sums[None]["r"]) == (20_002, len(own))
+    assert suffixes.removal_digests(few.limit(0)).count() == 0
+
+
+def test_removal_from_a_long_text(spark: SparkSession) -> None:
+    shared, long = passage(33, 60), passage(34, 250_000)
+    df = spark.createDataFrame([(1, long[:900_000] + shared + long[900_000:]), (2, "x " + shared)], "doc_id long, text string")
+    assert {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in suffixes.removal_digests(df).collect()} == {1: (len(shared), 1), 2: (len(shared), 1)}
+
+
 def test_suffixes_are_sorted() -> None:
     text = np.frombuffer((passage(9, 50) * 3 + "a" * 400).encode(), np.uint8)
     starts = np.arange(len(text) - 200)
