@@ -8,6 +8,7 @@ import random
 import re
 import string
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -240,6 +241,22 @@ def test_mixture_is_less_than_a_block_off(spark: SparkSession) -> None:
             assert abs(had[r["source"]] - (t + 1) * r["quota"] / total) < 1
 
 
+def test_mixture_meets_given_weights_over_many_frames(spark: SparkSession) -> None:
+    rows = spark.range(100_000).select(F.col("id").alias("doc_id"), F.element_at(F.array(*map(F.lit, "aaaaabbbccd")), (F.col("id") % 11 + 1).cast("int")).alias("source"))
+    targets = {"a": 0.5, "b": 0.3, "c": 0.2, "d": 0.0, "e": 0}
+    found = mixing.mixture(rows, targets)
+    assert found.count() == 100_000
+    assert found.where("slot is null").select("source").distinct().collect() == [("d",)]
+    slots = [(r["slot"], r["source"]) for r in found.where("slot < 8000").select("slot", "source").distinct().orderBy("slot").collect()]
+    assert [t for t, _ in slots] == list(range(8000))
+    had: Counter = Counter()
+    for t, source in slots:
+        had[source] += 1
+        assert all(abs(had[s] - Fraction(str(w)) * (t + 1)) < 1 for s, w in targets.items())
+    with pytest.raises(ValueError):
+        mixing.exact_quotas({"a": 0.123456789, "b": 1})
+
+
 def test_mixture_keeps_all_rows(docs: DataFrame) -> None:
     found = mixing.mixture(docs).collect()
     assert len(found) == docs.count()
