@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clausegrid.llm.common import cut, slices, utf8
-from clausegrid.llm.words import lower, pair_hash, span_hashes
+from clausegrid.llm.words import lower, pair_hash, pieces, span_hashes
 
 BUCKETS = 10_000
 #: Labelled rows that the target model and the cut are fitted on, at most.
@@ -38,25 +38,32 @@ _KIND[[9, 10, 11, 12, 13, 32]] = 0
 _KIND[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 
 
-def ngrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets and rows of the unigrams and bigrams of runs of letters or digits and runs of other signs.
-
-    All bigrams that repeat a run share one bucket.
-    """
-    if not len(data):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+def _runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash and the row of each run of letters or digits and each run of other signs."""
     data = lower(data)
     kind = _KIND[data]
     new = np.ones(len(data), bool)
     new[1:] = kind[1:] != kind[:-1]
     new[offsets[:-1][offsets[:-1] < len(data)]] = True
     starts = np.flatnonzero(new)
-    ends = np.append(starts[1:], len(data))
+    ends = np.append(starts[1:], len(data))[: len(starts)]
     some = kind[starts] > 0
     starts, ends = starts[some], ends[some]
-    if not len(starts):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h, row = span_hashes(data, starts, ends), np.searchsorted(offsets, starts, side="right") - 1
+    return span_hashes(data, starts, ends), np.searchsorted(offsets, starts, side="right") - 1
+
+
+def ngrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and rows of the unigrams and bigrams of runs of letters or digits and runs of other signs.
+
+    All bigrams that repeat a run share one bucket.
+    """
+    hashes, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for first, _, part, at in pieces(data, offsets):
+        if len(part):
+            h, row = _runs(part, at)
+            hashes.append(h)
+            rows.append(row + first)
+    h, row = np.concatenate(hashes), np.concatenate(rows)
     pair = row[1:] == row[:-1]
     pairs = np.where(h[1:] == h[:-1], _AGAIN, pair_hash(h[:-1], h[1:]))
     all_hashes = np.concatenate((h, pairs[pair]))
@@ -153,7 +160,7 @@ def _draw(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, int]:
     ratio = ratios(docs, sample)
     doc_id = F.col("doc.doc_id").cast("long")
     scores = cut(_scored(docs, ratio, ["doc_id"]).select(doc_id.alias("doc_id"), "mean", _key(F.col("mean"), doc_id).alias("key")))
-    rows = scores.join(F.broadcast(sample), "doc_id").select("mean", "good").limit(4 * LABELLED_ROWS).collect()
+    rows = scores.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("mean").alias("mean"), F.first("good").alias("good")).collect()
     at = best_cut(np.array([r.mean for r in rows]), np.array([r.good for r in rows], bool))
     k = scores.where(F.col("mean") >= at).count()
     return ratio, kth_largest(scores.select("key"), k) if k else _TOP + 1
@@ -164,7 +171,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     A null or empty text has log weight 0. Rows of one doc_id share their
     noise; ties with the last key drawn are kept. Rows with null labels or
-    doc_ids teach nothing; without labels of both kinds everything is kept.
+    doc_ids teach nothing; of rows that repeat a labelled doc_id all teach the
+    target model, and the least mean the cut. Without labels of both kinds
+    everything is kept.
     """
     ratio, least = _draw(docs, labels)
     doc_id = F.col("doc.doc_id").cast("long")
