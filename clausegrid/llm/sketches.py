@@ -1,11 +1,13 @@
 """Document fingerprints as invertible Bloom lookup sketches of paragraph digests.
 
+A paragraph is a line that is not blank; texts here keep a paragraph on a line.
 A sketch has three tables of cells; a digest goes into one cell of each, where
 it adds to a count, a sum of keys and a sum of checks (by exclusive or). Equal
 sets have equal sketches, and one sketch less another holds the digests that
 only one of them has. Peeling takes out cells that hold a single digest until
-none is left, which recovers the differing digests. If it gets stuck, the two
-texts are sketched again with twice the cells.
+none is left, which recovers the differing digests. If it gets stuck, or has
+not ended after as many rounds as there are cells, the two texts are sketched
+again with twice the cells.
 
 To compare each document with the next one, documents are dealt to ranges of
 doc_id and go through a task in falling order; only the last of each range
@@ -24,6 +26,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from clausegrid.llm.common import stored
 from clausegrid.llm.words import mix
@@ -33,6 +36,8 @@ CELLS = 12
 #: Documents that are sketched together, and the rows of a range, about.
 TOGETHER = 1000
 RANGE_ROWS = 4096
+#: Ranges, at most: their numbers are put into order in one task.
+MOST_RANGES = 20_000
 
 _FIELDS = "doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
@@ -89,13 +94,21 @@ class Sketches:
         return out
 
     def peel(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Empties the sketches: whether each came empty, and of all digests recovered the set, key and side (1 or -1)."""
+        """Empties the sketches: whether each came empty, and of all digests recovered the set, key and side (1 or -1).
+
+        A cell of several digests can look like one of a single digest by
+        chance. Its key then mostly belongs elsewhere, and is left; where it
+        does not, the rounds are bounded and the sketch does not come empty.
+        """
         parts = []
-        while True:
+        for _ in range(self.cells):
             row, cell = np.nonzero((np.abs(self.count) == 1) & (self.check == _check(self.key)))
+            keys = self.key[row, cell]
+            own = (_cells(keys, self.cells) == cell).any(axis=0)
+            row, cell, keys = row[own], cell[own], keys[own]
             if not len(row):
                 break
-            keys, side = self.key[row, cell], self.count[row, cell]
+            side = self.count[row, cell]
             by = np.lexsort((keys, row))
             new = np.ones(len(by), bool)
             new[1:] = (row[by][1:] != row[by][:-1]) | (keys[by][1:] != keys[by][:-1])
@@ -214,16 +227,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     ignored; an empty table gives an empty result. Fingerprints are hex.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // RANGE_ROWS))
+    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_RANGES, -(-docs.count() // RANGE_ROWS)))
     order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text").desc()]
     dealt = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order, F.desc("text"))
     made = stored(dealt.mapInArrow(_in_order, f"{_FIELDS}, edge int, range int, text string"), "fingerprints")
     within = made.where("edge = 0").select(*_SCHEMA.names)
-    used = sorted(r.range for r in made.where("edge = 1").select("range").collect())
-    below = list(zip(used, used[1:] + used[:1], strict=True))
-    pairs = docs.sparkSession.createDataFrame(below, "range int, below int")
+    edges = made.where("edge = 1").select("range")
+    pairs = edges.select("range", F.coalesce(F.lead("range").over(Window.orderBy("range")), F.min("range").over(Window.partitionBy())).alias("below"))
     first = made.where("edge = 1").select(F.col("range").alias("below"), F.col("text").alias("following"))
-    last = made.where("edge = 2").select("doc_id", "text", "range").join(F.broadcast(pairs), "range").join(first, "below")
+    last = made.where("edge = 2").select("doc_id", "text", "range").join(pairs, "range").join(first, "below")
     across = last.select("doc_id", "text", "following").mapInArrow(_at_edges, _FIELDS)
     hexed = {c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")}
     return within.unionByName(across).withColumns(hexed)
