@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -27,11 +27,17 @@ BLOCK = 64
 PIVOTS = 32
 
 
+def _scaled(x: Column) -> Column:
+    """A component times SCALE, rounded down."""
+    large = F.raise_error(F.lit("a component is too large for integer scores"))
+    return F.when(F.abs(x) < float(1 << 42), F.floor(x.cast("double") * SCALE).cast("long")).otherwise(large.cast("long"))
+
+
 def quantized(vectors: DataFrame) -> DataFrame:
     """vec_id and x, the components times SCALE rounded down; rows with a null or non-finite part are left out."""
     odd = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     sound = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~odd)
-    return sound.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE).cast("long")).alias("x"))
+    return sound.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", _scaled).alias("x"))
 
 
 def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
@@ -85,11 +91,13 @@ def top_k(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY) -> DataFrame
 
     Queries are the rows whose vec_id is divisible by ``every``; a row is no
     candidate for its own vec_id. Where lengths differ, missing components
-    count as zero. Rows that repeat a vec_id take part each; queries that do
-    are asked once. An empty table gives an empty result.
+    count as zero. Rows that repeat a vec_id take part each; of queries that do
+    the one with the smallest vector, component by component, is asked. An empty
+    table gives an empty result. Components of 2**42 or more overflow a long and
+    are an error.
     """
     own = quantized(vectors)
-    asked = own.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
+    asked = own.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("x").alias("x"))
     total, queries = vectors.count(), vectors.where(F.col("vec_id") % every == 0).count()
     parts, sets = max(1, -(-total // CANDIDATES)), max(1, -(-queries // QUERIES))
     deal = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")
