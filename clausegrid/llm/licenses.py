@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clausegrid.llm.common import slices, utf8
-from clausegrid.llm.words import lower, span_hashes
+from clausegrid.llm.words import lower, pieces, span_hashes
 
 THRESHOLD = 0.9
 BLOCK_WORDS = 48
@@ -88,14 +88,19 @@ class Scanner:
     def read(self, data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
         """The words of the texts: starts, ends, row, hash, place in the row, and place in the line."""
         data = lower(data)
-        inside = _WORD[data]
-        edge = np.zeros(len(data) + 1, bool)
-        edge[offsets] = True
-        starts = np.flatnonzero(inside & (~np.concatenate(([False], inside[:-1])) | edge[:-1])) if len(data) else np.zeros(0, np.int64)
-        ends = np.flatnonzero(inside & (~np.concatenate((inside[1:], [False])) | edge[1:])) + 1 if len(data) else starts
-        row = np.searchsorted(offsets, starts, side="right") - 1
+        parts, lines = [], 0
+        for row, low, part, at in pieces(data, offsets):
+            inside = _WORD[part]
+            edge = np.zeros(len(part) + 1, bool)
+            edge[at] = True
+            starts = np.flatnonzero(inside & (~np.concatenate(([False], inside[:-1])) | edge[:-1])) if len(part) else np.zeros(0, np.int64)
+            ends = np.flatnonzero(inside & (~np.concatenate((inside[1:], [False])) | edge[1:])) + 1 if len(part) else starts
+            breaks = np.flatnonzero(part == 10)
+            parts.append((starts + low, ends + low, np.searchsorted(at, starts, side="right") - 1 + row, np.searchsorted(breaks, starts) + lines))
+            lines += len(breaks)
+        starts, ends, row, line = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 4
+        line = line + row
         first = np.searchsorted(row, np.arange(len(offsets) - 1))
-        line = np.cumsum(data == 10)[starts] + row if len(starts) else starts
         new = np.ones(len(starts), bool)
         new[1:] = (line[1:] != line[:-1]) | (row[1:] != row[:-1])
         begin = np.flatnonzero(new)
@@ -116,8 +121,8 @@ class Scanner:
             whole = {c: w[c][more] for c in ("start", "end", "row", "hash", "in_row")}
             yield {"data": w["data"], **whole, "in_line": whole["in_row"], "line": number, "line_size": np.bincount(number)}
 
-    def blocks(self, w: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct pairs of block and template word: block numbers, words, and a word of the text that stands for the block."""
+    def blocks(self, w: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct pairs of block and template word: block numbers, words, and a word of the text that stands for the block; and the first block of each line."""
         at = np.minimum(np.searchsorted(self.hashes, w["hash"]), len(self.hashes) - 1)
         hit = np.flatnonzero(self.hashes[at] == w["hash"]) if len(w["hash"]) else np.zeros(0, np.int64)
         steps = np.maximum(1, -(-w["line_size"] // _STEP))
@@ -126,11 +131,11 @@ class Scanner:
         earlier = w["in_line"][hit] >= _STEP
         block, word, source = np.concatenate((cell, cell[earlier] - 1)), np.concatenate((at[hit], at[hit][earlier])), np.concatenate((hit, hit[earlier]))
         _, first = np.unique(block * len(self.words) + word, return_index=True)
-        return block[first], word[first], source[first]
+        return block[first], word[first], source[first], base
 
     def found(self, w: dict[str, np.ndarray], rank: np.ndarray) -> list[tuple[int, int, int, int, float]]:
         """Row, template, first word of the block, words in it and containment of every block that meets the threshold."""
-        block, word, source = self.blocks(w)
+        block, word, source, base = self.blocks(w)
         if not len(block):
             return []
         by = np.lexsort((rank[word], block))
@@ -160,7 +165,7 @@ class Scanner:
             for k, n in zip(b[overlap >= self.need[t]].tolist(), overlap[overlap >= self.need[t]].tolist(), strict=True):
                 any_word = int(source[begin[k]])
                 line, inside = int(w["line"][any_word]), int(w["in_line"][any_word])
-                cell = int(block[begin[k]]) - int((np.maximum(1, -(-w["line_size"][:line] // _STEP))).sum())
+                cell = int(block[begin[k]] - base[line])
                 start = cell * _STEP
                 size = min(BLOCK_WORDS, int(w["line_size"][line]) - start)
                 out.append((int(w["row"][any_word]), t, int(w["in_row"][any_word]) - inside + start, size, n / int(self.size[t])))
@@ -188,7 +193,7 @@ def _block_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     counts = np.zeros(len(scanner.words), np.int64)
     for batch in slices(batches, "text"):
         for w in scanner.views(scanner.read(*utf8(batch.column("text")))):
-            _, word, _ = scanner.blocks(w)
+            _, word, _, _ = scanner.blocks(w)
             counts += np.bincount(word, minlength=len(counts))
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(counts), dtype=np.int32)), pa.array(counts)], ["word", "n"])
 
