@@ -50,17 +50,24 @@ def fingerprint_of(data: bytes, width: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text"):
-        data, at = utf8(batch.column("text"))
-        raw = data.tobytes()
-        found = np.array([fingerprint_of(raw[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+def _text_key() -> list[Column]:
+    """128 bits of a text, by which equal rows know each other; null as empty."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return [F.xxhash64(text).alias("tx"), F.xxhash64(F.lit(1), text).alias("ty")]
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and the fingerprint as a signed 64-bit integer; a null text counts as empty."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
+    """doc_id, tx and ty, which tell texts apart, and the fingerprint as a signed 64-bit integer; a null text counts as empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            data, at = utf8(batch.column("text"))
+            raw = data.tobytes()
+            found = np.array([fingerprint_of(raw[a:b], width) for a, b in zip(at[:-1], at[1:], strict=True)], np.uint64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "tx", "ty")), pa.array(found.view(np.int64))], ["doc_id", "tx", "ty", "fp"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"), *_text_key())
+    return rows.mapInArrow(run, "doc_id long, tx long, ty long, fp long")
 
 
 def _mask(k: int) -> int:
@@ -124,34 +131,37 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("fp").join(labels, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
-def links(nodes: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs at MAX_BITS or fewer whose ends are in different ``groups``."""
+def links(nodes: DataFrame, groups: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """Pairs at ``max_bits`` or fewer whose ends are in different ``groups``; 5 at most, as one of three segments then differs in one bit or none."""
+    if max_bits >= 2 * (len(SEGMENTS) - 1):
+        raise ValueError("three segments find pairs of at most five differing bits")
     keyed = _variants(groups.select("fp", "root"))
     a, b = keyed.select("key", F.col("fp").alias("a"), F.col("root").alias("ra")), keyed.select("key", F.col("fp").alias("b"), F.col("root").alias("rb"))
     x = F.col("a").bitwiseXOR(F.col("b"))
-    near = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (F.bit_count(x) <= MAX_BITS) & (_first_key(x) == F.shiftright("key", 32).cast("int"))
+    near = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (F.bit_count(x) <= max_bits) & (_first_key(x) == F.shiftright("key", 32).cast("int"))
     return a.join(b, "key").where(near).select("ra", "rb", "a", "b")
 
 
-def simhash_components(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id: the smallest doc_id that links of MAX_BITS or fewer differing bits reach.
+def simhash_components(docs: DataFrame, width: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
+    """doc_id, tx, ty, fp, component_id: the smallest doc_id that links of ``max_bits`` or fewer differing bits reach; top, one fp of the component.
 
     Null and empty texts have fingerprint zero and link like any other. Rows
     may repeat; a group without any non-null doc_id has a null component_id.
     Other columns are ignored. An empty table gives an empty result.
     """
-    prints = cut(fingerprints(docs))
+    prints = cut(fingerprints(docs, width))
     nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     close = components(nodes.select("fp"), _one_bit_links(nodes.select("fp")))
     close = cut(close)
-    found = links(nodes, close)
+    found = links(nodes, close, max_bits)
     edges = cut(found.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
     top = components(close.select(F.col("root").alias("fp")).distinct(), edges)
     roots = close.join(top.select(F.col("fp").alias("root"), F.col("root").alias("top")), "root").select("fp", "top")
     named = nodes.join(roots, "fp")
-    smallest = named.groupBy("top").agg(F.min("first").alias("component_id"))
-    named = named.join(smallest, "top").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = cut(named.select("fp", "first", "top"))
+    smallest = cut(named.groupBy("top").agg(F.min("first").alias("component_id")))
+    named = named.join(smallest, "top").select("fp", "top", "component_id")
+    return prints.join(named, "fp").select("doc_id", "tx", "ty", "fp", "component_id", "top")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -159,7 +169,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return simhash_components(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """The documents, all columns, of which one stays for each near-duplicate group: that with the smallest doc_id."""
-    kept = simhash_components(docs).where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+def one_of_each_group(docs: DataFrame, width: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
+    """The documents, all columns, of which exactly one row stays for each near-duplicate group.
+
+    It is the row with the smallest doc_id, nulls last; of several with that
+    doc_id one by its text, and of rows that repeat both any one. An empty
+    table gives an empty result.
+    """
+    rows = simhash_components(docs, width, max_bits)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tx", "ty")).alias("one")
+    kept = rows.groupBy("top").agg(first).select(F.col("one.doc_id").alias("_id"), F.col("one.tx").alias("_x"), F.col("one.ty").alias("_y"))
+    tx, ty = _text_key()
+    keyed = docs.select(F.col("doc_id").cast("long").alias("_d"), tx.alias("_tx"), ty.alias("_ty"), F.struct(*docs.columns).alias("doc"))
+    own = keyed["_d"].eqNullSafe(kept["_id"]) & (keyed["_tx"] == kept["_x"]) & (keyed["_ty"] == kept["_y"])
+    return keyed.join(kept, own, "left_semi").groupBy("_d", "_tx", "_ty").agg(F.first("doc").alias("doc")).select("doc.*")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import random
 import re
 import string
@@ -160,6 +161,39 @@ def test_quality_scores_are_the_mean_ratios(spark: SparkSession, docs: DataFrame
         assert any(r["doc_id"] == doc_id and abs(r["log_weight"] - want) < 1e-9 for r in found)
 
 
+def test_quality_draw_against_brute_force(spark: SparkSession) -> None:
+    """Models, cut and draw written out again over words; hashes and noise are the operator's."""
+    r = random.Random(23)
+    texts = [" ".join(r.choices(("fine", "good", "words", "here", "now") if k % 3 else ("junk", "$$$", "buy", "now"), k=12)) for k in range(90)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(k, int(k % 3 > 0)) for k in range(0, 60)] * 2, "doc_id long, quality int")
+
+    def buckets(text: str) -> list[int]:
+        data = np.frombuffer(text.encode(), np.uint8)
+        return quality.ngrams(data, np.array([0, len(data)]))[0].tolist()
+
+    assert len(buckets("fine good good")) == 5 and len(set(buckets("a a b b"))) == 4
+    raw, target = Counter(), Counter()
+    for k, t in enumerate(texts):
+        raw.update(buckets(t))
+        if k < 60 and k % 3:
+            target.update(buckets(t))
+    size = quality.BUCKETS
+    ratio = {b: math.log((target[b] + 1) / (target.total() + size)) - math.log((raw[b] + 1) / (raw.total() + size)) for b in raw}
+    means = [sum(ratio[b] for b in buckets(t)) / len(buckets(t)) for t in texts]
+    known = sorted((means[k], k % 3 > 0) for k in range(60))
+    options = [(sum(not g for m, g in known if m < c) / 20 - quality.GOOD_WEIGHT * sum(g for m, g in known if m < c) / 40, -c) for c in {m for m, _ in known}]
+    best = -max(options)[1]
+    best = (best + max(m for m, _ in known if m < best)) / 2
+    k = sum(m >= best for m in means)
+    noise = {r["id"]: r["u"] for r in spark.range(90).select("id", ((F.shiftrightunsigned(F.xxhash64("id", F.lit(quality.SEED)), 12).cast("double") + 0.5) / float(1 << 52)).alias("u")).collect()}
+    keys = {i: means[i] * quality.EFFECTIVE_NGRAMS - math.log(-math.log(noise[i])) for i in range(90)}
+    want = set(sorted(keys, key=keys.get, reverse=True)[:k])
+    found = quality.quality_scores(df, labels).collect()
+    assert {x["doc_id"] for x in found if x["kept"]} == want
+    assert all(x["log_weight"] == pytest.approx(means[x["doc_id"]]) for x in found)
+
+
 def test_quality_without_labels_keeps_everything(spark: SparkSession, docs: DataFrame) -> None:
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality.good_documents(docs, none).count() == docs.count()
@@ -224,6 +258,14 @@ def test_license_lines_still_count_by_themselves(spark: SparkSession) -> None:
     assert {r["labels"] for r in licenses.license_labels(df).collect()} == {"bsd"}
 
 
+def test_license_of_empty_tables_and_long_texts(spark: SparkSession) -> None:
+    long = passage(22, 60_000) + "\nmit license\n" + passage(23, 60_000)
+    df = spark.createDataFrame([(1, long), (1, long), (None, None)], "doc_id long, text string")
+    found = sorted(((r["doc_id"], r["n_words"], r["first_word"]) for r in licenses.license_labels(df).collect()), key=str)
+    assert found == [(1, 120_002, 60_000), (1, 120_002, 60_000), (None, 0, None)]
+    assert licenses.license_labels(df.limit(0)).count() == 0
+
+
 # 5
 
 
@@ -345,6 +387,55 @@ def test_forward_sums_all_segmentations() -> None:
     assert language.forward(lattice, size, chance)[0, 3, 0] == pytest.approx(want)
 
 
+def brute_log(word: str, pieces: dict[str, float], unknown: float) -> float:
+    """The sum over all segmentations, in exact fractions."""
+    sums = [Fraction(1)]
+    for end in range(1, len(word) + 1):
+        sums.append(sum(sums[s] * Fraction(pieces.get(word[s:end], unknown if end - s == 1 else 0)) for s in range(max(0, end - 5), end)))
+    return math.log(sums[-1].numerator) - math.log(sums[-1].denominator)
+
+
+def test_long_words_sum_all_segmentations() -> None:
+    r = random.Random(17)
+    names = sorted({"".join(r.choices("abc", k=n)) for n in (1, 2, 3, 5) for _ in range(6)} | {"▁a", "abcab"})
+    chance = np.array([[r.random() / 20, r.random() / 9] for _ in names] + [[1e-7, 1e-7]])
+    pieces = language.Pieces(names)
+    words = ["▁" + "".join(r.choices("abcd", k=n)) for n in (1, 40, 41, 511, 512, 513, 1500)]
+    got = pieces.log_sums(words, chance)
+    for k in range(2):
+        given = dict(zip(names, chance[:, k].tolist(), strict=False))
+        assert got[:, k] == pytest.approx([brute_log(w, given, 1e-7) for w in words], rel=1e-9)
+    lattice, size = pieces.lattice(words[:2])
+    assert np.log(language.forward(lattice, size, chance)[[0, 1], size]) == pytest.approx(got[:2], rel=1e-9)
+
+
+def test_expected_counts_of_a_long_word() -> None:
+    """A count is the change of the log sum with the log chance of its piece."""
+    r = random.Random(18)
+    names = ["a", "b", "ab", "ba", "aba", "▁"]
+    chance = np.array([[r.random() / 9] for _ in names] + [[1e-7]])
+    pieces, word, h = language.Pieces(names), "▁" + "".join(r.choices("ab", k=900)), 1e-6
+    log = pieces.log_sums([word], chance)[0, 0]
+    got = language.expected_counts(*pieces.lattice([word]), np.array([3.0]), chance, np.array([np.exp(-log / len(word))]))
+    for k in range(len(names)):
+        more = chance.copy()
+        more[k] *= 1 + h
+        assert got[k] == pytest.approx(3 * (pieces.log_sums([word], more)[0, 0] - log) / h, rel=1e-3)
+
+
+def test_language_of_texts_without_blanks_and_many_languages(spark: SparkSession) -> None:
+    r = random.Random(19)
+    rows = [(4 * k, "".join(r.choices(letters, k=3000)), lang) for lang, letters in (("p", "abcde"), ("q", "vwxyz")) for k in range(6)]
+    rows += [(1000 + k, "".join(r.choices(letters, k=10_000)), None) for k, letters in enumerate(("abcde", "vwxyz"))]
+    df = spark.createDataFrame(rows + rows[:3], "doc_id long, text string, lang string")
+    found = {x["doc_id"]: x["lang_pred"] for x in language.predicted(df).collect()}
+    assert (found[1000], found[1001]) == ("p", "q")
+    many = spark.range(600).select("id", F.concat(F.lit("l"), F.lpad((F.col("id") % 150).cast("string"), 3, "0")).alias("lang"))
+    many = many.select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.sha2("lang", 256), F.sha2("lang", 224)).alias("text"), "lang")
+    counts = language.training_words(many).select("lang").distinct().count()
+    assert counts == 150
+
+
 # 8
 
 
@@ -394,6 +485,15 @@ def test_top_k_with_ties_and_odd_vectors(spark: SparkSession) -> None:
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_of_repeated_queries_and_large_parts(spark: SparkSession) -> None:
+    df = spark.createDataFrame([(100, [3.0, 0.0]), (100, [1.0, 9.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    for parts in (1, 3):
+        got = [tuple(x) for x in topk.top_k(df.repartition(parts)).orderBy("query_id", "rank").collect()]
+        assert got == [(100, 1, 2, 9 << 20), (100, 2, 1, 1 << 20)]
+    with pytest.raises(Exception, match="too large"):
+        topk.top_k(spark.createDataFrame([(0, [1e300]), (1, [1.0])], df.schema)).collect()
+
+
 # 10
 
 
@@ -431,7 +531,17 @@ def test_links_of_close_fingerprints(spark: SparkSession) -> None:
     alone = nodes.select("fp", F.col("fp").alias("root"))
     got = {tuple(x) for x in simhash.links(nodes, alone).select("a", "b").collect()}
     assert got == {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 4}
-    assert simhash.links(nodes, alone).count() == len(got)
+    wide = {tuple(x) for x in simhash.links(nodes, alone, 5).select("a", "b").collect()}
+    assert wide == {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 5}
+
+
+def test_one_row_of_each_group_stays(spark: SparkSession, docs: DataFrame) -> None:
+    texts = [passage(40 + k, 60) for k in range(4)]
+    rows = [(7, texts[0], 1), (7, texts[0], 1), (None, texts[0], 2), (None, texts[1], 3), (None, texts[1], 3), (9, texts[2] + " x", 4), (9, texts[2], 5), (3, texts[2], 6), (9, texts[3], 7)]
+    out = simhash.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string, fp int").repartition(4)).collect()
+    assert sorted(map(str, ((r["doc_id"], r["text"], r["fp"]) for r in out))) == sorted(map(str, [rows[0], rows[3], rows[7], rows[8]]))
+    groups = {r["top"] for r in simhash.simhash_components(docs).collect()}
+    assert simhash.one_of_each_group(docs).count() == len(groups)
 
 
 def test_near_duplicates_of_nothing(docs: DataFrame) -> None:
