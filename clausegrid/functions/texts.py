@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -23,6 +24,27 @@ def count_hits(text: Column, patterns: list[str]) -> Column:
     return reduce(lambda a, b: a + b, (F.when(text.rlike(p), 1).otherwise(0) for p in patterns))
 
 
+_PARTS = (r"\\.(?:[?*+]|\{[^}]*\})?", r"\[[^\]]*\](?:[?*+]|\{[^}]*\})?", r"\(\?[a-z]+\)", r"[^|()\\][?*]")
+
+
+def plain_words(pattern: str) -> list[str]:
+    """Runs of three letters or more, in lower case, that any text must hold where the pattern is found; none if that is not plain."""
+    for part in _PARTS:
+        pattern = re.sub(part, " ", pattern)
+    while (inner := re.sub(r"\([^()]*\)(?:[?*+]|\{[^}]*\})?", " ", pattern)) != pattern:
+        pattern = inner
+    return [] if "|" in pattern else re.findall(r"[a-z]{3,}", pattern.lower())
+
+
+def found(text: Column, low: Column, pattern: str, as_given: str | None = None) -> Column:
+    """Whether the pattern is found in the text; ``low``, the text in lower case, is searched for its plain words first.
+
+    ``as_given`` is the pattern before it was put into Java's form.
+    """
+    words = plain_words(as_given or pattern)
+    return reduce(lambda a, b: a & b, [*(low.contains(w) for w in words), text.rlike(pattern)])
+
+
 def chain(text: Column, steps: list[tuple[str, str]]) -> Column:
     """Replacements applied one after another."""
     for pattern, by in steps:

@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clausegrid.functions.texts import found
 from clausegrid.operators.portfolio import risk_level
 
 RELEVANT = 0.5
@@ -162,12 +163,97 @@ VIOLATIONS = (
         sections=("137", "138", "139", "137.*", "138.*", "139.*"),
     ),
 )
+DAYS_OR_HOURS = ("~within\\s+\\d+\\s*(hour|day)",)
+MAJOR_SYSTEMS = ("furnace", "plumbing", "electrical", "hvac")
+ENDING = ("terminat", "vacat", "leave")
+GIVES_NOTICE = ("must give", "shall give", "required to give", "obligated to give")
+
+# Violations that the text shows by itself, in order; several rows of one name are alternatives.
+TEXT_VIOLATIONS = (
+    Rule("self_help_eviction", (("change the locks", "change locks", "alter the locks", "remove the tenant", "remove tenant's belongings", "seize the tenant", "tenant's belongings will be"),)),
+    Rule("self_help_eviction", (("vacate",), (*DAYS_OR_HOURS, "immediately"))),
+    Rule("self_help_eviction", (("leave the premises",), DAYS_OR_HOURS)),
+    Rule("unlawful_termination", (("verbal", "verbally", "oral notice"), ("notice", "terminat", "vacate"))),
+    Rule("unlawful_termination", (("~(^|[^0-9a-z_])([1-9]|[1-5]\\d)\\s*days?\\s*(written\\s+)?notice",), ("terminat", "vacate", "end the tenancy"))),
+    Rule("rta_waiver", (("waive", "waiver"), ("all rights", "any rights", "right to dispute", "right to appeal", "right to apply", "rights under", "rta rights", "statutory rights"))),
+    Rule("rta_waiver", (("by signing",), ("waive", "forfeit", "relinquish"))),
+    Rule("maintenance_offloaded", (("tenant", "renter"), MAJOR_SYSTEMS, ("responsible", "bear", "cost", "repair", "maintain", "expense"))),
+    Rule("early_termination_fee", (("lease-break", "lease break", "break fee"),)),
+    Rule("early_termination_fee", (("liquidated damage",), ("terminat", "vacat"))),
+    Rule("early_termination_fee", (("early termination",), ("fee", "penalt", "charge"), ("pay", "shall", "must"))),
+    Rule("early_termination_fee", (("~(two|three|four|[2-4])\\s+month",), ENDING, ("fee", "penalt", "pay"))),
+    Rule("surveillance_in_unit", (("camera", "surveillance", "cctv", "monitoring device", "recording device"), ("unit", "interior", "inside", "premises", "bedroom", "bathroom", "living"))),
+    Rule("guest_surcharge", (("~\\$\\s*\\d+.*per\\s*(guest|visitor|person|night)", "~per\\s*(guest|visitor|person|night).*\\$\\s*\\d+"), ("charge", "fee", "billed", "pay", "owe"))),
+    Rule("guest_surcharge", (("per night",), ("guest", "visitor"), ("~\\$\\s*\\d+",), ("charge", "fee", "billed", "pay", "owe"))),
+    Rule("assignment_fee", (("assign", "sublet", "sublease"), ("fee", "charge", "administrative", "processing"), ("~\\$\\s*\\d+",))),
+    Rule(
+        "vital_services_cutoff",
+        (
+            ("tenant", "renter"),
+            ("responsible for", "must ensure", "may disconnect", "may cut off", "not liable if", "at tenant's expense", "at the tenant's expense", "tenant shall pay for"),
+            ("heat", "hydro", "water", "gas", "electricity"),
+        ),
+        ("directly to", "utility provider"),
+    ),
+    Rule(
+        "assignment_prohibition",
+        (
+            (
+                "no assignment",
+                "no subletting",
+                "may not assign",
+                "may not sublet",
+                "not permitted to assign",
+                "not permitted to sublet",
+                "~(assignment|subletting).*(prohibited|forbidden|not allowed)",
+                "~(assignment|subletting).*not.*(permit|allow)",
+            ),
+        ),
+        ("with consent", "with written consent", "subject to", "with approval", "not unreasonably", "not arbitrarily"),
+    ),
+    Rule(
+        "unlawful_renewal_obligation",
+        (GIVES_NOTICE, ("~(^|[^0-9a-z_])([3-9]\\d|[1-9]\\d{2})\\s*day",), ("not renew", "intention to vacate", "intent not to continue", "will not be continuing", "will not renew")),
+    ),
+    Rule("unlawful_renewal_obligation", (("automatically renew",), ("fixed term", "one year", "1 year", "~\\d+.year.term")), ("month-to-month",)),
+    Rule(
+        "retaliation_or_coercion",
+        (
+            ("waive", "waiver", "forfeit"),
+            ("right to complain", "right to apply", "right to contact", "right to file", "ltb", "landlord and tenant board", "any government", "any authority"),
+        ),
+    ),
+    Rule(
+        "retaliation_or_coercion",
+        (("terminat", "evict", "penalt"), ("if tenant complains", "any complaint made", "any application to", "for making any request", "for exercising")),
+    ),
+)
 CRITICAL = ("rent_increase_without_guideline", "waiver_of_rights", "rta_waiver", "vital_services_cutoff", "multiple_rent_increases", "retaliation_or_coercion")
 
 # Points that wordings add by themselves.
 BONUSES = (
     Rule("no_refund", (NO_REFUND, ("deposit", "fee", "cleaning")), points=4),
     Rule("daily", (("~\\$\\s*\\d+.*per\\s*day", "~per\\s*day.*\\$\\s*\\d+", "~per day.*(penalty|fee|late)", "~(penalty|fee|late).*per day"),), points=4),
+    Rule(
+        "repairs",
+        (
+            (
+                "100%",
+                "all repairs",
+                "all maintenance",
+                "all costs",
+                "sole responsibility",
+                "bear all",
+                "tenant's expense",
+                "tenant shall repair",
+                "tenant is responsible for repair",
+                "responsible for all repair",
+                "responsible for any repair",
+            ),
+            ("repair", "maintenance", "appliance"),
+        ),
+        points=3,
+    ),
     Rule("systems", (("furnace", "plumbing", "electrical", "hvac", "boiler", "water heater"), ("tenant", "renter"), ("responsible", "repair", "cost", "maintain", "expense", "bear")), points=3),
     Rule("cameras", (("camera", "surveillance", "cctv", "monitoring device", "recording device"), ("unit", "premises", "living", "inside", "interior", "bedroom", "bathroom")), points=4),
     Rule("guests", (("~\\$\\s*\\d+.*per\\s*(guest|person|visitor)", "~per\\s*(guest|person|visitor).*\\$\\s*\\d+"),), points=4),
@@ -209,6 +295,22 @@ UNUSUAL = (
     "with.*or.*without.*cause",
     "without.*reason",
 )
+#: A text bonus with alternatives: it counts once if any of them holds.
+EVICTS, EVICTS_POINTS = (
+    (
+        Rule("locks", (("change the locks", "change locks", "alter the locks", "remove the tenant", "tenant's belongings will be"),)),
+        Rule("locks", (("vacate",), (*DAYS_OR_HOURS, "immediately"))),
+        Rule("locks", (("leave the premises",), DAYS_OR_HOURS)),
+    ),
+    5,
+)
+# Wordings that keep a cap from applying, by clause type.
+PET_BANS = ("no pet", "no animals", "pets are not permitted")
+PET_ENFORCED = ("fine", "penalt", "evict", "terminat", "fee", "charge")
+RENT_PROHIBITED = ("post-dated", "postdated", "late fee", "late charge", "penalty", "interest on late", *NO_REFUND[:1])
+CLEANLINESS = ("ordinary cleanliness", "reasonable cleanliness", "clean and tidy")
+MORE_THAN_CLEANING = ("responsible for all repair", "responsible for all maintenance", "plumbing", "electrical", "structural")
+TENANT_WEIGHT, LANDLORD_WEIGHT = 0.5, -0.3
 DEFERS = ("residential tenancies act", "pursuant to the act", "as required by the act", "in accordance with the residential tenancies")
 
 
@@ -217,20 +319,22 @@ class Spark:
 
     @staticmethod
     def any_(text: Column, phrases: Group) -> Column:
-        return reduce(lambda a, b: a | b, (text.rlike(p[1:]) if p[0] == "~" else text.contains(p) for p in phrases), F.lit(False))
+        return reduce(lambda a, b: a | b, (found(text, text, p[1:]) if p[0] == "~" else text.contains(p) for p in phrases), F.lit(False))
 
     @classmethod
     def section(cls, number: Column, sections: Group) -> Column:
         return reduce(lambda a, b: a | b, (number.startswith(s[:-1]) if s.endswith("*") else number == s for s in sections), F.lit(not sections))
 
     @classmethod
-    def holds(cls, rule: Rule, text: Column, number: Column | None = None, law: Column | None = None) -> Column:
+    def holds(cls, rule: Rule, text: Column) -> Column:
+        """The rule's phrases, whatever the section."""
         parts = [cls.any_(text, g) for g in rule.every] + ([~cls.any_(text, rule.none)] if rule.none else [])
-        if number is not None and rule.sections:
-            parts.append(cls.section(number, rule.sections))
-        if law is not None and rule.law:
-            parts.append(cls.any_(law, rule.law))
-        return reduce(lambda a, b: a & b, parts)
+        return reduce(lambda a, b: a & b, parts, F.lit(True))
+
+    @classmethod
+    def concerns(cls, rule: Rule, number: Column, law: Column) -> Column:
+        """Whether the rule looks at a section with this number and text."""
+        return cls.section(number, rule.sections) & (cls.any_(law, rule.law) if rule.law else F.lit(True))
 
 
 def _sum(conditions: list[Column], points: list[float]) -> Column:
@@ -241,38 +345,58 @@ def scored(clauses: DataFrame) -> DataFrame:
     """Adds violations, risk_score, risk_level, unenforceable and confidence to clauses.
 
     Needs text, clause_type and statutes, an array of (section, text,
-    relevance). A blank text scores 1 with confidence 0. Without relevant
-    sections the score is capped at 5 after the level was set.
+    relevance), and takes decisions, an array of (outcome, relevance), where
+    the clauses have it. Violations that sections show come first; those that
+    the text shows follow, each kind once, unless a section has shown it. A
+    blank text scores 1 with confidence 0. Without any section the score is
+    capped at 5 after the level was set.
     """
     low = F.lower(F.coalesce(F.col("text"), F.lit("")))
     rows = clauses.withColumn("_t", low).withColumn("_s", F.filter("statutes", lambda s: s["relevance"] >= RELEVANT))
     t = F.col("_t")
 
+    # What the text holds is found once; each section then only asks which of it concerns it.
+    rows = rows.withColumns({"_ok": F.array(*(Spark.holds(r, t) for r in COMPLIANT)), "_bad": F.array(*(Spark.holds(r, t) for r in VIOLATIONS))})
+
     def violation(s: Column) -> Column:
         number, law = s["section"], F.lower(s["text"])
         out = F.lit(None).cast("string")
-        for rule in reversed(VIOLATIONS):
-            out = F.when(Spark.holds(rule, t, number, law), rule.name).otherwise(out)
-        complies = reduce(lambda a, b: a | b, (Spark.holds(r, t, number) for r in COMPLIANT))
+        for k, rule in reversed(list(enumerate(VIOLATIONS))):
+            out = F.when(F.col("_bad")[k] & Spark.concerns(rule, number, law), rule.name).otherwise(out)
+        complies = reduce(lambda a, b: a | b, (F.col("_ok")[k] & Spark.concerns(r, number, law) for k, r in enumerate(COMPLIANT)))
         return F.when(~complies, out)
 
-    rows = rows.withColumn("violations", F.filter(F.transform("_s", violation), lambda v: v.isNotNull()))
+    rows = rows.withColumn("_v", F.filter(F.transform("_s", violation), lambda v: v.isNotNull())).drop("_ok", "_bad")
+    alternatives: dict[str, list[Rule]] = {}
+    for rule in TEXT_VIOLATIONS:
+        alternatives.setdefault(rule.name, []).append(rule)
+    by_text = F.array(*(F.when(reduce(lambda a, b: a | b, (Spark.holds(r, t) for r in rules)), name) for name, rules in alternatives.items()))
+    blank = F.trim("_t") == ""
+    by_text = F.filter(by_text, lambda v: v.isNotNull() & ~F.array_contains("_v", v))
+    rows = rows.withColumn("violations", F.when(blank, F.array().cast("array<string>")).otherwise(F.concat("_v", by_text))).drop("_v")
     kind, n = F.col("clause_type"), F.size("violations")
     defers = Spark.any_(t, DEFERS)
     base = F.when(kind.isin(*PLAIN_TYPES), 1.0).otherwise(3.0)
-    base = base + F.least(F.lit(2.0), 0.7 * _sum([t.rlike(p) for p in RESTRICTIVE], [1.0] * len(RESTRICTIVE)))
-    base = base + F.when(reduce(lambda a, b: a | b, (t.rlike(p) for p in UNUSUAL)), 1.5).otherwise(0.0) + F.when(kind.isin(*HIGH_TYPES) & ~defers, 1.0).otherwise(0.0)
-    rows = rows.withColumn("_x", F.least(F.lit(10.0), base))
+    base = base + F.least(F.lit(2.0), 0.7 * _sum([found(t, t, p) for p in RESTRICTIVE], [1.0] * len(RESTRICTIVE)))
+    base = base + F.when(reduce(lambda a, b: a | b, (found(t, t, p) for p in UNUSUAL)), 1.5).otherwise(0.0) + F.when(kind.isin(*HIGH_TYPES) & ~defers, 1.0).otherwise(0.0)
+    if "decisions" in clauses.columns:
+        won = lambda side: F.size(F.filter("decisions", lambda d: (d["relevance"] >= RELEVANT) & (d["outcome"] == side)))
+        base = base + TENANT_WEIGHT * won("tenant_favour") + LANDLORD_WEIGHT * won("landlord_favour")
+    rows = rows.withColumn("_x", F.greatest(F.lit(1.0), F.least(F.lit(10.0), base)))
     x = F.col("_x")
     x = F.when((kind == "entry_rights") & Spark.any_(t, ("24 hour", "24-hour")) & Spark.any_(t, WRITTEN), F.least(x, F.lit(3.0))).otherwise(x)
     x = F.when((kind == "entry_rights") & Spark.any_(t, EMERGENCY), F.greatest(F.lit(1.0), x - 1)).otherwise(x)
     x = F.when((kind == "security_deposit") & t.contains("last month") & ~Spark.any_(t, NO_REFUND), F.least(x, F.lit(2.0))).otherwise(x)
+    x = F.when((kind == "pets") & Spark.any_(t, PET_BANS) & ~Spark.any_(t, PET_ENFORCED), F.least(x, F.lit(3.0))).otherwise(x)
+    x = F.when((kind == "rent_payment") & ~Spark.any_(t, RENT_PROHIBITED), F.least(x, F.lit(4.0))).otherwise(x)
+    x = F.when((kind == "maintenance_repairs") & Spark.any_(t, CLEANLINESS) & ~Spark.any_(t, MORE_THAN_CLEANING), F.least(x, F.lit(3.0))).otherwise(x)
     rows = rows.withColumn("_x", F.when(defers, F.greatest(F.lit(1.0), x - 1)).otherwise(x))
     bonus = _sum([Spark.holds(r, t) for r in BONUSES], [r.points for r in BONUSES])
+    bonus = bonus + F.when(reduce(lambda a, b: a | b, (Spark.holds(r, t) for r in EVICTS)), float(EVICTS_POINTS)).otherwise(0.0)
     raw = F.col("_x") + F.least(F.lit(4.0), 3.0 * n) + bonus
     floor = F.when(F.exists("violations", lambda v: v.isin(*CRITICAL)), 7.0).when(n > 0, 5.0).otherwise(1.0)
     rows = rows.withColumn("_x", F.greatest(floor, F.floor(F.least(F.lit(10.0), F.greatest(F.lit(1.0), raw)) + 0.5)))
-    blank, relevant = F.trim("_t") == "", F.size("_s")
+    relevant = F.size("_s")
     return rows.withColumns(
         {
             "risk_level": F.when(blank, "low").otherwise(risk_level(F.col("_x"))),

@@ -14,18 +14,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausegrid.functions.texts import count_hits
+from clausegrid.functions.texts import found
 
 # Personal data and what stands for it, in order; \b is a boundary of ASCII words.
 PERSONAL = (
     (r"\b[A-Z][a-z]+ [A-Z][a-z]+\b", "[NAME]"),
     (r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", "[EMAIL]"),
-    (r"\b[A-Z][0-9][A-Z][ \t]*[0-9][A-Z][0-9]\b", "[POSTAL]"),
-    (r"\b[0-9]{1,6}[ \t]+[A-Z][a-z]+(?:[ \t]+[A-Z][a-z]+){0,3}[ \t]+(?:Street|St|Avenue|Ave|Road|Rd|Drive|Dr|Boulevard|Blvd|Crescent|Cres|Court|Ct|Lane|Ln|Way|Place|Pl)\b", "[ADDRESS]"),
-    (r"\b(?:\+?1[-. ]?)?\(?[0-9]{3}\)?[-. ]?[0-9]{3}[-. ]?[0-9]{4}\b", "[PHONE]"),
-    (r"\$[ \t]*[0-9,]+(?:\.[0-9]{2})?", "$[AMOUNT]"),
-    (r"(?:Unit|Apt|Suite|Apartment)[ \t]*#?[ \t]*[0-9]+[A-Z]?", "[UNIT]"),
-    (r"\b[0-9]{3}[- ]?[0-9]{3}[- ]?[0-9]{3}\b", "[ID_NUMBER]"),
+    (r"\b[A-Z]\d[A-Z]\s*\d[A-Z]\d\b", "[POSTAL]"),
+    (r"(?i)\b\d{1,6}\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,3}\s+(?:Street|St|Avenue|Ave|Road|Rd|Drive|Dr|Boulevard|Blvd|Crescent|Cres|Court|Ct|Lane|Ln|Way|Place|Pl)\b", "[ADDRESS]"),
+    (r"\b(?:\+?1[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b", "[PHONE]"),
+    (r"\$\s*[\d,]+(?:\.\d{2})?", "$[AMOUNT]"),
+    (r"(?i)(?:Unit|Apt|Suite|Apartment)\s*#?\s*\d+[A-Z]?", "[UNIT]"),
+    (r"\b\d{3}[-\s]?\d{3}[-\s]?\d{3}\b", "[ID_NUMBER]"),
 )
 
 # Signs of documents that are no leases, and of leases; \b as above.
@@ -124,8 +124,12 @@ def java(pattern: str) -> str:
     return pattern.replace(r"\b", _BOUNDARY)
 
 
-def _any(text: Column, patterns: tuple[str, ...]) -> Column:
-    return reduce(lambda a, b: a | b, (text.rlike(java(p)) for p in patterns))
+def _any(text: Column, low: Column, patterns: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, (found(text, low, java(p), p) for p in patterns))
+
+
+def _hits(text: Column, low: Column, patterns: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a + b, (F.when(found(text, low, java(p), p), 1).otherwise(0) for p in patterns))
 
 
 def scrubbed(text: Column) -> Column:
@@ -135,36 +139,66 @@ def scrubbed(text: Column) -> Column:
     return text
 
 
-def kind_of(text: Column) -> Column:
-    """resume, invoice, other_contract, unknown or lease, by signs in this order."""
-    hits = lambda patterns: count_hits(text, [java(p) for p in patterns])
-    return F.when(hits(RESUME) >= 2, "resume").when(hits(INVOICE) >= 2, "invoice").when(_any(text, OTHER_CONTRACT), "other_contract").when(hits(LEASE) < 2, "unknown").otherwise("lease")
+def kinds(docs: DataFrame) -> DataFrame:
+    """Adds kind: resume, invoice, other_contract, unknown or lease, by signs in this order. Needs text."""
+    rows = docs.withColumn("_low", F.lower("text"))
+    text, low = F.col("text"), F.col("_low")
+    hits = lambda patterns: _hits(text, low, patterns)
+    kind = F.when(hits(RESUME) >= 2, "resume").when(hits(INVOICE) >= 2, "invoice").when(_any(text, low, OTHER_CONTRACT), "other_contract").when(hits(LEASE) < 2, "unknown").otherwise("lease")
+    return rows.withColumn("kind", kind).drop("_low")
 
 
-def _province(text: Column) -> Column:
+def _province(low: Column) -> Column:
     out = F.lit(None).cast("string")
     for name, code in reversed(PROVINCES):
-        out = F.when(F.lower(text).contains(name), code).otherwise(out)
+        out = F.when(low.contains(name), code).otherwise(out)
     return out
 
 
+# Where a text says which law governs it, in order.
+GOVERNING_LAW = (
+    r"(?i)governing\s+law[^\n.]{0,300}",
+    r"(?i)this\s+(?:agreement|lease)\s+(?:shall\s+be\s+)?governed\s+by[^\n.]{0,300}",
+    r"(?i)applicable\s+law[^\n.]{0,300}",
+    r"(?i)jurisdiction[^\n.]{0,150}",
+)
+
+
 def jurisdictions(docs: DataFrame) -> DataFrame:
-    """doc_id, code and votes: the province with the most votes from legislation (2 each), postal codes (2) and names (1).
+    """doc_id, code, votes, confidence, ambiguous and supported.
 
-    Signs of another country come first and give INTL; without any vote the
-    code is UNKNOWN. Ties go to the vote that was cast first.
+    The province with the most votes counts: from a clause on governing law
+    (3), legislation (2 each), postal codes (2) and names (1); of equals the one
+    that was voted for first. Signs of another country come first and give
+    INTL. A second one with at least 0.7 of the votes makes it ambiguous.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    acts = count_hits(text, [java(p) for p in ONTARIO_ACTS])
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text")).withColumn("_low", F.lower("_text"))
+    text, low = F.col("_text"), F.col("_low")
+    law = F.coalesce(*(F.nullif(F.regexp_extract(text, p, 0), F.lit("")) for p in GOVERNING_LAW))
+    acts = _hits(text, low, ONTARIO_ACTS)
     letters = F.regexp_extract_all(text, F.lit(java(POSTAL)), 1)
     other = F.element_at(F.create_map(*(F.lit(x) for kv in POSTAL_LETTERS.items() for x in kv)), F.element_at(letters, 1))
     postal = F.when(F.exists(letters, lambda x: x.isin("M", "K", "L", "N", "P")), "CA-ON").when(F.size(letters) > 0, other)
     vote = lambda place, code, n: F.struct(F.lit(place).alias("place"), code.alias("code"), n.cast("int").alias("n"))
-    cast = F.array(vote(1, F.when(acts > 0, "CA-ON"), acts * 2), vote(2, postal, F.lit(2)), vote(3, _province(text), F.lit(1)))
-    votes = docs.select("doc_id", _any(text, ABROAD).alias("abroad"), F.filter(cast, lambda v: v["code"].isNotNull()).alias("cast"))
-    codes = F.transform(F.array_distinct(F.transform("cast", lambda v: v["code"])), lambda c: F.struct(F.aggregate(F.filter("cast", lambda v: v["code"] == c), F.lit(0), lambda s, v: s + v["n"]).alias("n"), (-F.array_position(F.transform("cast", lambda v: v["code"]), c)).alias("place"), c.alias("code")))
-    best = votes.select("doc_id", "abroad", F.array_max(codes).alias("best"))
-    return best.select("doc_id", F.when(F.col("abroad"), "INTL").otherwise(F.coalesce("best.code", F.lit("UNKNOWN"))).alias("code"), F.when(~F.col("abroad"), F.coalesce("best.n", F.lit(0))).otherwise(0).alias("votes"))
+    cast = F.array(vote(0, _province(F.lower(law)), F.lit(3)), vote(1, F.when(acts > 0, "CA-ON"), acts * 2), vote(2, postal, F.lit(2)), vote(3, _province(low), F.lit(1)))
+    votes = docs.select("doc_id", _any(text, low, ABROAD).alias("abroad"), F.filter(cast, lambda v: v["code"].isNotNull()).alias("cast"))
+    given = F.transform("cast", lambda v: v["code"])
+    sums = F.transform(F.array_distinct(given), lambda c: F.struct(F.aggregate(F.filter("cast", lambda v: v["code"] == c), F.lit(0), lambda s, v: s + v["n"]).alias("n"), (-F.array_position(given, c)).alias("place"), c.alias("code")))
+    best = votes.select("doc_id", "abroad", F.reverse(F.array_sort(sums)).alias("by"))
+    first, second = F.get("by", F.lit(0)), F.get("by", F.lit(1))
+    total = F.aggregate("by", F.lit(0), lambda s, x: s + x["n"])
+    unsure = F.coalesce(second["n"] >= first["n"] * 0.7, F.lit(False))
+    none = F.size("by") == 0
+    sure = F.when(F.col("abroad"), 0.5).when(none, 0.1).when(unsure, 0.3).otherwise(F.least(F.lit(0.95), first["n"] / total + 0.3))
+    code = F.when(F.col("abroad"), "INTL").otherwise(F.coalesce(first["code"], F.lit("UNKNOWN")))
+    return best.select(
+        "doc_id",
+        code.alias("code"),
+        F.when(F.col("abroad"), 0).otherwise(F.coalesce(first["n"], F.lit(0))).alias("votes"),
+        F.floor(sure * 100 + 0.5).cast("int").alias("confidence_pct"),
+        (unsure & ~F.col("abroad")).alias("ambiguous"),
+        (code == "CA-ON").alias("supported"),
+    )
 
 
 def outcomes(decisions: DataFrame) -> DataFrame:

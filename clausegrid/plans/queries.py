@@ -263,27 +263,81 @@ def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.hybrid(vectors, retrieval.bm25(_texts(spark, sf_dir), _ASKED, 30), 10).select("query_id", "id", "score", "rank")
 
 
-@query("""
-WITH l AS (SELECT doc_id, source, trim(unnest(string_split(text, chr(10))), ' ') AS line FROM documents WHERE text IS NOT NULL),
-c AS (SELECT source AS file, line, count(DISTINCT doc_id) AS pages FROM l WHERE line <> '' GROUP BY ALL),
-p AS (SELECT source AS file, count(DISTINCT doc_id) AS total FROM documents GROUP BY ALL)
-SELECT c.file, c.line, c.pages FROM c JOIN p USING (file) WHERE pages >= greatest(2, floor(total * 0.3))""")
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pages of their source, with a header and a page number as printed ones have."""
+    text = F.concat(F.lit("Residential  lease\n"), F.col("text"), F.lit("\n  Page "), F.col("doc_id"), F.lit("\ninitials:\t"))
+    return tables.table(spark, sf_dir, "documents").select(F.col("source").alias("file"), F.col("doc_id").alias("page"), text.alias("text"))
+
+
+_TRIM = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+_PAGES_SQL = f"""
+pages AS (SELECT source AS file, doc_id AS page, 'Residential  lease' || chr(10) || text || chr(10) || '  Page ' || doc_id || chr(10) || 'initials:' || chr(9) AS text FROM documents),
+l AS (SELECT file, page, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM pages WHERE text IS NOT NULL),
+c AS (SELECT file, {_TRIM.format("line")} AS line, count(DISTINCT page) AS pages FROM l GROUP BY ALL),
+p AS (SELECT file, count(DISTINCT page) AS total FROM pages GROUP BY ALL),
+h AS (SELECT c.file, c.line, c.pages FROM c JOIN p USING (file) WHERE line <> '' AND pages >= greatest(2, floor(total * 0.3)))"""
+
+
+@query(f"WITH {_PAGES_SQL} SELECT file, line, pages FROM h")
 def header_footer_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents.header_footer_lines(tables.table(spark, sf_dir, "documents").select(F.col("source").alias("file"), F.col("doc_id").alias("page"), "text"))
+    return documents.header_footer_lines(_pages(spark, sf_dir))
+
+
+@query(f"""
+WITH {_PAGES_SQL},
+k AS (SELECT l.* FROM l LEFT JOIN h ON h.file = l.file AND h.line = {_TRIM.format("l.line")} WHERE h.line IS NULL AND NOT ({" OR ".join(f"regexp_matches(l.line, '{p}')" for p in documents.PAGE_NUMBERS)})),
+s AS (SELECT file, page, string_agg(line, chr(10) ORDER BY n) AS text FROM k GROUP BY ALL)
+SELECT p.file, p.page, md5(coalesce(s.text, '')) AS digest FROM pages p LEFT JOIN s ON s.file = p.file AND s.page = p.page""")
+def headers_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.without_headers(_pages(spark, sf_dir)).select("file", "page", F.md5("text").alias("digest"))
+
+
+def _paired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pages, ten to a file."""
+    return tables.table(spark, sf_dir, "documents").select(F.expr("doc_id div 10").alias("file"), F.col("doc_id").alias("page"), "text")
 
 
 @query(f"""
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents WHERE text IS NOT NULL),
-s AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
-             sum(CASE WHEN {" OR ".join(f"regexp_matches(trim(line, ' '), '{p}')" for p in documents.BOUNDARIES)} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS clause FROM l)
-SELECT doc_id, CAST(clause AS BIGINT) AS clause, min(n) AS first_line, CAST(min(start) AS BIGINT) AS start, count(*) AS n_lines, CAST(sum(length(line) + 1) - 1 AS BIGINT) AS n_chars
-FROM s GROUP BY doc_id, clause HAVING max(length(trim(line, ' '))) > 0""")
+WITH t AS (SELECT doc_id // 10 AS file, doc_id AS page, translate({_TRIM.format("text")}, '’‘“”□' || chr(65533), '''''""''''') AS text FROM documents)
+SELECT file, md5(string_agg(text, chr(10) || chr(10) ORDER BY page)) AS digest FROM t WHERE text <> '' GROUP BY file""")
+def assembled_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.assembled(_paired(spark, sf_dir)).select("file", F.md5("text").alias("digest"))
+
+
+_OPENS = " OR ".join(f"regexp_matches(t, '{p}')" for p in documents.BOUNDARIES)
+_B = documents.BOUNDARIES
+
+
+@query(f"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents WHERE text IS NOT NULL),
+o AS (SELECT *, {_TRIM.format("line")} AS t FROM l),
+s AS (SELECT *, {_OPENS} AS opens, sum(CASE WHEN {_OPENS} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS part FROM o),
+g AS (SELECT doc_id, part, {_TRIM.format("string_agg(line, chr(10) ORDER BY n)")} AS text, min(CASE WHEN opens THEN t END) AS t FROM s GROUP BY doc_id, part),
+b AS (SELECT *, max(part) OVER (PARTITION BY doc_id) AS bounds FROM g),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY part) AS clause, count(*) OVER (PARTITION BY doc_id) AS clauses FROM b WHERE text <> '' AND bounds > 0),
+a AS (
+  SELECT doc_id, clause, coalesce(nullif(CASE WHEN regexp_matches(t, '{_B[0]}') THEN regexp_extract(t, '{_B[0]}', 1) WHEN regexp_matches(t, '{_B[1]}') THEN regexp_extract(t, '{_B[1]}', 1)
+           WHEN regexp_matches(t, '{_B[2]}') THEN regexp_extract(t, '{_B[2]}', 1) WHEN regexp_matches(t, '{_B[3]}') THEN ''
+           WHEN regexp_matches(t, '{_B[4]}') THEN regexp_extract(t, '{_B[4]}', 1) || ' ' || regexp_extract(t, '{_B[4]}', 2) END, ''), 'synthetic-' || clause) AS number,
+         nullif(CASE WHEN regexp_matches(t, '{_B[0]}') THEN regexp_extract(t, '{_B[0]}', 2) WHEN regexp_matches(t, '{_B[1]}') THEN regexp_extract(t, '{_B[1]}', 2)
+           WHEN regexp_matches(t, '{_B[2]}') THEN regexp_extract(t, '{_B[2]}', 2) WHEN regexp_matches(t, '{_B[3]}') THEN t WHEN regexp_matches(t, '{_B[4]}') THEN regexp_extract(t, '{_B[4]}', 3) END, '') AS heading,
+         text, CASE WHEN bounds >= 5 AND clauses >= 5 THEN 0.85 WHEN bounds >= 2 THEN 0.6 ELSE 0.4 END AS confidence FROM k),
+f AS (SELECT doc_id, text, list_filter(list_transform(string_split_regex(text, '\n{{2,}}'), lambda x: {_TRIM.format("x")}), lambda x: length(x) > 20) AS parts
+      FROM documents WHERE length(text) > 0 AND doc_id NOT IN (SELECT doc_id FROM b WHERE bounds > 0)),
+q AS (SELECT doc_id, CASE WHEN len(parts) > 1 THEN parts ELSE [{_TRIM.format("text")}] END AS parts FROM f),
+u AS (SELECT doc_id, generate_subscripts(parts, 1) AS clause, unnest(parts) AS text FROM q)
+SELECT doc_id, clause, number, {_TRIM.format("heading")} AS heading, length(text) AS n_chars, md5(text) AS digest, CAST(confidence AS DOUBLE) AS confidence FROM a
+UNION ALL SELECT doc_id, clause, 'synthetic-' || clause, NULL, length(text), md5(text), 0.3 FROM u""")
 def segment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents.segments(tables.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    cut = documents.segments(tables.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", F.col("clause").cast("long").alias("clause"), "number", "heading", "n_chars", F.md5("text").alias("digest"), "confidence")
+
+
+_INJECTED = " OR ".join("regexp_matches(text, '{}')".format(p.replace("'", "''")) for p in documents.INJECTIONS)
 
 
 def _hits_sql(patterns: tuple[str, ...]) -> str:
-    return " + ".join("CAST(regexp_matches(text, '(?i){}') AS INTEGER)".format(p.replace("'", "''")) for p in patterns)
+    return " + ".join("CAST(regexp_matches(lower(text), '{}') AS INTEGER)".format(p.lower().replace("'", "''")) for p in patterns)
 
 
 @query(f"""
@@ -292,22 +346,23 @@ b AS (SELECT *, list_max(h) AS hits, list_position(h, list_max(h)) AS place, len
 c AS (SELECT *, least(0.95, CAST(0.4 AS DOUBLE) + hits / CAST([{", ".join(str(len(p)) for _, _, p in documents.CLAUSE_TYPES)}][place] AS DOUBLE) * CAST(0.55 AS DOUBLE) + CASE WHEN n_types = 1 THEN CAST(0.1 AS DOUBLE) ELSE 0 END) AS raw FROM b)
 SELECT doc_id, hits, n_types,
        CASE WHEN text IS NULL OR trim(text, ' ') = '' OR hits = 0 THEN 'unknown' ELSE [{", ".join(f"'{n}'" for n, _, _ in documents.CLAUSE_TYPES)}][place] END AS primary_type,
-       CASE WHEN text IS NULL OR trim(text, ' ') = '' THEN 0.0 WHEN hits = 0 THEN 0.1 ELSE floor(CASE WHEN n_types > 1 THEN greatest(CAST(0.3 AS DOUBLE), raw - CAST(0.15 AS DOUBLE)) ELSE raw END * 100 + 0.5) / 100 END AS confidence
-FROM c""")
+       CASE WHEN text IS NULL OR trim(text, ' ') = '' THEN 0.0 WHEN hits = 0 THEN 0.1 ELSE floor(CASE WHEN n_types > 1 THEN greatest(CAST(0.3 AS DOUBLE), raw - CAST(0.15 AS DOUBLE)) ELSE raw END * 100 + 0.5) / 100 END AS confidence,
+       hits > 0 AND [{", ".join(f"'{p}'" for _, p, _ in documents.CLAUSE_TYPES)}][place] <> 'none' AS needs_lookup
+FROM c WHERE text IS NOT NULL""")
 def classify_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = documents.classified(tables.table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "hits", F.col("n_types").cast("long").alias("n_types"), "primary_type", "confidence")
+    return out.where("text is not null").select("doc_id", "hits", F.col("n_types").cast("long").alias("n_types"), "primary_type", "confidence", "needs_lookup")
 
 
 @query(f"""
-SELECT conv_id, turn, coalesce({" OR ".join(f"regexp_matches(text, '{p}')" for p in documents.INJECTIONS)}, false) AS blocked FROM conversations""")
+SELECT conv_id, turn, coalesce({_INJECTED}, false) AS blocked FROM conversations""")
 def injection_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.screened(tables.table(spark, sf_dir, "conversations")).select("conv_id", "turn", "blocked")
 
 
 @query(f"""
 WITH c AS (SELECT conv_id, turn, role, substring(text, 1, 2000) AS text FROM conversations),
-s AS (SELECT * FROM c WHERE NOT (role = 'user' AND coalesce({" OR ".join(f"regexp_matches(text, '{p}')" for p in documents.INJECTIONS)}, false))),
+s AS (SELECT * FROM c WHERE NOT (role = 'user' AND coalesce({_INJECTED}, false))),
 r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS from_end FROM s)
 SELECT conv_id, turn, role, from_end FROM r WHERE from_end <= 6""")
 def chat_tail6(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -477,10 +532,16 @@ def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.latest(rows, ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")]).select("o_custkey", "o_orderkey", F.to_date("o_orderdate").alias("day"))
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("""
+SELECT c_custkey, 'new' AS kind FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderdate >= TIMESTAMP '1998-01-01')
+UNION ALL SELECT o_orderkey, 'changed' FROM orders WHERE o_orderkey % 7 = 0 AND o_orderstatus <> 'O'""")
 def load_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old = tables.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return tables.unseen(tables.table(spark, sf_dir, "customer").select("c_custkey"), old, ["c_custkey"])
+    orders = tables.table(spark, sf_dir, "orders")
+    seen = orders.where("o_orderdate >= '1998-01-01'").select(F.col("o_custkey").alias("c_custkey"))
+    new = tables.unseen(tables.table(spark, sf_dir, "customer").select("c_custkey"), seen, ["c_custkey"])
+    old = orders.select("o_orderkey", F.when(F.col("o_orderkey") % 7 == 0, "O").otherwise(F.col("o_orderstatus")).alias("o_orderstatus"))
+    changed = tables.changed(orders.select("o_orderkey", "o_orderstatus"), old, ["o_orderkey"], "o_orderstatus")
+    return new.select("c_custkey", F.lit("new").alias("kind")).unionByName(changed.select(F.col("o_orderkey").alias("c_custkey"), F.lit("changed").alias("kind")))
 
 
 @query("SELECT event_id, TRY_CAST(json_extract_string(CASE WHEN starts_with(props, '{') AND json_valid(props) THEN props END, '$.k') AS BIGINT) AS k FROM events")

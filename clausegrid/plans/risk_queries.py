@@ -30,11 +30,14 @@ WORDINGS = (
     "Late rent costs $25 per day.",
     "Cameras are placed inside the unit.",
     "Guests pay $20 per person per night.",
+    "The landlord may change the locks; verbal notice is enough to vacate.",
+    "The tenant shall repair the furnace and bear all costs of repair.",
+    "No pets; the tenant keeps the unit clean and tidy.",
     "This lease supersedes provincial law, without exception.",
     "Lease break fee applies on early termination.",
     "Utilities are as required by the act.",
 )
-TYPES = ("entry_rights", "security_deposit", "rent_increase", "utilities", "pets")
+TYPES = ("entry_rights", "security_deposit", "rent_increase", "utilities", "pets", "rent_payment", "maintenance_repairs")
 
 
 def _any(phrases: tuple[str, ...]) -> str:
@@ -66,6 +69,15 @@ def _in(names: tuple[str, ...]) -> str:
     return "(" + ", ".join(f"'{n}'" for n in names) + ")"
 
 
+def _alternatives(rules: tuple[risk.Rule, ...]) -> str:
+    return " OR ".join(f"({_rule(r)})" for r in rules)
+
+
+def _by_text() -> str:
+    names = list(dict.fromkeys(r.name for r in risk.TEXT_VIOLATIONS))
+    return ", ".join(f"CASE WHEN {_alternatives(tuple(r for r in risk.TEXT_VIOLATIONS if r.name == n))} THEN '{n}' END" for n in names)
+
+
 _RELEVANT = [s for s in SECTIONS if s[2] >= risk.RELEVANT]
 
 
@@ -74,15 +86,19 @@ def _index(values: tuple[str, ...]) -> str:
 
 
 RISK_SQL = f"""
-WITH c AS (SELECT doc_id, {_index(TYPES)} AS kind, lower(concat(left(coalesce(text, ''), 200), ' ', {_index(WORDINGS)})) AS t FROM documents),
-v AS (SELECT *, list_filter([{", ".join(f"({_violation(n, law)})" for n, law, _ in _RELEVANT)}], lambda x: x IS NOT NULL) AS v, {_any(risk.DEFERS)} AS defers FROM c),
+WITH c AS (SELECT doc_id, {_index(TYPES)} AS kind, lower(concat(coalesce(text, ''), ' ', {_index(WORDINGS)})) AS t FROM documents),
+u AS (SELECT *, list_filter([{", ".join(f"({_violation(n, law)})" for n, law, _ in _RELEVANT)}], lambda x: x IS NOT NULL) AS u, {_any(risk.DEFERS)} AS defers FROM c),
+v AS (SELECT *, list_concat(u, list_filter([{_by_text()}], lambda x: x IS NOT NULL AND NOT list_contains(u, x))) AS v FROM u),
 b AS (SELECT *, least(10, CAST(CASE WHEN kind IN {_in(risk.PLAIN_TYPES)} THEN 1 ELSE 3 END AS DOUBLE)
         + least(CAST(2 AS DOUBLE), CAST(0.7 AS DOUBLE) * ({" + ".join(f"CAST(regexp_matches(t, '{p}') AS INTEGER)" for p in risk.RESTRICTIVE)}))
         + CASE WHEN {" OR ".join(f"regexp_matches(t, '{p}')" for p in risk.UNUSUAL)} THEN CAST(1.5 AS DOUBLE) ELSE 0 END + CASE WHEN kind IN {_in(risk.HIGH_TYPES)} AND NOT defers THEN 1 ELSE 0 END) AS x0 FROM v),
 c1 AS (SELECT *, CASE WHEN kind = 'entry_rights' AND {_any(("24 hour", "24-hour"))} AND {_any(risk.WRITTEN)} THEN least(x0, 3) ELSE x0 END AS x1 FROM b),
 c2 AS (SELECT *, CASE WHEN kind = 'entry_rights' AND {_any(risk.EMERGENCY)} THEN greatest(1, x1 - 1) ELSE x1 END AS x2 FROM c1),
 c3 AS (SELECT *, CASE WHEN kind = 'security_deposit' AND contains(t, 'last month') AND NOT {_any(risk.NO_REFUND)} THEN least(x2, 2) ELSE x2 END AS x3 FROM c2),
-c4 AS (SELECT *, CASE WHEN defers THEN greatest(1, x3 - 1) ELSE x3 END + least(4, 3 * len(v)) + {_points(risk.BONUSES)} AS raw FROM c3),
+c5 AS (SELECT *, CASE WHEN kind = 'pets' AND {_any(risk.PET_BANS)} AND NOT {_any(risk.PET_ENFORCED)} THEN least(x3, 3)
+        WHEN kind = 'rent_payment' AND NOT {_any(risk.RENT_PROHIBITED)} THEN least(x3, 4)
+        WHEN kind = 'maintenance_repairs' AND {_any(risk.CLEANLINESS)} AND NOT {_any(risk.MORE_THAN_CLEANING)} THEN least(x3, 3) ELSE x3 END AS x5 FROM c3),
+c4 AS (SELECT *, CASE WHEN defers THEN greatest(1, x5 - 1) ELSE x5 END + least(4, 3 * len(v)) + {_points(risk.BONUSES)} + CASE WHEN {_alternatives(risk.EVICTS)} THEN {risk.EVICTS_POINTS} ELSE 0 END AS raw FROM c5),
 s AS (SELECT *, greatest(CASE WHEN len(list_filter(v, lambda x: x IN {_in(risk.CRITICAL)})) > 0 THEN 7 WHEN len(v) > 0 THEN 5 ELSE 1 END, floor(least(10, greatest(1, raw)) + 0.5)) AS x FROM c4)
 SELECT doc_id, kind AS clause_type, array_to_string(v, ',') AS violations, CAST(x AS DOUBLE) AS risk_score,
        CASE WHEN x <= 3 THEN 'low' WHEN x <= 6 THEN 'medium' WHEN x <= 8 THEN 'high' ELSE 'critical' END AS risk_level, len(v) > 0 AS unenforceable FROM s"""

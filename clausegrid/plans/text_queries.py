@@ -39,23 +39,29 @@ def pii_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, CASE WHEN {_hits(screening.RESUME)} >= 2 THEN 'resume' WHEN {_hits(screening.INVOICE)} >= 2 THEN 'invoice'
   WHEN {_some(screening.OTHER_CONTRACT)} THEN 'other_contract' WHEN {_hits(screening.LEASE)} < 2 THEN 'unknown' ELSE 'lease' END AS kind FROM documents""")
 def doc_type_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.table(spark, sf_dir, "documents").select("doc_id", screening.kind_of(F.col("text")).alias("kind"))
+    return screening.kinds(tables.table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "kind")
 
 
 _PROVINCE_SQL = "CASE " + " ".join(f"WHEN contains(lower(text), '{n}') THEN '{c}'" for n, c in screening.PROVINCES) + " END"
 _POSTAL_SQL = "CASE " + " ".join(f"WHEN letters[1] = '{k}' THEN '{v}'" for k, v in screening.POSTAL_LETTERS.items()) + " END"
 
 
+_LAW = ", ".join(f"nullif(regexp_extract(text, '{p}'), '')" for p in screening.GOVERNING_LAW)
+
+
 @query(f"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-p AS (SELECT *, regexp_extract_all(text, '{screening.POSTAL}', 1) AS letters, {_hits(screening.ONTARIO_ACTS)} AS acts, {_some(screening.ABROAD)} AS abroad FROM t),
+p AS (SELECT *, regexp_extract_all(text, '{screening.POSTAL}', 1) AS letters, {_hits(screening.ONTARIO_ACTS)} AS acts, {_some(screening.ABROAD)} AS abroad, coalesce({_LAW}) AS law FROM t),
 v AS (
-  SELECT doc_id, 1 AS place, 'CA-ON' AS code, 2 * acts AS n FROM p WHERE acts > 0
+  SELECT doc_id, 0 AS place, {_PROVINCE_SQL.replace("lower(text)", "lower(law)")} AS code, 3 AS n FROM p
+  UNION ALL SELECT doc_id, 1, 'CA-ON', 2 * acts FROM p WHERE acts > 0
   UNION ALL SELECT doc_id, 2, CASE WHEN len(list_filter(letters, lambda x: x IN ('M', 'K', 'L', 'N', 'P'))) > 0 THEN 'CA-ON' ELSE {_POSTAL_SQL} END, 2 FROM p WHERE len(letters) > 0
   UNION ALL SELECT doc_id, 3, {_PROVINCE_SQL}, 1 FROM p),
 s AS (SELECT doc_id, code, sum(n) AS n, min(place) AS place FROM v WHERE code IS NOT NULL GROUP BY doc_id, code),
-b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, place) AS r FROM s)
-SELECT p.doc_id, CASE WHEN abroad THEN 'INTL' ELSE coalesce(code, 'UNKNOWN') END AS code, CASE WHEN abroad THEN 0 ELSE coalesce(n, 0) END AS votes
+b AS (SELECT *, row_number() OVER w AS r, lead(n) OVER w AS second, sum(n) OVER (PARTITION BY doc_id) AS total FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY n DESC, place))
+SELECT p.doc_id, CASE WHEN abroad THEN 'INTL' ELSE coalesce(code, 'UNKNOWN') END AS code, CASE WHEN abroad THEN 0 ELSE coalesce(n, 0) END AS votes,
+       CASE WHEN abroad THEN 50 WHEN code IS NULL THEN 10 WHEN second >= n * 0.7 THEN 30 ELSE CAST(floor(least(CAST(0.95 AS DOUBLE), n / CAST(total AS DOUBLE) + CAST(0.3 AS DOUBLE)) * 100 + 0.5) AS INTEGER) END AS confidence_pct,
+       NOT abroad AND coalesce(second >= n * 0.7, false) AS ambiguous, NOT abroad AND coalesce(code = 'CA-ON', false) AS supported
 FROM p LEFT JOIN b ON b.doc_id = p.doc_id AND r = 1""")
 def jurisdiction_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return screening.jurisdictions(tables.table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -66,7 +72,12 @@ def chunk_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return screening.chunks(tables.table(spark, sf_dir, "documents"))
 
 
-@query("SELECT doc_id, array_to_string(list_distinct(regexp_extract_all(text, '(?i:clause|section|paragraph|article)[ \\t]+([0-9.]+[a-zA-Z]?)[ \\t]+(?i:above|below|hereof)', 1)), ',') AS refs FROM documents")
+_REFS = ", ".join("regexp_extract_all(text, '{}', 1)".format(p) for p in documents.REFERENCES)
+
+
+@query(f"""
+WITH f AS (SELECT doc_id, flatten([{_REFS}]) AS f FROM documents)
+SELECT doc_id, array_to_string(list_filter(f, lambda x, i: list_position(f, x) = i), ',') AS refs FROM f""")
 def cross_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.table(spark, sf_dir, "documents").select("doc_id", F.array_join(documents.references(F.col("text")), ",").alias("refs"))
 

@@ -41,10 +41,10 @@ def test_blank_and_unsupported_clauses(spark: SparkSession) -> None:
 
 def test_risk_score_reads_the_whole_text(spark: SparkSession, tmp_path) -> None:
     ahead = "plain words " * 500
-    rows = [(35, ahead + "The landlord may enter at any time without notice."), (95, ahead), (155, None)]
+    rows = [(14, ahead + "The landlord may enter at any time without notice."), (29, ahead), (44, None)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     found = {r["doc_id"]: r["violations"] for r in QUERIES["risk_score"](spark, str(tmp_path)).collect()}
-    assert found == {35: "entry_without_notice", 95: "", 155: ""}
+    assert found == {14: "entry_without_notice", 29: "", 44: ""}
 
 
 def test_scrubbing_puts_names_first(spark: SparkSession) -> None:
@@ -79,3 +79,73 @@ def test_chunks_keep_all_words() -> None:
     parts = screening.packed_chunks(text)
     assert all(len(p) <= screening.LONGEST_CHUNK for p in parts)
     assert " ".join(parts).split() == text.split()
+
+
+# One clause for each violation, what must be found in it, and the section that shows it ("" where the text does).
+GOLDEN = (
+    ("entry_without_notice", "The landlord may enter at any time.", "26", "at least 24 hours notice"),
+    ("non_refundable_deposit", "A non-refundable deposit of one month.", "105", "no other deposit"),
+    ("rent_increase_without_guideline", "A rent increase of any amount may follow.", "120", "the guideline"),
+    ("waiver_of_rights", "The occupant gives up protection: waive each right.", "4", "contract out"),
+    ("mandatory_arbitration", "All matters go to arbitration.", "168", "the board decides"),
+    ("post_dated_cheques", "Twelve postdated cheques at signing.", "108", ""),
+    ("maintenance_offloaded", "The tenant bears all maintenance.", "20", ""),
+    ("rta_waiver", "These terms supersede provincial law.", "4", ""),
+    ("daily_late_fee", "$25 for each day of delay.", "59", ""),
+    ("pet_fines", "A fine for every pet.", "14", ""),
+    ("excess_deposit", "A deposit of three months.", "105", ""),
+    ("early_termination_fee", "A lease break costs one rent.", "37", ""),
+    ("surveillance_in_unit", "A camera records the bedroom.", "28", ""),
+    ("guest_surcharge", "Visitors cost $10 per night.", "134", ""),
+    ("assignment_fee", "To sublet, a $50 charge applies.", "97", ""),
+    ("vital_services_cutoff", "The renter must ensure heat.", "29", ""),
+    ("quiet_enjoyment_violation", "Regular inspection: we enter monthly.", "22", ""),
+    ("assignment_prohibition", "Subletting is forbidden; no subletting.", "95", ""),
+    ("unlawful_renewal_obligation", "You must give notice if you do not renew or not continue.", "38", ""),
+    ("multiple_rent_increases", "Rent shall be adjusted quarterly.", "119", ""),
+    ("service_reduction_no_rent_decrease", "Parking: we may discontinue.", "121", ""),
+    ("retaliation_or_coercion", "You forfeit the right to complain.", "138", ""),
+    ("self_help_eviction", "We change the locks.", "", ""),
+    ("self_help_eviction", "You vacate within 3 days.", "", ""),
+    ("unlawful_termination", "Verbal notice suffices.", "", ""),
+    ("unlawful_termination", "14 days written notice to end the tenancy.", "", ""),
+    ("rta_waiver", "By signing you relinquish this.", "", ""),
+    ("maintenance_offloaded", "The tenant pays the cost of the furnace.", "", ""),
+    ("early_termination_fee", "Leaving early: pay three months, then leave.", "", ""),
+    ("surveillance_in_unit", "CCTV in the living area.", "", ""),
+    ("guest_surcharge", "Guests owe $5 per person.", "", ""),
+    ("assignment_fee", "Assigning has a $90 fee.", "", ""),
+    ("vital_services_cutoff", "The tenant shall pay for water.", "", ""),
+    ("assignment_prohibition", "The tenant may not assign.", "", ""),
+    ("unlawful_renewal_obligation", "The lease will automatically renew for a fixed term.", "", ""),
+    ("retaliation_or_coercion", "We evict for exercising claims.", "", ""),
+)
+
+
+def test_each_violation_is_found(spark: SparkSession) -> None:
+    rows = [(i, text, "other", [(section, law, 0.9)] if section else [("999", "", 0.9)]) for i, (_, text, section, law) in enumerate(GOLDEN)]
+    df = spark.createDataFrame(rows, "id int, text string, clause_type string, statutes array<struct<section string, text string, relevance double>>")
+    found = {r["id"]: r for r in risk.scored(df).collect()}
+    for i, (name, text, _, _) in enumerate(GOLDEN):
+        assert name in found[i]["violations"], text
+        assert found[i]["risk_score"] >= (7 if name in risk.CRITICAL else 5) and found[i]["unenforceable"], text
+    assert len({name for name, *_ in GOLDEN}) == 24
+
+
+def test_caps_decisions_and_clean_clauses(spark: SparkSession) -> None:
+    kind = "text string, clause_type string, statutes array<struct<section string, text string, relevance double>>, decisions array<struct<outcome string, relevance double>>"
+    none: list = []
+    won = [("tenant_favour", 0.9), ("tenant_favour", 0.9), ("landlord_favour", 0.4)]
+    rows = [
+        ("No pets are welcome.", "pets", none, none),
+        ("Rent is due on the first.", "rent_payment", none, won),
+        ("Keep the unit clean and tidy.", "maintenance_repairs", none, won),
+        ("Plain words.", "other", [("1", "", 0.9)], won),
+        ("Plain words.", "other", [("1", "", 0.9)], [("landlord_favour", 0.9)] * 5),
+        ("All repairs are the other side's, with every appliance.", "other", [("1", "", 0.9)], none),
+        ("  ", "other", [("1", "", 0.9)], won),
+        ("The landlord maintains the unit.", "other", none, none),
+    ]
+    got = [(r["risk_score"], r["violations"]) for r in risk.scored(spark.createDataFrame(rows, kind).coalesce(1)).collect()]
+    assert [x for x, _ in got] == [3.0, 4.0, 3.0, 4.0, 2.0, 6.0, 1.0, 3.0]
+    assert all(v == [] for _, v in got)
