@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from clausegrid.functions.cleaning import DECISION_STOPS, STATUTE_STOPS, search_words
 from clausegrid.functions.numbers import cosine
 from clausegrid.functions.texts import tokens
 
@@ -82,3 +83,72 @@ def fused(lists: DataFrame, n_lists: int, k: int) -> DataFrame:
     per = lists.groupBy("query_id", "id").agg(F.sum(1.0 / (RRF + F.col("rank"))).alias("rrf"), F.max("score").alias("best"))
     score = F.round(0.7 * F.col("rrf") / (n_lists / (RRF + 1.0)) + 0.3 * F.col("best"), 4)
     return _top(per.select("query_id", "id", score.alias("score")), F.col("score"), k)
+
+
+# What to look for in statutes, by clause type.
+QUERY_PHRASES = {
+    "rent_payment": "rent payment obligation due date monthly non-refundable deposit fee prohibited additional charge late penalty Ontario RTA section 12 105 106 134",
+    "rent_increase": "rent increase notice guideline percentage cap Ontario RTA section 116 120 128",
+    "security_deposit": "security deposit last month rent key deposit limit refund Ontario RTA section 105 106",
+    "entry_rights": "landlord entry written notice 24 hours tenant consent emergency Ontario RTA section 26 27",
+    "maintenance_repairs": "maintenance repairs good repair habitable standard landlord obligation Ontario RTA section 20 29",
+    "subletting_assignment": "subletting assignment sublet consent unreasonably withheld Ontario RTA section 97 98",
+    "early_termination": "early termination notice grounds eviction Ontario RTA section 37 38 44 48 60 61",
+    "renewal_terms": "lease renewal automatic month-to-month tenancy continuation Ontario RTA section 95 96",
+    "utilities": "utilities heat water electricity included rental unit obligation Ontario RTA",
+    "pets": "pets no-pet clause void unenforceable Ontario RTA section 14",
+    "alterations": "alterations improvements restoration tenant obligation consent Ontario RTA",
+    "quiet_enjoyment": "quiet enjoyment interference substantial interference harassment Ontario RTA section 22 23",
+    "liability_indemnification": "liability indemnification waiver release tenant rights Ontario RTA",
+    "dispute_resolution": "dispute resolution Landlord Tenant Board application hearing Ontario RTA",
+    "parking_storage": "parking storage locker additional services fee Ontario RTA",
+    "guest_policy": "guest occupant visitor overnight policy additional charge surcharge fee prohibited Ontario RTA section 134",
+    "standard_boilerplate": "standard lease terms Ontario RTA Residential Tenancies Act form",
+    "unknown": "Ontario Residential Tenancies Act tenant landlord rights obligations",
+}
+KEYWORD_SCORE, FEW_HITS = 0.3, 2
+
+
+def built_queries(clauses: DataFrame) -> DataFrame:
+    """query_id, list (1 to 3) and asked: a clause's own text, its type as a risk, and the phrase for its type. Needs query_id, clause_type, text."""
+    kind = F.regexp_replace("clause_type", "_", " ")
+    phrases = F.create_map(*(F.lit(x) for kv in QUERY_PHRASES.items() for x in kv))
+    own = F.substring("text", 1, 1000)
+    risk = F.substring(F.concat(kind, F.lit(" "), kind, F.lit(" tenant rights Ontario lease")), 1, 500)
+    typed = F.coalesce(F.element_at(phrases, F.col("clause_type")), F.concat(kind, F.lit(" Ontario Residential Tenancies Act")))
+    return clauses.select("query_id", F.posexplode(F.array(own, risk, typed)).alias("list", "asked")).withColumn("list", F.col("list") + 1)
+
+
+def nearest_since(queries: DataFrame, corpus: DataFrame, k: int, least: float, floor: str | None = None) -> DataFrame:
+    """As nearest, over rows not older than ``floor``; None asks all. The corpus needs day."""
+    return nearest(queries, corpus if floor is None else corpus.where(F.col("day") >= F.lit(floor).cast("date")), k, least)
+
+
+def keyword_hits(queries: DataFrame, corpus: DataFrame, k: int, decisions: bool = False) -> DataFrame:
+    """query_id, id, score, rank of rows that hold any of a query's search words; ties to the smaller id. Needs query_id, grp, asked; id, grp, text."""
+    words = search_words(F.col("asked"), DECISION_STOPS, 4, 4, once=False) if decisions else search_words(F.col("asked"), STATUTE_STOPS)
+    asked = queries.select("query_id", "grp", words.alias("words"))
+    joined = corpus.select("id", "grp", F.lower("text").alias("low")).join(asked, "grp")
+    hits = joined.where(F.exists("words", lambda w: F.col("low").contains(w))).select("query_id", "id", F.lit(KEYWORD_SCORE).alias("score"))
+    return _top(hits, F.col("score"), k)
+
+
+def topped_up(found: DataFrame, fallback: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, id, score, rank, fallback: results, and for queries with fewer than FEW_HITS also fallback rows that they lack, k in all."""
+    few = queries.select("query_id").distinct().join(found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "query_id", "left").where(F.coalesce("n", F.lit(0)) < FEW_HITS).select("query_id")
+    more = fallback.join(few, "query_id", "left_semi").join(found.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    both = found.select("query_id", "id", "score", F.lit(False).alias("fallback"), F.col("rank").alias("place")).unionByName(more.select("query_id", "id", "score", F.lit(True).alias("fallback"), F.col("rank").alias("place")))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("fallback", "place"))
+    return both.withColumn("rank", place).where(F.col("rank") <= k).drop("place")
+
+
+def retrieval_confidence(results: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id and confidence: a tenth over the mean score and 0.95 at most; 0.5 with fallback rows, 0 without any row."""
+    per = results.groupBy("query_id").agg(F.avg("score").alias("mean"), F.max(F.col("fallback").cast("int")).alias("fell"))
+    sure = F.when(F.col("mean").isNull(), 0.0).when(F.col("fell") == 1, 0.5).otherwise(F.least(F.lit(0.95), F.col("mean") + 0.1))
+    return queries.select("query_id").distinct().join(per, "query_id", "left").select("query_id", (F.floor(sure * 100 + 0.5) / 100).alias("confidence"))
+
+
+def with_details(ranked: DataFrame, corpus: DataFrame, columns: list[str]) -> DataFrame:
+    """Ranked rows with wide columns of the corpus, which are joined after the ranking only."""
+    return ranked.join(corpus.select("id", *columns), "id")

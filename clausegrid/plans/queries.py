@@ -204,14 +204,14 @@ _COS = "list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DO
 def _nearest_sql(k: int, least: float) -> str:
     return f"""
 s AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round({_COS}, 6) AS cosine
-      FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id < 8),
+      FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, id) AS rank FROM s WHERE cosine >= {least}),
 v AS (SELECT query_id, id, cosine, rank FROM r WHERE rank <= {k})"""
 
 
 def _nearest(spark: SparkSession, sf_dir: str, k: int, least: float) -> DataFrame:
     vectors = tables.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("grp"), F.col("embedding").alias("vec"))
-    asked = vectors.where("id < 8").select(F.col("id").alias("query_id"), "grp", "vec")
+    asked = vectors.where("id % 100 = 0").select(F.col("id").alias("query_id"), "grp", "vec")
     return retrieval.nearest(asked, vectors.select("id", "grp", "vec"), k, least).select("query_id", "id", "cosine", "rank")
 
 
@@ -254,13 +254,18 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH {_nearest_sql(30, -1.0)}, {_bm25_sql(30)},
-h AS (SELECT coalesce(v.query_id, t.query_id) AS query_id, coalesce(v.id, t.id) AS id,
-             round(0.7 * (CAST(coalesce(1.0 / (60 + v.rank), 0) AS DOUBLE) + CAST(coalesce(1.0 / (60 + t.rank), 0) AS DOUBLE)) * 61 / 2 + 0.3 * coalesce(v.cosine, 0), 4) AS score
-      FROM (SELECT * FROM v WHERE query_id < 3) v FULL JOIN t ON v.query_id = t.query_id AND v.id = t.id)
+a AS (SELECT vec_id AS query_id, (vec_id // 100) % 3 AS asked FROM embeddings WHERE vec_id % 100 = 0),
+x AS (SELECT a.query_id, t.id, t.rank FROM t JOIN a ON a.asked = t.query_id),
+h AS (SELECT coalesce(v.query_id, x.query_id) AS query_id, coalesce(v.id, x.id) AS id,
+             round(0.7 * (CAST(coalesce(1.0 / (60 + v.rank), 0) AS DOUBLE) + CAST(coalesce(1.0 / (60 + x.rank), 0) AS DOUBLE)) * 61 / 2 + 0.3 * coalesce(v.cosine, 0), 4) AS score
+      FROM v FULL JOIN x ON v.query_id = x.query_id AND v.id = x.id)
 SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM h) WHERE rank <= 10""")
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = _nearest(spark, sf_dir, 30, -1.0).where("query_id < 3")
-    return retrieval.hybrid(vectors, retrieval.bm25(_texts(spark, sf_dir), _ASKED, 30), 10).select("query_id", "id", "score", "rank")
+    """Every hundredth vector with one of three word queries; lists are three times as long as the result."""
+    k = 10
+    texts = retrieval.bm25(_texts(spark, sf_dir), _ASKED, 3 * k).select(F.col("query_id").alias("asked"), "id", "rank")
+    own = tables.table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.expr("cast((vec_id div 100) % 3 as int)").alias("asked"))
+    return retrieval.hybrid(_nearest(spark, sf_dir, 3 * k, -1.0), own.join(texts, "asked").select("query_id", "id", "rank"), k).select("query_id", "id", "score", "rank")
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,7 +102,7 @@ def test_segments_and_references(spark: SparkSession) -> None:
     text = "Preamble\n1. Rent is due\nmore\n\nARTICLE IV: Entry\nsee section 2.1 and subject to clause 3a"
     df = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
     got = [(r["clause"], r["number"], r["heading"], r["start"], r["n_chars"], r["confidence"]) for r in documents.segments(df).orderBy("clause").collect()]
-    assert got == [(1, "synthetic-1", None, 0, 8, 0.6), (2, "1", "Rent is due", 9, 19, 0.6), (3, "ARTICLE IV", "Entry", 30, 64, 0.6)]
+    assert got == [(1, "synthetic-1", None, 0, 8, 0.6), (2, "1", "Rent is due", 9, 19, 0.6), (3, "ARTICLE IV", "Entry", 30, 58, 0.6)]
     plain = spark.createDataFrame([(1, "a first paragraph of it\n\n\na first paragraph of it"), (2, "short")], df.schema)
     assert [(r["doc_id"], r["number"], r["start"]) for r in documents.segments(plain).orderBy("doc_id", "clause").collect()] == [(1, "synthetic-1", 0), (1, "synthetic-2", 26), (2, "synthetic-1", 0)]
     assert df.where("doc_id = 1").select(documents.references(F.col("text")).alias("r")).first()["r"] == ["3a", "2.1"]
