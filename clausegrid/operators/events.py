@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -26,15 +26,70 @@ def sliding_quota(events: DataFrame, hourly: int, daily: int) -> DataFrame:
     return out.withColumns({"allowed": ok, "remaining": left})
 
 
-def anchored_quota(events: DataFrame, limit: int, seconds: int) -> DataFrame:
+# Requests in a day and an hour that users and guests may make, and in a day about one lease.
+USER_LIMITS, GUEST_LIMITS, LEASE_LIMIT = (50, 15), (10, 5), 30
+# Requests in an hour by route.
+ROUTE_LIMITS = {
+    "report_get": 60, "report_post": 20, "report_patch": 30, "report_delete": 20, "job": 120, "retry": 5, "pdf_url": 60,
+    "feedback": 20, "negotiation": 10, "stream": 30, "rent_increase": 30, "eviction": 30, "deposit_fees": 30,
+}
+# Uploads in a day by users and by guests.
+UPLOAD_LIMITS = (5, 3)
+
+
+def _earlier(keys: list[str], seconds: int) -> Column:
+    """How many rows of the keys came within so many seconds before, in order of time and event_id. Needs _us."""
+    w = Window.partitionBy(*keys).orderBy("_us").rangeBetween(-seconds * 1_000_000, Window.currentRow)
+    here = Window.partitionBy(*keys, "_us").orderBy("event_id").rowsBetween(0, Window.unboundedFollowing)
+    return F.count(F.lit(1)).over(w) - F.count(F.lit(1)).over(here)
+
+
+def chat_quota(requests: DataFrame) -> DataFrame:
+    """Adds allowed, reason and remaining by the limits of a user or guest in a day and an hour and of a lease in a day.
+
+    Needs event_id, ts, user_id (null for guests), ip, lease_id. The first
+    limit that is met in this order is the reason.
+    """
+    rows = requests.withColumns({"_us": F.unix_micros("ts"), "_who": F.coalesce(F.concat(F.lit("u"), "user_id"), F.concat(F.lit("g"), "ip")), "_guest": F.col("user_id").isNull()})
+    rows = rows.withColumns({"_day": _earlier(["_who"], 86400), "_hour": _earlier(["_who"], 3600), "_lease": _earlier(["lease_id"], 86400)})
+    limit = lambda k: F.when(F.col("_guest"), GUEST_LIMITS[k]).otherwise(USER_LIMITS[k])
+    who = F.when(F.col("_guest"), "ip").otherwise("user")
+    reason = F.when(F.col("_day") >= limit(0), F.concat(F.lit("daily_"), who, F.lit("_limit"))).when(F.col("_hour") >= limit(1), F.concat(F.lit("hourly_"), who, F.lit("_limit"))).when(F.col("_lease") >= LEASE_LIMIT, "per_lease_limit")
+    left = F.greatest(F.lit(0), F.least(limit(0) - F.col("_day") - 1, limit(1) - F.col("_hour") - 1, LEASE_LIMIT - F.col("_lease") - 1))
+    out = rows.withColumns({"reason": reason, "allowed": reason.isNull(), "remaining": F.when(reason.isNull(), left).otherwise(0)})
+    return out.drop("_us", "_who", "_guest", "_day", "_hour", "_lease")
+
+
+def upload_quota(requests: DataFrame) -> DataFrame:
+    """Adds allowed by the uploads in a day. Needs event_id, ts, user_id (null for guests), ip."""
+    rows = requests.withColumns({"_us": F.unix_micros("ts"), "_who": F.coalesce(F.concat(F.lit("u"), "user_id"), F.concat(F.lit("g"), "ip"))})
+    limit = F.when(F.col("user_id").isNull(), UPLOAD_LIMITS[1]).otherwise(UPLOAD_LIMITS[0])
+    return rows.withColumn("allowed", _earlier(["_who"], 86400) < limit).drop("_us", "_who")
+
+
+def route_quota(requests: DataFrame) -> DataFrame:
+    """Adds allowed by each route's limit in an hour; unknown routes have none. Needs event_id, ts, key, route."""
+    limits = F.create_map(*(F.lit(x) for kv in ROUTE_LIMITS.items() for x in kv))
+    rows = requests.withColumn("_us", F.unix_micros("ts"))
+    return rows.withColumn("allowed", F.coalesce(_earlier(["key", "route"], 3600) < F.element_at(limits, F.col("route")), F.lit(True))).drop("_us")
+
+
+def fail_open(checked: DataFrame, open_: bool = True) -> DataFrame:
+    """Requests whose check gave no answer pass, or not if ``open_`` is false. Needs allowed."""
+    return checked.withColumn("allowed", F.coalesce("allowed", F.lit(open_)))
+
+
+def anchored_quota(events: DataFrame, limit: int, seconds: int, in_memory: bool = False) -> DataFrame:
     """event_id, count and allowed under windows that start at a key's first request after the last one ended.
 
-    The windows are sequential by nature, so a key's rows go through one Python
-    loop; only (count, start of the window) is kept, whatever the key's size.
-    Needs key, ts, event_id.
+    A refused request counts one beyond the limit in the stored form; in memory
+    the count stays at the limit. The windows are sequential by nature, so a
+    key's rows go through one Python loop; only (count, start of the window) is
+    kept, whatever the key's size. Needs key, ts, event_id.
     """
     rows = events.select("key", F.unix_micros("ts").alias("us"), "event_id")
     parts = rows.repartition("key").sortWithinPartitions("key", "us", "event_id")
+    most = limit if in_memory else limit + 1
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, reset, count = None, 0, 0
@@ -43,8 +98,9 @@ def anchored_quota(events: DataFrame, limit: int, seconds: int) -> DataFrame:
             for k, us, e in zip(pdf["key"], pdf["us"], pdf["event_id"], strict=True):
                 if k != key or us > reset:
                     key, reset, count = k, us + seconds * 1_000_000, 0
-                count = min(count + 1, limit + 1)
-                out.append((e, count, count <= limit))
+                allowed = count < limit
+                count = min(count + 1, most)
+                out.append((e, count, allowed))
             yield pd.DataFrame(out, columns=["event_id", "count", "allowed"])
 
     return parts.mapInPandas(run, "event_id long, count int, allowed boolean")

@@ -73,11 +73,13 @@ def rent_increases(rows: DataFrame) -> DataFrame:
 
 
 def eviction_notices(rows: DataFrame) -> DataFrame:
-    """Adds required_days, actual_days, the number of failed checks and the verdict.
+    """Adds required_days, actual_days, months of rent owed, the number of failed checks and the verdict.
 
     Needs notice_type (N4, N5, N8, N12, N13), notice_date, termination_date,
     tenancy, ground, served_by, individual_landlord, individual_unit,
-    compensation; what a type does not use may be null.
+    compensation and, where there, units (of the building; without it one month
+    is owed); what a type does not use may be null. A purchaser's notice is not
+    checked for the landlord's eligibility.
     """
     kind, weekly = F.col("notice_type"), F.col("tenancy") == "daily_weekly"
     required = (
@@ -92,7 +94,9 @@ def eviction_notices(rows: DataFrame) -> DataFrame:
     ineligible = (kind == "N12") & (F.col("served_by") == "landlord") & ~(F.coalesce("individual_landlord", none) & F.coalesce("individual_unit", none))
     unpaid = ~F.coalesce("compensation", none) & ((kind == "N12") | ((kind == "N13") & ~F.coalesce(F.col("ground") == "repairs", none)))
     failed = sum((F.when(x, 1).otherwise(0) for x in (actual < required, ineligible, unpaid)), F.lit(0))
-    out = rows.withColumns({"required_days": required, "actual_days": actual, "failed": failed})
+    units = F.col("units") if "units" in rows.columns else F.lit(1)
+    months = F.when(kind == "N12", 1).when((kind == "N13") & ~F.coalesce(F.col("ground") == "repairs", none), F.when(units >= 5, 3).otherwise(1)).otherwise(0)
+    out = rows.withColumns({"required_days": required, "actual_days": actual, "months_owed": months, "failed": failed})
     return out.withColumn("verdict", F.when(F.col("failed") > 0, "not_valid").otherwise("appears_valid"))
 
 

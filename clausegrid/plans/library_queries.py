@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from clausegrid.functions import cleaning, dates, payloads
-from clausegrid.operators import events, reports, retrieval, screening
+from clausegrid.operators import events, intake, reports, retrieval, screening
 from clausegrid.plans.queries import CLAUSES_SQL, _clauses, query
 from clausegrid.sources import tables
 
@@ -351,3 +351,88 @@ def run_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = Window.partitionBy("user_id")
     rows = tables.table(spark, sf_dir, "events").select("user_id", "ts", "event_id")
     return rows.withColumns({"seq": F.row_number().over(own.orderBy("ts", "event_id")), "n": F.count(F.lit(1)).over(own)})
+
+
+_LEASES = ("Full address of the rental unit:\n12 King Street W, Unit 4B, Toronto, ON M5V 2T6\n", "Premises: 9 Elm Ave, Ottawa, Ontario K1A 0B1\n", "known as 77 Long Road, Barrie, ON\n", "\n 5 Short Lane, Guelph, Ontario N1G2W1\n", "")
+_FOUND = ", ".join(f"nullif({_TRIM.format(f"regexp_extract(t, '{p}', 1)")}, '')" for p in intake.ADDRESSES)
+
+
+def _noise_sql(x: str) -> str:
+    for pattern, by in intake._NOISE:
+        x = f"regexp_replace({x}, '{pattern}', '{by}', 'g')"
+    return x
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, replace(regexp_replace([{", ".join("'" + x.replace(chr(10), "' || chr(10) || '") + "'" for x in _LEASES)}][1 + doc_id % 5] || text, '[ \\t]+', ' ', 'g'), chr(13) || chr(10), chr(10)) AS t FROM documents WHERE text IS NOT NULL),
+r AS (SELECT doc_id, coalesce({_FOUND}, nullif({_TRIM.format(f"regexp_extract(left(t, 3000), '{intake.STREET.replace(chr(39), chr(39) * 2)}', 1)")}, ''), '') AS raw FROM d)
+SELECT doc_id, left({_TRIM.format(_noise_sql("raw"))}, 120) AS address,
+       CASE WHEN regexp_matches(raw, '{intake.UNIT}') THEN string_split_regex(regexp_extract(raw, '{intake.UNIT}', 0), '\\s+')[1] || ' ' || regexp_extract(raw, '{intake.UNIT}', 2) ELSE '' END AS unit,
+       {_TRIM.format(f"regexp_extract(raw, '{intake.CITY}', 1)")} AS city, regexp_replace(upper(regexp_extract(raw, '{intake.POSTAL_CODE}', 1)), '^(.{{3}})[ -]?(.{{3}})$', '\\1 \\2') AS postal_code FROM r""")
+def address_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of documents that start as leases do."""
+    ahead = F.element_at(F.array(*map(F.lit, _LEASES)), (F.col("doc_id") % 5 + 1).cast("int"))
+    rows = tables.table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.concat(ahead, "text").alias("text"))
+    return intake.addresses(rows)
+
+
+@query("""
+WITH p AS (SELECT page_id, regexp_extract_all(regexp_replace(regexp_replace(html, '(?is)<(?:script|style)\\b.*?</(?:script|style)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?is)<(?:h[1-6]|p)\\b[^>]*>.*?</(?:h[1-6]|p)>') AS b FROM pages),
+x AS (SELECT page_id, unnest(b) AS block, generate_subscripts(b, 1) AS n FROM p),
+t AS (SELECT page_id, n, regexp_matches(block, '(?i)^<h') AS head,
+        regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(block, '(?s)<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&'), '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS text FROM x),
+s AS (SELECT *, sum(CAST(head AS INTEGER)) OVER w AS section, last_value(CASE WHEN head THEN text END IGNORE NULLS) OVER w AS heading FROM t WHERE text <> '' WINDOW w AS (PARTITION BY page_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT page_id, CAST(section AS INTEGER) AS section, heading, md5(coalesce(string_agg(text, chr(10) ORDER BY n) FILTER (NOT head), '')) AS digest FROM s GROUP BY page_id, section, heading""")
+def html_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = intake.html_sections(tables.table(spark, sf_dir, "pages"))
+    return found.select("page_id", "section", "heading", F.md5("text").alias("digest"))
+
+
+_SECTION_SQL = " ".join(f"WHEN n BETWEEN {a} AND {b} THEN '{t}'" for a, b, t in intake.SECTION_TYPES)
+_DECISION_SQL = ", ".join(f"CASE WHEN {' OR '.join(f"contains(lower(text), '{w.lower()}')" for w in words)} THEN '{name}' END" for name, words in intake.DECISION_TYPES)
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, doc_id % 130 AS n, text || [' The deposit.', ' Quiet enjoyment; N12.', ''][1 + doc_id % 3] AS text FROM documents WHERE text IS NOT NULL),
+f AS (SELECT *, list_filter([{_DECISION_SQL}], lambda x: x IS NOT NULL) AS f FROM d)
+SELECT doc_id, CASE {_SECTION_SQL} END AS section_type, CASE WHEN len(f) > 0 THEN array_to_string(f, ',') ELSE 'unknown' END AS types, length({_TRIM.format("text")}) >= 50 AS long_enough FROM f""")
+def decision_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clause types of sections and decisions, and whether a text says enough."""
+    ends = F.element_at(F.array(*map(F.lit, (" The deposit.", " Quiet enjoyment; N12.", ""))), (F.col("doc_id") % 3 + 1).cast("int"))
+    rows = tables.table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.concat("text", ends).alias("text"))
+    number = F.concat(F.col("doc_id") % 130, F.lit("(2)"))
+    return rows.select("doc_id", intake.section_type(number).alias("section_type"), F.array_join(intake.decision_types(F.col("text")), ",").alias("types"), intake.long_enough(F.col("text")).alias("long_enough"))
+
+
+@query("""
+WITH d AS (SELECT doc_id // 10 AS file, coalesce(text, '') AS text, doc_id AS page FROM documents),
+j AS (SELECT file, string_agg(text, chr(10) ORDER BY page) AS t, avg(length(text)) AS mean FROM d GROUP BY file)
+SELECT file, CAST(CASE WHEN regexp_replace(t, '^\\s+|\\s+$', '', 'g') = '' THEN 0 ELSE floor(greatest(0, least(1, 1 - length(regexp_replace(t, '[\\x00-\\x7F]', '', 'g')) / CAST(length(t) AS DOUBLE) * 0.8 - CASE WHEN mean >= 50 THEN 0 ELSE 0.3 END)) * 1e6 + 0.5) END AS DOUBLE) AS confidence FROM j""")
+def text_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = tables.table(spark, sf_dir, "documents").select(F.expr("doc_id div 10").alias("file"), F.col("doc_id").alias("page"), "text")
+    return intake.text_confidence(pages).select("file", F.floor(F.col("confidence") * 1e6 + 0.5).cast("double").alias("confidence"))
+
+
+@query("""
+WITH r AS (SELECT event_id, epoch_us(ts) AS us, user_id % 4 = 0 AS guest, CASE WHEN user_id % 4 = 0 THEN 'g' ELSE 'u' END || user_id % 40 AS who, user_id % 30 AS lease FROM events),
+c AS (SELECT *, count(*) OVER (PARTITION BY who ORDER BY us RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW) - count(*) OVER (PARTITION BY who, us ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS day,
+        count(*) OVER (PARTITION BY who ORDER BY us RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW) - count(*) OVER (PARTITION BY who, us ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS hour,
+        count(*) OVER (PARTITION BY lease ORDER BY us RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW) - count(*) OVER (PARTITION BY lease, us ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS of_lease FROM r),
+l AS (SELECT *, CASE WHEN guest THEN 10 ELSE 50 END AS d, CASE WHEN guest THEN 5 ELSE 15 END AS h, CASE WHEN guest THEN 'ip' ELSE 'user' END AS w FROM c),
+x AS (SELECT *, CASE WHEN day >= d THEN 'daily_' || w || '_limit' WHEN hour >= h THEN 'hourly_' || w || '_limit' WHEN of_lease >= 30 THEN 'per_lease_limit' END AS reason FROM l)
+SELECT event_id, reason, reason IS NULL AS allowed, CASE WHEN reason IS NULL THEN greatest(0, least(d - day - 1, h - hour - 1, 30 - of_lease - 1)) ELSE 0 END AS remaining FROM x""")
+def chat_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of few users and guests about few leases, so that every limit is met."""
+    who = F.col("user_id") % 40
+    rows = tables.table(spark, sf_dir, "events").select("event_id", "ts", F.when(F.col("user_id") % 4 > 0, who.cast("string")).alias("user_id"), who.cast("string").alias("ip"), (F.col("user_id") % 30).alias("lease_id"))
+    return events.chat_quota(rows).select("event_id", "reason", "allowed", "remaining")
+
+
+@query(f"""
+WITH r AS (SELECT event_id, epoch_us(ts) AS us, user_id % 3 AS key, [{", ".join(f"'{k}'" for k in events.ROUTE_LIMITS)}, 'other'][1 + user_id % 14] AS route FROM events),
+c AS (SELECT *, count(*) OVER (PARTITION BY key, route ORDER BY us RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW) - count(*) OVER (PARTITION BY key, route, us ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS n FROM r)
+SELECT event_id, route, coalesce(n < CASE route {" ".join(f"WHEN '{k}' THEN {v}" for k, v in events.ROUTE_LIMITS.items())} END, true) AS allowed FROM c""")
+def route_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
+    route = F.element_at(F.array(*map(F.lit, (*events.ROUTE_LIMITS, "other"))), (F.col("user_id") % 14 + 1).cast("int"))
+    rows = tables.table(spark, sf_dir, "events").select("event_id", "ts", (F.col("user_id") % 3).alias("key"), route.alias("route"))
+    return events.fail_open(events.route_quota(rows)).select("event_id", "route", "allowed")

@@ -413,7 +413,7 @@ n AS (SELECT *, CASE kind WHEN 'N4' THEN CASE WHEN weekly THEN 7 ELSE 14 END WHE
              WHEN 'N8' THEN CASE WHEN weekly THEN 28 ELSE 60 END WHEN 'N12' THEN 60 ELSE 120 END AS required_days FROM r),
 f AS (SELECT *, CAST(days < required_days AS INTEGER) + CAST(kind = 'N12' AND by_landlord AND NOT individual AS INTEGER)
              + CAST(NOT paid AND (kind = 'N12' OR (kind = 'N13' AND NOT repairs)) AS INTEGER) AS failed FROM n)
-SELECT id, kind AS notice_type, CAST(required_days AS INTEGER) AS required_days, CAST(days AS INTEGER) AS actual_days, failed, CASE WHEN failed > 0 THEN 'not_valid' ELSE 'appears_valid' END AS verdict FROM f""")
+SELECT id, kind AS notice_type, CAST(required_days AS INTEGER) AS required_days, CAST(days AS INTEGER) AS actual_days, CASE WHEN kind = 'N12' THEN 1 WHEN kind = 'N13' AND NOT repairs THEN CASE WHEN id % 9 >= 5 THEN 3 ELSE 1 END ELSE 0 END AS months_owed, failed, CASE WHEN failed > 0 THEN 'not_valid' ELSE 'appears_valid' END AS verdict FROM f""")
 def eviction(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, day = F.col("o_orderkey"), F.to_date("o_orderdate")
     rows = tables.table(spark, sf_dir, "orders").select(
@@ -427,8 +427,9 @@ def eviction(spark: SparkSession, sf_dir: str) -> DataFrame:
         (k % 7 != 0).alias("individual_landlord"),
         F.lit(True).alias("individual_unit"),
         (k % 6 != 0).alias("compensation"),
+        (k % 9).alias("units"),
     )
-    return rules.eviction_notices(rows).select("id", "notice_type", "required_days", "actual_days", "failed", "verdict")
+    return rules.eviction_notices(rows).select("id", "notice_type", "required_days", "actual_days", "months_owed", "failed", "verdict")
 
 
 @query("""
@@ -461,7 +462,13 @@ def quota_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.sliding_quota(tables.table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), 5, 10).drop("ts")
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS us FROM events),
+w(user_id, start) AS (
+  SELECT user_id, min(us) FROM e GROUP BY user_id
+  UNION ALL SELECT w.user_id, min(e.us) FROM w JOIN e ON e.user_id = w.user_id AND e.us > w.start + 3600000000 GROUP BY w.user_id),
+p AS (SELECT e.event_id, row_number() OVER (PARTITION BY e.user_id, w.start ORDER BY e.us, e.event_id) AS n FROM e ASOF JOIN w ON e.user_id = w.user_id AND e.us >= w.start)
+SELECT event_id, CAST(least(n, 6) AS INTEGER) AS count, n <= 5 AS allowed FROM p""")
 def quota_fixed_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.anchored_quota(tables.table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), "ts", "event_id"), 5, 3600)
 

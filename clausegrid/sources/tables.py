@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -45,3 +45,33 @@ def unexpired(rows: DataFrame, until: str, as_of: str) -> DataFrame:
 def without_children_of(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     """Rows that do not belong to a deleted parent."""
     return rows.join(gone.select(key).distinct(), key, "left_anti")
+
+
+def only_row(rows: DataFrame) -> DataFrame:
+    """The rows, if there is exactly one; otherwise an error."""
+    n = len(rows.limit(2).collect())
+    if n != 1:
+        raise LookupError("no row" if n == 0 else "more than one row")
+    return rows
+
+
+def counted(rows: DataFrame) -> DataFrame:
+    """n, the number of rows, without any of their columns."""
+    return rows.agg(F.count(F.lit(1)).alias("n"))
+
+
+def updated(rows: DataFrame, match: Column, values: dict[str, Column], guard: Column | None = None) -> DataFrame:
+    """Rows with new values where they match and the guard, if any, holds; other rows stay."""
+    at = match if guard is None else match & guard
+    return rows.withColumns({c: F.when(at, v).otherwise(F.col(c)) for c, v in values.items()})
+
+
+def appended(rows: DataFrame, path: str) -> None:
+    """Adds rows to a parquet table."""
+    rows.write.mode("append").parquet(path)
+
+
+def seeded(spark: SparkSession, kinds: list[str], each: int) -> DataFrame:
+    """kind, n and score: rows to begin a benchmark with, ``each`` of every kind, scores spread from 1 to 10."""
+    rows = spark.range(len(kinds) * each).select(F.element_at(F.array(*map(F.lit, kinds)), (F.expr(f"id div {int(each)}") + 1).cast("int")).alias("kind"), (F.col("id") % each).cast("int").alias("n"))
+    return rows.withColumn("score", (F.col("n") % 10 + 1).cast("double"))

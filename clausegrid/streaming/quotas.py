@@ -21,10 +21,15 @@ def anchored_quota_stream(events: DataFrame, limit: int, seconds: int) -> DataFr
     """event_id, count and allowed under windows anchored at a key's first request. Needs key, ts, event_id.
 
     The state of a key is its window's end and count. Rows of a micro-batch are
-    taken in order of time; what a later batch brings is taken as it comes.
+    taken in order of time; what a later batch brings is taken as it comes. A
+    key without requests for twice its window is forgotten, so that the state
+    does not grow with all keys that ever were.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         reset, count = state.get if state.exists else (0, 0)
         rows = pd.concat(batches).sort_values(["us", "event_id"])
         out = []
@@ -34,12 +39,32 @@ def anchored_quota_stream(events: DataFrame, limit: int, seconds: int) -> DataFr
             count = min(count + 1, limit + 1)
             out.append((event, count, count <= limit))
         state.update((reset, count))
+        state.setTimeoutDuration(2 * seconds * 1000)
         yield pd.DataFrame(out, columns=["event_id", "count", "allowed"])
 
     rows = events.select("key", F.unix_micros("ts").alias("us"), "event_id")
-    return rows.groupBy("key").applyInPandasWithState(step, "event_id long, count int, allowed boolean", "reset long, count int", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("key").applyInPandasWithState(step, "event_id long, count int, allowed boolean", "reset long, count int", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def replay(events: DataFrame) -> DataFrame:
     """Events with those delivered twice left out, within the watermark. Needs ts, event_id."""
     return events.withWatermark("ts", "10 minutes").dropDuplicatesWithinWatermark(["event_id"])
+
+
+def replayed(events: DataFrame, final: tuple[str, ...], keep: str = "10 minutes") -> DataFrame:
+    """What a late reader of each key is sent: its events in order, up to the first final one.
+
+    key, events (ts, event_id, status) and done. Needs key, ts, event_id,
+    status. A stream forgets a key once it was quiet for ``keep``.
+    """
+    kept = events.withWatermark("ts", keep) if events.isStreaming else events
+    rows = kept.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "status"))).alias("all"))
+    ends = F.array_position(F.transform("all", lambda e: e["status"].isin(*final)), True)
+    upto = F.when(ends > 0, F.slice("all", F.lit(1), ends.cast("int"))).otherwise(F.col("all"))
+    return rows.select("key", upto.alias("events"), (ends > 0).alias("done"))
+
+
+def tokens_to_lines(chunks: DataFrame) -> DataFrame:
+    """key, n and line of a text that came in pieces: whole lines in order, the last one if it is not blank. Needs key, seq, piece."""
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "piece"))), lambda x: x["piece"]), "")
+    return chunks.groupBy("key").agg(text.alias("text")).select("key", F.posexplode(F.filter(F.split("text", "\n", -1), lambda x: x != "")).alias("n", "line"))
