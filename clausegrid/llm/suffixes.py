@@ -456,11 +456,12 @@ def repeated_spans(texts: DataFrame, hot_contexts: int = HOT_CONTEXTS) -> DataFr
     cool = around.where("not hot").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_groups, "k long, a int, b int")
     marks = met.where("not various").select("k", F.col("pos").alias("a"), F.lit(-1).alias("b"))
     times = kinds.select("anchor", "context", "n")
-    twice = various.join(times, ["anchor", "context"], "left").where("n >= 2").select("k", F.col("pos").alias("a"), F.lit(-1).alias("b"))
+    # Every anchor keeps its row, so that the join has as many rows as anchors however many share a context.
+    twice = various.join(times, ["anchor", "context"], "left").select("k", F.col("pos").alias("a"), F.when(F.col("n") >= 2, -1).alias("b"))
     marks = marks.unionByName(twice).unionByName(cool)
     if hot.take(1):
         marks = marks.unionByName(_counted_windows(around.where("hot")))
-    return marks.groupBy("k").agg(F.collect_list(F.struct("a", "b")).alias("marks"))
+    return marks.groupBy("k").agg(F.collect_list(F.when(F.col("b").isNotNull(), F.struct("a", "b"))).alias("marks"))
 
 
 def _covered(size: int, marks: list[dict]) -> np.ndarray:
