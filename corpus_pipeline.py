@@ -24,8 +24,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group one row, that with the smallest doc_id: shingles of five words, five differing bits at most."""
-    return simhash.one_of_each_group(docs, width=5, max_bits=5)
+    """Of each near-duplicate group one row, that with the smallest doc_id; groups are those of the operator's own parameters."""
+    return simhash.one_of_each_group(docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
