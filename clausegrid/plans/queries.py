@@ -94,12 +94,12 @@ def risk_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return portfolio.risk_distribution(_clauses(spark, sf_dir))
 
 
-def _ranked_sql(k: int, least: float | None) -> str:
+def _ranked_sql(k: int | None, least: float | None) -> str:
     cond = f"WHERE risk_score >= {least}" if least is not None else ""
     return f"""
 WITH {CLAUSES_SQL},
 r AS (SELECT lease_id, seq, risk_score, row_number() OVER (PARTITION BY lease_id ORDER BY risk_score DESC NULLS LAST, seq) AS place FROM clauses {cond})
-SELECT lease_id, seq, risk_score, place FROM r WHERE place <= {k}"""
+SELECT lease_id, seq, risk_score, place FROM r {f'WHERE place <= {k}' if k else ''}"""
 
 
 @query(_ranked_sql(1, None))
@@ -112,7 +112,7 @@ def top12_negotiation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return portfolio.ranked(_clauses(spark, sf_dir), 12, 4).select("lease_id", "seq", "risk_score", "place")
 
 
-@query(_ranked_sql(1000, 6))
+@query(_ranked_sql(None, 6))
 def red_flags_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return portfolio.ranked(_clauses(spark, sf_dir), None, 6).select("lease_id", "seq", "risk_score", "place")
 
