@@ -209,17 +209,14 @@ def learn(pieces: Pieces, seen: dict[str, int]) -> np.ndarray:
     size = len(pieces.pieces)
     marked = sorted((("▁" + w, n) for w, n in seen.items()), key=lambda x: (len(x[0]), x[0]))
     short, long = [x for x in marked if len(x[0]) <= TOGETHER], [x for x in marked if len(x[0]) > TOGETHER]
-    made = []
-    for a in range(0, len(short), 5000):
-        part = short[a : a + 5000]
-        made.append((*pieces.lattice([w for w, _ in part]), np.array([n for _, n in part], float)))
     chance = np.full((size + 1, 1), 1 / max(size, 1))
     chance[-1] = UNKNOWN
     found = np.zeros(size + 1)
     for _ in range(ROUNDS):
         found = np.zeros(size + 1)
-        for lattice, length, weight in made:
-            found += expected_counts(lattice, length, weight, chance)
+        for a in range(0, len(short), 5000):
+            part = short[a : a + 5000]
+            found += expected_counts(*pieces.lattice([w for w, _ in part]), np.array([n for _, n in part], float), chance)
         logs = pieces.log_sums([w for w, _ in long], chance)[:, 0] if long else np.zeros(0)
         at = 0
         while at < len(long):
