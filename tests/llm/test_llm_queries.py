@@ -36,6 +36,17 @@ def test_scores_of_odd_rows(spark: SparkSession) -> None:
     assert backoff.lm_scores(df.limit(0)).count() == 0
 
 
+def test_lm_scores_are_the_same_however_chunks_and_buckets_are_cut(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
+    texts = [" ".join(f"w{(i * k) % 37}" for k in range(1, 60)) for i in range(40)] + [None, "", "one", "one"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted(map(tuple, backoff.rounded_scores(df.coalesce(1)).collect()), key=str)
+    monkeypatch.setattr(backoff, "BUCKET_GRAMS", 64)
+    cut = df.repartition(5)
+    assert sorted(map(tuple, backoff.rounded_scores(cut).collect()), key=str) == want
+    totals = {r["total"] for r in backoff.counted(backoff.packets(backoff.chunked(cut), 6), 4).collect()}
+    assert min(totals) >= backoff.MIN_COUNT
+
+
 def test_pipeline(spark: SparkSession, tmp_path) -> None:
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     kept = docs
