@@ -7,9 +7,10 @@ under its 64 blanked segments, an equality join finds the candidates, and the
 join condition checks the distance and keeps each pair under one key only.
 
 Only distinct fingerprints are joined, so exact copies cost one row however
-many they are. Before the join, fingerprints that differ in a single bit are
-contracted; the join then returns no pair whose ends are in one group already,
-so crowded neighbourhoods do not return all their pairs.
+many they are. Before the join, every fingerprint is linked to the one before it
+and the first one under each key, where they are near enough, and what these
+links connect is contracted; the join then returns no pair whose ends are in one
+group already, so crowded neighbourhoods do not return all their pairs.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from clausegrid.llm.common import cut, slices, utf8
 
@@ -99,11 +101,16 @@ def _first_key(x: Column) -> Column:
     return out
 
 
-def _one_bit_links(nodes: DataFrame) -> DataFrame:
-    """Pairs of fingerprints that differ in one bit: the one with the bit clear looks for the one with it set."""
-    flipped = [F.col("fp").bitwiseXOR(F.lit(1 << p if p < 63 else -(1 << 63))) for p in range(64)]
-    there = nodes.select(F.col("fp").alias("b"))
-    return nodes.select(F.col("fp").alias("a"), F.explode(F.array(*flipped)).alias("b")).where("a < b").join(there, "b", "left_semi").select("a", "b")
+def _first_links(nodes: DataFrame, max_bits: int) -> DataFrame:
+    """Pairs at ``max_bits`` or fewer, of each fingerprint and at most two others under each of its keys: the one before it in order, and the first.
+
+    Their number grows with the fingerprints, not with their pairs, yet they
+    connect nearly all of a crowded neighbourhood.
+    """
+    order = Window.partitionBy("key").orderBy("fp")
+    beside = _variants(nodes).select("fp", F.lag("fp").over(order).alias("before"), F.first("fp").over(order).alias("first"))
+    pairs = beside.select(F.col("fp").alias("b"), F.explode(F.array("before", "first")).alias("a"))
+    return pairs.where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)).select("a", "b").distinct()
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -132,7 +139,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def links(nodes: DataFrame, groups: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Pairs at ``max_bits`` or fewer whose ends are in different ``groups``; 5 at most, as one of three segments then differs in one bit or none."""
+    """Pairs at ``max_bits`` or fewer whose ends are in different ``groups``."""
     if max_bits >= 2 * (len(SEGMENTS) - 1):
         raise ValueError("three segments find pairs of at most five differing bits")
     keyed = _variants(groups.select("fp", "root"))
@@ -147,12 +154,12 @@ def simhash_components(docs: DataFrame, width: int = SHINGLE_WORDS, max_bits: in
 
     Null and empty texts have fingerprint zero and link like any other. Rows
     may repeat; a group without any non-null doc_id has a null component_id.
-    Other columns are ignored. An empty table gives an empty result.
+    Other columns are ignored. An empty table gives an empty result. More than
+    five bits are an error, as then no segment need agree but for one bit.
     """
     prints = cut(fingerprints(docs, width))
     nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    close = components(nodes.select("fp"), _one_bit_links(nodes.select("fp")))
-    close = cut(close)
+    close = cut(components(nodes.select("fp"), _first_links(nodes.select("fp"), max_bits)))
     found = links(nodes, close, max_bits)
     edges = cut(found.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
     top = components(close.select(F.col("root").alias("fp")).distinct(), edges)

@@ -535,6 +535,22 @@ def test_links_of_close_fingerprints(spark: SparkSession) -> None:
     assert wide == {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 5}
 
 
+def test_crowded_fingerprints_are_connected_by_few_links(spark: SparkSession) -> None:
+    r = random.Random(7)
+    values = [b ^ sum(1 << k for k in r.sample(range(64), r.randrange(5))) for b in (r.getrandbits(64) for _ in range(3)) for _ in range(150)]
+    signed = sorted({v - (1 << 64) if v >> 63 else v for v in values})
+    nodes = spark.createDataFrame([(v,) for v in signed], "fp long")
+    first = simhash._first_links(nodes, 5)
+    groups = simhash.components(nodes, first)
+    left = {(x["a"], x["b"]) for x in simhash.links(nodes, groups, 5).collect()}
+    near = {(a, b) for k, a in enumerate(signed) for b in signed[k + 1 :] if ((a ^ b) & (1 << 64) - 1).bit_count() <= 5}
+    chosen = {tuple(x) for x in first.collect()}
+    assert chosen <= near
+    root = {x["fp"]: x["root"] for x in groups.collect()}
+    assert left == {(a, b) for a, b in near if root[a] != root[b]}
+    assert len(left) * 10 < len(near)
+
+
 def test_one_row_of_each_group_stays(spark: SparkSession, docs: DataFrame) -> None:
     texts = [passage(40 + k, 60) for k in range(4)]
     rows = [(7, texts[0], 1), (7, texts[0], 1), (None, texts[0], 2), (None, texts[1], 3), (None, texts[1], 3), (9, texts[2] + " x", 4), (9, texts[2], 5), (3, texts[2], 6), (9, texts[3], 7)]
