@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clausegrid.llm import backoff, bpe, language, licenses, mixing, quality, simhash, sketches, suffixes, topk
+from clausegrid.llm import backoff, bpe, codes, divergence, language, licenses, merges, mixing, quality, simhash, sketches, suffixes, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,6 +65,21 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_bpe_merge_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of all documents by the merges of a tokenizer file."""
+    return merges.token_digests(_table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The codes of all vectors and how far they are off."""
+    return codes.compressed(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language differ in their words."""
+    return divergence.divergence(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     """One query for each operator."""
     found = (
@@ -78,10 +93,19 @@ def queries() -> dict[str, Query]:
         op8_byte_level_bpe,
         op9_exact_top_k,
         op10_simhash_near_dedup,
+        op11_bpe_merge_rounds,
+        op12_vector_codes,
+        op13_source_divergence,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return {"op3_lm_scoring": backoff.SCORES_SQL, "op5_mixing_sources": mixing.MIXTURE_SQL, "op9_exact_top_k": topk.TOP_K_SQL}
+    return {
+        "op3_lm_scoring": backoff.SCORES_SQL,
+        "op5_mixing_sources": mixing.MIXTURE_SQL,
+        "op9_exact_top_k": topk.TOP_K_SQL,
+        "op12_vector_codes": codes.CODES_SQL,
+        "op13_source_divergence": divergence.DIVERGENCE_SQL,
+    }
