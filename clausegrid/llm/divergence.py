@@ -13,10 +13,8 @@ are added exactly by a grouped shuffle.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +36,12 @@ RANKS = 200
 DENSE = 0.5
 #: Kept counts of a chunk and sources of a tile, about.
 CHUNK, TILE = 1 << 17, 256
-#: Distinct (lang, source, term) that a task holds, of so many signs of text, matches of a text and cells of a matrix at once.
-_HELD, _SIGNS, _MATCHES, _CELLS = 1 << 18, 1 << 26, 1 << 16, 1 << 20
-_LOWER = {c: c + 32 for c in range(65, 91)}
+#: Distinct (lang, source, term) that a task holds, of so many bytes of text, bytes of a text and cells of a matrix at once.
+_HELD, _BYTES, _PIECE, _CELLS = 1 << 20, 1 << 26, 1 << 20, 1 << 20
+#: A document more, beside the occurrences, in the number that a task holds for a term.
+_DOCUMENT = 1 << 40
+#: The bytes of terms, A-Z in lower case, and blanks for all others.
+_LETTERS = bytes(b + 32 if 65 <= b < 91 else b if 97 <= b < 123 or b > 127 else 32 for b in range(256))
 
 
 def shares(counts: np.ndarray, total: np.ndarray | int) -> np.ndarray:
@@ -57,34 +58,41 @@ def gap(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (p - q) * (p - q) // q
 
 
-def _terms(text: str, find: re.Pattern) -> Iterator[list[str]]:
-    """The terms of a text, some at a time."""
-    matches = find.finditer(text)
-    while some := [m.group() for m in islice(matches, _MATCHES)]:
-        yield some
+def _terms(raw: bytes) -> Iterator[list[bytes]]:
+    """The terms of a text's UTF-8 bytes, some at a time; every byte of a sign beyond ASCII belongs to a term."""
+    raw, at = raw.translate(_LETTERS), 0
+    while at < len(raw):
+        stop = raw.find(b" ", at + _PIECE)
+        stop = len(raw) if stop < 0 else stop
+        yield raw[at:stop].split()
+        at = stop
 
 
 def counted(docs: DataFrame) -> DataFrame:
     """lang, source, term, n (occurrences) and docs (documents) over all documents; nulls are empty strings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, held, within, signs = re.compile(TERM), {}, 0, 0
+        held: dict[tuple[str, str], dict[bytes, int]] = {}
+        within = signs = 0
 
         def given() -> Iterator[pa.RecordBatch]:
-            for (lang, source), (n, d) in held.items():
-                rows = [[lang] * len(n), [source] * len(n), list(n), list(n.values()), [d[t] for t in n]]
-                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.string()) for x in rows[:3]), *(pa.array(x, pa.int64()) for x in rows[3:])], ["lang", "source", "term", "n", "docs"])
+            for (lang, source), found in held.items():
+                both = np.fromiter(found.values(), np.int64, len(found))
+                names = [pa.array([x], pa.string()).take(pa.array(np.zeros(len(found), np.int8))) for x in (lang, source)]
+                yield pa.RecordBatch.from_arrays([*names, pa.array(list(found), pa.binary()).cast(pa.string()), pa.array(both & (_DOCUMENT - 1)), pa.array(both >> 40)], ["lang", "source", "term", "n", "docs"])
 
         for batch in slices(batches, "text"):
-            for text, lang, source in zip(*(batch.column(c).to_pylist() for c in ("text", "lang", "source")), strict=True):
-                n, d = held.setdefault((lang, source), (Counter(), Counter()))
-                before, own = len(n), Counter()
-                for some in _terms(text.translate(_LOWER), find):
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            for raw, lang, source in zip(texts, batch.column("lang").to_pylist(), batch.column("source").to_pylist(), strict=True):
+                found = held.setdefault((lang, source), {})
+                before, own = len(found), Counter()
+                for some in _terms(raw):
                     own.update(some)
-                n.update(own)
-                d.update(own.keys())
-                within, signs = within + len(n) - before, signs + len(text)
-                if within > _HELD or signs > _SIGNS:
+                get = found.get
+                for t, n in own.items():
+                    found[t] = get(t, 0) + n + _DOCUMENT
+                within, signs = within + len(found) - before, signs + len(raw)
+                if within > _HELD or signs > _BYTES:
                     yield from given()
                     held, within, signs = {}, 0, 0
         yield from given()
