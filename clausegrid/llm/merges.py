@@ -53,10 +53,19 @@ def byte_signs() -> list[str]:
     return [chr(b if b in prints else next(others)) for b in range(256)]
 
 
+def _is_latin(text: str) -> bool:
+    """Whether no sign is beyond U+00FF, and so none is in LATER."""
+    try:
+        return text.isascii() or text.encode("latin-1") is not None
+    except UnicodeEncodeError:
+        return False
+
+
 class Splitter:
     """Cuts a text into added tokens and, between them, the matches of a pattern."""
 
     def __init__(self, added: list[str], pattern: str):
+        self.names = added
         self.added = regex.compile("|".join(map(regex.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.plain = regex.compile(pattern)
         self.later = regex.compile(f"[{LATER}]")
@@ -65,10 +74,10 @@ class Splitter:
         self.careful = regex.compile("(?V1)" + pattern.replace(r"[^\s\p{L}\p{N}]", neither).replace(r"\p{L}+", old["L"] + "+").replace(r"\p{N}+", old["N"] + "+"))
 
     def _between(self, part: str) -> regex.Pattern:
-        return self.careful if not part.isascii() and self.later.search(part) else self.plain
+        return self.careful if not _is_latin(part) and self.later.search(part) else self.plain
 
     def findall(self, text: str) -> list[str]:
-        return [m.group() for m in self.finditer(text)] if self.added and self.added.search(text) else self._between(text).findall(text)
+        return [m.group() for m in self.finditer(text)] if any(t in text for t in self.names) else self._between(text).findall(text)
 
     def finditer(self, text: str) -> Iterator[regex.Match]:
         at = 0
