@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausegrid.functions.texts import contains_any
-from clausegrid.operators import documents, events, pairs, portfolio, retrieval, rules
+from clausegrid.operators import documents, events, pairs, portfolio, postings, retrieval, rules
 from clausegrid.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -224,10 +224,17 @@ _TOKENS = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-
 _ASKED = {0: ["the", "and"], 1: ["that", "for"], 2: ["de", "la"]}
 
 
+def _index(spark: SparkSession, sf_dir: str, english: bool = False) -> postings.Postings:
+    """The inverted index of the documents, which all searches of the same tables share."""
+    docs = tables.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return postings.index_of(docs, sf_dir, tables.scratch(spark, "index"), english)
+
+
 @query(f"""
 SELECT doc_id FROM (SELECT doc_id, {_TOKENS} AS t FROM documents) WHERE list_has_all(t, ['the', 'and', 'that'])""")
 def fts_and_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.matching_all(tables.table(spark, sf_dir, "documents"), ["the", "and", "that"]).select("doc_id")
+    asked = spark.createDataFrame([(0, "the and that")], "query_id int, asked string")
+    return _index(spark, sf_dir).matching_all(asked).select(F.col("id").alias("doc_id"))
 
 
 def _bm25_sql(k: int) -> str:
@@ -243,13 +250,14 @@ b AS (SELECT query_id, id, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) *
 t AS (SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM b WHERE found = 2) WHERE rank <= {k})"""
 
 
-def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+def _ranked_texts(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    asked = spark.createDataFrame([(q, " ".join(ws)) for q, ws in _ASKED.items()], "query_id int, asked string")
+    return _index(spark, sf_dir).bm25(asked, k)
 
 
 @query(f"WITH {_bm25_sql(10)} SELECT * FROM t")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.bm25(_texts(spark, sf_dir), _ASKED, 10).select("query_id", "id", "score", "rank")
+    return _ranked_texts(spark, sf_dir, 10).select("query_id", "id", "score", "rank")
 
 
 @query(f"""
@@ -263,7 +271,7 @@ SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every hundredth vector with one of three word queries; lists are three times as long as the result."""
     k = 10
-    texts = retrieval.bm25(_texts(spark, sf_dir), _ASKED, 3 * k).select(F.col("query_id").alias("asked"), "id", "rank")
+    texts = _ranked_texts(spark, sf_dir, 3 * k).select(F.col("query_id").alias("asked"), "id", "rank")
     own = tables.table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.expr("cast((vec_id div 100) % 3 as int)").alias("asked"))
     return retrieval.hybrid(_nearest(spark, sf_dir, 3 * k, -1.0), own.join(texts, "asked").select("query_id", "id", "rank"), k).select("query_id", "id", "score", "rank")
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -75,3 +78,16 @@ def seeded(spark: SparkSession, kinds: list[str], each: int) -> DataFrame:
     """kind, n and score: rows to begin a benchmark with, ``each`` of every kind, scores spread from 1 to 10."""
     rows = spark.range(len(kinds) * each).select(F.element_at(F.array(*map(F.lit, kinds)), (F.expr(f"id div {int(each)}") + 1).cast("int")).alias("kind"), (F.col("id") % each).cast("int").alias("n"))
     return rows.withColumn("score", (F.col("n") % 10 + 1).cast("double"))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path under the folder that driver and executors share, as spark.checkpoint.dir names it.
+
+    Only a local session may leave it unset, as in tests, and gets a temporary folder.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="scratch-")
+    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
