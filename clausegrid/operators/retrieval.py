@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from clausegrid.functions.cleaning import DECISION_STOPS, STATUTE_STOPS, search_words
-from clausegrid.functions.numbers import cosine
+from clausegrid.functions.numbers import dot
 from clausegrid.functions.texts import tokens
+from clausegrid.operators.cells import nearest_by_cells, unit
 
 RRF = 60
 K1, B = 1.2, 0.75
@@ -23,16 +24,17 @@ def _top(rows: DataFrame, score: Column, k: int, doc: str = "id") -> DataFrame:
     return rows.withColumn("rank", place).where(F.col("rank") <= k)
 
 
-def nearest(queries: DataFrame, corpus: DataFrame, k: int, least: float) -> DataFrame:
+def nearest(queries: DataFrame, corpus: DataFrame, k: int, least: float, by_cells: bool = False) -> DataFrame:
     """query_id, id, cosine, rank: the k nearest rows of the query's group with a cosine of ``least`` or more.
 
-    Both need grp and vec; queries have query_id, the corpus id. The group is
-    an equality join; queries are broadcast while they are few.
+    Both need grp and vec; queries have query_id, the corpus id. Queries are
+    broadcast while they are few; more, or if ``by_cells`` says so, are searched
+    through cells with bounds, to the same result.
     """
-    n = queries.limit(BROADCAST_QUERIES + 1).count()
-    asked = F.broadcast(queries) if n <= BROADCAST_QUERIES else queries
-    q = asked.select("query_id", "grp", F.col("vec").alias("q"))
-    scored = corpus.where(F.col("vec").isNotNull()).join(q, "grp").select("query_id", "id", F.round(cosine(F.col("vec"), F.col("q")), DIGITS).alias("cosine"))
+    if by_cells or queries.limit(BROADCAST_QUERIES + 1).count() > BROADCAST_QUERIES:
+        return nearest_by_cells(queries, corpus, k, least)[0]
+    q = F.broadcast(unit(queries, ["query_id", "grp"]).withColumnRenamed("u", "q"))
+    scored = unit(corpus, ["grp", "id"]).join(q, "grp").select("query_id", "id", F.round(dot(F.col("u"), F.col("q")), DIGITS).alias("cosine"))
     return _top(scored.where(F.col("cosine") >= least), F.col("cosine"), k)
 
 
@@ -120,8 +122,8 @@ def built_queries(clauses: DataFrame) -> DataFrame:
 
 
 def nearest_since(queries: DataFrame, corpus: DataFrame, k: int, least: float, floor: str | None = None) -> DataFrame:
-    """As nearest, over rows not older than ``floor``; None asks all. The corpus needs day."""
-    return nearest(queries, corpus if floor is None else corpus.where(F.col("day") >= F.lit(floor).cast("date")), k, least)
+    """As nearest through cells, over rows not older than ``floor``; None asks all. The corpus needs day."""
+    return nearest(queries, corpus if floor is None else corpus.where(F.col("day") >= F.lit(floor).cast("date")), k, least, by_cells=True)
 
 
 def keyword_hits(queries: DataFrame, corpus: DataFrame, k: int, decisions: bool = False) -> DataFrame:

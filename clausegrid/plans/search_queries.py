@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clausegrid.operators import cells
 from clausegrid.plans.queries import _TOKENS, _index, query
 from clausegrid.sources import tables
 
@@ -30,3 +31,10 @@ def phrase_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def english_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents that hold the stems of the first four words of every benchmark text, stop words left out."""
     return _index(spark, sf_dir, english=True).bm25(_openings(spark, sf_dir, 4), 10).select("query_id", "id", "score", "rank")
+
+
+@query()
+def cells_searched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many cells of vectors there are for every hundredth vector, and how many its five nearest needed."""
+    v = tables.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), F.col("label").alias("grp"))
+    return cells.nearest_by_cells(v.where("id % 100 = 0").withColumnRenamed("id", "query_id"), v, 5, 0.1)[1]

@@ -113,7 +113,7 @@ def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three ranked lists for every hundredth vector: by its own vector and the two that follow it."""
     v = tables.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), F.lit(0).alias("grp"))
     asked = v.where("id % 100 < 3").select(F.col("id").alias("query_id"), "vec", "grp")
-    near = retrieval.nearest(asked, v, 5, -1.0)
+    near = retrieval.nearest(asked, v, 5, -1.0, by_cells=True)
     return near.select(F.expr("query_id - query_id % 100").alias("query_id"), (F.col("query_id") % 100).alias("list"), "id", "rank", F.col("cosine").alias("score"))
 
 
@@ -135,7 +135,7 @@ def retrieval_hitrate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The share of every hundredth vectors with one of their label among the five nearest others."""
     v = tables.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vec"), F.lit(0).alias("grp"))
     asked = v.where("id % 100 = 0")
-    near = retrieval.nearest(asked.select(F.col("id").alias("query_id"), "grp", "vec"), v, 6, -1.0).where("id <> query_id")
+    near = retrieval.nearest(asked.select(F.col("id").alias("query_id"), "grp", "vec"), v, 6, -1.0, by_cells=True).where("id <> query_id")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
     five = near.withColumn("place", place).where("place <= 5")
     named = five.join(v.select("id", "label"), "id").join(asked.select(F.col("id").alias("query_id"), F.col("label").alias("want")), "query_id")
