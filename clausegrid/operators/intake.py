@@ -136,16 +136,6 @@ def html_sections(pages: DataFrame) -> DataFrame:
     return rows.groupBy("page_id", "section", "heading").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "\n").alias("text"))
 
 
-def with_headnotes(rows: DataFrame) -> DataFrame:
-    """Sections of a regulation, each with the headnote that stands before it. Needs doc_id, n, kind (headnote or section), text.
-
-    A headnote counts for the next section only.
-    """
-    w = Window.partitionBy("doc_id").orderBy("n")
-    before = F.lag("kind").over(w)
-    return rows.withColumn("heading", F.when(before == "headnote", F.lag("text").over(w))).where("kind = 'section'").drop("kind")
-
-
 def addresses(docs: DataFrame) -> DataFrame:
     """doc_id, address, unit, city and postal_code of a lease's text; all empty where no address is found."""
     text = F.replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"[ \t]+", " "), F.lit("\r\n"), F.lit("\n"))
