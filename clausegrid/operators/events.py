@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from clausegrid.functions.numbers import half_up
+from clausegrid.operators.sweeps import stretches
 
 
 def sliding_quota(events: DataFrame, hourly: int, daily: int) -> DataFrame:
@@ -83,19 +84,21 @@ def anchored_quota(events: DataFrame, limit: int, seconds: int, in_memory: bool
     """event_id, count and allowed under windows that start at a key's first request after the last one ended.
 
     A refused request counts one beyond the limit in the stored form; in memory
-    the count stays at the limit. The windows are sequential by nature, so a
-    key's rows go through one Python loop; only (count, start of the window) is
-    kept, whatever the key's size. Needs key, ts, event_id.
+    the count stays at the limit. Windows are sequential, but one certainly
+    begins after a pause that is longer than a window; a key's rows are cut
+    there, and the stretches go through Python loops of their own, which keep
+    only (count, start of the window). Needs key, ts, event_id.
     """
     rows = events.select("key", F.unix_micros("ts").alias("us"), "event_id")
-    parts = rows.repartition("key").sortWithinPartitions("key", "us", "event_id")
+    rows = stretches(rows, ["key"], ["us", "event_id"], F.col("us"), F.col("us") + seconds * 1_000_000 + 1)
+    parts = rows.repartition("key", "stretch").sortWithinPartitions("key", "stretch", "us", "event_id")
     most = limit if in_memory else limit + 1
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, reset, count = None, 0, 0
         for pdf in batches:
             out = []
-            for k, us, e in zip(pdf["key"], pdf["us"], pdf["event_id"], strict=True):
+            for *k, us, e in zip(pdf["key"], pdf["stretch"], pdf["us"], pdf["event_id"], strict=True):
                 if k != key or us > reset:
                     key, reset, count = k, us + seconds * 1_000_000, 0
                 allowed = count < limit
@@ -143,17 +146,19 @@ def virtual_offsets(steps: DataFrame) -> DataFrame:
 def lanes(steps: DataFrame, tolerance: float = 0.1) -> DataFrame:
     """trace, step and lane by first fit: the first lane that is free when the step starts. Needs trace, step, start, stop.
 
-    First fit is sequential; a trace's open lanes are all that is kept.
+    First fit is sequential, but where all lanes are free it begins anew; a
+    trace's steps are cut there, and of a stretch only the lanes are kept.
     """
-    parts = steps.select("trace", "step", "start", "stop").repartition("trace").sortWithinPartitions("trace", "start", "step")
+    rows = stretches(steps.select("trace", "step", "start", "stop"), ["trace"], ["start", "step"], F.col("start"), F.col("stop") - tolerance)
+    parts = rows.repartition("trace", "stretch").sortWithinPartitions("trace", "stretch", "start", "step").select("trace", "stretch", "step", "start", "stop")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trace, ends = None, []
         for pdf in batches:
             out = []
-            for t, step, start, stop in pdf.itertuples(index=False):
-                if t != trace:
-                    trace, ends = t, []
+            for t, stretch, step, start, stop in pdf.itertuples(index=False):
+                if (t, stretch) != trace:
+                    trace, ends = (t, stretch), []
                 lane = next((i for i, e in enumerate(ends) if start >= e - tolerance), len(ends))
                 ends[lane : lane + 1] = [stop]
                 out.append((t, step, lane))

@@ -1,4 +1,4 @@
-"""Screening whole documents: personal data, kind, jurisdiction, outcome, chunks.
+"""Screening whole documents: personal data, kind, jurisdiction, outcome.
 
 Word boundaries are written as lookarounds over ASCII word signs, which is what
 ``\\b`` means to engines that treat letters beyond ASCII as no word signs.
@@ -6,11 +6,8 @@ Word boundaries are written as lookarounds over ASCII word signs, which is what
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -114,7 +111,6 @@ ABROAD = (
 )
 POSTAL = r"\b([A-Z])[0-9][A-Z]\s*[0-9][A-Z][0-9]\b"
 POSTAL_LETTERS = {"B": "CA-NS", "T": "CA-AB", "V": "CA-BC", "R": "CA-MB", "S": "CA-SK", "G": "CA-QC", "H": "CA-QC", "J": "CA-QC"}
-LONGEST_CHUNK = 2000
 
 _BOUNDARY = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 
@@ -212,37 +208,3 @@ def outcomes(decisions: DataFrame) -> DataFrame:
     landlord_side = F.when(granted, "landlord_favour").when(dismissed, "tenant_favour").otherwise("mixed")
     by_applicant = F.when(first == "T", tenant_side).when(first == "L", landlord_side).otherwise("mixed")
     return decisions.withColumn("outcome", F.when(landlord & ~tenant, "tenant_favour").when(tenant & ~landlord, "landlord_favour").otherwise(by_applicant))
-
-
-_MARK = re.compile(r"\([0-9]+\)")
-_SENTENCE = re.compile(r"(?<=[.!?])\s+")
-
-
-def packed_chunks(text: str, longest: int = LONGEST_CHUNK) -> list[str]:
-    """A text in parts of at most ``longest`` characters where its sentences allow it, cut at (1), (2) ... first."""
-    if len(text) <= longest:
-        return [text]
-    edges = [0, *(m.start() for m in _MARK.finditer(text)), len(text)]
-    out: list[str] = []
-    for part in (text[a:b].strip() for a, b in zip(edges, edges[1:], strict=False)):
-        held = ""
-        for sentence in _SENTENCE.split(part) if len(part) > longest else [part]:
-            if held and len(held) + len(sentence) + 1 > longest:
-                out.append(held.strip())
-                held = sentence
-            else:
-                held = f"{held} {sentence}".strip() if held else sentence
-        if held.strip():
-            out.append(held.strip())
-    return out or [text]
-
-
-def chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, n and chunk of every document: packing is sequential within a text, texts are independent."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            made = [(d, n, c) for d, t in zip(pdf["doc_id"], pdf["text"], strict=True) for n, c in enumerate(packed_chunks(t or ""))]
-            yield pd.DataFrame(made, columns=["doc_id", "n", "chunk"])
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n int, chunk string")

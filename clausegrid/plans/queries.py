@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausegrid.functions.texts import contains_any
-from clausegrid.operators import documents, events, pairs, portfolio, postings, retrieval, rules
+from clausegrid.operators import documents, events, pairs, portfolio, postings, retrieval, rules, sweeps
 from clausegrid.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -516,12 +516,31 @@ def virtual_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.virtual_offsets(_steps(spark, sf_dir).select("trace", "seq", "duration_ms"))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {_STEPS_SQL},
+o AS (SELECT trace, seq, CAST(start_ms AS DOUBLE) AS a, CAST(start_ms + duration_ms AS DOUBLE) AS b, row_number() OVER (PARTITION BY trace ORDER BY start_ms, seq) AS n FROM steps),
+r(trace, n, seq, lane, ends) AS (
+  SELECT trace, n, seq, 0, [b] FROM o WHERE n = 1
+  UNION ALL
+  SELECT trace, n, seq, free - 1, CASE WHEN free > len(ends) THEN list_append(ends, b) ELSE list_concat(list_concat(ends[1:free - 1], [b]), ends[free + 1:]) END
+  FROM (SELECT o.trace, o.n, o.seq, o.b, r.ends, CAST(coalesce(list_position(list_transform(r.ends, lambda e: o.a >= e - 0.1), true), len(r.ends) + 1) AS INTEGER) AS free FROM r JOIN o ON o.trace = r.trace AND o.n = r.n + 1))
+SELECT trace, seq AS step, lane FROM r""")
 def trace_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _steps(spark, sf_dir)
     return events.lanes(s.select("trace", F.col("seq").alias("step"), F.col("start_ms").cast("double").alias("start"), (F.col("start_ms") + F.col("duration_ms")).cast("double").alias("stop")))
 
 
+@query(f"""
+WITH {_STEPS_SQL},
+o AS (SELECT *, row_number() OVER (PARTITION BY trace ORDER BY start_ms, seq) AS n FROM steps),
+c AS (SELECT a.trace, a.seq, 1 + count(b.seq) AS here FROM o a LEFT JOIN o b ON b.trace = a.trace AND b.n < a.n AND b.start_ms + b.duration_ms - 0.1 > a.start_ms GROUP BY ALL)
+SELECT trace, CAST(sum(duration_ms) AS BIGINT) AS total_ms, max(duration_ms) AS peak_ms, CAST(max(here) AS INTEGER) AS parallel FROM steps JOIN c USING (trace, seq) GROUP BY trace""")
+def trace_parallelism(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _steps(spark, sf_dir)
+    lanes = sweeps.parallelism(s.select("trace", F.col("seq").alias("step"), F.col("start_ms").cast("double").alias("start"), (F.col("start_ms") + F.col("duration_ms")).cast("double").alias("stop")))
+    return events.trace_extent(s).join(lanes, "trace").select("trace", "total_ms", "peak_ms", "parallel")
+
+
 @query("""
 WITH r AS (SELECT contains(lower(coalesce(text, '')), 'idiot') OR contains(lower(coalesce(text, '')), 'moron') OR contains(lower(coalesce(text, '')), 'worthless') AS p, toxic = 1 AS a FROM documents JOIN labels USING (doc_id)),
 c AS (SELECT count(*) FILTER (p AND a) AS tp, count(*) FILTER (p AND NOT a) AS fp, count(*) FILTER (NOT p AND a) AS fn, count(*) FILTER (NOT p AND NOT a) AS tn FROM r),

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from clausegrid.operators import documents, portfolio, reports, retrieval, rules, screening
-from clausegrid.plans.queries import _COS, CLAUSES_SQL, _clauses, query
+from clausegrid.operators import documents, parsing, portfolio, reports, retrieval, rules, screening
+from clausegrid.plans.queries import _COS, _TRIM, CLAUSES_SQL, _clauses, query
 from clausegrid.sources import tables
 
 
@@ -68,9 +68,26 @@ def jurisdiction_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return screening.jurisdictions(tables.table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-@query()
+@query(rf"""
+WITH RECURSIVE t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+m AS (SELECT doc_id, string_split(regexp_replace(text, '(\(\d+\))', chr(2) || '\1', 'g'), chr(2)) AS parts FROM t WHERE length(text) > 2000),
+p AS (SELECT doc_id, unnest(parts) AS raw, generate_subscripts(parts, 1) AS part FROM m),
+w AS (SELECT doc_id, part, {_TRIM.format("raw")} AS text FROM p),
+s AS (SELECT doc_id, part, CASE WHEN length(text) > 2000 THEN string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) ELSE [text] END AS x FROM w WHERE text <> ''),
+q AS (SELECT doc_id, part, unnest(x) AS x, generate_subscripts(x, 1) AS i FROM s),
+r(doc_id, part, i, chunk, size) AS (
+  SELECT doc_id, part, i, 0, length(x) FROM q WHERE i = 1
+  UNION ALL
+  SELECT q.doc_id, q.part, q.i, CASE WHEN r.size + length(q.x) + 1 > 2000 THEN r.chunk + 1 ELSE r.chunk END, CASE WHEN r.size + length(q.x) + 1 > 2000 THEN length(q.x) ELSE r.size + 1 + length(q.x) END
+  FROM r JOIN q ON q.doc_id = r.doc_id AND q.part = r.part AND q.i = r.i + 1),
+c AS (SELECT q.doc_id, q.part, r.chunk, {_TRIM.format("string_agg(q.x, ' ' ORDER BY q.i)")} AS text FROM q JOIN r ON r.doc_id = q.doc_id AND r.part = q.part AND r.i = q.i GROUP BY ALL),
+n AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY part, chunk) - 1 AS n, text FROM c)
+SELECT doc_id, doc_id || CASE WHEN n > 0 THEN '.' || n ELSE '' END AS number, length(text) AS n_chars, md5(text) AS digest FROM n
+UNION ALL SELECT doc_id, CAST(doc_id AS VARCHAR), length(text), md5(text) FROM t WHERE length(text) <= 2000""")
 def chunk_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return screening.chunks(tables.table(spark, sf_dir, "documents"))
+    docs = tables.table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("number"), F.coalesce("text", F.lit("")).alias("text"))
+    found = parsing.statute_chunks(docs)
+    return found.select("doc_id", "number", F.length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
 _REFS = ", ".join("regexp_extract_all(text, '{}', 1)".format(p) for p in documents.REFERENCES)

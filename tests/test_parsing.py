@@ -126,3 +126,11 @@ def test_regulation_sections(spark: SparkSession) -> None:
         (2, "2", "Section 2", "2) Two", "paragraphs"),
         (2, "1", "Section 1", "1. One again", "paragraphs"),
     ]
+
+
+def test_chunks_keep_all_words(spark: SparkSession) -> None:
+    text = " ".join(f"({i}) Sentence number {i} goes on and on." if i % 9 == 0 else f"Sentence number {i} goes on and on." for i in range(300))
+    rows = spark.createDataFrame([("26", text)], "number string, text string")
+    parts = [r["text"] for r in parsing.statute_chunks(rows).orderBy("chunk").collect()]
+    assert all(len(p) <= parsing.LONGEST_CHUNK for p in parts)
+    assert " ".join(parts).split() == text.split()
