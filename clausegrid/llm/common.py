@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -68,12 +68,33 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table under the shared folder and reads it again."""
+def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Writes a table under the shared folder and reads it again; and its path."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Writes a table under the shared folder and reads it again."""
+    return stored_at(df, name)[0]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a table that stored_at() has written and nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def under_plain_names(docs: DataFrame, used: tuple[str, ...], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``work`` makes of rows whose columns, but for those used, have names of their own; the names come back afterwards.
+
+    So neither dots in a name nor names that the work itself uses can clash.
+    """
+    plain = [c if c in used else f"_c{i}" for i, c in enumerate(docs.columns)]
+    return work(docs.toDF(*plain)).select(*plain).toDF(*docs.columns)
 
 
 def rows_of(df: DataFrame) -> int:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from clausegrid.llm.common import cut
+from clausegrid.llm.common import cut, under_plain_names
 
 #: Slots of a frame for weights that are not given, at least, and for each source.
 FRAME_SLOTS, SLOTS_A_SOURCE = 512, 16
@@ -182,11 +182,15 @@ FROM cut c JOIN frame f ON f.source IS NOT DISTINCT FROM c.source AND f.k = c.bl
 
 
 def mixed(docs: DataFrame, targets: dict[str, float] | None = None, block_docs: int = BLOCK_DOCS) -> DataFrame:
-    """All rows and columns of the documents, in the order of the mixture.
+    """All rows and columns of the documents, whatever their names, in the order of the mixture.
 
     Rows that repeat a doc_id within a source stand together at the first
     one's slot; rows without a slot come last. The order is that of the partitions and of the rows in them.
     """
+    return under_plain_names(docs, ("doc_id", "source"), lambda rows: _mixed(rows, targets, block_docs))
+
+
+def _mixed(docs: DataFrame, targets: dict[str, float] | None, block_docs: int) -> DataFrame:
     at = mixture(docs, targets, block_docs).groupBy("doc_id", "source").agg(F.min(F.struct(F.coalesce("slot", F.lit(2**63 - 1)).alias("slot"), "block_no", "place")).alias("at"))
     at = at.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("at.slot").alias("_slot"), F.col("at.block_no").alias("_block"), F.col("at.place").alias("_place"))
     own = F.col("d.doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("d.source").cast("string").eqNullSafe(F.col("_source"))

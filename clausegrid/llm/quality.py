@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clausegrid.llm.common import cut, slices, utf8
+from clausegrid.llm.common import cut, slices, under_plain_names, utf8
 from clausegrid.llm.words import lower, pair_hash, pieces, span_hashes
 
 BUCKETS = 10_000
@@ -181,7 +181,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents drawn, with all their columns."""
+    """The documents drawn, with all their columns, whatever their names."""
+    return under_plain_names(docs, ("doc_id", "text"), lambda rows: _good(rows, labels))
+
+
+def _good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     ratio, least = _draw(docs, labels)
     scored = _scored(docs, ratio, [c for c in docs.columns if c != "text"])
     kept = scored.where(_key(F.col("mean"), F.col("doc.doc_id").cast("long")) >= least)

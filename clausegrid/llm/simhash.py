@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from clausegrid.llm.common import cut, slices, utf8
+from clausegrid.llm.common import cut, slices, under_plain_names, utf8
 
 SHINGLE_WORDS = 4
 SEED = 42
@@ -177,12 +177,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each_group(docs: DataFrame, width: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """The documents, all columns, of which exactly one row stays for each near-duplicate group.
+    """The documents, all columns whatever their names, of which exactly one row stays for each near-duplicate group.
 
     It is the row with the smallest doc_id, nulls last; of several with that
     doc_id one by its text, and of rows that repeat both any one. An empty
     table gives an empty result.
     """
+    return under_plain_names(docs, ("doc_id", "text"), lambda rows: _one_of_each(rows, width, max_bits))
+
+
+def _one_of_each(docs: DataFrame, width: int, max_bits: int) -> DataFrame:
     rows = simhash_components(docs, width, max_bits)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tx", "ty")).alias("one")
     kept = rows.groupBy("top").agg(first).select(F.col("one.doc_id").alias("_id"), F.col("one.tx").alias("_x"), F.col("one.ty").alias("_y"))

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clausegrid.llm.common import cut, slices, stored, utf8
+from clausegrid.llm.common import cut, slices, stored, under_plain_names, utf8
 from clausegrid.llm.words import _CODES, _power, mix
 
 MATCH = 200
@@ -523,6 +523,10 @@ def removal_digests(docs: DataFrame) -> DataFrame:
 
 
 def texts_without_repeats(docs: DataFrame) -> DataFrame:
-    """The documents, all columns, with what remains of the text; n_chars, where there, is counted again."""
+    """The documents, all columns whatever their names, with what remains of the text; n_chars, where there, is counted again."""
+    return under_plain_names(docs, ("doc_id", "text", "n_chars"), _rest_of_texts)
+
+
+def _rest_of_texts(docs: DataFrame) -> DataFrame:
     found = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
     return without_repeats(docs, as_text=True).select(*(found.get(c, F.col("doc").getField(c)).alias(c) for c in docs.columns))

@@ -54,9 +54,12 @@ def _width(*columns: pa.ChunkedArray) -> int:
 
 
 def best_of(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Scores and ids of the k best rows of each query, ties to smaller ids, and which are real; the rest fill up."""
-    greatest = max(1, np.abs(queries).max(initial=0)) * max(1, np.abs(rows).max(initial=0)) * float(rows.shape[1] or 1)
-    kind = np.float64 if greatest < 2**52 else np.int64
+    """Scores and ids of the k best rows of each query, ties to smaller ids, and which are real; the rest fill up.
+
+    Sums that may leave 64 bits are made of Python's integers.
+    """
+    greatest = max(1, int(np.abs(queries).max(initial=0))) * max(1, int(np.abs(rows).max(initial=0))) * (rows.shape[1] or 1)
+    kind = np.float64 if greatest < 2**52 else np.int64 if greatest < 2**62 else object
     q, x = queries.astype(kind), rows.astype(kind)
     by = np.argsort(ids, kind="stable")
     pivots = x[by][:: max(1, len(x) // PIVOTS)][:PIVOTS]
@@ -66,7 +69,7 @@ def best_of(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: n
     high, low = np.maximum.reduceat(x, edges), np.minimum.reduceat(x, edges)
     bounds = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
     ranked = np.argsort(-bounds, axis=1, kind="stable")
-    worst = -np.inf if kind is np.float64 else np.iinfo(np.int64).min
+    worst = np.iinfo(np.int64).min if kind is np.int64 else -np.inf
     scores, found = np.full((len(q), k), worst, kind), np.full((len(q), k), -1, np.int64)
     active = np.arange(len(q))
     for turn in range(len(edges)):
@@ -81,7 +84,8 @@ def best_of(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: n
             new = q[who] @ x[place].T
             places = np.where(ids[place] == query_ids[who][:, None], -1, place)
             all_scores, all_places = np.hstack((scores[who], new)), np.hstack((found[who], places))
-            order = np.lexsort((ids[all_places], -all_scores, all_places < 0), axis=-1)[:, :k]
+            ranks = all_scores if kind is not object else np.unique(all_scores, return_inverse=True)[1].reshape(all_scores.shape)
+            order = np.lexsort((ids[all_places], -ranks, all_places < 0), axis=-1)[:, :k]
             scores[who], found[who] = np.take_along_axis(all_scores, order, 1), np.take_along_axis(all_places, order, 1)
     return scores, ids[found], found >= 0
 
@@ -93,8 +97,8 @@ def top_k(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY) -> DataFrame
     candidate for its own vec_id. Where lengths differ, missing components
     count as zero. Rows that repeat a vec_id take part each; of queries that do
     the one with the smallest vector, component by component, is asked. An empty
-    table gives an empty result. Components of 2**42 or more overflow a long and
-    are an error.
+    table gives an empty result. Components of 2**42 or more are an error, and so
+    are scores among the best that a long cannot hold; all others are exact.
     """
     own = quantized(vectors)
     asked = own.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("x").alias("x"))
@@ -112,7 +116,10 @@ def top_k(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY) -> DataFrame
         q, c = _matrix(a.column("x"), width), _matrix(b.column("x"), width)
         asked_ids = a.column("vec_id").to_numpy()
         scores, found, real = best_of(q, asked_ids, c, b.column("vec_id").to_numpy(), k)
-        return pa.table([pa.array(np.repeat(asked_ids, k)[real.ravel()]), pa.array(found[real]), pa.array(scores[real].astype(np.int64))], names)
+        best = scores[real].tolist()
+        if best and not -(2**63) <= min(best) <= max(best) < 2**63:
+            raise ValueError("a score does not fit into 64 bits")
+        return pa.table([pa.array(np.repeat(asked_ids, k)[real.ravel()]), pa.array(found[real]), pa.array([int(x) for x in best], pa.int64())], names)
 
     near = left.groupBy("s", "p").cogroup(right.groupBy("s", "p")).applyInArrow(search, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
