@@ -1,7 +1,8 @@
 """A training corpus in five stages: good texts, one of each near-duplicate group, without long repeats, mixed, and encoded.
 
 Every stage takes all rows that the one before it kept. All but the last return
-the columns of ``documents``. The mixture's decision is the order of the rows.
+the columns of ``documents``, and other columns of any name too. Null and empty
+texts and repeated rows pass through every stage by the rules of its operator. The mixture's decision is the order of the rows.
 A scan does not keep the order of files, so the last stage takes each row's place
 from its file's number and its row in the file, and returns it with the encoded
 texts as ``position``.
@@ -15,7 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausegrid.llm import bpe, mixing, quality, simhash, suffixes
-from clausegrid.llm.common import stored
+from clausegrid.llm.common import remove, stored_at
+
+#: Bits of a position for the row within a file and the file within a task.
+_ROW_BITS, _FILE_BITS = 30, 13
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,10 +46,17 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """position, doc_id, n_tokens, ids (little-endian 32-bit integers) and the digest of the bytes that they decode to.
 
     Positions rise in the order in which the rows were written, with gaps between
-    files. ``docs`` must be Parquet files as they are read, with nothing between.
+    files: by the task's number, the file's number within the task, and the row's
+    within the file. ``docs`` must be Parquet files as they are read, with
+    nothing between. Null and empty texts have no ids; rows may repeat, and other
+    columns are ignored.
     """
-    number = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long")
-    placed = docs.withColumn("position", F.shiftleft(number, 33) + F.col("_metadata.row_index"))
+    name = F.col("_metadata.file_name")
+    number = lambda pattern: F.coalesce(F.regexp_extract(name, pattern, 1).try_cast("long"), F.lit(0))
+    task, file, row = number(r"^part-(\d+)"), number(r"-c(\d+)"), F.col("_metadata.row_index")
+    whole = F.shiftleft(task, _ROW_BITS + _FILE_BITS) + F.shiftleft(file, _ROW_BITS) + row
+    fits = (task < 1 << 63 - _ROW_BITS - _FILE_BITS) & (file < 1 << _FILE_BITS) & (row < 1 << _ROW_BITS)
+    placed = docs.withColumn("position", F.when(fits, whole).otherwise(F.raise_error(F.lit("too many files or rows for a position")).cast("long")))
     return bpe.encoded(placed, keep=("position",)).select("position", "doc_id", "n_tokens", "ids", "decoded_sha256")
 
 
@@ -64,8 +75,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what each returns is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; what each returns is written to the shared folder and read again, and removed when the next one is there."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs, path = stored_at(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before:
+            remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
