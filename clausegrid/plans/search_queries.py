@@ -1,4 +1,4 @@
-"""Queries of the inverted index: phrases, and English search with stems."""
+"""Queries of the inverted index and of cells of vectors."""
 
 from __future__ import annotations
 

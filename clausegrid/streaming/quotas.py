@@ -51,20 +51,9 @@ def replay(events: DataFrame) -> DataFrame:
     return events.withWatermark("ts", "10 minutes").dropDuplicatesWithinWatermark(["event_id"])
 
 
-def replayed(events: DataFrame, final: tuple[str, ...], keep: str = "10 minutes") -> DataFrame:
-    """What a late reader of each key is sent: its events in order, up to the first final one.
-
-    key, events (ts, event_id, status) and done. Needs key, ts, event_id,
-    status. A stream forgets a key once it was quiet for ``keep``.
-    """
-    kept = events.withWatermark("ts", keep) if events.isStreaming else events
-    rows = kept.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "status"))).alias("all"))
-    ends = F.array_position(F.transform("all", lambda e: e["status"].isin(*final)), True)
-    upto = F.when(ends > 0, F.slice("all", F.lit(1), ends.cast("int"))).otherwise(F.col("all"))
-    return rows.select("key", upto.alias("events"), (ends > 0).alias("done"))
-
-
 def tokens_to_lines(chunks: DataFrame) -> DataFrame:
-    """key, n and line of a text that came in pieces: whole lines in order, the last one if it is not blank. Needs key, seq, piece."""
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "piece"))), lambda x: x["piece"]), "")
-    return chunks.groupBy("key").agg(text.alias("text")).select("key", F.posexplode(F.filter(F.split("text", "\n", -1), lambda x: x != "")).alias("n", "line"))
+    """key, n (from 0) and line of a text that came in pieces: whole lines in order, empty ones too; what follows the last break only if it is not blank. Needs key, seq, piece."""
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "piece"))), lambda x: F.coalesce(x["piece"], F.lit(""))), "")
+    lines = F.split("text", "\n", -1)
+    whole = F.when(F.trim(F.element_at(lines, -1)) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
+    return chunks.groupBy("key").agg(text.alias("text")).select("key", F.posexplode(whole).alias("n", "line"))
