@@ -227,3 +227,12 @@ def heading_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array(*map(F.lit, ("Rent and deposit", "Key Deposit", "Quiet Enjoyment", "PETS", "Storage", "Other", "Last month", "Notice of entry")))
     heading = F.concat(F.element_at(names, (F.col("event_id") % 8 + 1).cast("int")), F.lit(" "), F.col("event_type"))
     return tables.table(spark, sf_dir, "events").select("event_id", parsing.heading_type(heading).alias("clause_type"))
+
+
+@query(f"WITH RECURSIVE {_FORMS_SQL} SELECT doc_id, section, title, clause_type, md5(text) AS digest FROM named")
+def form_sections_lateral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sections of forms by the table function, in SQL."""
+    from clausegrid.functions.tables import registered
+
+    session = registered(spark)
+    return session.sql("SELECT f.doc_id, s.section, s.title, s.clause_type, md5(CAST(s.text AS BINARY)) AS digest FROM {forms} AS f, LATERAL form_sections(f.text) AS s", forms=_forms(spark, sf_dir))
