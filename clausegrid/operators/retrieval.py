@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from clausegrid.functions.cleaning import DECISION_STOPS, STATUTE_STOPS, search_words
 from clausegrid.functions.numbers import dot
 from clausegrid.functions.texts import tokens
+from clausegrid.operators.alignment import with_keys
 from clausegrid.operators.cells import nearest_by_cells, unit
 
 RRF = 60
@@ -108,7 +109,7 @@ QUERY_PHRASES = {
     "standard_boilerplate": "standard lease terms Ontario RTA Residential Tenancies Act form",
     "unknown": "Ontario Residential Tenancies Act tenant landlord rights obligations",
 }
-KEYWORD_SCORE, FEW_HITS = 0.3, 2
+KEYWORD_SCORE, DECISION_KEYWORD_SCORE, FEW_HITS = 0.3, 0.25, 2
 
 
 def built_queries(clauses: DataFrame) -> DataFrame:
@@ -127,12 +128,17 @@ def nearest_since(queries: DataFrame, corpus: DataFrame, k: int, least: float, f
 
 
 def keyword_hits(queries: DataFrame, corpus: DataFrame, k: int, decisions: bool = False) -> DataFrame:
-    """query_id, id, score, rank of rows that hold any of a query's search words; ties to the smaller id. Needs query_id, grp, asked; id, grp, text."""
+    """query_id, id, score, rank of rows that hold any of a query's search words; ties to the smaller id. Needs query_id, grp, asked; id, grp, text.
+
+    The words of all queries are searched for at once; what a row holds then
+    meets the queries by group and word.
+    """
     words = search_words(F.col("asked"), DECISION_STOPS, 4, 4, once=False) if decisions else search_words(F.col("asked"), STATUTE_STOPS)
-    asked = queries.select("query_id", "grp", words.alias("words"))
-    joined = corpus.select("id", "grp", F.lower("text").alias("low")).join(asked, "grp")
-    hits = joined.where(F.exists("words", lambda w: F.col("low").contains(w))).select("query_id", "id", F.lit(KEYWORD_SCORE).alias("score"))
-    return _top(hits, F.col("score"), k)
+    asked = queries.select("query_id", "grp", F.explode(words).alias("word"))
+    held = with_keys(corpus.select("id", "grp", F.lower("text").alias("low")), "low", asked.select(F.col("word").alias("key")))
+    found = held.select("id", "grp", F.explode("keys").alias("word")).join(asked, ["grp", "word"])
+    score = DECISION_KEYWORD_SCORE if decisions else KEYWORD_SCORE
+    return _top(found.select("query_id", "id").distinct().withColumn("score", F.lit(score)), F.col("score"), k)
 
 
 def topped_up(found: DataFrame, fallback: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -145,10 +151,15 @@ def topped_up(found: DataFrame, fallback: DataFrame, queries: DataFrame, k: int)
 
 
 def retrieval_confidence(results: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id and confidence: a tenth over the mean score and 0.95 at most; 0.5 with fallback rows, 0 without any row."""
+    """query_id and confidence: a tenth over the mean score and 0.95 at most; 0.5 with fallback rows, 0.3 where the search had failed too, 0 without any row.
+
+    Queries may say with ``failed`` that their vectors could not be made.
+    """
     per = results.groupBy("query_id").agg(F.avg("score").alias("mean"), F.max(F.col("fallback").cast("int")).alias("fell"))
-    sure = F.when(F.col("mean").isNull(), 0.0).when(F.col("fell") == 1, 0.5).otherwise(F.least(F.lit(0.95), F.col("mean") + 0.1))
-    return queries.select("query_id").distinct().join(per, "query_id", "left").select("query_id", (F.floor(sure * 100 + 0.5) / 100).alias("confidence"))
+    failed = F.coalesce(F.max("failed"), F.lit(False)) if "failed" in queries.columns else F.lit(False)
+    sure = F.when(F.col("mean").isNull(), 0.0).when((F.col("fell") == 1) & F.col("failed"), 0.3).when(F.col("fell") == 1, 0.5).otherwise(F.least(F.lit(0.95), F.col("mean") + 0.1))
+    asked = queries.groupBy("query_id").agg(failed.alias("failed"))
+    return asked.join(per, "query_id", "left").select("query_id", (F.floor(sure * 100 + 0.5) / 100).alias("confidence"))
 
 
 def with_details(ranked: DataFrame, corpus: DataFrame, columns: list[str]) -> DataFrame:
