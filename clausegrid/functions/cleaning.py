@@ -29,7 +29,7 @@ RENT_URL = "https://www.ontario.ca/laws/regulation/060517"
 
 def trimmed(text: Column) -> Column:
     """The text without white space at its ends."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
 
 
 def plain_quotes(text: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from clausegrid.functions.cleaning import plain_quotes, trimmed
 from clausegrid.functions.texts import found
 from clausegrid.operators.screening import java
 
@@ -141,18 +142,6 @@ def any_of(text: Column, patterns: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a | b, (text.rlike(p) for p in patterns))
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, n (from 0), line and start, the line's offset in the text."""
-    split = docs.where(F.col("text").isNotNull()).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("n", "line"))
-    before = F.sum(F.length("line") + 1).over(Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1))
-    return split.withColumn("start", F.coalesce(before, F.lit(0)).cast("long"))
-
-
-def trimmed(text: Column) -> Column:
-    """The text without white space at its ends."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
-
-
 def _number(line: Column) -> Column:
     """The number of the clause that a boundary line starts; headings in capitals have none."""
     first = F.lit("")
@@ -177,36 +166,34 @@ def segments(docs: DataFrame) -> DataFrame:
     belong to the one that is open, and what comes before the first boundary is
     a clause too. Blank clauses are left out and the others numbered from 1; a
     clause without a number is called synthetic. A text without any boundary is
-    cut into paragraphs of more than 20 characters, or is one clause. A
-    document's lines meet in one task.
+    cut into paragraphs of more than 20 characters, or is one clause. A text's
+    clauses are made within its row, so that nothing is shuffled.
     """
-    line = lines(docs).withColumn("_t", trimmed(F.col("line")))
-    line = line.withColumn("opens", any_of(F.col("_t"), BOUNDARIES))
-    running = F.sum(F.when(F.col("opens"), 1).otherwise(0)).over(Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
-    per = line.withColumn("part", running.cast("long")).groupBy("doc_id", "part")
-    out = per.agg(
-        F.min("start").alias("start"),
-        trimmed(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n")).alias("text"),
-        F.min(F.when(F.col("opens"), F.struct("n", "_t")))["_t"].alias("first"),
-    )
-    whole = Window.partitionBy("doc_id")
-    out = out.withColumn("bounds", F.max("part").over(whole)).where((F.col("text") != "") & (F.col("bounds") > 0))
-    out = out.withColumns({"clause": F.row_number().over(whole.orderBy("part")), "clauses": F.count(F.lit(1)).over(whole)})
-    sure = F.when((F.col("bounds") >= 5) & (F.col("clauses") >= 5), 0.85).when(F.col("bounds") >= 2, 0.6).otherwise(0.4)
-    number = F.coalesce(F.nullif(_number(F.col("first")), F.lit("")), F.concat(F.lit("synthetic-"), F.col("clause")))
-    cut = out.select("doc_id", "clause", number.alias("number"), _heading(F.col("first")).alias("heading"), "start", F.length("text").cast("long").alias("n_chars"), "text", sure.alias("confidence"))
-    plain = docs.where((F.length("text") > 0) & ~F.exists(F.split("text", "\n", -1), lambda x: any_of(trimmed(x), BOUNDARIES)))
+    rows = docs.where(F.length("text") > 0).select("doc_id", "text", F.split("text", "\n", -1).alias("lines"))
+    rows = rows.withColumn("t", F.transform("lines", trimmed))
+    opens = F.transform("t", lambda x, i: F.when(any_of(x, BOUNDARIES), i))
+    rows = rows.withColumn("at", F.filter(opens, lambda i: i.isNotNull()))
+    edges = F.arrays_zip(F.concat(F.array(F.lit(0)), "at").alias("a"), F.concat("at", F.array(F.size("lines"))).alias("b"))
+    raw = F.transform(edges, lambda e, k: F.struct(F.when(k > 0, F.get("t", e["a"])).alias("first"), (e["b"] - e["a"]).alias("n"), F.array_join(F.slice("lines", e["a"] + 1, e["b"] - e["a"]), "\n").alias("raw")))
+    rows = rows.withColumn("raw", F.when(F.size("at") > 0, raw))
+    # A clause begins where the lines before it end, a paragraph is looked for from the end of the one before it.
+    begins = """
+        aggregate(raw, named_struct('end', 0, 'at', cast(array() as array<int>)),
+          (s, x) -> named_struct('end', s.end + if(x.n > 0, length(x.raw) + 1, 0), 'at', array_append(s.at, s.end)), s -> s.at)"""
+    bound = F.filter(F.transform(F.arrays_zip("raw", F.expr(begins).alias("start")), lambda x: F.struct(x["raw"]["first"].alias("first"), x["start"].alias("start"), trimmed(x["raw"]["raw"]).alias("text"))), lambda x: x["text"] != "")
     parts = F.filter(F.transform(F.split("text", r"\n{2,}", -1), trimmed), lambda p: F.length(p) > 20)
-    plain = plain.select("doc_id", F.col("text").alias("_all"), F.when(F.size(parts) > 1, parts).otherwise(F.array(trimmed(F.col("text")))).alias("parts"))
-    many = F.size("parts") > 1
-    # A paragraph is looked for from the end of the one before it.
-    offsets = F.expr("""
-        aggregate(parts, named_struct('end', 0, 'at', cast(array() as array<int>)),
-          (s, p) -> named_struct('end', locate(p, _all, s.end + 1) - 1 + length(p), 'at', array_append(s.at, locate(p, _all, s.end + 1) - 1)),
-          s -> s.at)""")
-    flat = plain.select("doc_id", F.posexplode(F.arrays_zip(F.col("parts").alias("text"), F.when(many, offsets).otherwise(F.array(F.lit(0))).alias("start"))).alias("k", "c"))
-    flat = flat.select("doc_id", (F.col("k") + 1).alias("clause"), F.concat(F.lit("synthetic-"), F.col("k") + 1).alias("number"), F.lit(None).cast("string").alias("heading"), F.col("c.start").cast("long").alias("start"), F.length("c.text").cast("long").alias("n_chars"), F.col("c.text").alias("text"), F.lit(0.3).alias("confidence"))
-    return cut.unionByName(flat)
+    rows = rows.withColumn("parts", F.when(F.size("at") == 0, F.when(F.size(parts) > 1, parts).otherwise(F.array(trimmed(F.col("text"))))))
+    offsets = """
+        if(size(parts) > 1, aggregate(parts, named_struct('end', 0, 'at', cast(array() as array<int>)),
+          (s, p) -> named_struct('end', locate(p, text, s.end + 1) - 1 + length(p), 'at', array_append(s.at, locate(p, text, s.end + 1) - 1)),
+          s -> s.at), array(0))"""
+    plain = F.transform(F.arrays_zip("parts", F.expr(offsets).alias("start")), lambda x: F.struct(F.lit(None).cast("string").alias("first"), x["start"].alias("start"), x["parts"].alias("text")))
+    rows = rows.select("doc_id", F.size("at").alias("bounds"), F.when(F.size("at") > 0, bound).otherwise(plain).alias("clauses"))
+    n = F.size("clauses")
+    sure = F.when(F.col("bounds") == 0, 0.3).when((F.col("bounds") >= 5) & (n >= 5), 0.85).when(F.col("bounds") >= 2, 0.6).otherwise(0.4)
+    found = rows.select("doc_id", sure.alias("confidence"), F.posexplode("clauses").alias("k", "c")).select("doc_id", (F.col("k") + 1).alias("clause"), "c.first", F.col("c.start").cast("long").alias("start"), "c.text", "confidence")
+    number = F.coalesce(F.nullif(_number(F.col("first")), F.lit("")), F.concat(F.lit("synthetic-"), F.col("clause")))
+    return found.select("doc_id", "clause", number.alias("number"), _heading(F.col("first")).alias("heading"), "start", F.length("text").cast("long").alias("n_chars"), "text", "confidence")
 
 
 def references(text: Column) -> Column:
@@ -284,8 +271,7 @@ def without_headers(pages: DataFrame) -> DataFrame:
 
 def assembled(pages: DataFrame) -> DataFrame:
     """file and text: the pages that are not blank, trimmed, with a blank line between them and plain quotes."""
-    plain = F.translate(trimmed(F.col("text")), "’‘“”□\ufffd", "''\"\"''")
-    shown = pages.select("file", "page", plain.alias("text")).where("text <> ''")
+    shown = pages.select("file", "page", plain_quotes(trimmed(F.col("text"))).alias("text")).where("text <> ''")
     return shown.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
 
 
