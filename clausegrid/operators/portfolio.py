@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from clausegrid.functions.numbers import half_up
+from clausegrid.operators.sweeps import in_ranges, running
 
 HEAVY_WEIGHT = 1.5
 
@@ -80,14 +81,18 @@ def percentile_among_peers(target: DataFrame, pool: DataFrame, least: int = 10)
     """Where each target (id, grp, x) stands among the other rows of its group in the pool.
 
     Returns n, percentile, mean and median. Below ``least`` peers all but n are
-    null. Ranks come from one pass over the distinct values of each group, so
-    no target is joined with all its peers.
+    null. Ranks come from running counts over the distinct values of each group,
+    made in ranges, so that neither a target meets all its peers nor a group one
+    task.
     """
     values = pool.groupBy("grp", "x").agg(F.count(F.lit(1)).alias("c"))
-    upto = F.sum("c").over(Window.partitionBy("grp").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
-    below = values.select("grp", "x", upto.alias("upto"))
-    groups = pool.groupBy("grp").agg(F.count(F.lit(1)).alias("all"), F.sum("x").alias("total"), F.median("x").alias("median"))
-    joined = target.join(below, ["grp", "x"]).join(F.broadcast(groups), "grp")
+    ranged = in_ranges(values.where("grp is not null"), ["grp"], ["x"])
+    below = running(ranged, ["grp"], ["x"], "upto", F.col("c")).select("grp", "x", "c", "upto")
+    groups = values.groupBy("grp").agg(F.sum("c").alias("all"), F.sum(F.col("x") * F.col("c")).alias("total"))
+    # The middle values are the first ones that half of the rows do not exceed.
+    middle = below.join(groups.select("grp", "all"), "grp").groupBy("grp").agg(*(F.min(F.when(F.col("upto") >= rank, F.col("x"))).cast("double").alias(name) for name, rank in (("low", F.expr("(all + 1) div 2")), ("high", F.expr("all div 2 + 1")))))
+    groups = groups.join(middle.select("grp", ((F.col("low") + F.col("high")) / 2).alias("median")), "grp")
+    joined = target.join(below.select("grp", "x", "upto"), ["grp", "x"]).join(groups, "grp")
     n = F.col("all") - 1
     enough = n >= least
     return joined.select(

@@ -169,8 +169,14 @@ def legal_argument(kind: Column, statutes: Column, decisions: Column) -> Column:
     return F.coalesce(F.nullif(F.concat_ws(" Furthermore, ", by_law, by_case), F.lit("")), none)
 
 
-def detected_contradictions(pairs: DataFrame) -> DataFrame:
-    """Adds has_contradiction, kind and severity. Needs id_a, id_b, type_a, type_b, text_a, text_b.
+def contradiction_flags(text: Column) -> Column:
+    """What a comparison needs of a clause's text: grants, restricts, and a digest of it without blanks at its ends."""
+    any_ = lambda patterns: reduce(lambda a, b: a | b, (text.rlike(p) for p in patterns))
+    return F.struct(any_(GRANTS).alias("grants"), any_(RESTRICTS).alias("restricts"), F.sha2(F.trim(text).cast("binary"), 256).alias("digest"))
+
+
+def conflicts(pairs: DataFrame) -> DataFrame:
+    """Adds has_contradiction, kind and severity. Needs id_a, id_b, type_a, type_b, and flags_a, flags_b of contradiction_flags().
 
     A known pair of types conflicts if either text grants and either restricts;
     another one only if one grants what the other restricts. A clause never
@@ -178,15 +184,20 @@ def detected_contradictions(pairs: DataFrame) -> DataFrame:
     """
     spark = pairs.sparkSession
     known = F.broadcast(spark.createDataFrame(list(KNOWN_PAIRS), "_key string, _kind string, _severity string"))
-    any_ = lambda text, patterns: reduce(lambda a, b: a | b, (F.col(text).rlike(p) for p in patterns))
-    flags = pairs.withColumns({"_ga": any_("text_a", GRANTS), "_gb": any_("text_b", GRANTS), "_ra": any_("text_a", RESTRICTS), "_rb": any_("text_b", RESTRICTS)})
-    keyed = flags.withColumn("_key", F.concat_ws("|", F.array_sort(F.array("type_a", "type_b")))).join(known, "_key", "left")
-    either = (F.col("_ga") | F.col("_gb")) & (F.col("_ra") | F.col("_rb"))
-    across = (F.col("_ga") & F.col("_rb")) | (F.col("_ra") & F.col("_gb"))
-    apart = (F.col("id_a") != F.col("id_b")) & (F.trim("text_a") != F.trim("text_b"))
+    flag = lambda side, name: F.col(f"flags_{side}.{name}")
+    keyed = pairs.withColumn("_key", F.concat_ws("|", F.array_sort(F.array("type_a", "type_b")))).join(known, "_key", "left")
+    either = (flag("a", "grants") | flag("b", "grants")) & (flag("a", "restricts") | flag("b", "restricts"))
+    across = (flag("a", "grants") & flag("b", "restricts")) | (flag("a", "restricts") & flag("b", "grants"))
+    apart = (F.col("id_a") != F.col("id_b")) & (flag("a", "digest") != flag("b", "digest"))
     has = apart & F.when(F.col("_kind").isNotNull(), either).otherwise(across)
     named = {"has_contradiction": has, "kind": F.when(has, F.coalesce("_kind", F.lit("generic"))), "severity": F.when(has, F.coalesce("_severity", F.lit("medium")))}
-    return keyed.withColumns(named).drop("_ga", "_gb", "_ra", "_rb", "_key", "_kind", "_severity")
+    return keyed.withColumns(named).drop("_key", "_kind", "_severity")
+
+
+def detected_contradictions(pairs: DataFrame) -> DataFrame:
+    """As conflicts(), of pairs that have text_a and text_b."""
+    flagged = pairs.withColumns({f"flags_{s}": contradiction_flags(F.col(f"text_{s}")) for s in "ab"})
+    return conflicts(flagged).drop("flags_a", "flags_b")
 
 
 def model_contradictions(answers: DataFrame, least: float = 0.65) -> DataFrame:

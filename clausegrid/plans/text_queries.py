@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from clausegrid.operators import documents, parsing, portfolio, reports, retrieval, rules, screening
+from clausegrid.operators import documents, parsing, portfolio, reports, retrieval, rules, screening, sweeps
 from clausegrid.plans.queries import _COS, _TRIM, CLAUSES_SQL, _clauses, query
 from clausegrid.sources import tables
 
@@ -121,9 +121,11 @@ def contradiction_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("doc_id") % len(values) + 1).cast("int"))
     docs = tables.table(spark, sf_dir, "documents").where("text is not null")
     docs = docs.select("source", "doc_id", pick(_KINDS).alias("kind"), F.concat("text", pick((" The landlord may enter.", " No right to sublet.", ""))).alias("text"))
-    w = Window.partitionBy("source").orderBy("doc_id")
-    both = docs.select(F.lag("doc_id").over(w).alias("id_a"), F.lag("kind").over(w).alias("type_a"), F.lag("text").over(w).alias("text_a"), F.col("doc_id").alias("id_b"), F.col("kind").alias("type_b"), F.col("text").alias("text_b"))
-    return reports.detected_contradictions(both.where("id_a is not null")).select("id_a", "id_b", "has_contradiction", "kind", "severity")
+    flags = docs.select("source", F.struct("doc_id", "kind", reports.contradiction_flags(F.col("text")).alias("flags")).alias("own"), "doc_id")
+    # The row before is the greatest one so far; only flags and digests are dealt into ranges, no texts.
+    before = sweeps.running(sweeps.in_ranges(flags, ["source"], ["doc_id"]), ["source"], ["doc_id"], "before", F.col("own"), "max", own=False).where("before is not null")
+    side = lambda row, s: (F.col(f"{row}.doc_id").alias(f"id_{s}"), F.col(f"{row}.kind").alias(f"type_{s}"), F.col(f"{row}.flags").alias(f"flags_{s}"))
+    return reports.conflicts(before.select(*side("before", "a"), *side("own", "b"))).select("id_a", "id_b", "has_contradiction", "kind", "severity")
 
 
 def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
