@@ -19,11 +19,6 @@ def contains_any(text: Column, terms: list[str]) -> Column:
     return reduce(lambda a, b: a | b, (F.lower(text).contains(t.lower()) for t in terms))
 
 
-def count_hits(text: Column, patterns: list[str]) -> Column:
-    """How many of the patterns are found in the text."""
-    return reduce(lambda a, b: a + b, (F.when(text.rlike(p), 1).otherwise(0) for p in patterns))
-
-
 _PARTS = (r"\\.(?:[?*+]|\{[^}]*\})?", r"\[[^\]]*\](?:[?*+]|\{[^}]*\})?", r"\(\?[a-z]+\)", r"[^|()\\][?*]")
 
 
@@ -43,10 +38,3 @@ def found(text: Column, low: Column, pattern: str, as_given: str | None = None)
     """
     words = plain_words(as_given or pattern)
     return reduce(lambda a, b: a & b, [*(low.contains(w) for w in words), text.rlike(pattern)])
-
-
-def chain(text: Column, steps: list[tuple[str, str]]) -> Column:
-    """Replacements applied one after another."""
-    for pattern, by in steps:
-        text = F.regexp_replace(text, pattern, by)
-    return text

@@ -89,8 +89,8 @@ def decision_types(text: Column) -> Column:
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("unknown")))
 
 
-def decisions(files: DataFrame) -> DataFrame:
-    """case_number, day, types, url and body of decision files (name, text) that say enough.
+def decisions(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """case_number, day, types, url and body of decision files (name, text) that say enough, and the columns named in ``keep``.
 
     A first line ``#meta: date=... types=... url=...`` counts before what the
     name and the body tell.
@@ -104,6 +104,7 @@ def decisions(files: DataFrame) -> DataFrame:
     address = F.regexp_extract(F.lower(case), r"^(20\d{2}onltb\d+)$", 1)
     built = F.when(address != "", F.concat(F.lit("https://www.canlii.org/en/on/onltb/doc/"), address, F.lit("/"), address, F.lit(".html"))).otherwise("https://www.canlii.org/en/on/onltb/")
     rows = files.select(
+        *keep,
         case.alias("case_number"),
         F.coalesce(F.try_to_timestamp(meta("date"), F.lit("yyyy-MM-dd")).cast("date"), F.when(case.rlike(r"^20\d{2}"), case_day(case)), decision_day(F.lit(None).cast("string"), case)).alias("day"),
         F.when(F.size(stated) > 0, stated).otherwise(decision_types(body)).alias("types"),

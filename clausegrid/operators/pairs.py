@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def same_type_pairs(clauses: DataFrame) -> DataFrame:
@@ -24,13 +23,6 @@ def cross_type_pairs(clauses: DataFrame, type_pairs: list[tuple[str, str]]) -> D
     return a.join(b, ["lease_id", "right_type"]).select("lease_id", "left_type", "right_type", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def contradictions(pairs: DataFrame, grant: str, restrict: str) -> DataFrame:
-    """Pairs of texts of which one grants and the other one restricts; equal texts never do. Needs text_a, text_b."""
-    a, b = F.col("text_a"), F.col("text_b")
-    across = (a.rlike(grant) & b.rlike(restrict)) | (b.rlike(grant) & a.rlike(restrict))
-    return pairs.withColumn("has_contradiction", (F.trim(a) != F.trim(b)) & across)
-
-
 def present_and_missing(found: DataFrame, required: list[tuple[int, str]]) -> DataFrame:
     """For each lease which required types it has, in order, which it lacks, and the share it has. Needs lease_id, clause_type."""
     spark = found.sparkSession
@@ -40,8 +32,3 @@ def present_and_missing(found: DataFrame, required: list[tuple[int, str]]) -> Da
     every = F.array(*(F.lit(p) for p, _ in required))
     leases = found.select("lease_id").distinct().join(per, "lease_id", "left").withColumn("have", F.coalesce("have", F.array().cast("array<int>")))
     return leases.select("lease_id", "have", F.array_except(every, "have").alias("missing"), (F.floor(F.size("have") * 100.0 / len(required) + 0.5) / 100).alias("coverage"))
-
-
-def pairs_in_order(clauses: DataFrame) -> DataFrame:
-    """Neighbouring clauses of a lease: seq and the one before."""
-    return clauses.select("lease_id", "seq", F.lag("seq").over(Window.partitionBy("lease_id").orderBy("seq")).alias("before")).where("before is not null")

@@ -117,8 +117,3 @@ def confusion(rows: DataFrame) -> DataFrame:
     c = c.withColumns({"precision": ratio(tp, tp + fp, 1.0), "recall": ratio(tp, tp + fn, 1.0), "fpr": ratio(fp, fp + tn, 0.0)})
     both = F.col("precision") + F.col("recall")
     return c.withColumn("f1", F.when(both > 0, 2 * F.col("precision") * F.col("recall") / both).otherwise(0.0))
-
-
-def first_of_each(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """The first row of each key by ``order``."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")

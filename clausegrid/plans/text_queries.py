@@ -178,12 +178,14 @@ def recent_then_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy(F.col("lease_id").alias("o_custkey"), F.col("seq").alias("o_orderkey")).agg(F.min("widened").alias("widened"))
 
 
-@query("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderdate >= TIMESTAMP '1997-06-01'")
+@query("""
+WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, CASE WHEN o_custkey % 3 > 0 THEN make_date(1995 + o_custkey % 3, 6, 1) END AS floor FROM orders)
+SELECT o_orderkey, day, floor FROM o WHERE floor IS NULL OR day >= floor""")
 def optional_date_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    floor = "1997-06-01"
-    rows = tables.table(spark, sf_dir, "orders")
-    rows = rows.where(F.col("o_orderdate") >= F.lit(floor).cast("timestamp")) if floor else rows
-    return rows.select("o_orderkey", F.to_date("o_orderdate").alias("day"))
+    """Orders not older than their customer's floor; a third of the customers have none."""
+    floor = F.when(F.col("o_custkey") % 3 > 0, F.make_date((1995 + F.col("o_custkey") % 3).cast("int"), F.lit(6), F.lit(1)))
+    rows = tables.table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"), floor.alias("floor"))
+    return tables.since(rows, "day", F.col("floor"))
 
 
 @query("""

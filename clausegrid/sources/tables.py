@@ -45,6 +45,11 @@ def unexpired(rows: DataFrame, until: str, as_of: str) -> DataFrame:
     return rows.where(F.col(until) > F.lit(as_of).cast("timestamp"))
 
 
+def since(rows: DataFrame, day: str, floor: Column) -> DataFrame:
+    """Rows whose day is not before the floor; where that is null, all."""
+    return rows.where(floor.isNull() | (F.col(day) >= floor))
+
+
 def without_children_of(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     """Rows that do not belong to a deleted parent."""
     return rows.join(gone.select(key).distinct(), key, "left_anti")
