@@ -213,3 +213,21 @@ def with_points(clauses: DataFrame, points: DataFrame) -> DataFrame:
     first = points.groupBy("clause_id").agg(F.min(F.struct("n", "ask", "counter", "argument")).alias("p"))
     filled = {c: F.coalesce(F.col(f"p.{c}"), F.lit("")) for c in ("ask", "counter", "argument")}
     return clauses.join(first, "clause_id", "left").withColumns(filled).drop("p")
+
+
+def cards(leases: DataFrame) -> DataFrame:
+    """Adds title, subtitle and attention to leases as a dashboard shows them. Needs status, score, display_title, address, city, file_path; any may be null.
+
+    The title is the one given, else the address, else the file's name without
+    its extension; the subtitle the city, else the file's name. Complete leases
+    of high or critical risk need attention.
+    """
+    file = F.element_at(F.split(F.coalesce("file_path", F.lit("")), "/"), -1)
+    risky = portfolio.risk_level(F.col("score")).isin("high", "critical")
+    attention = (F.col("status") == "complete") & F.col("score").isNotNull() & risky
+    return leases.withColumns({"title": F.coalesce("display_title", "address", F.regexp_replace(file, r"\.[^.]+$", "")), "subtitle": F.coalesce("city", file), "attention": F.coalesce(attention, F.lit(False))})
+
+
+def top_card(leases: DataFrame) -> DataFrame:
+    """The complete lease with the highest score, ties to the smaller id; no row without one. Needs id, status, score."""
+    return leases.where((F.col("status") == "complete") & F.col("score").isNotNull()).orderBy(F.desc("score"), "id").limit(1)

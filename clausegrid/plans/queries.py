@@ -530,6 +530,30 @@ def trace_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.lanes(s.select("trace", F.col("seq").alias("step"), F.col("start_ms").cast("double").alias("start"), (F.col("start_ms") + F.col("duration_ms")).cast("double").alias("stop")))
 
 
+_TOOLS = tuple(events.CATEGORIES) + ("draw_chart",)
+
+
+@query(f"""
+WITH RECURSIVE {_STEPS_SQL},
+k AS (SELECT *, [{", ".join(f"'{t}'" for t in _TOOLS)}][1 + seq % {len(_TOOLS)}] AS tool, CASE WHEN trace % 3 = 0 AND seq % 5 = 0 THEN NULL ELSE start_ms END AS begun, CASE WHEN seq % 17 > 0 THEN duration_ms ELSE 0 END AS d FROM steps),
+e AS (SELECT trace, count(*) FILTER (begun IS NULL) AS untimed, min(begun) AS t0, max(begun + d) AS t1, sum(d) AS total FROM k GROUP BY trace),
+j AS (SELECT k.*, untimed = 0 AS timed, t0, greatest(CASE WHEN untimed = 0 THEN t1 - t0 ELSE total END, 1) AS span FROM k JOIN e USING (trace) WHERE tool <> 'benchmark_clause'),
+p AS (SELECT trace, seq, tool, CASE WHEN timed THEN begun - t0 ELSE coalesce(sum(d) OVER (PARTITION BY trace ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) END * CAST(100 AS DOUBLE) / span AS l, greatest(d * CAST(100 AS DOUBLE) / span, 0.8) AS w FROM j),
+o AS (SELECT trace, seq, l AS a, l + w AS b, row_number() OVER (PARTITION BY trace ORDER BY l, seq) AS n FROM p),
+r(trace, n, seq, lane, ends) AS (
+  SELECT trace, n, seq, 0, [b] FROM o WHERE n = 1
+  UNION ALL
+  SELECT trace, n, seq, free - 1, CASE WHEN free > len(ends) THEN list_append(ends, b) ELSE list_concat(list_concat(ends[1:free - 1], [b]), ends[free + 1:]) END
+  FROM (SELECT o.trace, o.n, o.seq, o.b, r.ends, CAST(coalesce(list_position(list_transform(r.ends, lambda e: o.a >= e - CAST(0.1 AS DOUBLE)), true), len(r.ends) + 1) AS INTEGER) AS free FROM r JOIN o ON o.trace = r.trace AND o.n = r.n + 1))
+SELECT p.trace, p.seq AS step, CASE tool {" ".join(f"WHEN '{t}' THEN '{c}'" for t, c in events.CATEGORIES.items())} ELSE 'unknown' END AS category, round(l, 6) AS left_pct, round(w, 6) AS width_pct, lane FROM p JOIN r ON r.trace = p.trace AND r.seq = p.seq""")
+def trace_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as steps of tools; a third of the traces have steps without a time."""
+    tool = F.element_at(F.array(*map(F.lit, _TOOLS)), (F.col("seq") % len(_TOOLS) + 1).cast("int"))
+    late = (F.col("trace") % 3 == 0) & (F.col("seq") % 5 == 0)
+    steps = _steps(spark, sf_dir).select("trace", F.col("seq").alias("step"), "seq", tool.alias("tool"), F.when(~late, F.col("start_ms")).alias("start_ms"), F.when(F.col("seq") % 17 > 0, F.col("duration_ms")).alias("duration_ms"))
+    return events.trace_rows(steps).select("trace", "step", "category", F.round("left_pct", 6).alias("left_pct"), F.round("width_pct", 6).alias("width_pct"), "lane")
+
+
 @query(f"""
 WITH {_STEPS_SQL},
 o AS (SELECT *, row_number() OVER (PARTITION BY trace ORDER BY start_ms, seq) AS n FROM steps),

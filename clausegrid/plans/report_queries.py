@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausegrid.operators import reporting, reports
+from clausegrid.operators import explanations, reporting, reports
 from clausegrid.plans.queries import CLAUSES_SQL, _clauses, _level, query
 from clausegrid.sources import tables
 
@@ -183,3 +183,41 @@ def clause_number_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("lease_id"), number.alias("number"), F.col("l_linenumber").alias("seq"), "l_suppkey")
     place = lambda *by: F.rank().over(Window.partitionBy("lease_id").orderBy(*by, "number", "seq", "l_suppkey")).cast("long")
     return rows.withColumns({"by_text": place(), "by_number": place(reports.leading_number(F.col("number")))})
+
+
+_VIOLATED = ("pet_fines", "guest_surcharge", "odd_violation")
+
+
+@query(f"""
+WITH c AS (SELECT *, round(l_discount * 100, 0) AS s, l_partkey % 3 > 0 AS law FROM lineitem),
+x AS (SELECT *, CASE l_suppkey % 4 WHEN 0 THEN [] WHEN 1 THEN ['{_VIOLATED[0]}'] WHEN 2 THEN ['{_VIOLATED[2]}', '{_VIOLATED[1]}'] ELSE ['{_VIOLATED[2]}'] END AS v, l_tax * 10 >= 0.5 AS rel FROM c)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+  'This clause scores ' || CAST(s AS BIGINT) || '/10 risk' || CASE WHEN s <= 3 THEN {_text(explanations.MEANINGS[0][1])} WHEN s <= 6 THEN {_text(explanations.MEANINGS[1][1])} WHEN s <= 8 THEN {_text(explanations.MEANINGS[2][1])} ELSE {_text(explanations.MEANINGS[3][1])} END || CASE WHEN law THEN '' ELSE {_text(explanations.NO_STATUTES)} END AS explanation,
+  CASE l_suppkey % 4 WHEN 1 THEN md5({_text(explanations.TEMPLATES[_VIOLATED[0]])}) WHEN 2 THEN md5({_text(explanations.TEMPLATES[_VIOLATED[1]])}) END AS suggested,
+  CASE WHEN len(v) = 0 AND law AND NOT rel THEN 'Clause assessed on language patterns. Score: ' || CAST(s AS BIGINT) || '/10.'
+       ELSE concat_ws('. ', CASE WHEN len(v) > 0 THEN 'Statutory violations found: ' || replace(array_to_string(v, '; '), '_', ' ') END,
+                      CASE WHEN law AND rel THEN 'Assessed against: ' || CASE WHEN l_partkey % 2 = 0 THEN 'Form — Terms' ELSE 'RTA s.' || (l_partkey % 90) END WHEN NOT law THEN {_text(explanations.NO_STATUTES_REASON)} END) END AS reasons
+FROM x""")
+def risk_explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as scored clauses with violations and statutes of changing relevance."""
+    part, supplier = F.col("l_partkey"), F.col("l_suppkey")
+    none = F.array().cast("array<string>")
+    violations = F.when(supplier % 4 == 0, none).when(supplier % 4 == 1, F.array(F.lit(_VIOLATED[0]))).when(supplier % 4 == 2, F.array(F.lit(_VIOLATED[2]), F.lit(_VIOLATED[1]))).otherwise(F.array(F.lit(_VIOLATED[2])))
+    form = part % 2 == 0
+    statute = F.struct(F.when(form, "Form").otherwise("RTA").alias("act"), F.when(form, "form_15_terms").otherwise((part % 90).cast("string")).alias("section"), F.when(form, "Terms").alias("title"), (F.col("l_tax") * 10).alias("relevance"))
+    rows = tables.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.lit("plain text").alias("text"), F.round(F.col("l_discount") * 100, 0).alias("risk_score"), violations.alias("violations"), F.filter(F.array(statute), lambda s: part % 3 > 0).alias("statutes"))
+    found = explanations.explained(rows)
+    return found.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "explanation", F.md5(F.col("suggested").cast("binary")).alias("suggested"), "reasons")
+
+
+@query("""
+WITH c AS (SELECT o_orderkey AS id, CASE WHEN o_custkey % 2 = 0 THEN 'complete' ELSE 'pending' END AS status, CASE WHEN o_orderkey % 7 > 0 THEN floor(o_totalprice / 50000) END AS score,
+             CASE WHEN o_orderkey % 5 = 0 THEN 'Title ' || o_orderkey END AS display_title, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey || ' King St' END AS address, CASE WHEN o_orderkey % 4 = 0 THEN 'Toronto' END AS city, 'a/b/lease.v' || (o_orderkey % 9) || '.pdf' AS file_path FROM orders)
+SELECT id, coalesce(display_title, address, 'lease.v' || (id % 9)) AS title, coalesce(city, 'lease.v' || (id % 9) || '.pdf') AS subtitle, status = 'complete' AND score IS NOT NULL AND score > 6 AS attention FROM c""")
+def lease_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    leases = tables.table(spark, sf_dir, "orders").select(
+        key.alias("id"), F.when(F.col("o_custkey") % 2 == 0, "complete").otherwise("pending").alias("status"), F.when(key % 7 > 0, F.floor(F.col("o_totalprice") / 50000)).alias("score"),
+        F.when(key % 5 == 0, F.concat(F.lit("Title "), key)).alias("display_title"), F.when(key % 3 == 0, F.concat(key, F.lit(" King St"))).alias("address"), F.when(key % 4 == 0, "Toronto").alias("city"), F.concat(F.lit("a/b/lease.v"), key % 9, F.lit(".pdf")).alias("file_path"),
+    )
+    return reporting.cards(leases).select("id", "title", "subtitle", "attention")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from clausegrid.operators import reporting
+from clausegrid.operators import events, explanations, reporting
 
 CLAUSES = "lease_id int, seq int, number string, clause_type string, risk_score double, heavy boolean, void boolean, text string"
 CLASHES = "lease_id int, id_a int, id_b int, kind string, severity string, has_contradiction boolean"
@@ -62,3 +62,23 @@ def test_positions_and_delays(spark: SparkSession) -> None:
     points = spark.createDataFrame([(1, 2, "later", "x", None), (1, 1, "first", None, None)], "clause_id int, n int, ask string, counter string, argument string")
     clauses = spark.createDataFrame([(1,), (2,)], "clause_id int")
     assert sorted(tuple(r) for r in reporting.with_points(clauses, points).select("clause_id", "ask", "counter", "argument").collect()) == [(1, "first", "", ""), (2, "", "", "")]
+
+
+def test_explanations(spark: SparkSession) -> None:
+    statute = [("RTA", "26", "Entry", 0.9), ("Form", "form_1_x", None, 0.6), ("RTA", "3", "", 0.2)]
+    rows = [(1, "The Landlord, in its sole and absolute discretion, may enter.", 9.0, ["odd", "pet_fines"], statute), (2, None, 1.0, [], []), (3, "plain", 5.0, [], statute[2:])]
+    got = explanations.explained(spark.createDataFrame(rows, "id int, text string, risk_score double, violations array<string>, statutes array<struct<act:string,section:string,title:string,relevance:double>>"))
+    one, two, three = got.orderBy("id").collect()
+    assert one["unusual"] and one["suggested"] == explanations.TEMPLATES["pet_fines"]
+    assert one["reasons"] == f"Statutory violations found: odd; pet fines. {explanations.ONE_SIDED}. Assessed against: RTA s.26 (Entry), Form"
+    assert two["explanation"].endswith(explanations.NO_STATUTES) and two["reasons"] == explanations.NO_STATUTES_REASON and two["suggested"] is None
+    assert three["reasons"] == "Clause assessed on language patterns. Score: 5/10."
+
+
+def test_cards_and_trace_rows(spark: SparkSession) -> None:
+    leases = spark.createDataFrame([(1, "complete", 9.0, None, None, None, "a/b.c.pdf"), (2, "complete", 9.0, "T", "A", "C", None), (3, "pending", 10.0, None, "A", None, "x"), (4, "complete", None, None, None, None, None)], "id int, status string, score double, display_title string, address string, city string, file_path string")
+    assert [(r["title"], r["subtitle"], r["attention"]) for r in reporting.cards(leases).orderBy("id").collect()] == [("b.c", "b.c.pdf", True), ("T", "C", True), ("A", "x", False), ("", "", False)]
+    assert reporting.top_card(leases).collect()[0]["id"] == 1 and reporting.top_card(leases.limit(0)).count() == 0
+    steps = [("a", 1, 1, "score_risk", 100, 50), ("a", 2, 2, "benchmark_clause", 100, 900), ("a", 3, 3, None, 120, None), ("b", 1, 2, "parse_document", None, 10), ("b", 2, 1, "score_risk", 5, 30)]
+    got = events.trace_rows(spark.createDataFrame(steps, "trace string, step int, seq int, tool string, start_ms long, duration_ms long")).collect()
+    assert sorted((r["trace"], r["step"], r["category"], round(r["left_pct"], 3), round(r["width_pct"], 3), r["lane"]) for r in got) == [("a", 1, "score", 0.0, 5.556, 0), ("a", 3, "unknown", 2.222, 0.8, 1), ("b", 1, "parse", 75.0, 25.0, 0), ("b", 2, "score", 0.0, 75.0, 0)]
