@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausegrid.operators import explanations, reporting, reports
+from clausegrid.operators import alignment, explanations, reporting, reports
 from clausegrid.plans.queries import CLAUSES_SQL, _clauses, _level, query
 from clausegrid.sources import tables
 
@@ -221,3 +221,20 @@ def lease_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 5 == 0, F.concat(F.lit("Title "), key)).alias("display_title"), F.when(key % 3 == 0, F.concat(key, F.lit(" King St"))).alias("address"), F.when(key % 4 == 0, "Toronto").alias("city"), F.concat(F.lit("a/b/lease.v"), key % 9, F.lit(".pdf")).alias("file_path"),
     )
     return reporting.cards(leases).select("id", "title", "subtitle", "attention")
+
+
+@query(f"""
+WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_partkey % 6 = 0 THEN 'synthetic-' || l_linenumber WHEN l_partkey % 6 = 1 THEN NULL ELSE CAST(l_linenumber AS VARCHAR) END AS number, CASE WHEN l_suppkey % 3 > 0 THEN round(l_discount * 100, 0) END AS s, CASE WHEN l_suppkey % 5 = 0 THEN 'own words' ELSE '' END AS own, 'RTA S.' || (l_partkey % 150) AS section FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, coalesce(number, '') AS number, coalesce(s, 0.0) AS risk_score, coalesce(CASE WHEN s > 5 THEN 'high' END, 'low') AS risk_level,
+  md5(CASE WHEN own <> '' THEN own ELSE CASE {" ".join(f"WHEN contains(lower(section), '{k}') THEN {_text(alignment.COMPLIANT[k])}" for k in sorted(alignment.COMPLIANT, key=len, reverse=True))} END END) AS compliant
+FROM c WHERE coalesce(number, '') NOT LIKE 'synthetic%'""")
+def clauses_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as clauses with gaps, of which those that were numbered for want of a number are not shown."""
+    part, supplier = F.col("l_partkey"), F.col("l_suppkey")
+    score = F.when(supplier % 3 > 0, F.round(F.col("l_discount") * 100, 0))
+    rows = tables.table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.when(part % 6 == 0, F.concat(F.lit("synthetic-"), "l_linenumber")).when(part % 6 != 1, F.col("l_linenumber").cast("string")).alias("number"), F.lit(None).cast("string").alias("heading"),
+        score.alias("risk_score"), F.when(score > 5, "high").alias("risk_level"), F.when(supplier % 5 == 0, "own words").otherwise("").alias("suggested"), F.array(F.concat(F.lit("RTA S."), part % 150)).alias("sections"),
+    )
+    found = reporting.shown_clauses(rows)
+    return found.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "number", "risk_score", "risk_level", F.md5(F.col("compliant").cast("binary")).alias("compliant"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clausegrid.functions.cleaning import control_share, without_addresses
 from clausegrid.functions.dates import UNKNOWN_DAY
 from clausegrid.operators import events, intake, portfolio, reports
 from clausegrid.plans.queries import _TRIM, query
@@ -128,3 +129,31 @@ def legal_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
     won = F.when(F.col("l_suppkey") % 2 == 0, "tenant_favour").otherwise("mixed")
     case = F.array(F.struct(F.lit("TST-1").alias("case"), F.lit("2021-03-04").alias("day"), F.lit("no rise").alias("principle"), won.alias("outcome"), (F.col("l_tax") * 10).alias("relevance")))
     return tables.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", reports.legal_argument(F.lit("rent_increase"), law, case).alias("argument"))
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS us FROM events),
+w(user_id, start) AS (
+  SELECT user_id, min(us) FROM e GROUP BY user_id
+  UNION ALL SELECT w.user_id, min(e.us) FROM w JOIN e ON e.user_id = w.user_id AND e.us > w.start + 7200000000 GROUP BY w.user_id),
+p AS (SELECT e.event_id, row_number() OVER (PARTITION BY e.user_id, w.start ORDER BY e.us, e.event_id) AS n FROM e ASOF JOIN w ON e.user_id = w.user_id AND e.us >= w.start)
+SELECT event_id, CAST(least(n, 3) AS INTEGER) AS count, n <= 3 AS allowed FROM p""")
+def quota_in_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three requests in two hours from the first one; refused ones do not count."""
+    rows = tables.table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), "ts", "event_id")
+    return events.anchored_quota(rows, 3, 7200, in_memory=True)
+
+
+_ADDRESSES = ("Lives at 12 King Street, Unit 4b.", "No address", "350 Queen St W. and Apt 12")
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, [{", ".join(f"'{x}'" for x in _ADDRESSES)}][1 + doc_id % 3] || ' ' || coalesce(text, '') || CASE WHEN doc_id % 4 = 0 THEN repeat(chr(1), 400) ELSE '' END AS t FROM documents)
+SELECT doc_id, md5(regexp_replace(regexp_replace(t, '(?i)\\b\\d{{1,5}}\\s+\\w[\\w\\s]{{2,25}}(?:Street|St|Avenue|Ave|Drive|Dr|Road|Rd|Boulevard|Blvd|Lane|Ln|Court|Ct|Way|Place|Pl|Crescent|Cres|Circle|Cir)\\b[.,]?', '[ADDRESS]', 'g'), '(?i)\\b(?:Unit|Apt|Apartment|Suite)\\s*\\d+[A-Za-z]?\\b', '[UNIT]', 'g')) AS digest,
+       len(list_filter(string_split(t, ''), lambda c: c = chr(1))) / CAST(length(t) AS DOUBLE) > 0.1 AS unreadable FROM d""")
+def addresses_and_control_signs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with an address before them, and a quarter of them with control signs behind."""
+    ahead = F.element_at(F.array(*map(F.lit, _ADDRESSES)), (F.col("doc_id") % 3 + 1).cast("int"))
+    text = F.concat(ahead, F.lit(" "), F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 4 == 0, F.repeat(F.lit("\x01"), 400)).otherwise(""))
+    rows = tables.table(spark, sf_dir, "documents").select("doc_id", text.alias("t"))
+    return rows.select("doc_id", F.md5(without_addresses(F.col("t")).cast("binary")).alias("digest"), (control_share(F.col("t")) > 0.1).alias("unreadable"))
