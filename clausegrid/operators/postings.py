@@ -90,7 +90,10 @@ class Postings:
     @classmethod
     def write(cls, docs: DataFrame, path: str, english: bool = False, buckets: int = BUCKETS, slices: int = SLICES) -> Postings:
         """Writes the index of documents (id, text) into a folder and returns it. Ids must be unique."""
-        rows = analysed(docs, english).withColumns({"bucket": _bucket(buckets), "slice": F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int")})
+        slots = docs.sparkSession.sparkContext.defaultParallelism
+        # A table of a few splits is dealt out first, so that its texts are read by all cores.
+        spread = docs if docs.rdd.getNumPartitions() >= slots else docs.select("id", "text").repartition(slots)
+        rows = analysed(spread, english).withColumns({"bucket": _bucket(buckets), "slice": F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int")})
         dealt = rows.repartition(buckets * slices, "bucket", "slice").sortWithinPartitions("bucket", "term", "id")
         dealt.drop("slice").write.partitionBy("bucket").parquet(f"{path}/postings")
         own = cls(docs.sparkSession, path, buckets, english, docs.schema["id"].dataType.simpleString())
