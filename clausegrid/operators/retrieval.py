@@ -2,21 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from clausegrid.functions.cleaning import DECISION_STOPS, STATUTE_STOPS, search_words
-from clausegrid.functions.numbers import dot
 from clausegrid.functions.texts import tokens
 from clausegrid.operators.alignment import with_keys
-from clausegrid.operators.cells import nearest_by_cells, unit
+from clausegrid.operators.cells import _SLACK, _matrix, _products, nearest_by_cells, unit
 
 RRF = 60
 K1, B = 1.2, 0.75
 DIGITS = 6
-#: Queries that may be broadcast; more are joined by group.
-BROADCAST_QUERIES = 10_000
+#: Queries that are broadcast at once, and such blocks at most; more are searched through cells.
+BROADCAST_QUERIES, BLOCKS = 10_000, 16
+#: Rows whose products with a block of queries are held at once.
+BLOCK_ROWS = 512
 
 
 def _top(rows: DataFrame, score: Column, k: int, doc: str = "id") -> DataFrame:
@@ -25,18 +32,76 @@ def _top(rows: DataFrame, score: Column, k: int, doc: str = "id") -> DataFrame:
     return rows.withColumn("rank", place).where(F.col("rank") <= k)
 
 
+def _nearer(k: int, least: float, asked: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task over rows (grp, id, u) that keeps the k best for each of the broadcast queries: (group, places, matrix)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups = {g: (places, vectors, np.full(len(places), least)) for g, places, vectors in asked.value}
+        best = None
+        for batch in batches:
+            grp, u, id_ = batch.column("grp").to_pylist(), _matrix(batch.column("u"), 1), batch.column("id")
+            found = [best] if best is not None else []
+            for g in set(grp) & groups.keys():
+                rows = np.flatnonzero(np.fromiter((x == g for x in grp), bool, len(grp)))
+                places, vectors, bars = groups[g]
+                for begin in range(0, len(rows), BLOCK_ROWS):
+                    at = rows[begin : begin + BLOCK_ROWS]
+                    scores = _products(vectors, u[at])
+                    if len(at) > k:
+                        # What so many rows of this block reach is a bar for all others; the slack keeps what rounds to it.
+                        np.maximum(bars, np.partition(scores, len(at) - k, axis=1)[:, len(at) - k] - _SLACK, out=bars)
+                    q, n = np.nonzero(scores >= bars[:, None] - _SLACK)
+                    cosine = np.round(scores[q, n], DIGITS)
+                    sure = cosine >= least
+                    found.append(pa.table([pa.array(places[q[sure]]), pa.array(cosine[sure]), id_.take(pa.array(at[n[sure]]))], ["q", "cosine", "id"]))
+            if found:
+                best = _k_best(pa.concat_tables(found), k)
+                q, starts, sizes = np.unique(best.column("q").to_numpy(), return_index=True, return_counts=True)
+                worst = dict(zip(q[sizes == k].tolist(), best.column("cosine").to_numpy()[(starts + sizes - 1)[sizes == k]].tolist(), strict=True))
+                for places, _, bars in groups.values():
+                    np.maximum(bars, [worst.get(x, least) for x in places.tolist()], out=bars)
+        if best is not None:
+            yield from best.combine_chunks().to_batches()
+
+    return run
+
+
+def _k_best(found: pa.Table, k: int) -> pa.Table:
+    """The k best rows of each q, in order; ties to the smaller id."""
+    found = found.sort_by([("q", "ascending"), ("cosine", "descending"), ("id", "ascending")])
+    q = found.column("q").to_numpy()
+    first = np.flatnonzero(np.diff(q, prepend=-1))
+    within = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+    return found.filter(pa.array(within < k))
+
+
 def nearest(queries: DataFrame, corpus: DataFrame, k: int, least: float, by_cells: bool = False) -> DataFrame:
     """query_id, id, cosine, rank: the k nearest rows of the query's group with a cosine of ``least`` or more.
 
     Both need grp and vec; queries have query_id, the corpus id. Queries are
-    broadcast while they are few; more, or if ``by_cells`` says so, are searched
-    through cells with bounds, to the same result.
+    broadcast in blocks while they are few; a task takes the products of its rows
+    with a block as matrices and passes on only the k best of each query, so that
+    pairs are neither rows nor shuffled. More queries, or if ``by_cells`` says
+    so, are searched through cells with bounds, to the same result.
     """
-    if by_cells or queries.limit(BROADCAST_QUERIES + 1).count() > BROADCAST_QUERIES:
+    asked = unit(queries, ["query_id", "grp"])
+    if by_cells or queries.limit(BLOCKS * BROADCAST_QUERIES + 1).count() > BLOCKS * BROADCAST_QUERIES:
         return nearest_by_cells(queries, corpus, k, least)[0]
-    q = F.broadcast(unit(queries, ["query_id", "grp"]).withColumnRenamed("u", "q"))
-    scored = unit(corpus, ["grp", "id"]).join(q, "grp").select("query_id", "id", F.round(dot(F.col("u"), F.col("q")), DIGITS).alias("cosine"))
-    return _top(scored.where(F.col("cosine") >= least), F.col("cosine"), k)
+    spark = queries.sparkSession
+    blocks = max(1, -(-queries.count() // BROADCAST_QUERIES))
+    rows = unit(corpus.select("grp", "id", "vec").repartition(spark.sparkContext.defaultParallelism, "id"), ["grp", "id"])
+    kinds = {c: df.schema[c].dataType.simpleString() for df, c in ((asked, "query_id"), (rows, "id"))}
+    out = []
+    for n in range(blocks):
+        block = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).toArrow()
+        vectors = _matrix(block.column("u"), 1)
+        grp = block.column("grp").to_pylist()
+        of = {g: np.flatnonzero(np.fromiter((x == g for x in grp), bool, len(grp))) for g in set(grp) - {None}}
+        shared = spark.sparkContext.broadcast([(g, places, vectors[places]) for g, places in of.items()])
+        names = spark.createDataFrame(pa.table([pa.array(np.arange(len(grp))), block.column("query_id")], ["q", "query_id"]), f"q long, query_id {kinds['query_id']}")
+        best = rows.mapInArrow(_nearer(k, least, shared), f"q long, cosine double, id {kinds['id']}")
+        out.append(best.join(F.broadcast(names), "q").select("query_id", "id", "cosine"))
+    return _top(reduce(DataFrame.unionByName, out), F.col("cosine"), k)
 
 
 def matching_all(docs: DataFrame, words: list[str]) -> DataFrame:

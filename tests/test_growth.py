@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from clausegrid.operators import cells, retrieval
 from clausegrid.plans.catalogue import QUERIES, SQL
 
 
@@ -20,3 +21,26 @@ def test_ids_that_look_like_years_are_no_days(spark: SparkSession, tmp_path: Pat
     want = duck.sql(SQL["decision_files"])
     got = QUERIES["decision_files"](spark, str(tmp_path)).select(*want.columns)
     assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
+def test_nearest_passes_on_the_best_rows_only(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
+    v = spark.range(400).select("id", (F.col("id") % 2).alias("grp"), F.array(*(F.sin(F.col("id") * n) for n in (1, 2, 3))).alias("vec"))
+    asked = v.where("id % 10 < 4").withColumnRenamed("id", "query_id")
+    passed = []
+    top = retrieval._top
+    monkeypatch.setattr(retrieval, "_top", lambda rows, *more: (passed.append(rows.count()), top(rows, *more))[1])
+    got = retrieval.nearest(asked, v, 2, 0.1).select("query_id", "id", "cosine", "rank").collect()
+    want = cells.nearest_by_cells(asked, v, 2, 0.1, centers=4)[0].collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 318  # query 0 has no length
+    # 160 queries meet 200 rows each; a task passes on two at most.
+    assert passed[0] <= 160 * 2 * spark.sparkContext.defaultParallelism
+
+
+def test_nearest_in_blocks_of_queries(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
+    rows = spark.createDataFrame([(1, "a", [1.0, 0.0]), (2, "a", [1.0]), (3, "b", [0.0, 1.0]), (4, None, [1.0, 0.0]), (5, "a", None)], "id long, grp string, vec array<double>")
+    asked = rows.withColumnRenamed("id", "query_id")
+    want = [(1, 1, 1.0, 1), (1, 2, 1.0, 2), (2, 1, 1.0, 1), (2, 2, 1.0, 2), (3, 3, 1.0, 1)]
+    for most in (10_000, 2):
+        monkeypatch.setattr(retrieval, "BROADCAST_QUERIES", most)
+        assert sorted(map(tuple, retrieval.nearest(asked, rows, 3, 0.5).select("query_id", "id", "cosine", "rank").collect())) == want
+    assert retrieval.nearest(asked.where("false"), rows, 3, 0.5).count() == 0
