@@ -11,18 +11,22 @@ bucket by document.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from clausegrid.functions.stemming import STOP_WORDS, stem
 from clausegrid.operators.retrieval import B, DIGITS, K1, _top
 
-BUCKETS, SLICES = 16, 4
+#: Buckets by term, and slices of a bucket by document: these many at least, and one for so many documents.
+BUCKETS, SLICES, SLICE_DOCS = 16, 4, 20_000
+#: Texts that are read at once.
+TEXTS = 256
 #: Terms that a search puts into the filter of the scan; more are joined.
 FILTER_TERMS = 1000
 #: A query must have more signs than this between its blanks.
@@ -30,15 +34,28 @@ SHORTEST_QUERY = 2
 _WORD = re.compile("[a-z0-9]+")
 
 
-def _terms(text: str, english: bool) -> dict[str, list[int]]:
-    """Terms and their places, from 1, counted before stop words go."""
-    places: dict[str, list[int]] = defaultdict(list)
-    for n, w in enumerate(_WORD.findall(text.lower()), 1):
-        if not english:
-            places[w].append(n)
-        elif w not in STOP_WORDS:
-            places[stem(w)].append(n)
-    return places
+def _analysed(ids: pa.Array, texts: list[str | None], english: bool) -> pa.RecordBatch:
+    """Rows of some texts. Places of terms count from 1, stop words included; each different word is looked at once."""
+    words = [_WORD.findall((t or "").lower()) for t in texts]
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    coded = pa.array([w for ws in words for w in ws], pa.string()).dictionary_encode()
+    names, code = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    doc = np.repeat(np.arange(len(words)), sizes)
+    place = np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
+    if english:
+        stems = pa.array([None if w in STOP_WORDS else stem(w) for w in names], pa.string()).dictionary_encode()
+        code = stems.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)[code]
+        names = stems.dictionary.to_pylist()
+        doc, place, code = doc[code >= 0], place[code >= 0], code[code >= 0]
+    order = np.argsort(doc * (len(names) + 1) + code, kind="stable")
+    doc, place, code = doc[order], place[order], code[order]
+    first = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | (np.diff(code, prepend=-1) != 0))
+    tf, dl = np.diff(np.append(first, len(doc))), np.bincount(doc, minlength=len(words))
+    of = np.concatenate((np.arange(len(words)), doc[first]))
+    terms = pa.array([""] + names, pa.string()).take(pa.array(np.concatenate((np.zeros(len(words), np.int64), code[first] + 1))))
+    places = pa.ListArray.from_arrays(pa.array(np.concatenate((np.zeros(len(words), np.int64), first, [len(doc)])), pa.int32()), pa.array(place, pa.int32()))
+    columns = [ids.take(pa.array(of)), terms, pa.array(np.concatenate((np.zeros(len(words), np.int64), tf)), pa.int32()), places, pa.array(dl[of], pa.int32())]
+    return pa.RecordBatch.from_arrays(columns, ["id", "term", "tf", "positions", "dl"])
 
 
 def analysed(rows: DataFrame, english: bool) -> DataFrame:
@@ -50,29 +67,14 @@ def analysed(rows: DataFrame, english: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, terms, tf, places, dl = [], [], [], [], []
-            for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                found = _terms(text or "", english)
-                size = sum(map(len, found.values()))
-                ids += [i] * (len(found) + 1)
-                terms += ["", *found]
-                tf += [0, *map(len, found.values())]
-                places += [[], *found.values()]
-                dl += [size] * (len(found) + 1)
-                if len(ids) > 50_000:
-                    yield _batch(batch.schema.field("id").type, ids, terms, tf, places, dl)
-                    ids, terms, tf, places, dl = [], [], [], [], []
-            yield _batch(batch.schema.field("id").type, ids, terms, tf, places, dl)
+            for n in range(0, batch.num_rows, TEXTS):
+                some = batch.slice(n, TEXTS)
+                yield _analysed(some.column("id"), some.column("text").to_pylist(), english)
 
     kind = rows.schema["id"].dataType.simpleString()
     return rows.select("id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"id {kind}, term string, tf int, positions array<int>, dl int")
 
 
-def _batch(kind: pa.DataType, ids: list, terms: list, tf: list, places: list, dl: list) -> pa.RecordBatch:
-    columns = [pa.array(ids, kind), pa.array(terms, pa.string()), pa.array(tf, pa.int32()), pa.array(places, pa.list_(pa.int32())), pa.array(dl, pa.int32())]
-    return pa.RecordBatch.from_arrays(columns, ["id", "term", "tf", "positions", "dl"])
-
-
 def _bucket(buckets: int):
     return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
 
@@ -88,8 +90,12 @@ class Postings:
     id_kind: str
 
     @classmethod
-    def write(cls, docs: DataFrame, path: str, english: bool = False, buckets: int = BUCKETS, slices: int = SLICES) -> Postings:
-        """Writes the index of documents (id, text) into a folder and returns it. Ids must be unique."""
+    def write(cls, docs: DataFrame, path: str, english: bool = False, buckets: int = BUCKETS, slices: int = 0) -> Postings:
+        """Writes the index of documents (id, text) into a folder and returns it. Ids must be unique.
+
+        Slices grow with the documents, if no number is given, so that a task's share does not.
+        """
+        slices = slices or max(SLICES, -(-docs.count() // SLICE_DOCS))
         slots = docs.sparkSession.sparkContext.defaultParallelism
         # A table of a few splits is dealt out first, so that its texts are read by all cores.
         spread = docs if docs.rdd.getNumPartitions() >= slots else docs.select("id", "text").repartition(slots)
@@ -115,42 +121,69 @@ class Postings:
         said = queries.where(F.length(F.trim("asked")) > SHORTEST_QUERY).select(F.col("query_id").alias("id"), F.col("asked").alias("text"))
         return analysed(said, self.english).where("term <> ''").select(F.col("id").alias("query_id"), "term").distinct()
 
-    def postings(self, asked: DataFrame) -> DataFrame:
-        """term, id, tf and dl of all terms asked for. Few terms and their buckets become filters of the scan, more are joined by bucket and term."""
+    def postings(self, asked: DataFrame, *values: str) -> DataFrame:
+        """term, id, tf and dl, or the columns named instead of these, of all terms asked for. Few terms and their buckets become filters of the scan, more are joined by bucket and term."""
         terms = asked.select("term").distinct().withColumn("bucket", _bucket(self.buckets))
         few = terms.limit(FILTER_TERMS + 1).collect()
-        rows = self._rows()
+        rows, columns = self._rows(), ("term", "id", *(values or ("tf", "dl")))
         if len(few) > FILTER_TERMS:
-            return rows.join(terms, ["bucket", "term"], "left_semi").select("term", "id", "tf", "dl")
-        return rows.where(F.col("bucket").isin(sorted({r["bucket"] for r in few})) & F.col("term").isin(sorted({r["term"] for r in few}))).select("term", "id", "tf", "dl")
+            return rows.join(terms, ["bucket", "term"], "left_semi").select(*columns)
+        return rows.where(F.col("bucket").isin(sorted({r["bucket"] for r in few})) & F.col("term").isin(sorted({r["term"] for r in few}))).select(*columns)
 
     def matching_all(self, queries: DataFrame) -> DataFrame:
         """query_id and id of the documents that hold all terms of a query; queries without terms match none."""
-        asked = self.asked(queries)
-        sizes = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_terms"))
-        found = self.postings(asked).join(asked, "term").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("found"))
-        return found.join(sizes, "query_id").where("found = n_terms").select("query_id", "id")
+        sets, words = self._sets(self.asked(queries))
+        rows = self.postings(words)
+        return self._meetings(words, rows, self._weighed(words, rows)).join(sets, "terms").select("query_id", "id")
 
     def bm25(self, queries: DataFrame, k: int) -> DataFrame:
         """query_id, id, score, rank: the k best documents that hold all terms of a query, ties to the smaller id."""
-        asked = self.asked(queries)
-        sizes = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_terms"))
-        rows = self.postings(asked)
-        df = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        weighed = asked.join(df, "term").join(sizes, "query_id").join(F.broadcast(self.stats()))
+        sets, words = self._sets(self.asked(queries))
+        rows = self.postings(words)
+        weighed = self._weighed(words, rows)
         idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
         part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-        scored = rows.join(weighed, "term").groupBy("query_id", "n_terms", "id").agg(F.round(F.sum(part), DIGITS).alias("score"), F.count(F.lit(1)).alias("found"))
-        return _top(scored.where("found = n_terms").drop("found", "n_terms"), F.col("score"), k)
+        scored = self._meetings(words, rows, weighed.join(F.broadcast(self.stats())), F.round(F.sum(part), DIGITS).alias("score"))
+        best = _top(scored.select(F.col("terms").alias("query_id"), "id", "score"), F.col("score"), k).withColumnRenamed("query_id", "terms")
+        return best.join(sets, "terms").select("query_id", "id", "score", "rank")
+
+    def _sets(self, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """query_id and terms, joined by blanks, of each query; and term by term what is asked, each set of terms once however many queries ask it."""
+        sets = asked.groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_set("term")), " ").alias("terms"))
+        return sets, sets.select("terms").distinct().select("terms", F.explode(F.split("terms", " ")).alias("term"))
+
+    def _weighed(self, words: DataFrame, rows: DataFrame) -> DataFrame:
+        """terms, term, df, n_terms and rarest (the set's term that the fewest documents hold) of the sets whose terms all occur."""
+        df = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        whole = Window.partitionBy("terms")
+        found = words.join(df, "term").withColumns({"n": F.count(F.lit(1)).over(whole), "n_terms": F.size(F.split("terms", " ")), "rarest": F.min(F.struct("df", "term")).over(whole)["term"]})
+        return found.where("n = n_terms").drop("n")
+
+    def _meetings(self, words: DataFrame, rows: DataFrame, weighed: DataFrame, *values: Column) -> DataFrame:
+        """terms, id and the values of the documents that hold all terms of a set; only those that hold its rarest term meet the others."""
+        first = rows.select("term", "id").join(weighed.where("term = rarest").select("terms", "term"), "term").select("terms", "id")
+        every = first.join(weighed, "terms").join(rows, ["term", "id"])
+        return every.groupBy("terms", "n_terms", "id").agg(F.count(F.lit(1)).alias("found"), *values).where("found = n_terms").drop("found", "n_terms")
 
     def phrase(self, queries: DataFrame) -> DataFrame:
-        """query_id, id and n: documents in which a query's terms stand in order, as far apart as in the query, and how often."""
+        """query_id, id and n: documents in which a query's terms stand in order, as far apart as in the query, and how often.
+
+        Only the places of a query's rarest word meet those of its others.
+        """
         said = queries.where(F.length(F.trim("asked")) > SHORTEST_QUERY).select(F.col("query_id").alias("id"), F.col("asked").alias("text"))
         words = analysed(said, self.english).where("term <> ''").select(F.col("id").alias("query_id"), "term", F.explode("positions").alias("q"))
-        sizes = words.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_terms"))
-        rows = self._rows().join(words.select("term").distinct().withColumn("bucket", _bucket(self.buckets)), ["bucket", "term"], "left_semi")
-        starts = rows.join(words, "term").select("query_id", "id", "q", F.explode("positions").alias("p")).groupBy("query_id", "id", (F.col("p") - F.col("q")).alias("start")).agg(F.count(F.lit(1)).alias("found"))
-        return starts.join(sizes, "query_id").where("found = n_terms").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("n"))
+        rows = self.postings(words, "positions")
+        df = rows.groupBy("term").agg(F.sum(F.size("positions")).alias("df"))
+        whole = Window.partitionBy("query_id")
+        words = words.withColumn("n_terms", F.count(F.lit(1)).over(whole)).join(df, "term")
+        words = words.withColumns({"n": F.count(F.lit(1)).over(whole), "place": F.row_number().over(whole.orderBy("df", "term", "q"))}).where("n = n_terms").drop("n", "df")
+        first, more = words.where("place = 1").drop("place"), words.where("place > 1").drop("place")
+        starts = lambda: F.transform("positions", lambda p: p - F.col("q"))
+        held = rows.join(first, "term").select("query_id", "n_terms", "id", starts().alias("starts"))
+        met = held.join(more.drop("n_terms"), "query_id").join(rows, ["term", "id"]).select("query_id", "n_terms", "id", F.array_intersect("starts", starts()).alias("starts"))
+        alone = held.where("n_terms = 1").select("query_id", "id", F.size("starts").cast("long").alias("n"))
+        counted = met.select("query_id", "n_terms", "id", F.explode("starts").alias("start")).groupBy("query_id", "n_terms", "id", "start").agg(F.count(F.lit(1)).alias("found"))
+        return counted.where("found = n_terms - 1").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("n")).unionByName(alone)
 
 
 _written: dict[tuple, Postings] = {}

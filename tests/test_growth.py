@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from clausegrid.operators import cells, retrieval
+from clausegrid.operators import cells, postings, retrieval
 from clausegrid.plans.catalogue import QUERIES, SQL
 
 
@@ -44,3 +44,33 @@ def test_nearest_in_blocks_of_queries(spark: SparkSession, monkeypatch: pytest.M
         monkeypatch.setattr(retrieval, "BROADCAST_QUERIES", most)
         assert sorted(map(tuple, retrieval.nearest(asked, rows, 3, 0.5).select("query_id", "id", "cosine", "rank").collect())) == want
     assert retrieval.nearest(asked.where("false"), rows, 3, 0.5).count() == 0
+
+
+def test_equal_queries_are_searched_once(spark: SparkSession, tmp_path: Path, monkeypatch: pytest.MonkeyPatch) -> None:
+    docs = spark.range(30).select("id", F.concat(F.lit("the rent and "), F.col("id") % 3).alias("text"))
+    index = postings.Postings.write(docs, f"{tmp_path}/index")
+    passed = []
+    top = postings._top
+    monkeypatch.setattr(postings, "_top", lambda rows, *more: (passed.append(rows.count()), top(rows, *more))[1])
+    asked = spark.range(50).select(F.col("id").alias("query_id"), F.when(F.col("id") % 2 == 0, "the rent").otherwise("rent the").alias("asked"))
+    assert index.bm25(asked, 2).count() == 100
+    assert passed == [30]
+    assert index.matching_all(asked).count() == 50 * 30
+    assert index.bm25(spark.createDataFrame([(1, "rent lost")], "query_id int, asked string"), 2).count() == 0
+
+
+def test_slices_grow_with_the_documents(spark: SparkSession, tmp_path: Path, monkeypatch: pytest.MonkeyPatch) -> None:
+    monkeypatch.setattr(postings, "SLICE_DOCS", 5, raising=False)
+    docs = spark.range(60).select("id", F.lit("rent").alias("text"))
+    postings.Postings.write(docs, f"{tmp_path}/index", buckets=1)
+    most = spark.read.parquet(f"{tmp_path}/index/postings").where("term = 'rent'").groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0]
+    assert most < 30
+
+
+def test_phrases_by_their_rarest_word(spark: SparkSession, tmp_path: Path) -> None:
+    docs = spark.createDataFrame([(1, "a b a b a"), (2, "b a a"), (3, "c"), (4, None)], "id long, text string")
+    index = postings.Postings.write(docs, f"{tmp_path}/index")
+    asked = spark.createDataFrame([(1, "a b a"), (2, "b a"), (3, "c  "), (4, "a a a"), (5, "a zz"), (6, "aaa")], "query_id int, asked string")
+    assert sorted(map(tuple, index.phrase(asked).collect())) == [(1, 1, 2), (2, 1, 2), (2, 2, 1)]
+    monkey = spark.createDataFrame([(7, "c c"), (8, "  c")], "query_id int, asked string")
+    assert index.phrase(monkey).count() == 0
