@@ -10,18 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from clausegrid.functions.numbers import half_up
-from clausegrid.operators.sweeps import stretches
+from clausegrid.operators.sweeps import in_ranges, running, stretches
 
 
 def sliding_quota(events: DataFrame, hourly: int, daily: int) -> DataFrame:
     """Adds in_hour and in_day, earlier requests of the user within the window, allowed, and remaining. Needs user_id, ts, event_id."""
-    us = events.withColumn("_us", F.unix_micros("ts"))
-
-    def earlier(seconds: int):
-        w = Window.partitionBy("user_id").orderBy("_us").rangeBetween(-seconds * 1_000_000, Window.currentRow)
-        return F.count(F.lit(1)).over(w) - F.count(F.lit(1)).over(Window.partitionBy("user_id", "_us").orderBy("event_id").rowsBetween(0, Window.unboundedFollowing))
-
-    out = us.withColumns({"in_hour": earlier(3600), "in_day": earlier(86400)}).drop("_us")
+    out = _with_earlier(events, {"user": F.col("user_id").cast("string")}, {"in_hour": ("user", 3600), "in_day": ("user", 86400)})
     ok = (F.col("in_day") < daily) & (F.col("in_hour") < hourly)
     left = F.greatest(F.lit(0), F.least(F.lit(hourly) - F.col("in_hour") - 1, F.lit(daily) - F.col("in_day") - 1))
     return out.withColumns({"allowed": ok, "remaining": left})
@@ -38,11 +32,28 @@ ROUTE_LIMITS = {
 UPLOAD_LIMITS = (5, 3)
 
 
-def _earlier(keys: list[str], seconds: int) -> Column:
-    """How many rows of the keys came within so many seconds before, in order of time and event_id. Needs _us."""
-    w = Window.partitionBy(*keys).orderBy("_us").rangeBetween(-seconds * 1_000_000, Window.currentRow)
-    here = Window.partitionBy(*keys, "_us").orderBy("event_id").rowsBetween(0, Window.unboundedFollowing)
-    return F.count(F.lit(1)).over(w) - F.count(F.lit(1)).over(here)
+def _with_earlier(rows: DataFrame, keys: dict[str, Column], windows: dict[str, tuple[str, int]]) -> DataFrame:
+    """Rows with a column for each window (key, seconds), keys being strings: how many rows of the key came within so many seconds before, in order of time and event_id.
+
+    A row is a mark of each of its keys at its time, and one at each window's
+    start; running counts of the rows up to its marks differ by what lies between.
+    So the work grows with the rows, not with what a window holds, and no key
+    needs a task of its own. Needs ts, event_id.
+    """
+    us = F.unix_micros("ts")
+    mark = lambda key, at, name: F.struct(F.lit(key).alias("_of"), keys[key].alias("_key"), at.alias("_at"), F.lit(int(not name)).alias("_real"), F.lit(name).alias("_name"))
+    marks = [mark(key, us, "") for key in keys] + [mark(key, us - seconds * 1_000_000, name) for name, (key, seconds) in windows.items()]
+    own = F.struct(*(F.col(c) for c in rows.columns))
+    numbered = rows.withColumn("_row", F.monotonically_increasing_id())
+    split = numbered.select("event_id", own.alias("_own"), "_row", F.explode(F.array(*marks)).alias("_m"))
+    # Only the first mark carries the row.
+    split = split.select("event_id", "_row", "_m.*", F.when((F.col("_m._real") == 1) & (F.col("_m._of") == next(iter(keys))), F.col("_own")).alias("_own"))
+    by, order = ["_of", "_key"], ["_at", "_real", "event_id", "_row"]
+    counted = running(in_ranges(split, by, order), by, order, "_n", F.col("_real"), own=False)
+    n = F.coalesce("_n", F.lit(0))
+    at = lambda key, name: F.max(F.when((F.col("_of") == key) & (F.col("_name") == name), n))
+    found = counted.groupBy("_row").agg(F.first("_own", ignorenulls=True).alias("_own"), *((at(key, "") - at(key, name)).alias(name) for name, (key, _) in windows.items()))
+    return found.select("_own.*", *windows)
 
 
 def chat_quota(requests: DataFrame) -> DataFrame:
@@ -51,28 +62,30 @@ def chat_quota(requests: DataFrame) -> DataFrame:
     Needs event_id, ts, user_id (null for guests), ip, lease_id. The first
     limit that is met in this order is the reason.
     """
-    rows = requests.withColumns({"_us": F.unix_micros("ts"), "_who": F.coalesce(F.concat(F.lit("u"), "user_id"), F.concat(F.lit("g"), "ip")), "_guest": F.col("user_id").isNull()})
-    rows = rows.withColumns({"_day": _earlier(["_who"], 86400), "_hour": _earlier(["_who"], 3600), "_lease": _earlier(["lease_id"], 86400)})
+    user = F.coalesce(F.concat(F.lit("u"), "user_id"), F.concat(F.lit("g"), "ip"))
+    rows = requests.withColumn("_guest", F.col("user_id").isNull())
+    rows = _with_earlier(rows, {"who": user, "lease": F.col("lease_id").cast("string")}, {"_day": ("who", 86400), "_hour": ("who", 3600), "_lease": ("lease", 86400)})
     limit = lambda k: F.when(F.col("_guest"), GUEST_LIMITS[k]).otherwise(USER_LIMITS[k])
     who = F.when(F.col("_guest"), "ip").otherwise("user")
     reason = F.when(F.col("_day") >= limit(0), F.concat(F.lit("daily_"), who, F.lit("_limit"))).when(F.col("_hour") >= limit(1), F.concat(F.lit("hourly_"), who, F.lit("_limit"))).when(F.col("_lease") >= LEASE_LIMIT, "per_lease_limit")
     left = F.greatest(F.lit(0), F.least(limit(0) - F.col("_day") - 1, limit(1) - F.col("_hour") - 1, LEASE_LIMIT - F.col("_lease") - 1))
     out = rows.withColumns({"reason": reason, "allowed": reason.isNull(), "remaining": F.when(reason.isNull(), left).otherwise(0)})
-    return out.drop("_us", "_who", "_guest", "_day", "_hour", "_lease")
+    return out.drop("_guest", "_day", "_hour", "_lease")
 
 
 def upload_quota(requests: DataFrame) -> DataFrame:
     """Adds allowed by the uploads in a day. Needs event_id, ts, user_id (null for guests), ip."""
-    rows = requests.withColumns({"_us": F.unix_micros("ts"), "_who": F.coalesce(F.concat(F.lit("u"), "user_id"), F.concat(F.lit("g"), "ip"))})
+    user = F.coalesce(F.concat(F.lit("u"), "user_id"), F.concat(F.lit("g"), "ip"))
+    rows = _with_earlier(requests, {"who": user}, {"_day": ("who", 86400)})
     limit = F.when(F.col("user_id").isNull(), UPLOAD_LIMITS[1]).otherwise(UPLOAD_LIMITS[0])
-    return rows.withColumn("allowed", _earlier(["_who"], 86400) < limit).drop("_us", "_who")
+    return rows.withColumn("allowed", F.col("_day") < limit).drop("_day")
 
 
 def route_quota(requests: DataFrame) -> DataFrame:
     """Adds allowed by each route's limit in an hour; unknown routes have none. Needs event_id, ts, key, route."""
     limits = F.create_map(*(F.lit(x) for kv in ROUTE_LIMITS.items() for x in kv))
-    rows = requests.withColumn("_us", F.unix_micros("ts"))
-    return rows.withColumn("allowed", F.coalesce(_earlier(["key", "route"], 3600) < F.element_at(limits, F.col("route")), F.lit(True))).drop("_us")
+    rows = _with_earlier(requests, {"both": F.to_json(F.struct("key", "route"))}, {"_hour": ("both", 3600)})
+    return rows.withColumn("allowed", F.coalesce(F.col("_hour") < F.element_at(limits, F.col("route")), F.lit(True))).drop("_hour")
 
 
 def fail_open(checked: DataFrame, open_: bool = True) -> DataFrame:

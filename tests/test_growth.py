@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from clausegrid.operators import cells, postings, retrieval
+from clausegrid.operators import cells, events, postings, retrieval, sweeps
 from clausegrid.plans.catalogue import QUERIES, SQL
 
 
@@ -74,3 +74,21 @@ def test_phrases_by_their_rarest_word(spark: SparkSession, tmp_path: Path) -> No
     assert sorted(map(tuple, index.phrase(asked).collect())) == [(1, 1, 2), (2, 1, 2), (2, 2, 1)]
     monkey = spark.createDataFrame([(7, "c c"), (8, "  c")], "query_id int, asked string")
     assert index.phrase(monkey).count() == 0
+
+
+def test_windows_of_one_busy_key(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
+    monkeypatch.setattr(sweeps, "RANGE_ROWS", 20)
+    ranges = []
+    cut = sweeps.in_ranges
+    monkeypatch.setattr(events, "in_ranges", lambda *given: (ranges.append(cut(*given)), ranges[-1])[1], raising=False)
+    given = [(n, None if n == 7 else n * 40 // 3 % 97 * 60, None if n % 9 == 0 else n % 2) for n in range(120)] + [(5, 300, 1)]
+    rows = spark.createDataFrame(given, "event_id long, s long, user_id long").select("event_id", F.timestamp_seconds("s").alias("ts"), "user_id")
+    got = sorted((r["event_id"], r["user_id"], r["in_hour"], r["allowed"]) for r in events.sliding_quota(rows, 5, 10).na.fill(-1).collect())
+    want = []
+    for i, (e, s, u) in enumerate(given):
+        before = [x for j, (f, t, v) in enumerate(given) if v == u and (t is None) == (s is None) and (s is None and (f, j) < (e, i) or s is not None and s - 3600 <= t and (t, f, j) < (s, e, i)) for x in [f]]
+        day = [f for j, (f, t, v) in enumerate(given) if v == u and (t is None) == (s is None) and (s is None and (f, j) < (e, i) or s is not None and (t, f, j) < (s, e, i))]
+        want.append((e, -1 if u is None else u, len(before), len(before) < 5 and len(day) < 10))
+    assert got == sorted(want)
+    # No task of its own for a key: its marks lie in several ranges.
+    assert ranges[0].where("_key = '1'").select("_range").distinct().count() > 3
