@@ -21,6 +21,8 @@ from clausegrid.functions.cleaning import normalized
 PREFIXES = (40, 25, 15)
 #: Pages of a file that a task searches, and clauses whose prefixes make an automaton, about.
 BLOCK_PAGES, PART_CLAUSES = 256, 20_000
+#: Texts that are held as Python strings at once.
+TEXTS = 256
 #: Keys of one automaton that is broadcast; more are dealt into several, one pass over the texts each.
 BROADCAST_KEYS = 50_000
 
@@ -140,7 +142,8 @@ def _keys_in(words: list[str]):
     def found(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         automaton = _automaton(iter(words))
         for batch in texts:
-            yield pa.array([list(_first_places(automaton, t)) for t in batch.to_pylist()], pa.list_(pa.string()))
+            texts_of = (t for n in range(0, len(batch), TEXTS) for t in batch.slice(n, TEXTS).to_pylist())
+            yield pa.array([list(_first_places(automaton, t)) for t in texts_of], pa.list_(pa.string()))
 
     return found
 

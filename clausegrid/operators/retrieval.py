@@ -195,13 +195,16 @@ def nearest_since(queries: DataFrame, corpus: DataFrame, k: int, least: float, f
 def keyword_hits(queries: DataFrame, corpus: DataFrame, k: int, decisions: bool = False) -> DataFrame:
     """query_id, id, score, rank of rows that hold any of a query's search words; ties to the smaller id. Needs query_id, grp, asked; id, grp, text.
 
-    The words of all queries are searched for at once; what a row holds then
-    meets the queries by group and word.
+    The words of all queries are searched for at once; the first k rows of each
+    group and word then meet the queries.
     """
     words = search_words(F.col("asked"), DECISION_STOPS, 4, 4, once=False) if decisions else search_words(F.col("asked"), STATUTE_STOPS)
     asked = queries.select("query_id", "grp", F.explode(words).alias("word"))
     held = with_keys(corpus.select("id", "grp", F.lower("text").alias("low")), "low", asked.select(F.col("word").alias("key")))
-    found = held.select("id", "grp", F.explode("keys").alias("word")).join(asked, ["grp", "word"])
+    # All scores are equal, so that a query's first rows are among the first of its words.
+    first = F.dense_rank().over(Window.partitionBy("grp", "word").orderBy("id"))
+    few = held.select("id", "grp", F.explode("keys").alias("word")).withColumn("n", first).where(F.col("n") <= k)
+    found = few.drop("n").join(asked, ["grp", "word"])
     score = DECISION_KEYWORD_SCORE if decisions else KEYWORD_SCORE
     return _top(found.select("query_id", "id").distinct().withColumn("score", F.lit(score)), F.col("score"), k)
 

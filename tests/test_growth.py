@@ -92,3 +92,15 @@ def test_windows_of_one_busy_key(spark: SparkSession, monkeypatch: pytest.Monkey
     assert got == sorted(want)
     # No task of its own for a key: its marks lie in several ranges.
     assert ranges[0].where("_key = '1'").select("_range").distinct().count() > 3
+
+
+def test_first_rows_of_each_word_meet_the_queries(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
+    corpus = spark.range(200).select("id", F.lit(0).alias("grp"), F.when(F.col("id") % 2 == 0, "Rented garden").otherwise("garden wall").alias("text"))
+    corpus = corpus.unionByName(corpus.where("id = 1"))
+    asked = spark.range(40).select(F.col("id").alias("query_id"), F.lit(0).alias("grp"), F.when(F.col("id") == 7, "rent wall").otherwise("garden").alias("asked"))
+    passed = []
+    top = retrieval._top
+    monkeypatch.setattr(retrieval, "_top", lambda rows, *more: (passed.append(rows.count()), top(rows, *more))[1])
+    got = retrieval.keyword_hits(asked, corpus, 3).collect()
+    assert sorted((r["query_id"], r["id"], r["rank"]) for r in got) == [(q, n, n + 1) for q in range(40) for n in range(3)]
+    assert passed[0] <= 40 * 2 * 3
