@@ -47,13 +47,14 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Positions rise in the order in which the rows were written, with gaps between
     files: by the task's number, the file's number within the task, and the row's
-    within the file. ``docs`` must be Parquet files as they are read, with
+    within the file. The file's number stands before its ending; a part of the
+    random name that looks like one does not count. ``docs`` must be Parquet files as they are read, with
     nothing between. Null and empty texts have no ids; rows may repeat, and other
     columns are ignored.
     """
     name = F.col("_metadata.file_name")
     number = lambda pattern: F.coalesce(F.regexp_extract(name, pattern, 1).try_cast("long"), F.lit(0))
-    task, file, row = number(r"^part-(\d+)"), number(r"-c(\d+)"), F.col("_metadata.row_index")
+    task, file, row = number(r"^part-(\d+)"), number(r"[-.]c(\d+)(?:\.|$)"), F.col("_metadata.row_index")
     whole = F.shiftleft(task, _ROW_BITS + _FILE_BITS) + F.shiftleft(file, _ROW_BITS) + row
     fits = (task < 1 << 63 - _ROW_BITS - _FILE_BITS) & (file < 1 << _FILE_BITS) & (row < 1 << _ROW_BITS)
     placed = docs.withColumn("position", F.when(fits, whole).otherwise(F.raise_error(F.lit("too many files or rows for a position")).cast("long")))

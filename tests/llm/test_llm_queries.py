@@ -76,3 +76,13 @@ def test_pipeline_positions_follow_the_mixture(spark: SparkSession, tmp_path) ->
     out = stages["byte-level BPE"](spark, spark.read.parquet(str(tmp_path / "mixed")), SF_DIR)
     got = [r["doc_id"] for r in out.select("doc_id", "position").orderBy("position").collect()]
     assert got == [r["doc_id"] for r in mixing.mixture(docs).orderBy("slot", "place").collect()]
+
+
+def test_positions_by_the_file_number_only(spark: SparkSession, tmp_path) -> None:
+    docs = spark.createDataFrame([(1, "one two")], "doc_id long, text string")
+    docs.coalesce(1).write.parquet(str(tmp_path / "written"))
+    (tmp_path / "named").mkdir()
+    name = "part-00003-1f2e3d4c-c99999-4444-8888-c12345678901-c002.snappy.parquet"
+    next((tmp_path / "written").glob("part-*")).rename(tmp_path / "named" / name)
+    out = corpus_pipeline.encoded(spark, spark.read.parquet(str(tmp_path / "named")), SF_DIR)
+    assert [r["position"] for r in out.collect()] == [(3 << 43) + (2 << 30)]
