@@ -6,12 +6,13 @@ Word boundaries are written as lookarounds over ASCII word signs, which is what
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausegrid.functions.texts import found
+from clausegrid.functions.texts import found, replaced
 
 # Personal data and what stands for it, in order; \b is a boundary of ASCII words.
 PERSONAL = (
@@ -24,6 +25,17 @@ PERSONAL = (
     (r"(?i)(?:Unit|Apt|Suite|Apartment)\s*#?\s*\d+[A-Z]?", "[UNIT]"),
     (r"\b\d{3}[-\s]?\d{3}[-\s]?\d{3}\b", "[ID_NUMBER]"),
 )
+# What a text must hold, without boundaries, where the pattern in turn is found.
+PERSONAL_SIGNS = (
+    r"[A-Z][a-z]+ [A-Z][a-z]",
+    r"@",
+    r"[A-Z]\d[A-Z]\s*\d[A-Z]\d",
+    r"\d\s+[A-Za-z]{2}",
+    r"\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}",
+    r"\$",
+    r"[TtEe]\s*#?\s*\d",
+    r"\d{3}[-\s]?\d{3}[-\s]?\d{3}",
+)
 
 # Signs of documents that are no leases, and of leases; \b as above.
 RESUME = (
@@ -113,10 +125,19 @@ POSTAL = r"\b([A-Z])[0-9][A-Z]\s*[0-9][A-Z][0-9]\b"
 POSTAL_LETTERS = {"B": "CA-NS", "T": "CA-AB", "V": "CA-BC", "R": "CA-MB", "S": "CA-SK", "G": "CA-QC", "H": "CA-QC", "J": "CA-QC"}
 
 _BOUNDARY = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+_START, _END = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 
 
 def java(pattern: str) -> str:
-    """The pattern with \\b as a boundary of ASCII words, at a word's start or end."""
+    """The pattern with \\b as a boundary of ASCII words, at a word's start or end.
+
+    Where the sign behind or before it is plainly one of a word, only the other
+    side is looked at; a start of capitals or digits is looked for before its boundary.
+    """
+    pattern = re.sub(r"^((?:\(\?i\))?)\\b(?=(\(\[A-Z\]\)|\[A-Z\]|\\d)(?![?*]|\{0))", lambda m: f"{m[1]}(?={m[2].strip('()')}){_START}", pattern)
+    pattern = re.sub(r"\\b(?=[A-Za-z](?![?*{])|(\([A-Za-z][^()]*\))(?![?*{]))", lambda m: r"\b" if m[1] and re.search(r"\|[^A-Za-z]|[|(][A-Za-z][?*{]", m[1]) else _START, pattern)
+    pattern = re.sub(r"(?<=(?<!\\)[A-Za-z])\\b", lambda m: _END, pattern)
+    pattern = re.sub(r"(\[A-Z\]|\[0-9\]|\[a-z\]\+|\\d(?:\{\d\})?)\\b", lambda m: m[1] + _END, pattern)
     return pattern.replace(r"\b", _BOUNDARY)
 
 
@@ -130,8 +151,8 @@ def _hits(text: Column, low: Column, patterns: tuple[str, ...]) -> Column:
 
 def scrubbed(text: Column) -> Column:
     """The text with personal data replaced, names first."""
-    for pattern, by in PERSONAL:
-        text = F.regexp_replace(text, java(pattern), by.replace("$", r"\$"))
+    for (pattern, by), sign in zip(PERSONAL, PERSONAL_SIGNS, strict=True):
+        text = replaced(text, java(pattern), by.replace("$", r"\$"), lambda t, sign=sign: t.rlike(sign))
     return text
 
 
@@ -170,13 +191,15 @@ def jurisdictions(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text")).withColumn("_low", F.lower("_text"))
     text, low = F.col("_text"), F.col("_low")
-    law = F.coalesce(*(F.nullif(F.regexp_extract(text, p, 0), F.lit("")) for p in GOVERNING_LAW))
-    acts = _hits(text, low, ONTARIO_ACTS)
-    letters = F.regexp_extract_all(text, F.lit(java(POSTAL)), 1)
+    # What is used more than once is a column, so that a text is searched for it once.
+    law = F.lower(F.coalesce(*(F.nullif(F.when(found(text, low, p), F.regexp_extract(text, p, 0)), F.lit("")) for p in GOVERNING_LAW)))
+    codes = F.when(text.rlike(POSTAL.replace(r"\b", "")), F.regexp_extract_all(text, F.lit(java(POSTAL)), 1)).otherwise(F.array().cast("array<string>"))
+    docs = docs.withColumns({"_law": law, "_letters": codes, "_acts": _hits(text, low, ONTARIO_ACTS)})
+    letters, acts = F.col("_letters"), F.col("_acts")
     other = F.element_at(F.create_map(*(F.lit(x) for kv in POSTAL_LETTERS.items() for x in kv)), F.element_at(letters, 1))
     postal = F.when(F.exists(letters, lambda x: x.isin("M", "K", "L", "N", "P")), "CA-ON").when(F.size(letters) > 0, other)
     vote = lambda place, code, n: F.struct(F.lit(place).alias("place"), code.alias("code"), n.cast("int").alias("n"))
-    cast = F.array(vote(0, _province(F.lower(law)), F.lit(3)), vote(1, F.when(acts > 0, "CA-ON"), acts * 2), vote(2, postal, F.lit(2)), vote(3, _province(low), F.lit(1)))
+    cast = F.array(vote(0, _province(F.col("_law")), F.lit(3)), vote(1, F.when(acts > 0, "CA-ON"), acts * 2), vote(2, postal, F.lit(2)), vote(3, _province(low), F.lit(1)))
     votes = docs.select("doc_id", _any(text, low, ABROAD).alias("abroad"), F.filter(cast, lambda v: v["code"].isNotNull()).alias("cast"))
     given = F.transform("cast", lambda v: v["code"])
     sums = F.transform(F.array_distinct(given), lambda c: F.struct(F.aggregate(F.filter("cast", lambda v: v["code"] == c), F.lit(0), lambda s, v: s + v["n"]).alias("n"), (-F.array_position(given, c)).alias("place"), c.alias("code")))
