@@ -6,12 +6,15 @@ Classes such as \s and \w are those of ASCII.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
+
+from clausegrid.functions.texts import replaced
 
 # Words that say nothing about a statute, and about a decision.
 STATUTE_STOPS = (
@@ -25,6 +28,10 @@ DECISION_STOPS = ("the", "a", "an", "and", "or", "in", "on", "to", "of", "with",
 STANDARD_LEASE_URL = "https://www.ontario.ca/laws/statute/06r17"
 MAINTENANCE_URL = "https://www.ontario.ca/laws/regulation/060516"
 RENT_URL = "https://www.ontario.ca/laws/regulation/060517"
+#: White space that is more or other than one blank.
+_SPACES = r"(?:[\t\n\x0B\f\r]| (?=\s))\s*"
+#: Signs of a text in which its first words are looked for before the others.
+HEAD = 600
 
 
 def trimmed(text: Column) -> Column:
@@ -40,13 +47,48 @@ def plain_quotes(text: Column) -> Column:
 def normalized(text: Column) -> Column:
     """Lower case, plain quotes and dashes, single blanks: for comparing wordings."""
     plain = F.translate(F.lower(text), "‘’‚‛′‵`“”„‟″‶–—", "'''''''\"\"\"\"\"\"--")
-    return trimmed(F.regexp_replace(plain, r"\s+", " "))
+    return trimmed(F.regexp_replace(plain, _SPACES, " "))
+
+
+# Blocks of signs of which most stay as they are under Unicode's compatibility composition.
+_BLOCKS = ((0x0, 0x24F), (0x370, 0x52F), (0x5D0, 0x5EA), (0x620, 0x64A), (0xE01, 0xE32), (0x2010, 0x203A), (0x3041, 0x30FF), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3))
+
+
+def _changing() -> str:
+    """A class of the signs that the composition may change, or join with the sign before; all outside of the blocks are in it."""
+    pairs = (unicodedata.decomposition(chr(n)).split() for n in range(0x30000))
+    second = {int(p[1], 16) for p in pairs if len(p) == 2 and not p[0].startswith("<")}
+    stays = [n for lo, hi in _BLOCKS for n in range(lo, hi + 1) if n not in second and not unicodedata.combining(chr(n)) and unicodedata.normalize("NFKC", chr(n)) == chr(n)]
+    runs: list[list[int]] = []
+    for n in stays:
+        if runs and runs[-1][1] == n - 1:
+            runs[-1][1] = n
+        else:
+            runs.append([n, n])
+    # The first block is looked at alone, since a class of many ranges is slow.
+    return r"(?:(?![\x00-\x9F])[^" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in runs) + "])"
+
+
+_CHANGING = _changing()
 
 
-@F.pandas_udf(StringType())
-def nfkc(text: pd.Series) -> pd.Series:
-    """Unicode's compatibility composition; null stays null."""
-    return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+@F.arrow_udf(ArrayType(StringType()))
+def _composed(runs: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in runs:
+        yield pa.array([None if r is None else [unicodedata.normalize("NFKC", x) for x in r] for r in batch.to_pylist()], pa.list_(pa.string()))
+
+
+def nfkc(text: Column) -> Column:
+    """Unicode's compatibility composition; null stays null.
+
+    Of texts with signs that it may change, runs beyond ASCII go through Python,
+    each with the sign before. The text should be a column, as it is read several times.
+    """
+    run = r"[\x00-\x9F]?[^\x00-\x9F]+"
+    runs = F.when(text.rlike(_CHANGING), F.regexp_extract_all(text, F.lit(run), 0)).otherwise(F.array().cast("array<string>"))
+    composed = _composed(runs)
+    pieces = F.zip_with(F.split(text, run, -1), composed, lambda p, c: F.concat(p, F.coalesce(c, F.lit(""))))
+    return F.when(F.size(composed) > 0, F.array_join(pieces, "")).otherwise(text)
 
 
 def without_addresses(text: Column) -> Column:
@@ -84,10 +126,17 @@ def safe_name(name: Column) -> Column:
     return F.substring(trimmed(F.regexp_replace(plain, r"\s{2,}", " ")), 1, 120)
 
 
+def _with_steps(text: Column, steps: tuple[tuple[str, ...], ...]) -> Column:
+    """The text after replacements one by one: a pattern, what stands for it, and strings of which a text must hold one where the pattern is found."""
+    for pattern, by, *signs in steps:
+        text = replaced(text, pattern, by, lambda t, signs=signs: reduce(lambda a, b: a | b, (t.contains(s) for s in signs)))
+    return text
+
+
 def safe_chat(text: Column) -> Column:
     """A chat message without control signs and a model's own marks; four line breaks or more become two."""
-    steps = ((r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", ""), (r"<\|[^|]*\|>", ""), (r"(?i)\[/?INST\]", ""), (r"(?i)<</?SYS>>", ""), (r"\n{4,}", "\n\n"))
-    return trimmed(reduce(lambda t, s: F.regexp_replace(t, *s), steps, text))
+    steps = ((r"<\|[^|]*\|>", "", "<|"), (r"(?i)\[/?INST\]", "", "["), (r"(?i)<</?SYS>>", "", "<<"), (r"\n{4,}", "\n\n", "\n\n\n\n"))
+    return trimmed(_with_steps(F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", ""), steps))
 
 
 def cited_section(reference: Column) -> Column:
@@ -118,12 +167,12 @@ def covers(expected: Column, found: Column) -> Column:
 
 def non_ascii_share(text: Column) -> Column:
     """The share of signs beyond ASCII; 0 for an empty text."""
-    return F.coalesce(F.length(F.regexp_replace(text, r"[\x00-\x7F]", "")) / F.nullif(F.length(text), F.lit(0)), F.lit(0.0))
+    return F.coalesce(F.length(F.regexp_replace(text, r"[\x00-\x7F]+", "")) / F.nullif(F.length(text), F.lit(0)), F.lit(0.0))
 
 
 def control_share(text: Column) -> Column:
     """The share of control signs; more than a tenth makes a text unreadable."""
-    return F.coalesce(F.length(F.regexp_replace(text, r"[^\x00-\x08\x0E-\x1F\x7F-\x{9F}]", "")) / F.nullif(F.length(text), F.lit(0)), F.lit(0.0))
+    return F.coalesce(F.length(F.regexp_replace(text, r"[^\x00-\x08\x0E-\x1F\x7F-\x{9F}]+", "")) / F.nullif(F.length(text), F.lit(0)), F.lit(0.0))
 
 
 def word_count(text: Column) -> Column:
@@ -140,8 +189,8 @@ def decision_slug(url: Column) -> Column:
 
 def clean_text(text: Column) -> Column:
     """Plain line breaks, no blanks before them, three of them at most in a row."""
-    steps = ((r"\r\n?", "\n"), (r"[ \t]+\n", "\n"), (r"\n{4,}", "\n\n\n"), (r"\[object Object\]", ""))
-    return trimmed(reduce(lambda t, s: F.regexp_replace(t, *s), steps, F.coalesce(text, F.lit(""))))
+    steps = ((r"\r\n?", "\n", "\r"), (r"[ \t]+\n", "\n", " \n", "\t\n"), (r"\n{4,}", "\n\n\n", "\n\n\n\n"), (r"\[object Object\]", "", "[object Object]"))
+    return trimmed(_with_steps(F.coalesce(text, F.lit("")), steps))
 
 
 def without_paths(message: Column) -> Column:
@@ -165,7 +214,13 @@ def best_sentence(text: Column, words: list[str]) -> Column:
 
 
 def search_words(text: Column, stops: tuple[str, ...] = STATUTE_STOPS, longer_than: int = 3, most: int = 5, once: bool = True) -> Column:
-    """The first words of letters that say something, in order; each once with ``once``."""
-    words = F.split(F.regexp_replace(F.lower(text), r"[^a-z\s]", " "), r"\s+")
-    kept = F.filter(words, lambda w: (F.length(w) > longer_than) & ~w.isin(*stops))
-    return F.slice(F.array_distinct(kept) if once else kept, 1, most)
+    """The first words of letters that say something, in order; each once with ``once``. A text's first signs are read, and all only where these have too few."""
+
+    def among(low: Column) -> Column:
+        words = F.split(F.regexp_replace(low, r"[^a-z\s]+", " "), r"\s+")
+        kept = F.filter(words, lambda w: (F.length(w) > longer_than) & ~w.isin(*stops))
+        return F.slice(F.array_distinct(kept) if once else kept, 1, most)
+
+    # The last word of the head may go on behind it.
+    head = F.regexp_replace(F.lower(F.substring(text, 1, HEAD)), r"[a-z]+$", "")
+    return F.get(F.transform(F.array(among(head)), lambda found: F.when(F.size(found) >= most, found).otherwise(among(F.lower(text)))), F.lit(0))

@@ -155,7 +155,8 @@ def analyses(pages: DataFrame) -> DataFrame:
     not count; a null page has no summary. Needs page_id, html.
     """
     plain = reduce(lambda t, tag: F.regexp_replace(t, rf"(?is)<{tag}\b.*?</{tag}>", " "), ("script", "style", "nav", "header", "footer"), F.regexp_replace(F.coalesce("html", F.lit("")), r"(?s)<!--.*?-->", " "))
-    raw = F.regexp_extract_all(nfkc(plain), F.lit(r"(?is)<(?:h[1-4]|p)\b[^>]*>.*?</(?:h[1-4]|p)>"), 0)
+    raw = F.regexp_extract_all(nfkc(F.col("plain")), F.lit(r"(?is)<(?:h[1-4]|p)\b[^>]*>.*?</(?:h[1-4]|p)>"), 0)
+    pages = pages.select("page_id", plain.alias("plain"))
 
     def block(x: Column) -> Column:
         return F.struct(x.rlike(r"(?i)^<h").alias("head"), html_text(x).alias("text"))
@@ -178,11 +179,12 @@ def analyses(pages: DataFrame) -> DataFrame:
     joined = F.array_join(F.when(some, F.col("inside")).otherwise(every), " ")
     rows = rows.select("page_id", joined.alias("joined"), F.when(some, "analysis").otherwise("paragraphs").alias("found"))
     summary = F.when(F.length("joined") > LONGEST_SUMMARY, F.regexp_replace(F.substring("joined", 1, LONGEST_SUMMARY), " [^ ]*$", "")).otherwise(F.col("joined"))
-    rows = rows.select("page_id", "found", summary.alias("summary"))
+    # Rows have numbers here so that the filter below stays above: pushed down, it would read each page many times.
+    rows = rows.select("page_id", "found", summary.alias("summary"), F.monotonically_increasing_id().alias("row"))
     said = F.slice(F.split("summary", SENTENCE_END), 1, PRINCIPLE_SENTENCES)
     cited = F.filter(said, lambda s: s.rlike(java(CITES)))
     principle = F.substring(F.when(F.size(cited) > 0, F.try_element_at(cited, F.lit(1))).otherwise(F.try_element_at(said, F.lit(1))), 1, LONGEST_PRINCIPLE)
-    return rows.where(F.length("summary") >= SHORTEST_ANALYSIS).select("page_id", "summary", principle.alias("principle"), "found")
+    return rows.where((F.length("summary") >= SHORTEST_ANALYSIS) & (F.col("row") >= 0)).select("page_id", "summary", principle.alias("principle"), "found")
 
 
 _CLASS = r"(?i)^<p\b[^>]*\bclass\s*=\s*[\"']([^\"']*)[\"']"
