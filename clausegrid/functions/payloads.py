@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,27 +32,38 @@ def _fields(payload: Column) -> Column:
     return F.coalesce(F.from_json(payload, "map<string,string>"), F.create_map().cast("map<string,string>"))
 
 
+def _of_fields(payload: Column, work: Callable[[Column], Column]) -> Column:
+    """What ``work`` makes of the payload's fields, which are read once however often it names them."""
+    return F.get(F.transform(F.array(_fields(payload)), work), F.lit(0))
+
+
 def _json_array(value: Column) -> Column:
     return F.when(value.startswith("["), F.json_array_length(value))
 
 
 def input_summary(payload: Column) -> Column:
     """What is kept of a tool's input: some keys as they are, lengths of texts, numbers of entries."""
-    fields = _fields(payload)
-    kept = F.map_filter(fields, lambda k, v: k.isin(*INPUT_KEPT))
-    chars = [F.when(F.map_contains_key(fields, k), F.create_map(F.lit(f"{k}_chars"), F.length(fields[k]).cast("string"))) for k in INPUT_CHARS]
-    counts = [F.when(_json_array(fields[k]).isNotNull(), F.create_map(F.lit(name), _json_array(fields[k]).cast("string"))) for k, name in INPUT_COUNTS]
-    empty = F.create_map().cast("map<string,string>")
-    return F.map_concat(kept, *(F.coalesce(x, empty) for x in (*chars, *counts)))
+
+    def summary(fields: Column) -> Column:
+        kept = F.map_filter(fields, lambda k, v: k.isin(*INPUT_KEPT))
+        chars = [F.when(F.map_contains_key(fields, k), F.create_map(F.lit(f"{k}_chars"), F.length(fields[k]).cast("string"))) for k in INPUT_CHARS]
+        counts = [F.when(_json_array(fields[k]).isNotNull(), F.create_map(F.lit(name), _json_array(fields[k]).cast("string"))) for k, name in INPUT_COUNTS]
+        empty = F.create_map().cast("map<string,string>")
+        return F.map_concat(kept, *(F.coalesce(x, empty) for x in (*chars, *counts)))
+
+    return _of_fields(payload, summary)
 
 
 def output_summary(payload: Column) -> Column:
     """What is kept of a tool's output: some scalars, and of other arrays how many entries they have."""
-    fields = _fields(payload)
-    kept = F.map_filter(fields, lambda k, v: k.isin(*OUTPUT_KEPT))
-    arrays = F.map_filter(fields, lambda k, v: ~k.isin(*OUTPUT_KEPT) & v.startswith("["))
-    counted = F.map_from_entries(F.transform(F.map_entries(arrays), lambda e: F.struct(F.concat(e["key"], F.lit("_count")), F.json_array_length(e["value"]).cast("string"))))
-    return F.map_concat(kept, counted)
+
+    def summary(fields: Column) -> Column:
+        kept = F.map_filter(fields, lambda k, v: k.isin(*OUTPUT_KEPT))
+        arrays = F.map_filter(fields, lambda k, v: ~k.isin(*OUTPUT_KEPT) & v.startswith("["))
+        counted = F.map_from_entries(F.transform(F.map_entries(arrays), lambda e: F.struct(F.concat(e["key"], F.lit("_count")), F.json_array_length(e["value"]).cast("string"))))
+        return F.map_concat(kept, counted)
+
+    return _of_fields(payload, summary)
 
 
 def wrapped_array(payload: Column, key: str) -> Column:
