@@ -150,6 +150,11 @@ TOOLS = {
 }
 
 
+def _lacking(given: Column, needs: tuple[str, ...]) -> Column:
+    """The fields of ``needs`` that an input lacks."""
+    return F.filter(F.array(*(F.when(given[f].isNull(), F.lit(f)) for f in needs)), lambda f: f.isNotNull())
+
+
 def answers(calls: DataFrame, corpora: Corpora, names: tuple[str, ...] = tuple(TOOLS)) -> DataFrame:
     """call_id, tool, output (JSON) and is_error of every call (call_id, tool, input).
 
@@ -159,17 +164,18 @@ def answers(calls: DataFrame, corpora: Corpora, names: tuple[str, ...] = tuple(T
     ...", "available_tools": [...]}. An answer that holds an error is one. A tool
     whose corpus is not given must not be among ``names``.
     """
-    out = []
+    out, lacks = [], []
     for name in names:
         tool = TOOLS[name]
-        own = calls.where(F.col("tool") == name).select("call_id", F.from_json("input", tool.takes).alias("a"))
-        lacking = F.filter(F.array(*(F.when(F.col(f"a.{f}").isNull(), F.lit(f)) for f in tool.needs)), lambda f: f.isNotNull())
-        checked = own.withColumn("lacking", lacking)
-        wrong = checked.where(F.size("lacking") > 0).select("call_id", F.to_json(F.struct(F.lit("Invalid input").alias("error"), F.col("lacking").alias("details"))).alias("output"), F.lit(True).alias("is_error"))
-        done = tool.work(checked.where(F.size("lacking") == 0).drop("lacking"), corpora)
+        given = F.from_json("input", tool.takes)
+        lacks.append(F.when(F.col("tool") == name, _lacking(given, tool.needs)))
+        own = calls.where(F.col("tool") == name).select("call_id", given.alias("a"))
+        done = tool.work(own.where(reduce(lambda x, y: x & y, (F.col(f"a.{f}").isNotNull() for f in tool.needs))), corpora)
         error = F.col("answer.error").isNotNull() if "error" in done.schema["answer"].dataType.names else F.lit(False)
-        right = done.select("call_id", F.to_json("answer").alias("output"), error.alias("is_error"))
-        out.append(right.unionByName(wrong).withColumn("tool", F.lit(name)))
+        out.append(done.select("call_id", F.to_json("answer").alias("output"), error.alias("is_error"), F.lit(name).alias("tool")))
+    # Wrong calls of all tools are found in one pass.
+    wrong = calls.where(F.col("tool").isin(*names)).select("call_id", "tool", F.coalesce(*lacks).alias("lacking")).where(F.size("lacking") > 0)
+    out.append(wrong.select("call_id", F.to_json(F.struct(F.lit("Invalid input").alias("error"), F.col("lacking").alias("details"))).alias("output"), F.lit(True).alias("is_error"), "tool"))
     unknown = calls.where(~F.coalesce(F.col("tool").isin(*names), F.lit(False)))
     said = F.struct(F.concat(F.lit("Unknown tool: "), F.coalesce("tool", F.lit("null"))).alias("error"), F.array(*map(F.lit, names)).alias("available_tools"))
     out.append(unknown.select("call_id", F.to_json(said).alias("output"), F.lit(True).alias("is_error"), "tool"))

@@ -50,7 +50,8 @@ def tool_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A call for every line item: five tools, one that is not there, and calls without their input."""
     rows = tables.table(spark, sf_dir, "lineitem").withColumns(
         {
-            "call_id": F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"),
+            # The call's number carries what the answers are shown with, so that they need not meet the line items again.
+            "call_id": F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"),
             "k": ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) % 7).cast("int"),
             "s": F.round(F.col("l_discount") * 100, 0),
             "t": F.element_at(F.array(*map(F.lit, ("entry_rights", "pets", "standard_boilerplate"))), (F.col("l_partkey") % 3 + 1).cast("int")),
@@ -60,7 +61,7 @@ def tool_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     clause = lambda n, text, kind: F.struct(F.lit(n).alias("id"), text.alias("text"), F.lit(kind).alias("type"))
     inputs = (
         F.struct(F.array("t").alias("found_clause_types"), F.when(even, "CA-ON").otherwise("CA-BC").alias("jurisdiction_code")),
-        F.struct(F.col("call_id").alias("clause_id"), F.lit("text").alias("clause_text"), F.col("t").alias("clause_type"), F.col("s").alias("risk_score")),
+        F.struct(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("clause_id"), F.lit("text").alias("clause_text"), F.col("t").alias("clause_type"), F.col("s").alias("risk_score")),
         F.struct(F.col("t").alias("clause_type"), F.col("s").alias("risk_score")),
         F.struct(clause("a", F.when(even, "The landlord may enter.").otherwise("Nothing."), "entry_rights").alias("clause_a"), clause("b", F.lit("No right to sublet."), "pets").alias("clause_b")),
         F.struct(F.lit("Ontario").alias("jurisdiction"), F.array(F.struct(F.lit(1).alias("seq"), F.lit("1").alias("number"), F.lit("utilities").alias("clause_type"), F.when(F.col("s") < 8, F.col("s")).otherwise(F.col("s")).alias("risk_score"), F.lit("text").alias("text"))).alias("analyzed_clauses")),
@@ -73,5 +74,4 @@ def tool_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toolset.answers(calls, {toolset.BENCHMARKS: benchmarks}, tuple(dict.fromkeys(n for n in _NAMED if n in toolset.TOOLS)))
     fields = ("error", "coverage_score", "priority", "percentile", "has_contradiction", "overall_risk_level")
     answer = F.coalesce(*(F.get_json_object("output", f"$.{f}") for f in fields))
-    joined = rows.select("call_id", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").join(found.select("call_id", "tool", "is_error", answer.alias("answer")), "call_id")
-    return joined.drop("call_id")
+    return found.select("call_id.l_orderkey", "call_id.l_linenumber", "call_id.l_partkey", "call_id.l_suppkey", "tool", "is_error", answer.alias("answer"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from pathlib import Path
 
 import duckdb
@@ -9,7 +11,9 @@ import pytest
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from clausegrid.operators import cells, events, postings, retrieval, sweeps
+from clausegrid.functions import cleaning, payloads, texts
+from clausegrid.operators import cells, events, postings, retrieval, screening, sweeps, toolset
+from clausegrid.plans import text_queries
 from clausegrid.plans.catalogue import QUERIES, SQL
 
 
@@ -104,3 +108,46 @@ def test_first_rows_of_each_word_meet_the_queries(spark: SparkSession, monkeypat
     got = retrieval.keyword_hits(asked, corpus, 3).collect()
     assert sorted((r["query_id"], r["id"], r["rank"]) for r in got) == [(q, n, n + 1) for q in range(40) for n in range(3)]
     assert passed[0] <= 40 * 2 * 3
+
+
+def test_only_texts_that_hold_the_words_are_searched() -> None:
+    assert texts.needed(r"(?i)\b(landlord|lessor)\b") == [["landlord", "lessor"]]
+    assert texts.needed(r"\b(residential\s+tenancies\s+act|RTA)\b") == [["residential", "RTA"]]
+    assert texts.needed(r"(?i)\b(bachelor|m\.sc)\b") == [] == texts.needed(r"(rent)?x") == texts.needed(r"rent|lease") == texts.needed(r"(?=rent)a")
+    assert texts.needed(r"\bRTA\b") == [["RTA"]] and texts.needed(r"(Rent|rent)") == [["Rent", "rent"]]
+    assert screening.java(r"(?i)\b(landlord|lessor)\b").startswith(r"(?i)(?<![A-Za-z0-9_])(")
+    assert screening.java(r"\b(a|#b)x") == screening.java(r"\b(a?)#").replace("(a?)#", "(a|#b)x")
+
+
+def test_personal_data_at_odd_boundaries(spark: SparkSession) -> None:
+    given = "éJohn Smith Ann Leeß x@y.org_z@w.com M5V 2T6, M5V2T6a +1 (416) 555-0199 555-019-9123x 12 King Edward St. Unit #4B $ 1,000.00 123-456-789"
+    want = duckdb.connect().sql("SELECT md5(t), length(t) FROM (SELECT " + re.sub(r"\btext\b", "?", text_queries._scrub_sql(), count=1) + " AS t)", params=[given]).fetchall()
+    clean = spark.createDataFrame([(given,), (None,)], "text string").select(screening.scrubbed(F.col("text")).alias("t")).select(F.md5(F.col("t").cast("binary")), F.length("t"))
+    assert [tuple(r) for r in clean.collect()] == [*want, (None, None)]
+
+
+def test_first_words_behind_the_head(spark: SparkSession) -> None:
+    rows = [("notice " * 200 + "garden walls",), ("x" * 590 + " flowering gardens of İnsurance",), ("deposit refund interest heating cooling water",), ("",), (None,)]
+    got = spark.createDataFrame(rows, "text string").select(cleaning.search_words(F.col("text"))).collect()
+    assert [r[0] for r in got] == [["notice", "garden", "walls"], ["x" * 590, "flowering", "gardens", "nsurance"], ["deposit", "refund", "interest", "heating", "cooling"], [], None]
+
+
+def test_composition_of_runs(spark: SparkSession) -> None:
+    given = ["plain", "ﬁne e\u0301te\u0301 ² \u00a0x", "\u0301a", "か\u3099き", "\u1112\u1161\u11ab한", "x\U0001d538y", "…", "", None, "naïve café"]
+    got = spark.createDataFrame([(g,) for g in given], "t string").select(cleaning.nfkc(F.col("t"))).collect()
+    assert [r[0] for r in got] == [g if g is None else unicodedata.normalize("NFKC", g) for g in given]
+    stays = [range(int(a, 16), int(b, 16) + 1) for a, b in re.findall(r"\\x\{(\w+)\}-\\x\{(\w+)\}", cleaning._CHANGING.rpartition("[^")[2])]
+    assert len(stays) > 20 and all(unicodedata.normalize("NFKC", chr(n)) == chr(n) for r in stays for n in r)
+
+
+def test_summaries_read_a_payload_once(spark: SparkSession) -> None:
+    plan = spark.range(1).select(payloads.input_summary(F.concat(F.lit('{"lease_id": 1}'), F.lit("").cast("string"), F.col("id").cast("string").substr(1, 0))).alias("x"))
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    assert plan.first()["x"] == {"lease_id": "1"}
+
+
+def test_calls_of_any_key_are_answered(spark: SparkSession) -> None:
+    calls = spark.createDataFrame([((1, None), "check_missing", '{"found_clause_types": [], "jurisdiction_code": "CA-ON"}'), ((2, 3), "check_missing", "{}"), ((4, 5), None, "{}")], "call_id struct<a: int, b: int>, tool string, input string")
+    got = toolset.answers(calls, {}, ("check_missing",))
+    assert sorted((r["call_id"]["a"], r["is_error"]) for r in got.collect()) == [(1, False), (2, True), (4, True)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 3
