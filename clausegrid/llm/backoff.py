@@ -32,6 +32,8 @@ CHUNK_BYTES = 8 << 20
 BUCKET_GRAMS = 1 << 20
 #: Buckets never have more bits; beyond that their rows are sorted on disk.
 MOST_BITS = 18
+#: Ranges of hashes, as bits, in which a chunk's n-grams are sorted on their way back.
+RANGE_BITS = 4
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,12 +70,28 @@ def _grams(packed: bytes, sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.
     """Of the words of a chunk: their hashes and rows, and the hashes of the pairs that they end; zero for a row's first word."""
     data = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
     h, row = hashed_words(data, np.concatenate(([0], np.cumsum(sizes))).astype(np.int64))
+    row = row.astype(np.int32)
     pair = np.zeros(len(h), np.uint64)
     if len(h):
         pair[1:] = np.where(row[1:] == row[:-1], pair_hash(h[:-1], h[1:]), 0)
     return h, row, pair
 
 
+def _counts_of(every: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """The count of each n-gram of a chunk; ``found`` has those of its distinct n-grams, in order.
+
+    N-grams are sorted range by range, so that what sorting needs is small.
+    """
+    out = np.empty(len(every), np.int64)
+    part, before = (every >> np.uint64(64 - RANGE_BITS)).astype(np.uint8), 0
+    for n in range(1 << RANGE_BITS):
+        at = np.flatnonzero(part == n)
+        own, place = np.unique(every[at], return_inverse=True)
+        out[at] = found[place + before]
+        before += len(own)
+    return out
+
+
 def _press(values: np.ndarray) -> bytes:
     """Integers byte plane by byte plane, compressed; small ones leave most planes empty."""
     return zstandard.ZstdCompressor(level=1).compress(values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes())
@@ -94,10 +112,14 @@ def packets(chunks: DataFrame, bits: int) -> DataFrame:
         for batch in batches:
             for r in (x for k in range(batch.num_rows) for x in batch.slice(k, 1).select(["chunk", "sizes", "packed"]).to_pylist()):
                 h, _, pair = _grams(r["packed"], r["sizes"])
-                gram, n = np.unique(np.concatenate((h, pair[pair > 0])), return_counts=True)
+                every = np.concatenate((h, pair[pair > 0]))
                 del h, pair
-                if not len(gram):
+                if not len(every):
                     continue
+                every.sort()
+                first = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
+                gram, n = every[first], np.diff(np.append(first, len(every)))
+                del every, first
                 bucket = (gram >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(gram), np.int32)
                 edges = np.flatnonzero(np.diff(bucket, prepend=-1))
                 at = pa.array(np.append(edges, len(gram)).astype(np.int32))
@@ -155,17 +177,22 @@ def lm_scores(docs: DataFrame) -> DataFrame:
         out = []
         for r in texts.to_pylist():
             h, row, pair = _grams(r["packed"], r["sizes"])
-            own, place = np.unique(np.concatenate((h, pair[pair > 0])), return_inverse=True)
-            found = np.zeros(len(own), np.int64)
+            every = np.concatenate((h, pair[pair > 0]))
+            # Places end before the number of all n-grams, which is at least that of the distinct ones.
+            found = np.zeros(len(every), np.int64)
             for places, totals in zip(counts.column("places").to_pylist(), counts.column("totals").to_pylist(), strict=True):
                 found[np.cumsum(_unpress(places, np.int64))] = _unpress(totals, np.int64)
-            count = found[place]
+            count = _counts_of(every, found)
+            del every, found
             words = np.maximum(count[: len(h)], 1)
             pairs = np.zeros(len(h), np.int64)
             pairs[pair > 0] = count[len(h) :]
+            del count, h
             before = np.append(1, words[:-1])
             share = np.where(pair > 0, BACKOFF, 1.0) * words / max(total, 1)
-            logs = np.log(np.where(pairs > 0, pairs / before, share)) if len(h) else np.zeros(0)
+            del pair
+            logs = np.log(np.where(pairs > 0, pairs / before, share))
+            del pairs, words, before, share
             n = np.bincount(row, minlength=len(r["ids"]))
             sums = np.bincount(row, weights=logs, minlength=len(r["ids"]))
             mean = pa.array(sums / np.maximum(n, 1), mask=n == 0)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from clausegrid.llm import backoff, mixing
 from clausegrid.llm.queries import oracle_sql, queries
+from clausegrid.llm.words import mix
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -86,3 +90,17 @@ def test_positions_by_the_file_number_only(spark: SparkSession, tmp_path) -> Non
     next((tmp_path / "written").glob("part-*")).rename(tmp_path / "named" / name)
     out = corpus_pipeline.encoded(spark, spark.read.parquet(str(tmp_path / "named")), SF_DIR)
     assert [r["position"] for r in out.collect()] == [(3 << 43) + (2 << 30)]
+
+
+def test_counts_are_found_range_by_range() -> None:
+    every = mix(np.random.default_rng(1).integers(0, 1 << 17, 1 << 18, dtype=np.uint64))
+    own, place = np.unique(every, return_inverse=True)
+    found = np.arange(len(own)) * 3
+    tracemalloc.start()
+    got = backoff._counts_of(every, found)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got == found[place]).all()
+    # What is returned takes one time the n-grams' bytes; sorting them at once takes four times and more.
+    assert peak < 2.5 * every.nbytes
+    assert len(backoff._counts_of(every[:0], found[:0])) == 0
