@@ -13,6 +13,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 from pyspark.sql.window import Window
 
 from clausegrid.functions.cleaning import normalized
@@ -123,18 +124,25 @@ def with_keys(rows: DataFrame, text: str, keys: DataFrame) -> DataFrame:
     ``keys`` needs key; null and empty ones count as absent, a null text holds
     none. Sets of at most BROADCAST_KEYS keys are broadcast one after another.
     """
-    wanted = keys.select(F.col("key").cast("string").alias("key")).where("key <> ''").distinct()
-    sets = max(1, -(-wanted.count() // (BROADCAST_KEYS // 2)))
     out = rows.withColumn("keys", F.array().cast("array<string>"))
-    for n in range(sets):
-        some = wanted.where(F.pmod(F.xxhash64("key"), F.lit(sets)) == n).limit(BROADCAST_KEYS + 1).collect()
-        if len(some) > BROADCAST_KEYS:
-            raise ValueError("keys are dealt too unevenly")
-        out = out.withColumn("keys", F.concat("keys", _keys_in([r["key"] for r in some])(F.coalesce(F.col(text), F.lit("")))))
+    for some in _key_sets(keys):
+        out = out.withColumn("keys", F.concat("keys", _keys_in(some)(F.coalesce(F.col(text), F.lit("")))))
     before = lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0)
     return out.withColumn("keys", F.array_sort("keys", before))
 
 
+def _key_sets(keys: DataFrame, words: int = 1) -> Iterator[list[str]]:
+    """The different keys in sets of bounded size; a key makes so many words of an automaton."""
+    wanted = keys.select(F.col("key").cast("string").alias("key")).where("key <> ''").distinct()
+    most = BROADCAST_KEYS // words
+    sets = max(1, -(-wanted.count() // (most // 2)))
+    for n in range(sets):
+        some = wanted.where(F.pmod(F.xxhash64("key"), F.lit(sets)) == n).limit(most + 1).collect()
+        if len(some) > most:
+            raise ValueError("keys are dealt too unevenly")
+        yield [r["key"] for r in some]
+
+
 def _keys_in(words: list[str]):
     """A function of a text column that gives the words found in it."""
 
@@ -153,6 +161,24 @@ IN_VIOLATIONS, IN_EXPLANATIONS = ("s.", "section"), ("s. ", "s.", "section ")
 SECTION_OF_SOURCE = r"s\.(\S+)\s*[—–-]\s*(.+)"
 
 
+def _sections_in(sections: list[str]):
+    """A function of a clause's violations and explanation that gives the sections named in either, each once."""
+
+    @F.arrow_udf(ArrayType(StringType()))
+    def found(texts: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        automata = [ahocorasick.Automaton() for _ in range(2)]
+        for automaton, prefixes in zip(automata, (IN_VIOLATIONS, IN_EXPLANATIONS), strict=True):
+            for p in prefixes:
+                for s in sections:
+                    automaton.add_word(p + s, s)
+            automaton.make_automaton()
+        for both in texts:
+            pairs = (pair for n in range(0, len(both[0]), TEXTS) for pair in zip(*(x.slice(n, TEXTS).to_pylist() for x in both), strict=True))
+            yield pa.array([list({s for a, t in zip(automata, pair, strict=True) if sections for _, s in a.iter(t)}) for pair in pairs], pa.list_(pa.string()))
+
+    return found
+
+
 def sources_by_containment(clauses: DataFrame, sources: DataFrame) -> DataFrame:
     """lease_id, source, clause_ids: each source with the clauses of its lease that name its section, and those it names itself, each once.
 
@@ -168,14 +194,11 @@ def sources_by_containment(clauses: DataFrame, sources: DataFrame) -> DataFrame:
     """
     number = F.lower(F.regexp_extract(F.coalesce("reference", F.lit("")), SECTION_OF_SOURCE, 1))
     named = sources.select("lease_id", "source", number.alias("section"), F.coalesce("stated", F.array().cast(sources.schema["stated"].dataType)).alias("stated"))
-    numbers = named.select("section").where("section <> ''").distinct()
-    keys = numbers.select(F.explode(F.array(*(F.concat(F.lit(mark + p), "section") for mark, ps in (("v", IN_VIOLATIONS), ("e", IN_EXPLANATIONS)) for p in ps))).alias("key"))
     tight = F.transform(F.coalesce("violations", F.array().cast("array<string>")), lambda v: F.regexp_replace(F.lower(F.coalesce(v, F.lit(""))), r"\s+", ""))
-    texts = clauses.select("lease_id", "clause_id", F.array_join(tight, "\n").alias("v"), F.lower(F.coalesce("explanation", F.lit(""))).alias("e"))
-    of = lambda mark: keys.where(F.col("key").startswith(mark)).select(F.substring("key", 2, 10_000).alias("key"))
-    held = with_keys(with_keys(texts, "v", of("v")).withColumnRenamed("keys", "in_v"), "e", of("e"))
-    bare = lambda c: F.transform(F.col(c), lambda k: F.regexp_replace(k, r"^(?:section |section|s\. |s\.)", ""))
-    found = held.select("lease_id", "clause_id", F.explode(F.array_distinct(F.concat(bare("in_v"), bare("keys")))).alias("section"))
+    held = clauses.select("lease_id", "clause_id", F.array_join(tight, "\n").alias("v"), F.lower(F.coalesce("explanation", F.lit(""))).alias("e"), F.array().cast("array<string>").alias("sections"))
+    for some in _key_sets(named.select(F.col("section").alias("key")), len(IN_VIOLATIONS) + len(IN_EXPLANATIONS)):
+        held = held.withColumn("sections", F.concat("sections", _sections_in(some)("v", "e")))
+    found = held.select("lease_id", "clause_id", F.explode("sections").alias("section"))
     joined = named.join(found, ["lease_id", "section"], "left")
     stated = F.first("stated")
     ids = joined.groupBy("lease_id", "source").agg(F.array_sort(F.array_distinct(F.concat(stated, F.collect_set("clause_id")))).alias("clause_ids"))

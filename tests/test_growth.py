@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from clausegrid.functions import cleaning, payloads, texts
-from clausegrid.operators import cells, events, postings, retrieval, screening, sweeps, toolset
+from clausegrid.operators import alignment, cells, events, postings, retrieval, screening, sweeps, toolset
 from clausegrid.plans import text_queries
 from clausegrid.plans.catalogue import QUERIES, SQL
 
@@ -151,3 +151,11 @@ def test_calls_of_any_key_are_answered(spark: SparkSession) -> None:
     got = toolset.answers(calls, {}, ("check_missing",))
     assert sorted((r["call_id"]["a"], r["is_error"]) for r in got.collect()) == [(1, False), (2, True), (4, True)]
     assert got._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 3
+
+
+def test_sections_are_searched_for_in_one_pass(spark: SparkSession) -> None:
+    clauses = spark.createDataFrame([(1, 10, ["RTA S. 37(1)", None], None), (1, 11, None, "void under section 3"), (2, 12, [], "s.9")], "lease_id int, clause_id long, violations array<string>, explanation string")
+    sources = spark.createDataFrame([(1, 1, "Act s.3 - x", None), (1, 2, "none", [7]), (2, 1, "Act s.9 — y", [12])], "lease_id int, source int, reference string, stated array<bigint>")
+    got = alignment.sources_by_containment(clauses, sources)
+    assert sorted((r["lease_id"], r["source"], r["clause_ids"]) for r in got.collect()) == [(1, 1, [10, 11]), (1, 2, [7]), (2, 1, [12])]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
