@@ -198,7 +198,8 @@ def sources_by_containment(clauses: DataFrame, sources: DataFrame) -> DataFrame:
     held = clauses.select("lease_id", "clause_id", F.array_join(tight, "\n").alias("v"), F.lower(F.coalesce("explanation", F.lit(""))).alias("e"), F.array().cast("array<string>").alias("sections"))
     for some in _key_sets(named.select(F.col("section").alias("key")), len(IN_VIOLATIONS) + len(IN_EXPLANATIONS)):
         held = held.withColumn("sections", F.concat("sections", _sections_in(some)("v", "e")))
-    found = held.select("lease_id", "clause_id", F.explode("sections").alias("section"))
+    # Without outer, a filter on the array's size would be pushed down and search the texts once more.
+    found = held.select("lease_id", "clause_id", F.explode_outer("sections").alias("section"))
     joined = named.join(found, ["lease_id", "section"], "left")
     stated = F.first("stated")
     ids = joined.groupBy("lease_id", "source").agg(F.array_sort(F.array_distinct(F.concat(stated, F.collect_set("clause_id")))).alias("clause_ids"))
