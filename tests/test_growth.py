@@ -71,6 +71,22 @@ def test_slices_grow_with_the_documents(spark: SparkSession, tmp_path: Path, mon
     assert most < 30
 
 
+def test_a_term_is_one_row_for_a_block_of_documents(spark: SparkSession, tmp_path: Path, monkeypatch: pytest.MonkeyPatch) -> None:
+    docs = spark.range(0, 60, 1, 1).select("id", F.when(F.col("id") % 20 > 0, F.concat(F.lit("rent the rent n"), F.col("id") % 3)).alias("text")).coalesce(1)
+    asked = spark.createDataFrame([(1, "rent"), (2, "rent the"), (3, "rent n1")], "query_id int, asked string")
+    found = []
+    for most, size, rows in ((4096, 4 << 20, 1), (4096, 40, 30), (7, 4 << 20, 9)):
+        monkeypatch.setattr(postings, "TEXTS", most)
+        monkeypatch.setattr(postings, "BLOCK_BYTES", size, raising=False)
+        monkeypatch.setattr(spark.sparkContext.__class__, "defaultParallelism", 1)
+        index = postings.Postings.write(docs, f"{tmp_path}/{rows}")
+        held = spark.read.parquet(f"{tmp_path}/{rows}/postings").where("term = 'rent'")
+        assert held.count() <= rows
+        assert sorted((r["id"], r["tf"], r["dl"], r["positions"]) for r in index.postings(asked.select(F.lit("rent").alias("term")), "tf", "dl", "positions").collect()) == [(n, 2, 4, [1, 3]) for n in range(60) if n % 20]
+        found.append(sorted(map(tuple, index.phrase(asked).collect())))
+    assert found[0] == found[1] == found[2] and len(found[0]) == 57 + 57 + 19
+
+
 def test_phrases_by_their_rarest_word(spark: SparkSession, tmp_path: Path) -> None:
     docs = spark.createDataFrame([(1, "a b a b a"), (2, "b a a"), (3, "c"), (4, None)], "id long, text string")
     index = postings.Postings.write(docs, f"{tmp_path}/index")
