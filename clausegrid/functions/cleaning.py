@@ -30,6 +30,7 @@ MAINTENANCE_URL = "https://www.ontario.ca/laws/regulation/060516"
 RENT_URL = "https://www.ontario.ca/laws/regulation/060517"
 #: White space that is more or other than one blank.
 _SPACES = r"(?:[\t\n\x0B\f\r]| (?=\s))\s*"
+_QUOTES_AND_DASHES = "‘’‚‛′‵`“”„‟″‶–—"
 #: Signs of a text in which its first words are looked for before the others.
 HEAD = 600
 
@@ -46,7 +47,20 @@ def plain_quotes(text: Column) -> Column:
 
 def normalized(text: Column) -> Column:
     """Lower case, plain quotes and dashes, single blanks: for comparing wordings."""
-    plain = F.translate(F.lower(text), "‘’‚‛′‵`“”„‟″‶–—", "'''''''\"\"\"\"\"\"--")
+    return _plain(F.lower(text))
+
+
+def normalized_head(text: Column, n: int) -> Column:
+    """The first n signs of the normalised text; only its begin is cleaned."""
+    # One more is taken, so that a blank at the end of these n is seen not to end the text.
+    begin = F.regexp_extract(F.lower(text), rf"^\s*+((?:\S|\s++){{0,{n + 1}}}+)", 1)
+    return F.substring(_plain(begin), 1, n)
+
+
+def _plain(low: Column) -> Column:
+    """Plain quotes and dashes, single blanks."""
+    # Most texts have none of these signs, and a translation looks up each sign by itself.
+    plain = F.when(low.rlike(f"[{_QUOTES_AND_DASHES}]"), F.translate(low, _QUOTES_AND_DASHES, "'''''''\"\"\"\"\"\"--")).otherwise(low)
     return trimmed(F.regexp_replace(plain, _SPACES, " "))
 
 

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 from pyspark.sql.window import Window
 
-from clausegrid.functions.cleaning import normalized
+from clausegrid.functions.cleaning import normalized, normalized_head, trimmed
+from clausegrid.sources.tables import written
 
 # Lengths of the prefixes of a clause that are looked for, in this order.
 PREFIXES = (40, 25, 15)
@@ -36,7 +37,8 @@ def flat_pages(items: DataFrame) -> DataFrame:
     (item, start, stop) by place, stop not included; a page without any text has
     no row.
     """
-    rows = items.select("file", "page", "item", normalized(F.coalesce("text", F.lit(""))).alias("t")).where("t <> ''")
+    # A condition on the normalised text would make it twice.
+    rows = items.where(trimmed(F.col("text")) != "").select("file", "page", "item", normalized(F.col("text")).alias("t"))
     before = Window.partitionBy("file", "page").orderBy("item", "t").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("start", F.coalesce(F.sum(F.length("t") + 1).over(before), F.lit(0)).cast("int"))
     all_ = F.array_sort(F.collect_list(F.struct("start", "item", "t")))
@@ -97,11 +99,15 @@ def clause_places(pages: DataFrame, clauses: DataFrame) -> DataFrame:
     texts of fewer than 40 signs are not found. The heading counts where the
     body is not found. Nulls are not found; repeated clauses are found each.
 
-    A file's pages are dealt into blocks and its clauses into parts of bounded
-    size; a block and a part meet in one task, also those of a very large file.
+    Pages and prefixes are made once and written, since they are read several
+    times. A file's pages are dealt into blocks and its clauses into parts of
+    bounded size; a block and a part meet in one task, also those of a very
+    large file.
     """
-    prefix = lambda c: F.when(F.length(normalized(F.col(c))) >= PREFIXES[0], F.substring(normalized(F.col(c)), 1, PREFIXES[0])).alias(c)
-    asked = clauses.select("file", "clause", prefix("body"), prefix("heading")).where("body is not null or heading is not null")
+    pages = written(pages, "pages")
+    long_enough = lambda c: F.when(F.length(c) >= PREFIXES[0], F.col(c)).alias(c)
+    heads = clauses.select("file", "clause", *(normalized_head(F.col(c), PREFIXES[0]).alias(c) for c in ("body", "heading")))
+    asked = written(heads, "clauses").select("file", "clause", long_enough("body"), long_enough("heading")).where("body is not null or heading is not null")
     parts = asked.groupBy("file").agg(F.ceil(F.count(F.lit(1)) / PART_CLAUSES).cast("int").alias("parts"))
     sizes = pages.groupBy("file").agg(F.ceil(F.count(F.lit(1)) / BLOCK_PAGES).cast("int").alias("blocks")).join(parts, "file")
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")

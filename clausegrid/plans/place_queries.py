@@ -37,7 +37,8 @@ WHERE z IS NOT NULL GROUP BY ALL""")
 def clause_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten documents as the pages of a file; a clause is made of each page's second and third sentence, spoilt at different places."""
     docs = tables.table(spark, sf_dir, "documents").select("doc_id", F.expr("doc_id div 10").alias("file"), F.split(F.coalesce("text", F.lit("")), _CUT, -1).alias("parts"))
-    items = docs.select("file", F.col("doc_id").alias("page"), F.posexplode("parts").alias("item", "text"))
+    # Without outer, a filter on the array's size would be pushed down and split the texts once more.
+    items = docs.select("file", F.col("doc_id").alias("page"), F.posexplode_outer("parts").alias("item", "text"))
     part = lambda n: F.try_element_at("parts", F.lit(n))
     own = F.regexp_replace(F.concat(part(2), F.lit(" "), F.coalesce(part(3), F.lit(""))), " ", "\t ")
     k = F.element_at(F.array(*map(F.lit, (60, 28, 17, 5, 30))), (F.col("doc_id") % 5 + 1).cast("int"))

@@ -98,6 +98,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows written as a table in the shared folder and read again, so that each reader reads the columns that it needs."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder, which ends the lineage."""
     context = df.sparkSession.sparkContext

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from clausegrid.functions import cleaning
 from clausegrid.operators import alignment
 
 
@@ -66,6 +67,22 @@ def test_places_of_clauses(spark: SparkSession, monkeypatch: pytest.MonkeyPatch,
     assert alignment.clause_places(pages, asked.limit(0)).count() == 0
 
 
+def test_places_read_pages_and_clauses_once(spark: SparkSession) -> None:
+    items = spark.createDataFrame([("a", 1, 0, "The tenant shall pay the rent on the first day of a month"), ("a", 1, 1, None), ("a", 2, 0, "Other text")], "file string, page int, item int, text string")
+    asked = spark.createDataFrame([("a", 7, "The  TENANT shall\tpay the rent on the first week", None), ("b", 8, None, "x" * 50)], "file string, clause long, body string, heading string")
+    got = alignment.clause_places(alignment.flat_pages(items), asked)
+    assert sorted(map(tuple, got.collect())) == [("a", 7, 1, "body", 40, 0, 0)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 0
+
+
+def test_heads_of_normalised_texts(spark: SparkSession) -> None:
+    given = ["", None, "  ", " \t a  b ", "ab  c", "abc   ", "abc  d", "“İx” – y", "𝔸 ‘b’\n\nc", "ΑΣ Α", "abcdefg", "\u00a0a b c d"]
+    rows = spark.createDataFrame([(t,) for t in given], "t string")
+    for n in (1, 2, 3, 4, 5, 40):
+        want, head = F.substring(cleaning.normalized(F.col("t")), 1, n), cleaning.normalized_head(F.col("t"), n)
+        assert rows.where(~head.eqNullSafe(want)).collect() == []
+
+
 @pytest.mark.parametrize("limit", [50_000, 4])
 def test_keys_in_texts(spark: SparkSession, monkeypatch: pytest.MonkeyPatch, limit: int) -> None:
     monkeypatch.setattr(alignment, "BROADCAST_KEYS", limit)
