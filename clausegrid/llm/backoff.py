@@ -34,6 +34,8 @@ BUCKET_GRAMS = 1 << 20
 MOST_BITS = 18
 #: Ranges of hashes, as bits, in which a chunk's n-grams are sorted on their way back.
 RANGE_BITS = 4
+#: Words of a chunk whose logarithms are taken at once.
+PIECE = 1 << 18
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,19 +79,36 @@ def _grams(packed: bytes, sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.
     return h, row, pair
 
 
-def _counts_of(every: np.ndarray, found: np.ndarray) -> np.ndarray:
-    """The count of each n-gram of a chunk; ``found`` has those of its distinct n-grams, in order.
+def _both_counts(h: np.ndarray, pair: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The counts of a chunk's words and of its pairs, zero for none; ``found`` has those of its distinct n-grams, in order.
 
     N-grams are sorted range by range, so that what sorting needs is small.
     """
-    out = np.empty(len(every), np.int64)
-    part, before = (every >> np.uint64(64 - RANGE_BITS)).astype(np.uint8), 0
+    counts = np.zeros(len(h), found.dtype), np.zeros(len(pair), found.dtype)
+    parts, before = [(x >> np.uint64(64 - RANGE_BITS)).astype(np.uint8) for x in (h, pair)], 0
     for n in range(1 << RANGE_BITS):
-        at = np.flatnonzero(part == n)
-        own, place = np.unique(every[at], return_inverse=True)
-        out[at] = found[place + before]
+        words, pairs = np.flatnonzero(parts[0] == n), np.flatnonzero((parts[1] == n) & (pair > 0))
+        own, place = np.unique(np.concatenate((h[words], pair[pairs])), return_inverse=True)
+        counts[0][words], counts[1][pairs] = found[place[: len(words)] + before], found[place[len(words) :] + before]
         before += len(own)
-    return out
+    return counts
+
+
+def _counts_of(every: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """The counts of n-grams that are not told apart."""
+    return _both_counts(every, every[:0], found)[0]
+
+
+def _sums(row: np.ndarray, paired: np.ndarray, words: np.ndarray, pairs: np.ndarray, n_rows: int, total: int) -> np.ndarray:
+    """The sum of the logarithms of each row's scores, of a piece of the words at a time."""
+    sums = np.zeros(n_rows)
+    for a in range(0, len(row), PIECE):
+        at = slice(a, a + PIECE)
+        own, both = np.maximum(words[at], 1), pairs[at]
+        before = np.append(max(words[a - 1], 1) if a else 1, own[:-1])
+        share = np.where(paired[at], BACKOFF, 1.0) * own / max(total, 1)
+        sums += np.bincount(row[at], weights=np.log(np.where(both > 0, both / before, share)), minlength=n_rows)
+    return sums
 
 
 def _press(values: np.ndarray) -> bytes:
@@ -177,24 +196,19 @@ def lm_scores(docs: DataFrame) -> DataFrame:
         out = []
         for r in texts.to_pylist():
             h, row, pair = _grams(r["packed"], r["sizes"])
-            every = np.concatenate((h, pair[pair > 0]))
+            gaps, totals = ([_unpress(x, np.int64) for x in counts.column(c).to_pylist()] for c in ("places", "totals"))
             # Places end before the number of all n-grams, which is at least that of the distinct ones.
-            found = np.zeros(len(every), np.int64)
-            for places, totals in zip(counts.column("places").to_pylist(), counts.column("totals").to_pylist(), strict=True):
-                found[np.cumsum(_unpress(places, np.int64))] = _unpress(totals, np.int64)
-            count = _counts_of(every, found)
-            del every, found
-            words = np.maximum(count[: len(h)], 1)
-            pairs = np.zeros(len(h), np.int64)
-            pairs[pair > 0] = count[len(h) :]
-            del count, h
-            before = np.append(1, words[:-1])
-            share = np.where(pair > 0, BACKOFF, 1.0) * words / max(total, 1)
+            small = all(t.max(initial=0) < 1 << 31 for t in totals)
+            found = np.zeros(len(h) + int(np.count_nonzero(pair)), np.int32 if small else np.int64)
+            while gaps:
+                found[np.cumsum(gaps.pop())] = totals.pop()
+            words, pairs = _both_counts(h, pair, found)
+            del found, h
+            paired = pair > 0
             del pair
-            logs = np.log(np.where(pairs > 0, pairs / before, share))
-            del pairs, words, before, share
             n = np.bincount(row, minlength=len(r["ids"]))
-            sums = np.bincount(row, weights=logs, minlength=len(r["ids"]))
+            sums = _sums(row, paired, words, pairs, len(r["ids"]), total)
+            del row, paired, words, pairs
             mean = pa.array(sums / np.maximum(n, 1), mask=n == 0)
             out.append(pa.table([pa.array(r["ids"], pa.int64()), pa.array(n.astype(np.int64)), mean], ["doc_id", "n_words", "score"]))
         return pa.concat_tables(out) if out else pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], ["doc_id", "n_words", "score"])

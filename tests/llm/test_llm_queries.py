@@ -104,3 +104,22 @@ def test_counts_are_found_range_by_range() -> None:
     # What is returned takes one time the n-grams' bytes; sorting them at once takes four times and more.
     assert peak < 2.5 * every.nbytes
     assert len(backoff._counts_of(every[:0], found[:0])) == 0
+
+
+def test_a_chunk_is_scored_in_little_memory(monkeypatch: pytest.MonkeyPatch) -> None:
+    h = mix(np.random.default_rng(2).integers(0, 1 << 16, 1 << 18, dtype=np.uint64))
+    pair = np.where(np.arange(len(h)) % 100 > 0, np.roll(h, 1) ^ mix(h), 0)
+    own, n = np.unique(np.concatenate((h, pair[pair > 0])), return_counts=True)
+    found = n.astype(np.int32)
+    tracemalloc.start()
+    words, pairs = backoff._both_counts(h, pair, found)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # Counts of both take half of the n-grams' bytes; one copy of these and their counts would take twice.
+    assert peak < 1.5 * (h.nbytes + pair.nbytes)
+    assert (words == n[np.searchsorted(own, h)]).all()
+    assert (pairs == np.where(pair > 0, n[np.searchsorted(own, pair) % len(n)], 0)).all()
+    row = np.repeat(np.arange(64), len(h) // 64)
+    want = backoff._sums(row, pair > 0, words, pairs, 64, len(h))
+    monkeypatch.setattr(backoff, "PIECE", 1000)
+    assert np.allclose(backoff._sums(row, pair > 0, words, pairs, 64, len(h)), want, rtol=1e-12)
