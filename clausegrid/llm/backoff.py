@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausegrid.llm.common import slices, stored, utf8
-from clausegrid.llm.words import hashed_words, pair_hash
+from clausegrid.llm.words import pair_hash, word_count, word_pieces
 
 BACKOFF = 0.4
 MIN_COUNT = 2
@@ -32,7 +32,7 @@ CHUNK_BYTES = 8 << 20
 BUCKET_GRAMS = 1 << 20
 #: Buckets never have more bits; beyond that their rows are sorted on disk.
 MOST_BITS = 18
-#: Ranges of hashes, as bits, in which a chunk's n-grams are sorted on their way back.
+#: Ranges of hashes, as bits, in which a chunk's n-grams are sorted.
 RANGE_BITS = 4
 #: Words of a chunk whose logarithms are taken at once.
 PIECE = 1 << 18
@@ -41,24 +41,27 @@ PIECE = 1 << 18
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     here, number = TaskContext.get().partitionId() << 24, 0
     press = zstandard.ZstdCompressor(level=3).compress
-    held: list[pa.RecordBatch] = []
-    size = 0
+    ids: list[int | None] = []
+    sizes: list[np.ndarray] = []
+    texts: list[bytes] = []
+    words = size = 0
 
     def pack() -> pa.RecordBatch:
-        table = pa.Table.from_batches(held).combine_chunks()
-        data, at = utf8(table.column("text"))
-        words, _ = hashed_words(data, at)
-        ids = pa.array([table.column("doc_id").to_pylist()], pa.list_(pa.int64()))
-        sizes = pa.array([np.diff(at)], pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([pa.array([here + number]), pa.array([len(words)]), ids, sizes, pa.array([press(data.tobytes())])], ["chunk", "words", "ids", "sizes", "packed"])
+        columns = [pa.array([here + number]), pa.array([words]), pa.array([ids], pa.list_(pa.int64())), pa.array([np.concatenate(sizes)], pa.list_(pa.int64())), pa.array([press(b"".join(texts))])]
+        return pa.RecordBatch.from_arrays(columns, ["chunk", "words", "ids", "sizes", "packed"])
 
+    # Texts are copied, since a slice would hold its whole batch.
     for batch in slices(batches, "text", CHUNK_BYTES // 4):
-        held.append(batch)
-        size += len(utf8(batch.column("text"))[0])
+        data, at = utf8(batch.column("text"))
+        ids += batch.column("doc_id").to_pylist()
+        sizes.append(np.diff(at))
+        texts.append(data.tobytes())
+        words += word_count(data, at)
+        size += len(data)
         if size >= CHUNK_BYTES:
             yield pack()
-            held, size, number = [], 0, number + 1
-    if held:
+            ids, sizes, texts, words, size, number = [], [], [], 0, 0, number + 1
+    if ids:
         yield pack()
 
 
@@ -68,26 +71,33 @@ def chunked(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_chunks, "chunk long, words long, ids array<long>, sizes array<long>, packed binary")
 
 
-def _grams(packed: bytes, sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _grams(packed: bytes, sizes: list[int], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of the words of a chunk: their hashes and rows, and the hashes of the pairs that they end; zero for a row's first word."""
     data = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
-    h, row = hashed_words(data, np.concatenate(([0], np.cumsum(sizes))).astype(np.int64))
-    row = row.astype(np.int32)
-    pair = np.zeros(len(h), np.uint64)
-    if len(h):
-        pair[1:] = np.where(row[1:] == row[:-1], pair_hash(h[:-1], h[1:]), 0)
+    h, row, pair = np.empty(words, np.uint64), np.empty(words, np.int32), np.zeros(words, np.uint64)
+    at = 0
+    for own, rows in word_pieces(data, np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)):
+        first, end = max(at, 1), at + len(own)
+        h[at:end], row[at:end] = own, rows
+        pair[first:end] = np.where(row[first:end] == row[first - 1 : end - 1], pair_hash(h[first - 1 : end - 1], h[first:end]), 0)
+        at = end
     return h, row, pair
 
 
-def _both_counts(h: np.ndarray, pair: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The counts of a chunk's words and of its pairs, zero for none; ``found`` has those of its distinct n-grams, in order.
+def _ranges(h: np.ndarray, pair: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Where a chunk's words and where its pairs are whose hashes begin with the same bits, in the order of these.
 
     N-grams are sorted range by range, so that what sorting needs is small.
     """
-    counts = np.zeros(len(h), found.dtype), np.zeros(len(pair), found.dtype)
-    parts, before = [(x >> np.uint64(64 - RANGE_BITS)).astype(np.uint8) for x in (h, pair)], 0
+    parts = [(x >> np.uint64(64 - RANGE_BITS)).astype(np.uint8) for x in (h, pair)]
     for n in range(1 << RANGE_BITS):
-        words, pairs = np.flatnonzero(parts[0] == n), np.flatnonzero((parts[1] == n) & (pair > 0))
+        yield np.flatnonzero(parts[0] == n), np.flatnonzero((parts[1] == n) & (pair > 0))
+
+
+def _both_counts(h: np.ndarray, pair: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The counts of a chunk's words and of its pairs, zero for none; ``found`` has those of its distinct n-grams, in order."""
+    counts, before = (np.zeros(len(h), found.dtype), np.zeros(len(pair), found.dtype)), 0
+    for words, pairs in _ranges(h, pair):
         own, place = np.unique(np.concatenate((h[words], pair[pairs])), return_inverse=True)
         counts[0][words], counts[1][pairs] = found[place[: len(words)] + before], found[place[len(words) :] + before]
         before += len(own)
@@ -121,32 +131,36 @@ def _unpress(packed: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(flat.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
+def _packets(chunk: int, h: np.ndarray, pair: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+    """The packets of a chunk, a range of hashes at a time."""
+    before = 0
+    for words, pairs in _ranges(h, pair):
+        gram, n = np.unique(np.concatenate((h[words], pair[pairs])), return_counts=True)
+        if not len(gram):
+            continue
+        bucket = (gram >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(gram), np.int32)
+        edges = np.flatnonzero(np.diff(bucket, prepend=-1))
+        at = pa.array(np.append(edges, len(gram)).astype(np.int32))
+        grams = pa.ListArray.from_arrays(at, pa.array(gram.view(np.int64)))
+        counts = pa.ListArray.from_arrays(at, pa.array(n.astype(np.int32)))
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(edges), chunk)), pa.array(bucket[edges]), pa.array(edges + before), grams, counts], ["chunk", "bucket", "start", "grams", "counts"])
+        before += len(gram)
+
+
 def packets(chunks: DataFrame, bits: int) -> DataFrame:
-    """chunk, bucket (the first ``bits`` bits of the hash), start, grams and counts: a chunk's distinct hashes in order, cut by bucket.
+    """chunk, bucket (the first ``bits`` bits of the hash), start, grams and counts: a chunk's distinct hashes in order, cut by bucket and range.
 
     ``start`` is the place of the packet's first hash among all of its chunk.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in (x for k in range(batch.num_rows) for x in batch.slice(k, 1).select(["chunk", "sizes", "packed"]).to_pylist()):
-                h, _, pair = _grams(r["packed"], r["sizes"])
-                every = np.concatenate((h, pair[pair > 0]))
-                del h, pair
-                if not len(every):
-                    continue
-                every.sort()
-                first = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
-                gram, n = every[first], np.diff(np.append(first, len(every)))
-                del every, first
-                bucket = (gram >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(gram), np.int32)
-                edges = np.flatnonzero(np.diff(bucket, prepend=-1))
-                at = pa.array(np.append(edges, len(gram)).astype(np.int32))
-                grams = pa.ListArray.from_arrays(at, pa.array(gram.view(np.int64)))
-                counts = pa.ListArray.from_arrays(at, pa.array(n.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(edges), r["chunk"])), pa.array(bucket[edges]), pa.array(edges), grams, counts], ["chunk", "bucket", "start", "grams", "counts"])
-
-    return chunks.select("chunk", "sizes", "packed").mapInArrow(run, "chunk long, bucket int, start long, grams array<long>, counts array<int>")
+            for r in (x for k in range(batch.num_rows) for x in batch.slice(k, 1).to_pylist()):
+                h, row, pair = _grams(r["packed"], r["sizes"], r["words"])
+                del row
+                yield from _packets(r["chunk"], h, pair, bits)
+
+    return chunks.select("chunk", "words", "sizes", "packed").mapInArrow(run, "chunk long, bucket int, start long, grams array<long>, counts array<int>")
 
 
 def counted(packed: DataFrame, parts: int) -> DataFrame:
@@ -195,13 +209,14 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     def score(texts: pa.Table, counts: pa.Table) -> pa.Table:
         out = []
         for r in texts.to_pylist():
-            h, row, pair = _grams(r["packed"], r["sizes"])
-            gaps, totals = ([_unpress(x, np.int64) for x in counts.column(c).to_pylist()] for c in ("places", "totals"))
+            h, row, pair = _grams(r["packed"], r["sizes"], r["words"])
             # Places end before the number of all n-grams, which is at least that of the distinct ones.
-            small = all(t.max(initial=0) < 1 << 31 for t in totals)
-            found = np.zeros(len(h) + int(np.count_nonzero(pair)), np.int32 if small else np.int64)
-            while gaps:
-                found[np.cumsum(gaps.pop())] = totals.pop()
+            found = np.zeros(len(h) + int(np.count_nonzero(pair)), np.int32)
+            for place, n in zip(counts.column("places"), counts.column("totals"), strict=True):
+                own = _unpress(n.as_py(), np.int64)
+                if own.max(initial=0) >= 1 << 31:
+                    found = found.astype(np.int64)
+                found[np.cumsum(_unpress(place.as_py(), np.int64))] = own
             words, pairs = _both_counts(h, pair, found)
             del found, h
             paired = pair > 0
@@ -214,7 +229,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
         return pa.concat_tables(out) if out else pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], ["doc_id", "n_words", "score"])
 
     counts = packed_counts(counted(packets(chunks, bits), 1 << max(0, bits - 2)))
-    return chunks.select("chunk", "ids", "sizes", "packed").groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(score, "doc_id long, n_words long, score double")
+    return chunks.select("chunk", "words", "ids", "sizes", "packed").groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(score, "doc_id long, n_words long, score double")
 
 
 def rounded_scores(docs: DataFrame) -> DataFrame:

@@ -115,16 +115,18 @@ def pieces(data: np.ndarray, offsets: np.ndarray, limit: int = 4 * PIECE) -> Ite
         start = stop
 
 
-def hashed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hash and the row of each lower-cased word of the texts, which are read in pieces."""
-    hashes, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+def word_count(data: np.ndarray, offsets: np.ndarray) -> int:
+    """How many words the texts have."""
+    return sum(len(word_spans(part, at)[0]) for _, _, part, at in pieces(data, offsets))
+
+
+def word_pieces(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The hash and the row of each lower-cased word of the texts, a piece of these at a time."""
     for first, _, part, at in pieces(data, offsets):
         part = lower(part)
         begin, end, row = word_spans(part, at)
         if len(begin):
-            hashes.append(span_hashes(part, begin, end))
-            rows.append(row + first)
-    return np.concatenate(hashes), np.concatenate(rows)
+            yield span_hashes(part, begin, end), row + first
 
 
 def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import tracemalloc
+import types
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -123,3 +125,26 @@ def test_a_chunk_is_scored_in_little_memory(monkeypatch: pytest.MonkeyPatch) ->
     want = backoff._sums(row, pair > 0, words, pairs, 64, len(h))
     monkeypatch.setattr(backoff, "PIECE", 1000)
     assert np.allclose(backoff._sums(row, pair > 0, words, pairs, 64, len(h)), want, rtol=1e-12)
+
+
+def test_chunks_and_packets_are_made_in_little_memory(monkeypatch: pytest.MonkeyPatch) -> None:
+    monkeypatch.setattr(backoff, "TaskContext", types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 0)))
+    words = np.char.mod("%x", np.random.default_rng(3).integers(0, 1 << 16, 1 << 21))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(512)), pa.array([" ".join(x) for x in words.reshape(512, -1)])], ["doc_id", "text"])
+    tracemalloc.start()
+    (chunk,) = backoff._chunks(iter([batch]))
+    # A chunk's bytes are held, joined and compressed; its words would take four times them and more.
+    assert tracemalloc.get_traced_memory()[1] < 5 * sum(map(len, batch.column("text").to_pylist()))
+    frame = types.SimpleNamespace(select=lambda *columns: types.SimpleNamespace(mapInArrow=lambda run, schema: run))
+    run = backoff.packets(frame, 6)
+    tracemalloc.reset_peak()
+    before = tracemalloc.get_traced_memory()[0]
+    assert sum(p.num_rows for p in run(iter([chunk]))) == 64
+    # Words and pairs take twice the words' bytes; sorting them at once takes four times more.
+    assert tracemalloc.get_traced_memory()[1] - before < 6 * 8 * len(words)
+    tracemalloc.stop()
+    h, row, pair = backoff._grams(*(chunk.column(c).to_pylist()[0] for c in ("packed", "sizes", "words")))
+    own, n = np.unique(np.concatenate((h, pair[pair > 0])), return_counts=True)
+    got = [p.column(c).combine_chunks().flatten().to_numpy() if c != "start" else p.column(c).to_numpy() for p in [pa.Table.from_batches(list(run(iter([chunk]))))] for c in ("grams", "counts", "start")]
+    assert (got[0] == own.view(np.int64)).all() and (got[1] == n).all()
+    assert (own[got[2]] >> np.uint64(58) == np.arange(64)).all()
