@@ -17,6 +17,8 @@ from clausegrid.operators.portfolio import risk_level
 
 LEAST_NEGOTIABLE, HIGH, MEDIUM = 4, 8, 6
 RELEVANT_LAW = 0.45
+#: Clauses that a task takes, about, where leases are dealt.
+CLAUSES_A_TASK = 1 << 18
 
 # What to ask for, the other side's likely answer, and the reply, by clause type.
 POINTS = {
@@ -265,21 +267,42 @@ def severity_rank(severity: Column) -> Column:
     return F.when(severity == "critical", 0).when(severity == "important", 1).when(severity == "minor", 2).otherwise(9)
 
 
+def by_lease(clauses: DataFrame) -> DataFrame:
+    """The clauses, those of a lease in one task; tasks are as many as it takes, so that what one holds does not grow with the table."""
+    parts = max(clauses.sparkSession.sparkContext.defaultParallelism, clauses.count() // CLAUSES_A_TASK + 1)
+    return clauses.repartition(parts, "lease_id")
+
+
+def _by_names(rows: DataFrame, names: Column) -> DataFrame:
+    """A row for each name, named, and one for all names together, which is not."""
+    named = F.transform(names, lambda x: F.struct(F.lit(True).alias("named"), x.alias("name")))
+    every = F.array(F.struct(F.lit(False).alias("named"), F.lit("").alias("name")))
+    return rows.withColumn("_by", F.explode(F.concat(every, F.coalesce(named, F.array().cast("array<struct<named: boolean, name: string>>"))))).select(*rows.columns, "_by.*")
+
+
 def clause_sources(clauses: DataFrame, sources: DataFrame, k: int = 3) -> DataFrame:
     """lease_id, seq, source, place: the k best sources that name a clause or its type; of a lease that has none for it, the best of all.
 
     sources: lease_id, source, relevance, about (an array of clause places and
-    types as text). Names are exploded and joined by equality.
+    types as text); a source may have several rows. Only the k best of each
+    name meet the clauses. Nothing is shuffled again if both are dealt by_lease().
     """
-    about = sources.select("lease_id", "source", "relevance", F.explode("about").alias("name")).distinct()
-    named = clauses.select("lease_id", "seq", F.explode(F.array(F.col("seq").cast("string"), "clause_type")).alias("name")).join(about, ["lease_id", "name"]).groupBy("lease_id", "seq", "source").agg(F.max("relevance").alias("relevance"))
-    best = Window.partitionBy("lease_id", "seq").orderBy(F.desc("relevance"), "source")
-    hits = named.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
-    whole = Window.partitionBy("lease_id").orderBy(F.desc("relevance"), "source")
-    top = sources.groupBy("lease_id", "source").agg(F.max("relevance").alias("relevance")).withColumn("place", F.row_number().over(whole)).where(F.col("place") <= k)
-    without = clauses.select("lease_id", "seq").join(hits.select("lease_id", "seq").distinct(), ["lease_id", "seq"], "left_anti")
-    columns = ["lease_id", "seq", "source", "place"]
-    return hits.select(columns).unionByName(without.join(top, "lease_id").select(columns))
+    key, order = ["lease_id", "named", "name"], [F.desc("relevance"), "source"]
+    about = _by_names(sources.select("lease_id", "source", "relevance", "about"), F.col("about")).groupBy(*key, "source").agg(F.max("relevance").alias("relevance"))
+    first = about.withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col("place") <= k).drop("place")
+    asked = _by_names(clauses.select("lease_id", "seq", "clause_type"), F.array(F.col("seq").cast("string"), "clause_type"))
+    # A join by name would deal both sides anew; sorted together, the sources of a name, k at most, come before its clauses.
+    both = first.withColumn("asks", F.lit(False)).unionByName(asked.withColumn("asks", F.lit(True)), allowMissingColumns=True)
+    so_far = Window.partitionBy(*key).orderBy("asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    known = F.collect_list(F.when(~F.col("asks"), F.struct("source", "relevance"))).over(so_far)
+    met = both.withColumn("known", known).where("asks and name is not null").select("lease_id", "seq", "named", F.inline("known"))
+    met = met.where("lease_id is not null").groupBy("lease_id", "seq", "named", "source").agg(F.max("relevance").alias("relevance"), F.count(F.lit(1)).alias("clauses"))
+    # Sources that name the clause come first, and then the others are left out; without a place they can't be told to be of one clause.
+    best = Window.partitionBy("lease_id", "seq", F.col("seq").isNull() & F.col("named")).orderBy(F.desc("named"), *order)
+    hits = met.withColumns({"place": F.row_number().over(best), "best": F.first("named").over(best)}).where((F.col("place") <= k) & (F.col("named") == F.col("best")))
+    # Clauses in the same place share the sources that name them, and have the best of all each.
+    times = F.when(F.col("named"), 1).otherwise(F.col("clauses").cast("int"))
+    return hits.withColumn("_time", F.explode(F.array_repeat(F.lit(1), times))).select("lease_id", "seq", "source", "place")
 
 
 def dashboard(leases: DataFrame) -> DataFrame:

@@ -245,10 +245,10 @@ b AS (SELECT lease_id, source, row_number() OVER (PARTITION BY lease_id ORDER BY
 SELECT lease_id, seq, source, place FROM h WHERE place <= 3
 UNION ALL SELECT t.lease_id, t.seq, b.source, b.place FROM typed t JOIN b USING (lease_id) WHERE b.place <= 3 AND NOT EXISTS (SELECT 1 FROM h WHERE h.lease_id = t.lease_id AND h.seq = t.seq)""")
 def clause_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _typed(spark, sf_dir)
+    c = reports.by_lease(_typed(spark, sf_dir).select("lease_id", "seq", "clause_type", "risk_score", F.col("l_suppkey").alias("source")))
     by_place, by_type = F.when(F.col("seq") % 2 == 0, F.col("seq").cast("string")), F.when(F.col("seq") % 3 == 0, F.col("clause_type"))
-    top = c.groupBy("lease_id", "l_suppkey").agg(F.max("risk_score").alias("relevance"), F.array_union(F.collect_set(by_place), F.collect_set(by_type)).alias("about"))
-    return reports.clause_sources(c, top.select("lease_id", F.col("l_suppkey").alias("source"), "relevance", "about"))
+    relevance = F.max("risk_score").over(Window.partitionBy("lease_id", "source"))
+    return reports.clause_sources(c, c.select("lease_id", "source", relevance.alias("relevance"), F.array_compact(F.array(by_place, by_type)).alias("about")))
 
 
 @query("""

@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from clausegrid.functions import cleaning, payloads, texts
-from clausegrid.operators import alignment, cells, events, postings, retrieval, screening, sweeps, toolset
+from clausegrid.operators import alignment, cells, events, postings, reports, retrieval, screening, sweeps, toolset
 from clausegrid.plans import text_queries
 from clausegrid.plans.catalogue import QUERIES, SQL
 
@@ -175,3 +175,36 @@ def test_sections_are_searched_for_in_one_pass(spark: SparkSession) -> None:
     got = alignment.sources_by_containment(clauses, sources)
     assert sorted((r["lease_id"], r["source"], r["clause_ids"]) for r in got.collect()) == [(1, 1, [10, 11]), (1, 2, [7]), (2, 1, [12])]
     assert got._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_sources_of_clauses_are_dealt_by_lease_once(spark: SparkSession, tmp_path: Path, monkeypatch: pytest.MonkeyPatch) -> None:
+    lines = [(n // 5, n * 7 % 30, n * 3 % 4, n % 6 if n % 11 else None, 1.0, 1.0, n % 5 / 100, "R") for n in range(300)]
+    rows = spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_returnflag string")
+    rows.write.parquet(f"{tmp_path}/lineitem.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW lineitem AS FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = sorted(map(str, duck.sql(SQL["clause_sources"]).fetchall()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for most in (1 << 18, 20):
+            monkeypatch.setattr(reports, "CLAUSES_A_TASK", most, raising=False)
+            got = QUERIES["clause_sources"](spark, str(tmp_path)).select("lease_id", "seq", "source", "place")
+            assert sorted(str(tuple(r)) for r in got.collect()) == want
+            parts = re.findall(r"Exchange hashpartitioning\((.*), (\d+)\), (\w+)", got._jdf.queryExecution().executedPlan().toString())
+            # One shuffle, read again; its parts grow with the clauses.
+            assert {(re.sub(r"#\d+L?", "", keys), int(n), why) for keys, n, why in parts} == {("lease_id", max(spark.sparkContext.defaultParallelism, 300 // most + 1), "REPARTITION_BY_NUM")}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_sources_of_odd_clauses(spark: SparkSession) -> None:
+    clauses = spark.createDataFrame([(1, 1, "a"), (1, 1, "b"), (1, 2, None), (1, 2, "c"), (1, None, "a"), (1, None, "a"), (2, 1, "a"), (3, 1, "a"), (None, 1, "a"), (4, 1, "")], "lease_id long, seq int, clause_type string")
+    sources = spark.createDataFrame(
+        [(1, 10, 0.5, ["a"]), (1, 10, 0.9, ["b", "b"]), (1, 11, 0.6, ["a", None]), (1, 12, None, ["a"]), (1, 13, 0.95, None), (1, None, 0.6, ["a"]), (2, 20, 0.1, []), (2, 21, 0.1, ["9"]), (None, 30, 1.0, ["a"]), (4, 40, 0.1, ["x"]), (4, 41, 0.1, [""])],
+        "lease_id long, source long, relevance double, about array<string>",
+    )
+    want = [(1, 1, 10, 1), (1, 1, None, 2), (1, 1, 11, 3)]
+    want += [(1, 2, 13, 1), (1, 2, 10, 2), (1, 2, None, 3)] * 2
+    want += [(1, None, None, 1), (1, None, 11, 2), (1, None, 10, 3)] + [(1, None, 13, 1), (1, None, 10, 2), (1, None, None, 3)] * 2
+    want += [(2, 1, 20, 1), (2, 1, 21, 2), (4, 1, 41, 1)]
+    assert sorted(str(tuple(r)) for r in reports.clause_sources(clauses, sources).collect()) == sorted(map(str, want))
