@@ -6,11 +6,14 @@ strings, so that the work follows the texts and not texts times strings.
 
 from __future__ import annotations
 
+from bisect import insort
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -27,6 +30,8 @@ BLOCK_PAGES, PART_CLAUSES = 256, 20_000
 TEXTS = 256
 #: Keys of one automaton that is broadcast; more are dealt into several, one pass over the texts each.
 BROADCAST_KEYS = 50_000
+#: Keys of groups that one pass over the texts searches for at most; a task holds their automata and first ids.
+PASS_KEYS = 200_000
 
 
 def flat_pages(items: DataFrame) -> DataFrame:
@@ -140,13 +145,73 @@ def with_keys(rows: DataFrame, text: str, keys: DataFrame) -> DataFrame:
 def _key_sets(keys: DataFrame, words: int = 1) -> Iterator[list[str]]:
     """The different keys in sets of bounded size; a key makes so many words of an automaton."""
     wanted = keys.select(F.col("key").cast("string").alias("key")).where("key <> ''").distinct()
-    most = BROADCAST_KEYS // words
+    for some in _dealt(wanted, BROADCAST_KEYS // words):
+        yield some.column("key").to_pylist()
+
+
+def _dealt(wanted: DataFrame, most: int) -> Iterator[pa.Table]:
+    """Different rows in sets of so many at most, one after another."""
     sets = max(1, -(-wanted.count() // (most // 2)))
     for n in range(sets):
-        some = wanted.where(F.pmod(F.xxhash64("key"), F.lit(sets)) == n).limit(most + 1).collect()
-        if len(some) > most:
+        some = wanted.where(F.pmod(F.xxhash64(*wanted.columns), F.lit(sets)) == n).limit(most + 1).toArrow()
+        if some.num_rows > most:
             raise ValueError("keys are dealt too unevenly")
-        yield [r["key"] for r in some]
+        yield some
+
+
+def first_holders(rows: DataFrame, keys: DataFrame, k: int) -> DataFrame:
+    """grp, key, id: the first k ids of the rows of a group whose text holds a key that is asked there.
+
+    Rows need grp, id, text; keys grp, key. Nulls and empty keys hold nothing;
+    repeated ids and keys count once. A text is searched for the keys of its own
+    group; a task keeps the first k ids of each key and passes on only these, so
+    that what the texts hold is neither rows nor sorted. Sets of at most
+    PASS_KEYS keys take one pass each.
+    """
+    spark = rows.sparkSession
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    wanted = keys.select("grp", F.col("key").cast("string").alias("key")).where("grp is not null and key <> ''").distinct()
+    found = []
+    for some in _dealt(wanted, PASS_KEYS):
+        by_group = defaultdict(list)
+        for grp, key in zip(some.column("grp").to_pylist(), some.column("key").to_pylist(), strict=True):
+            by_group[grp].append(key)
+        shared = spark.sparkContext.broadcast(list(by_group.items()))
+        groups = spark.createDataFrame(pa.table([some.column("grp").unique()], ["grp"]), f"grp {kind(keys, 'grp')}")
+        asked = rows.select("grp", "id", "text").join(F.broadcast(groups), "grp", "left_semi")
+        found.append(asked.mapInArrow(_first_in_task(k, shared), f"grp {kind(rows, 'grp')}, key string, id {kind(rows, 'id')}"))
+    place = F.dense_rank().over(Window.partitionBy("grp", "key").orderBy("id"))
+    return reduce(DataFrame.unionByName, found).withColumn("place", place).where(F.col("place") <= k).drop("place").distinct()
+
+
+def _first_in_task(k: int, asked: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task over rows (grp, id, text) that keeps the first k ids of each of the broadcast keys: (group, keys)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups = {grp: (_automaton(iter(keys)), {}) for grp, keys in asked.value}
+        kinds = {}
+        for batch in batches:
+            kinds = {c: batch.schema.field(c).type for c in ("grp", "id")}
+            for n in range(0, batch.num_rows, TEXTS):
+                some = batch.slice(n, TEXTS)
+                for grp, id_, text in zip(*(some.column(c).to_pylist() for c in ("grp", "id", "text")), strict=True):
+                    if text is None or grp not in groups:
+                        continue
+                    automaton, first = groups[grp]
+                    mark = (id_ is not None, id_)  # a null comes first, as in Spark
+                    for key in {key for _, key in automaton.iter(text)}:
+                        ids = first.get(key)
+                        if ids is None:
+                            first[key] = [mark]
+                        elif (len(ids) < k or mark < ids[-1]) and mark not in ids:
+                            insort(ids, mark)
+                            del ids[k:]
+        if kinds:
+            held = [(grp, key, id_) for grp, (_, first) in groups.items() for key, ids in first.items() for _, id_ in ids]
+            grp, key, id_ = zip(*held, strict=True) if held else ((), (), ())
+            yield from pa.table([pa.array(grp, kinds["grp"]), pa.array(key, pa.string()), pa.array(id_, kinds["id"])], ["grp", "key", "id"]).to_batches(max_chunksize=10_000)
+
+    return run
 
 
 def _keys_in(words: list[str]):

@@ -14,8 +14,9 @@ from pyspark.sql.window import Window
 
 from clausegrid.functions.cleaning import DECISION_STOPS, STATUTE_STOPS, search_words
 from clausegrid.functions.texts import tokens
-from clausegrid.operators.alignment import with_keys
+from clausegrid.operators.alignment import first_holders
 from clausegrid.operators.cells import _SLACK, _matrix, _products, nearest_by_cells, unit
+from clausegrid.sources.tables import written
 
 RRF = 60
 K1, B = 1.2, 0.75
@@ -196,15 +197,13 @@ def keyword_hits(queries: DataFrame, corpus: DataFrame, k: int, decisions: bool
     """query_id, id, score, rank of rows that hold any of a query's search words; ties to the smaller id. Needs query_id, grp, asked; id, grp, text.
 
     The words of all queries are searched for at once; the first k rows of each
-    group and word then meet the queries.
+    group and word then meet the queries, whose words are made once and written.
     """
     words = search_words(F.col("asked"), DECISION_STOPS, 4, 4, once=False) if decisions else search_words(F.col("asked"), STATUTE_STOPS)
-    asked = queries.select("query_id", "grp", F.explode(words).alias("word"))
-    held = with_keys(corpus.select("id", "grp", F.lower("text").alias("low")), "low", asked.select(F.col("word").alias("key")))
+    asked = written(queries.select("query_id", "grp", F.explode(words).alias("key")), "asked")
     # All scores are equal, so that a query's first rows are among the first of its words.
-    first = F.dense_rank().over(Window.partitionBy("grp", "word").orderBy("id"))
-    few = held.select("id", "grp", F.explode("keys").alias("word")).withColumn("n", first).where(F.col("n") <= k)
-    found = few.drop("n").join(asked, ["grp", "word"])
+    first = first_holders(corpus.select("grp", "id", F.lower("text").alias("text")), asked, k)
+    found = first.join(asked, ["grp", "key"])
     score = DECISION_KEYWORD_SCORE if decisions else KEYWORD_SCORE
     return _top(found.select("query_id", "id").distinct().withColumn("score", F.lit(score)), F.col("score"), k)
 

@@ -208,3 +208,43 @@ def test_sources_of_odd_clauses(spark: SparkSession) -> None:
     want += [(1, None, None, 1), (1, None, 11, 2), (1, None, 10, 3)] + [(1, None, 13, 1), (1, None, 10, 2), (1, None, None, 3)] * 2
     want += [(2, 1, 20, 1), (2, 1, 21, 2), (4, 1, 41, 1)]
     assert sorted(str(tuple(r)) for r in reports.clause_sources(clauses, sources).collect()) == sorted(map(str, want))
+
+
+@pytest.mark.parametrize("most", [200_000, 6])
+def test_tasks_pass_on_first_rows_of_a_groups_keys(spark: SparkSession, monkeypatch: pytest.MonkeyPatch, most: int) -> None:
+    texts = ["renting gardens", "garden", "RENT", None, "", "walls rent", "zażółć rent"]
+    corpus = [(n * 7 % 300, f"g{n % 3}" if n % 10 else None, texts[n % len(texts)]) for n in range(300)]
+    corpus += corpus[:40]
+    keys = [("g0", "rent"), ("g0", "garden"), ("g0", "rent"), ("g1", "wall"), ("g1", "żół"), ("g1", None), ("g2", ""), ("g2", "absent"), (None, "rent"), ("g9", "rent")]
+    rows = spark.createDataFrame(corpus, "id long, grp string, text string").repartition(8)
+    asked = spark.createDataFrame(keys, "grp string, key string")
+    want = []
+    for g, key in {x for x in keys if x[0] and x[1]}:
+        want += [(g, key, i) for i in sorted({i for i, grp, t in corpus if grp == g and key in (t or "")})[:4]]
+    monkeypatch.setattr(alignment, "PASS_KEYS", most)
+    passed = []
+    in_task = alignment._first_in_task
+
+    def counted(k, shared):
+        run = in_task(k, shared)
+        passed.append(rows.where("grp is not null").select("grp", "id", "text").mapInArrow(run, "grp string, key string, id long"))
+        return run
+
+    monkeypatch.setattr(alignment, "_first_in_task", counted)
+    got = alignment.first_holders(rows, asked, 4)
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) == 16
+    assert len(passed) == (1 if most > 6 else 2)
+    # 8 tasks pass on 4 rows at most of each of 4 keys that occur, of some 300 hits.
+    assert sum(x.count() for x in passed) <= 8 * 4 * 4
+    assert alignment.first_holders(rows, asked.limit(0), 4).count() == 0
+    assert alignment.first_holders(rows.limit(0), asked, 4).count() == 0
+
+
+def test_texts_are_searched_once_for_keywords(spark: SparkSession) -> None:
+    corpus = spark.createDataFrame([(1, "a", "The Rented garden"), (2, "a", "garden wall"), (3, "b", "garden"), (None, "a", "garden")], "id long, grp string, text string")
+    asked = spark.createDataFrame([(7, "a", "garden rented"), (8, "b", "wall"), (9, "c", "garden"), (10, "a", None)], "query_id long, grp string, asked string")
+    found = retrieval.keyword_hits(asked, corpus, 2)
+    assert sorted(((r["query_id"], r["id"], r["rank"]) for r in found.collect()), key=str) == [(7, 1, 2), (7, None, 1)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # What a row holds is no column that Spark could search for again, for a filter it infers.
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
